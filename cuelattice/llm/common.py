@@ -31,8 +31,8 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> DataFrame:
-    """About ``max_rows`` labelled texts that may be learned from: ``doc_id, text, label``.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, *more) -> DataFrame:
+    """About ``max_rows`` labelled texts that may be learned from: ``doc_id, text, label`` and columns ``more``.
 
     Only (id, label) pairs of the hash-chosen sample are broadcast, never more than about ``max_rows`` of them, so
     texts are not shuffled. Labels that are null count as missing; of conflicting ones the larger counts.
@@ -46,5 +46,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: in
     n = pairs.count()
     share = min(1.0, max_rows / max(n, 1))
     picked = pairs.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 20)) < int(share * (1 << 20)))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *more)
     return texts.join(F.broadcast(picked), "doc_id")
