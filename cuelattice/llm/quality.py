@@ -33,13 +33,15 @@ _EDGE = ".,;:?!\"'()[]{}<>%&*#|$/\\-_=~`^+@"
 def _word_row(w: str) -> tuple[int, list[float]]:
     """Bucket of a word, and what it adds per occurrence: letters, capitals, digits, signs and four yes/no marks."""
     n = len(w)
-    upper, digits = sum(map(str.isupper, w)), sum(map(str.isdigit, w))
-    letters = sum(map(str.isalpha, w))
-    signs = n - letters - digits
-    core = w.strip(_EDGE).lower()
-    bucket = zlib.crc32(core.encode("utf-8", "replace")) % WORDS if core else -1
+    core = w.strip(_EDGE)
+    bucket = zlib.crc32(core.lower().encode("utf-8", "replace")) % WORDS if core else -1
+    if core.isalpha():
+        letters, digits = len(core), 0
+        upper = 0 if core.islower() else 1 if core[1:].islower() else sum(map(str.isupper, core))
+    else:
+        letters, digits, upper = sum(map(str.isalpha, w)), sum(map(str.isdigit, w)), sum(map(str.isupper, w))
     tail = n - len(w.rstrip(_EDGE))
-    return bucket, [n, upper, digits, signs, float(tail >= 2 or w[-1:] in "#$%&*|"), float(letters > 1 and upper == letters), float(w == "|"), float(w[-1:] in ".?!" and tail == 1), float(n > 20)]
+    return bucket, [n, upper, digits, n - letters - digits, tail >= 2 or w[-1] in "#$%&*|", letters > 1 and upper == letters, w == "|", tail == 1 and w[-1] in ".?!", n > 20]
 
 
 @dataclass
@@ -49,14 +51,14 @@ class Featuriser:
     memo: dict[str, int] = field(default_factory=dict)
     buckets: list[int] = field(default_factory=list)
     rows: list[list[float]] = field(default_factory=list)
-    table: np.ndarray = field(default_factory=lambda: np.zeros((0, 9)))
+    table: np.ndarray = field(default_factory=lambda: np.zeros((0, 9), dtype=np.float32))
     places: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int64))
 
     def _at(self, words) -> list[int]:
         memo = self.memo
         at = [memo.get(w, -1) for w in words]
         if -1 in at:
-            if len(memo) > 300_000:
+            if len(memo) > 400_000:
                 self.__init__()
                 memo = self.memo
             for w in words:
@@ -69,7 +71,7 @@ class Featuriser:
             grown = len(self.buckets)
             if grown > len(self.table):
                 room = max(1024, 2 * grown)
-                table, places = np.zeros((room, 9)), np.full(room, -1, dtype=np.int64)
+                table, places = np.zeros((room, 9), dtype=np.float32), np.full(room, -1, dtype=np.int64)
                 known = len(self.table)
                 table[:known], places[:known] = self.table, self.places
                 self.table, self.places = table, places
