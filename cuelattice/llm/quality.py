@@ -7,17 +7,15 @@ sum over pairs <v_i, v_j> x_i x_j = 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2
 
 from __future__ import annotations
 
-import operator
-import zlib
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cuelattice.llm import words
 from cuelattice.llm.common import labelled_sample
 
 WORDS = 1 << 14
@@ -27,93 +25,55 @@ STATISTICS = (
     "bars", "repeated_lines", "lines", "line_words", "commonest", "sentence_ends", "long_words", "n_chars",
 )
 DIMENSIONS = WORDS + BINS * len(STATISTICS)
-_EDGE = ".,;:?!\"'()[]{}<>%&*#|$/\\-_=~`^+@"
-
-
-def _word_row(w: str) -> tuple[int, list[float]]:
-    """Bucket of a word, and what it adds per occurrence: letters, capitals, digits, signs and four yes/no marks."""
-    n = len(w)
-    core = w.strip(_EDGE)
-    bucket = zlib.crc32(core.lower().encode("utf-8", "replace")) % WORDS if core else -1
-    if core.isalpha():
-        letters, digits = len(core), 0
-        upper = 0 if core.islower() else 1 if core[1:].islower() else sum(map(str.isupper, core))
-    else:
-        letters, digits, upper = sum(map(str.isalpha, w)), sum(map(str.isdigit, w)), sum(map(str.isupper, w))
-    tail = n - len(w.rstrip(_EDGE))
-    return bucket, [n, upper, digits, n - letters - digits, tail >= 2 or w[-1] in "#$%&*|", letters > 1 and upper == letters, w == "|", tail == 1 and w[-1] in ".?!", n > 20]
-
-
-@dataclass
-class Featuriser:
-    """Whole texts to sparse vectors; what is known of a word is kept, since words repeat."""
-
-    memo: dict[str, int] = field(default_factory=dict)
-    buckets: list[int] = field(default_factory=list)
-    rows: list[list[float]] = field(default_factory=list)
-    table: np.ndarray = field(default_factory=lambda: np.zeros((0, 9), dtype=np.float32))
-    places: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int64))
-
-    def _at(self, words) -> list[int]:
-        memo = self.memo
-        at = [memo.get(w, -1) for w in words]
-        if -1 in at:
-            if len(memo) > 400_000:
-                self.__init__()
-                memo = self.memo
-            for w in words:
-                if w not in memo:
-                    b, row = _word_row(w)
-                    memo[w] = len(self.buckets)
-                    self.buckets.append(b)
-                    self.rows.append(row)
-            at = [memo[w] for w in words]
-            grown = len(self.buckets)
-            if grown > len(self.table):
-                room = max(1024, 2 * grown)
-                table, places = np.zeros((room, 9), dtype=np.float32), np.full(room, -1, dtype=np.int64)
-                known = len(self.table)
-                table[:known], places[:known] = self.table, self.places
-                self.table, self.places = table, places
-            fresh = len(self.rows)
-            if fresh:
-                self.table[grown - fresh : grown] = self.rows
-                self.places[grown - fresh : grown] = self.buckets[grown - fresh :]
-                self.rows = []
-        return at
-
-    def vector(self, text: str, n_chars: float | None) -> tuple[np.ndarray, np.ndarray]:
-        words = text.split()
-        n = len(words)
-        if not n:
-            stats = [0.0] * len(STATISTICS)
-            ids, values = np.zeros(0, dtype=np.int64), np.zeros(0)
-        else:
-            counts = Counter(words)
-            at = np.array(self._at(counts.keys()))
-            times = np.fromiter(counts.values(), dtype=float, count=len(counts))
-            sums = times @ self.table[at]
-            chars = max(sums[0], 1.0)
-            lines = [x for x in text.split("\n") if x.strip()]
-            stats = [
-                np.log2(1 + n) / 14, min(chars / n / 16, 1.0), sums[1] / chars, sums[2] / chars, sums[3] / chars, sums[4] / n,
-                sum(map(operator.eq, words, words[1:])) / n, len(counts) / n, sums[5] / n, sums[6] / n,
-                1 - len(set(lines)) / max(len(lines), 1), np.log2(1 + len(lines)) / 10, np.log2(1 + n / max(len(lines), 1)) / 12,
-                times.max() / n, sums[7] / n, sums[8] / n, 0.0,
-            ]
-            ids = self.places[at]
-            keep = ids >= 0
-            ids = ids[keep]
-            values = np.sqrt(times[keep])
-            values /= max(np.sqrt((values**2).sum()), 1e-9)
-        stats[-1] = 0.0 if n_chars is None or n_chars != n_chars else np.log2(1 + max(float(n_chars), 0.0)) / 18
-        s = np.clip(np.array(stats), 0.0, 1.0)
-        # Fine steps near nothing, coarse ones near all: a little junk in a long text shows too.
-        bins = np.where(s <= 0, 0, 1 + np.clip(np.floor(np.log2(np.maximum(s, 1e-9) * 512)), 0, BINS - 2)).astype(np.int64)
-        fine = np.minimum(np.floor(s * BINS), BINS - 1).astype(np.int64)
-        linear = [0, 1, 7, 11, 12, 16]
-        bins[linear] = fine[linear]
-        return np.concatenate([ids, WORDS + BINS * np.arange(len(s)) + bins]), np.concatenate([values, np.full(len(s), 0.5)])
+_RUN_SIGNS = np.array([chr(i) in "#$%&*|" for i in range(0x80)] + [False])
+_ENDS = np.array([chr(i) in ".?!" for i in range(0x80)] + [False])
+# Classes of code points: 0 sign, 1 white space, 2 letter, 3 capital, 4 digit; beyond the table all count as letters.
+_KIND = np.array([1 if (c := chr(i)).isspace() else 3 if c.isupper() else 2 if c.isalpha() else 4 if c.isdigit() else 0 for i in range(0x3000)], dtype=np.int8)
+_LOWER = np.array([ord(c) if len(c := chr(i).lower()) == 1 else i for i in range(0x3000)], dtype=np.uint32)
+
+
+def vector(text: str, n_chars: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """A whole text as sparse entries: places and values."""
+    codes = words.points(text)
+    near = np.minimum(codes, len(_KIND) - 1)
+    kind = np.where(codes < len(_KIND), _KIND[near], 2)
+    starts, ends = words.spans(kind == 1)
+    n = len(starts)
+    ids, values, stats = np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(len(STATISTICS))
+    if n:
+        length = ends - starts
+        total = lambda mask: np.concatenate([[0], np.cumsum(mask)])
+        within = lambda sums: sums[ends] - sums[starts]
+        capitals, letters = within(total(kind == 3)), within(total((kind == 2) | (kind == 3)))
+        last, one = np.minimum(codes[ends - 1], 0x80), kind[ends - 1] == 0
+        two = one & (length >= 2) & (kind[np.maximum(ends - 2, 0)] == 0)
+        lead = (kind[starts] == 0) & (length > 1)
+        lowered = np.where(codes < len(_LOWER), _LOWER[near], codes)
+        core_ends = ends - one.astype(np.int64) - two
+        some = core_ends > starts + lead
+        sums = words.prefix(lowered)
+        cores = words.span_hashes(sums, (starts + lead)[some], core_ends[some])
+        marks = words.span_hashes(sums, starts, ends)
+        ids, times = np.unique((cores % np.uint64(WORDS)).astype(np.int64), return_counts=True)
+        values = np.sqrt(times)
+        values = values / max(np.sqrt((values**2).sum()), 1e-9)
+        counts = np.unique(marks, return_counts=True)[1]
+        lines = [x for x in text.split("\n") if x.strip()]
+        chars = max(int(length.sum()), 1)
+        stats = np.array([
+            np.log2(1 + n) / 14, min(chars / n / 16, 1.0), capitals.sum() / chars, (kind == 4).sum() / chars, (kind == 0).sum() / chars,
+            (two | (one & _RUN_SIGNS[last])).mean(), (marks[1:] == marks[:-1]).sum() / n, len(counts) / n,
+            ((letters > 1) & (capitals == letters)).mean(), ((length == 1) & (last == 124)).mean(),
+            1 - len(set(lines)) / max(len(lines), 1), np.log2(1 + len(lines)) / 10, np.log2(1 + n / max(len(lines), 1)) / 12,
+            counts.max() / n, (one & ~two & _ENDS[last]).mean(), (length > 20).mean(), 0.0,
+        ])
+    stats[-1] = 0.0 if n_chars is None or n_chars != n_chars else np.log2(1 + max(float(n_chars), 0.0)) / 18
+    s = np.clip(stats, 0.0, 1.0)
+    # Fine steps near nothing, coarse ones near all: a little junk in a long text shows too.
+    bins = np.where(s <= 0, 0, 1 + np.clip(np.floor(np.log2(np.maximum(s, 1e-9) * 512)), 0, BINS - 2)).astype(np.int64)
+    linear = [0, 1, 7, 11, 12, 16]
+    bins[linear] = np.minimum(np.floor(s * BINS), BINS - 1).astype(np.int64)[linear]
+    return np.concatenate([ids, WORDS + BINS * np.arange(len(s)) + bins]), np.concatenate([values, np.full(len(s), 0.5)])
 
 
 @dataclass
@@ -170,9 +130,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, label
     sample = labelled_sample(docs, labels, label, max_rows, _metadata(docs))
 
     def vectors(batches):
-        f = Featuriser()
         for pdf in batches:
-            got = [f.vector(t, n) for t, n in zip(pdf["text"], pdf["n_chars"], strict=True)]
+            got = [vector(t, n) for t, n in zip(pdf["text"], pdf["n_chars"], strict=True)]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": [x.astype(np.int32).tobytes() for x, _ in got], "x": [v.astype(np.float32).tobytes() for _, v in got], "label": pdf["label"]})
 
     got = sample.mapInPandas(vectors, "doc_id long, ids binary, x binary, label int").toPandas().sort_values(["doc_id", "label", "ids"])
@@ -190,9 +149,8 @@ def score_quality(docs: DataFrame, model: FactorisationMachine, threshold: float
 
     @F.pandas_udf("double")
     def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        f = Featuriser()
         for texts, sizes in batches:
-            got = [f.vector(t or "", n) for t, n in zip(texts, sizes, strict=True)]
+            got = [vector(t or "", n) for t, n in zip(texts, sizes, strict=True)]
             if not got:
                 yield pd.Series([], dtype="float64")
                 continue
