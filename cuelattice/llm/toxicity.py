@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -291,7 +292,7 @@ def learn(samples: list[tuple[set[str], int]], characters: CharacterModel, min_g
     return model
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, label: str = "toxic") -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, label: str = "toxic") -> ToxicityModel:
     """Count characters over all of ``docs``, learn the lexicon from about ``max_rows`` labelled rows not held out."""
     spark = docs.sparkSession
     grams = character_counts(docs).toPandas()
@@ -304,7 +305,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, lab
 
     got = labelled_sample(docs, labels, label, max_rows).mapInPandas(bags, "words string, label int").distinct().toPandas()
     got = got.sort_values(["words", "label"])
-    return learn([(set(w.split()), int(y > 0)) for w, y in zip(got["words"], got["label"], strict=True)], characters)
+    return learn([(set(map(sys.intern, w.split())), int(y > 0)) for w, y in zip(got["words"], got["label"], strict=True)], characters)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> DataFrame:
