@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuelattice.llm import quality, toxicity
+from cuelattice.llm import near_dup, quality, toxicity
 from cuelattice.llm.common import held_out
 
 
@@ -26,9 +26,14 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs.select("doc_id", "text", "n_chars"), model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op4_quality": op4_quality,
+    "op6_near_duplicates": op6_near_duplicates,
 }
 
 ORACLE_SQL: dict[str, str] = {}
