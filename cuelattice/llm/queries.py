@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuelattice.llm import near_dup, packing, quality, toxicity
+from cuelattice.llm import decontaminate, html_text, near_dup, packing, quality, toxicity
 from cuelattice.llm.common import held_out
 
 
@@ -40,10 +40,20 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op4_quality": op4_quality,
     "op7_packing": op7_packing,
+    "op5_decontamination": op5_decontamination,
+    "op9_html_text": op9_html_text,
     "op6_near_duplicates": op6_near_duplicates,
 }
 
