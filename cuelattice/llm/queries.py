@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cuelattice.llm import decontaminate, html_text, near_dup, packing, quality, toxicity
+from cuelattice.llm import ann, decontaminate, html_text, near_dup, packing, quality, token_files, toxicity, url_lists, warc
 from cuelattice.llm.common import held_out
 
 
@@ -48,13 +50,94 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+#: The end-of-document identifier of the byte-level vocabulary.
+END_OF_TEXT = 50256
+
+
+def op2_separators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path()
+
+    def encode_factory():
+        tokenizer = packing.WordTokenizer(path)
+        return lambda texts: [np.frombuffer(x, dtype="<u4").astype("<u2").tobytes() for x in tokenizer.many(texts)]
+
+    blocks = token_files.flat_blocks(table(spark, sf_dir, "documents"), encode_factory, END_OF_TEXT)
+    return token_files.documents_of(blocks, END_OF_TEXT)
+
+
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.derivatives(warc.responses_of_pages(table(spark, sf_dir, "pages")))
+    payload = F.element_at("headers", "WARC-Payload-Digest").alias("payload_digest")
+    return records.select("record_id", "record_type", "target_uri", "warc_date", "refers_to", "content_type", "content_length", "block_digest", payload, F.sha2("block", 256).alias("block_sha256"))
+
+
+def _stable(text, modulus: int):
+    """A number from a text that DuckDB computes alike."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long") % modulus
+
+
+def dated_entries(pages: DataFrame) -> DataFrame:
+    """Blocklist history derived from the hosts of all pages: each host, and each parent domain, is listed and unlisted."""
+    host = url_lists.host_of(F.col("url"))
+    hosts = pages.select(host.alias("h")).where("h is not null").distinct()
+    patterns = hosts.select("h").unionByName(hosts.select(F.regexp_replace("h", r"^[^.]*\.", "").alias("h"))).distinct()
+    day = _stable(F.col("h"), 300)
+    history = F.array(
+        F.struct(F.lit("add").alias("action"), day.alias("day")),
+        F.struct(F.lit("add").alias("action"), (day + 5).alias("day")),
+        F.struct(F.lit("remove").alias("action"), (day + 10 + _stable(F.concat("h", F.lit("x")), 40)).alias("day")),
+        F.struct(F.lit("add").alias("action"), (day + 90).alias("day")),
+    )
+    lists = F.when(_stable(F.concat("h", F.lit("l")), 2) == 0, "malware").otherwise("adult")
+    e = patterns.select(F.col("h").alias("pattern"), lists.alias("list_name"), F.explode(history).alias("e"))
+    return e.select("list_name", "pattern", "e.action", F.timestamp_seconds(F.lit(1704067200) + F.col("e.day") * 86400).alias("entry_ts"))
+
+
+def op10_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    captures = pages.select(F.col("page_id").alias("capture_id"), "url", F.timestamp_seconds(F.lit(1704067200) + F.pmod(F.col("page_id") * 7919, F.lit(400)) * 86400).alias("fetch_ts"))
+    out = url_lists.evaluate(captures, dated_entries(pages))
+    return out.select(F.col("capture_id").alias("page_id"), "host", F.unix_seconds("fetch_ts").alias("fetch_s"), "n_active", "lists", F.coalesce("longest", F.lit("")).alias("longest"), "blocked")
+
+
+OP10_SQL = """
+with c as (
+  select distinct page_id, url, 1704067200 + ((page_id * 7919) % 400) * 86400 as fetch_s,
+    nullif(lower(regexp_replace(regexp_replace(regexp_replace(regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.\\-]*://([^/?#\\\\]*)', 1), '^.*@', ''), ':[0-9]*$', ''), '\\.+$', '')), '') as host
+  from pages),
+hosts as (select distinct host as h from c where host is not null),
+patterns as (select h from hosts union select regexp_replace(h, '^[^.]*\\.', '') from hosts),
+days as (select h, case when ('0x' || substr(md5(h || 'l'), 1, 8))::bigint % 2 = 0 then 'malware' else 'adult' end as list_name,
+    ('0x' || substr(md5(h), 1, 8))::bigint % 300 as d, ('0x' || substr(md5(h || 'x'), 1, 8))::bigint % 40 as x from patterns),
+spans as (
+  select h, list_name, d as valid_from, d + 10 + x as valid_to from days
+  union all select h, list_name, d + 90, 1000000 from days),
+active as (
+  select c.page_id, c.url, c.fetch_s, count(*) as n_active, string_agg(distinct s.list_name, ',' order by s.list_name) as lists, arg_max(s.h, length(s.h)) as longest
+  from c join spans s on (c.host = s.h or ends_with(c.host, '.' || s.h))
+    and (strpos(s.h, '.') > 0 or c.host = s.h)
+    and 1704067200 + s.valid_from * 86400 <= c.fetch_s and c.fetch_s < 1704067200 + s.valid_to * 86400
+  group by all)
+select c.page_id, c.host, c.fetch_s, coalesce(a.n_active, 0) as n_active, coalesce(a.lists, '') as lists, coalesce(a.longest, '') as longest, a.n_active is not null as blocked
+from c left join active a using (page_id, url, fetch_s)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op4_quality": op4_quality,
     "op7_packing": op7_packing,
     "op5_decontamination": op5_decontamination,
     "op9_html_text": op9_html_text,
+    "op2_separators": op2_separators,
+    "op3_nearest": op3_nearest,
+    "op8_warc": op8_warc,
+    "op10_url_lists": op10_url_lists,
     "op6_near_duplicates": op6_near_duplicates,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op10_url_lists": OP10_SQL}
