@@ -26,7 +26,7 @@ SEQUENCE = 2048
 END_OF_DOCUMENT = 0
 # White space on both sides of a space, or before a final one: here words can't be tokenised on their own.
 _RUNS = re.compile(r"\s (?:\s|\Z)")
-_KEPT_WORDS = 300_000
+_KEPT_WORDS = 600_000
 
 
 class WordTokenizer:
@@ -44,22 +44,58 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.lengths = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=np.int64)
+        for token, i in vocabulary.items():
+            self.lengths[i] = len(token)  # a byte-level vocabulary writes each byte as one character
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, fresh: set[str]) -> None:
+        """Keep the ids of new words. A comma or full stop after a letter is always a token of its own."""
+        known = self.known
+        ended = [w for w in fresh if len(w) > 2 and w[-1] in ",." and w[-2].isalpha()]
+        new = (fresh - set(ended)) | {x for w in ended if (x := w[:-1]) not in known} | {x for x in (",", ".") if x not in known}
+        joinable = [w for w in new if len(w) > 1 and w[0] == " " and not w[1].isspace()]
+        rest = list(new.difference(joinable))
+        for lo in range(0, len(joinable), 3000):
+            part = joinable[lo : lo + 3000]
+            ids = self._encode(["".join(part)])[0]
+            # Tokens never reach over the space that begins a word, so byte lengths tell where each word ends.
+            ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(w.encode()) for w in part])) + 1
+            raw = ids.tobytes()
+            starts = [0, *ends[:-1].tolist()]
+            known.update((w, raw[4 * i : 4 * j]) for w, i, j in zip(part, starts, ends.tolist(), strict=True))
+        known.update(zip(rest, (x.tobytes() for x in self._encode(rest)), strict=True))
+        known.update((w, known[w[:-1]] + known[w[-1]]) for w in ended)
 
     def many(self, texts: list[str]) -> list[bytes]:
-        whole = [bool(_RUNS.search(t)) or any(s in t for s in self.special) for t in texts]
-        split = [None if w else t.split(" ") for t, w in zip(texts, whole, strict=True)]
         known = self.known
         if len(known) > _KEPT_WORDS:
             known.clear()
-        parts = [None if p is None else [p[0], *[" " + x for x in p[1:]]] for p in split]
-        fresh = list({x for p in parts if p is not None for x in p if x not in known})
-        for lo in range(0, len(fresh), 4096):
-            known.update(zip(fresh[lo : lo + 4096], self._encode(fresh[lo : lo + 4096]), strict=True))
+        parts = []
+        for t in texts:
+            if _RUNS.search(t) or any(s in t for s in self.special):
+                parts.append(None)
+            else:
+                first, *more = t.split(" ")
+                parts.append([first, *[" " + x for x in more]])
+        fresh = {x for p in parts if p is not None for x in p if x not in known}
+        if fresh:
+            self._learn(fresh)
         get = known.__getitem__
-        return [self._encode([t])[0] if p is None else b"".join(map(get, p)) for t, p in zip(texts, parts, strict=True)]
+        return [self._encode([t])[0].tobytes() if p is None else b"".join(map(get, p)) for t, p in zip(texts, parts, strict=True)]
+
+
+_tokenizers: dict[str, WordTokenizer] = {}
+
+
+def tokenizer_at(path: str) -> WordTokenizer:
+    """One tokenizer for each worker process, so that known words outlive a task."""
+    if path not in _tokenizers:
+        _tokenizers[path] = WordTokenizer(path)
+    return _tokenizers[path]
 
 
 def cut(total: int, size: int = SEQUENCE) -> list[tuple[int, int]]:
@@ -76,7 +112,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, size: int = SEQUENCE) -> DataFr
     end = np.array([END_OF_DOCUMENT], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = WordTokenizer(tokenizer_path)
+        encode = tokenizer_at(tokenizer_path)
         for pdf in batches:
             for lo in range(0, len(pdf), 1000):
                 part, out = pdf.iloc[lo : lo + 1000], []

@@ -58,7 +58,7 @@ def op2_separators(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path()
 
     def encode_factory():
-        tokenizer = packing.WordTokenizer(path)
+        tokenizer = packing.tokenizer_at(path)
         return lambda texts: [np.frombuffer(x, dtype="<u4").astype("<u2").tobytes() for x in tokenizer.many(texts)]
 
     blocks = token_files.flat_blocks(table(spark, sf_dir, "documents"), encode_factory, END_OF_TEXT)
