@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cuelattice.llm.common import saved
+
 BLOCK_BYTES = 1 << 20
 # Blocks per group of the two-level scan.
 GROUP = 1024
@@ -59,10 +61,8 @@ def documents_of(blocks: DataFrame, separator: int, width: int = 2) -> DataFrame
     Two separators in a row enclose an empty document; tokens after the last separator of a file are a document too.
     A null payload is an empty block; numbering starts at 0 in each file.
     """
-    from cuelattice.llm.common import saved
-
     scanned = saved(scan_blocks(blocks, separator, width), "separators").withColumn("grp", F.floor(F.col("block") / GROUP))
-    own = scanned.select("file", "block", "grp", "tokens", "at", F.size("at").cast("long").alias("n"), F.element_at(F.filter("at", lambda x: x >= 0), -1).alias("last"))
+    own = scanned.select("file", "block", "grp", "tokens", "at", F.size("at").cast("long").alias("n"), F.try_element_at("at", F.lit(-1)).alias("last"))
     groups = own.groupBy("file", "grp").agg(F.sum("tokens").alias("tokens"), F.sum("n").alias("n"))
     before_group = Window.partitionBy("file").orderBy("grp").rowsBetween(Window.unboundedPreceding, -1)
     starts = groups.select("file", "grp", F.coalesce(F.sum("tokens").over(before_group), F.lit(0)).alias("group_tokens"), F.coalesce(F.sum("n").over(before_group), F.lit(0)).alias("group_docs"))
