@@ -139,12 +139,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, label
     return train(rows, (got["label"].to_numpy() > 0).astype(float))
 
 
-def score_quality(docs: DataFrame, model: FactorisationMachine, threshold: float = 0.3) -> DataFrame:
-    """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from ``threshold`` on).
-
-    Null and empty texts are scored from the structure statistics of an empty text. Columns of these names that
-    ``docs`` already has are replaced.
-    """
+def score_of(docs: DataFrame, model: FactorisationMachine):
+    """The score of each whole text as a column of ``docs``."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -158,5 +154,19 @@ def score_quality(docs: DataFrame, model: FactorisationMachine, threshold: float
             z = held.value.logits(np.concatenate([i for i, _ in got]), np.concatenate([v for _, v in got]), starts)
             yield pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
-    out = docs.withColumn("score", score(F.coalesce("text", F.lit("")), _metadata(docs)))
+    return score(F.coalesce("text", F.lit("")), _metadata(docs))
+
+
+def score_quality(docs: DataFrame, model: FactorisationMachine, threshold: float = 0.3) -> DataFrame:
+    """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from ``threshold`` on).
+
+    Null and empty texts are scored from the structure statistics of an empty text. Columns of these names that
+    ``docs`` already has are replaced.
+    """
+    out = docs.withColumn("score", score_of(docs, model))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def keep_good(docs: DataFrame, model: FactorisationMachine, threshold: float = 0.3) -> DataFrame:
+    """The documents that score at least ``threshold``, all their columns untouched."""
+    return docs.where(score_of(docs, model) >= threshold)

@@ -308,11 +308,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, labe
     return learn([(set(map(sys.intern, w.split())), int(y > 0)) for w, y in zip(got["words"], got["label"], strict=True)], characters)
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> DataFrame:
-    """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from ``threshold`` on).
-
-    Null and empty texts score the bias alone. Columns of these names that ``docs`` already has are replaced.
-    """
+def score_of(docs: DataFrame, model: ToxicityModel):
+    """The score of each whole text as a column of ``docs``."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -320,5 +317,18 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5
         for s in texts:
             yield pd.Series([held.value.score(t or "") for t in s], dtype="float64")
 
-    out = docs.withColumn("score", score(F.coalesce("text", F.lit(""))))
+    return score(F.coalesce("text", F.lit("")))
+
+
+def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> DataFrame:
+    """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from ``threshold`` on).
+
+    Null and empty texts score the bias alone. Columns of these names that ``docs`` already has are replaced.
+    """
+    out = docs.withColumn("score", score_of(docs, model))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> DataFrame:
+    """The documents that score below ``threshold``, all their columns untouched."""
+    return docs.where(score_of(docs, model) < threshold)
