@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -154,6 +155,21 @@ def test_near_duplicates_awkward(spark):
     assert near_dup.near_duplicates(awkward(spark).limit(0)).count() == 0
 
 
+def test_near_duplicates_that_agree_in_bytes_before(spark):
+    """The coordinates of these two agree in bytes only, by chance, in a band before the first in which they agree."""
+    r = random.Random(39)
+    a = [f"w{r.randrange(10**6)}" for _ in range(120)]
+    b = list(a)
+    b[r.randrange(20, 60)], b[r.randrange(60, 100)] = "x", "y"
+    sketches = [near_dup.sketch(words.shingles(words.ascii_words(" ".join(t)))) for t in (a, b)]
+    first = [(x == y)[: near_dup.BANDED].reshape(-1, near_dup.ROWS).all(axis=1).argmax() for x, y in (sketches, [words.mix(s).astype(np.uint8) for s in sketches])]
+    assert first[0] > first[1]
+    reps = near_dup.describe(spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b))], "doc_id long, text string")).withColumnRenamed("doc_id", "rep")
+    mixed = near_dup.mixed_buckets(near_dup.buckets_of(reps), spark.createDataFrame([], "node long, root long"))
+    for best_only in (True, False):
+        assert [tuple(x) for x in near_dup.cross_candidates(mixed, best_only).collect()] == [(1, 2)]
+
+
 def test_sketch_estimates_similarity():
     rng = np.random.default_rng(2)
     for n in (1, 5, 300):
