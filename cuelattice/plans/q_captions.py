@@ -27,6 +27,7 @@ QUERIES = {
     "collapse_rolling_cues": lambda s, d: captions.collapse_rolling_cues(cues(s, d), CUE_GAP_MS),
     "route_and_number": lambda s, d: captions.route_and_number(cues(s, d).withColumn("inline", F.lit(False)), 0)[0],
     "trim_rolling_prefix": lambda s, d: captions.trim_rolling_prefix(turns(s, d).withColumn("text", F.left("text", F.lit(400))), 10**9, 1).select("track_id", "seg_pos", "text", "trimmed"),
+    "trim_rolling_prefix_whole": lambda s, d: captions.trim_rolling_prefix(turns(s, d), 10**9, 1).select("track_id", "seg_pos", "text", "trimmed"),
 }
 
 ORACLE_SQL = {

@@ -135,7 +135,7 @@ def _lengths(spark, sf_dir):
 def _replies(spark, sf_dir):
     t = table(spark, sf_dir, "conversations")
     k = (F.col("conv_id") + F.col("turn")) % 5
-    said = F.left(F.regexp_replace("text", r'["\\\n{}\[\]<>]', " "), F.lit(80))
+    said = F.regexp_replace("text", r'["\\\n{}\[\]<>]', " ")
     response = (
         F.when(k == 0, F.concat(F.lit('Sure: {"body": "'), said, F.lit('"} done'))).when(k == 1, F.concat(F.lit("```json\n{\"body\": \""), said, F.lit('"}\n```')))
         .when(k == 2, F.concat(F.lit("<<<TITLE>>>t<<<BODY>>>"), said)).when(k == 3, F.concat(F.lit('[note] then {"body": "'), said, F.lit('"}'))).otherwise(said)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cuelattice.functions.text import clean_markup, length_bounds, normalize_alignment_text, text_similarity
 from cuelattice.operators import align, captions, docs, reconcile, tracks
+from cuelattice.plans import registry
 from cuelattice.sources import files
 
 CUE = "track_id string, cue_ord long, start_ms long, end_ms long, text string, lines array<string>, inline boolean"
@@ -167,3 +168,26 @@ def test_export_stamps(spark):
     row = files.export_transcripts(s).first()
     assert row["srt"] == "Title: Demo: Video?\n\n1\n01:00:00,001 --> 01:00:01,002\nXin chào\n"
     assert s.select(files.safe_name(F.col("title")).alias("n")).first()["n"] == "Demo_ Video_"
+
+
+def conversations(spark, path, texts):
+    """A folder whose table of conversations has one conversation of ``texts``."""
+    rows = [(1, i, "user", t) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(path / "conversations.parquet"))
+    return str(path)
+
+
+def test_whole_turns_are_trimmed(spark, tmp_path):
+    r = random.Random(3)
+    texts = ["".join(r.choice("ab") for _ in range(900))]
+    for n in (0, 7, 300, 450, 900):
+        texts.append(texts[-1][len(texts[-1]) - n :] + "".join(r.choice("ab") for _ in range(950 - n)))
+    got = {x["seg_pos"]: (x["trimmed"], x["text"]) for x in registry.QUERIES["trim_rolling_prefix_whole"](spark, conversations(spark, tmp_path, texts)).collect()}
+    best = [0] + [max((k for k in range(1, min(len(a), len(b)) + 1) if a.endswith(b[:k])), default=0) for a, b in zip(texts, texts[1:], strict=False)]
+    assert max(best) == 900 and got == {i: (k, texts[i][k:]) for i, k in enumerate(best)}
+
+
+def test_whole_replies_are_extracted(spark, tmp_path):
+    texts = [f"{i} " + "many words of a turn " * 40 + "its end" for i in range(10)]
+    got = registry.QUERIES["extract_structured_replies"](spark, conversations(spark, tmp_path, texts)).where("code is null").collect()
+    assert got and all(x["body"] == texts[int(x["request_id"].split("-")[1])] for x in got)
