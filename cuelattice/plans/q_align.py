@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cuelattice.functions.text import text_similarity
 from cuelattice.operators import align, reconcile
 from cuelattice.plans.views import SPANS, TURNS, WORDS, spans, table, turns, words
 
+# Of the queries with SQL; the others have the operator's own least.
 ANCHOR = 8
 
 
@@ -20,12 +22,16 @@ def _chars(spark, sf_dir):
     return align.character_timeline(words(spark, sf_dir), None), align.character_timeline(_altered(spark, sf_dir), None)
 
 
-def _blocks(spark, sf_dir):
-    return align.anchor_blocks(*_chars(spark, sf_dir), ANCHOR)
+def _blocks(spark, sf_dir, least=align.LEAST_ANCHOR):
+    return align.anchor_blocks(*_chars(spark, sf_dir), least)
+
+
+def _chain(spark, sf_dir):
+    return align.monotonic_chain(align.merge_diagonal_blocks(_blocks(spark, sf_dir)))
 
 
 def _pairs(spark, sf_dir):
-    return align.aligned_pairs(align.monotonic_chain(align.merge_diagonal_blocks(_blocks(spark, sf_dir))))
+    return align.aligned_pairs(_chain(spark, sf_dir))
 
 
 def _ranges(spark, sf_dir):
@@ -118,10 +124,17 @@ def _final(spark, sf_dir):
     return reconcile.finalise_decisions(reconcile.decide(_items(spark, sf_dir), normalised=True))
 
 
+def _heard(spark, sf_dir):
+    return _altered(spark, sf_dir).select("track_id", "seg_pos", "word_idx", F.col("text").alias("caption_text")).where("word_idx % 9 <> 4")
+
+
 def _suspicious(spark, sf_dir):
-    ranges = _altered(spark, sf_dir).select("track_id", "seg_pos", "word_idx", F.col("text").alias("caption_text")).where("word_idx % 9 <> 4")
     like = F.when(F.col("text") == F.col("caption_text"), 1.0).otherwise(1 / F.length("text"))
-    return reconcile.suspicious_words(words(spark, sf_dir), ranges, like, low=0.3)
+    return reconcile.suspicious_words(words(spark, sf_dir), _heard(spark, sf_dir), like, low=0.3)
+
+
+def _suspicious_whole(spark, sf_dir):
+    return reconcile.suspicious_words(words(spark, sf_dir), _heard(spark, sf_dir), text_similarity(F.col("text"), F.col("caption_text")))
 
 
 def _replaced(spark, sf_dir):
@@ -138,7 +151,7 @@ def _surface(spark, sf_dir):
 
 def _secondary(spark, sf_dir):
     c = _chars(spark, sf_dir)[1]
-    return reconcile.secondary_evidence(_suspicious(spark, sf_dir), c, _altered(spark, sf_dir), _ranges(spark, sf_dir))
+    return reconcile.secondary_evidence(_suspicious_whole(spark, sf_dir), c, _altered(spark, sf_dir), _ranges(spark, sf_dir))
 
 
 def _quality(spark, sf_dir):
@@ -150,15 +163,18 @@ QUERIES = {
     "character_timeline": lambda s, d: _chars(s, d)[0],
     "interval_candidates": lambda s, d: align.interval_candidates(turns(s, d), turns(s, d).withColumn("start_ms", F.col("start_ms") + 700)),
     "hopping_windows": lambda s, d: align.hopping_windows(_chars(s, d)[0], align.origins(*_chars(s, d))).groupBy("track_id", "win").agg(F.count("*").alias("n"), F.min("idx").alias("first_idx")),
-    "anchor_blocks": _blocks,
-    "merge_diagonal_blocks": lambda s, d: align.merge_diagonal_blocks(_blocks(s, d)),
-    "monotonic_chain": lambda s, d: align.monotonic_chain(align.merge_diagonal_blocks(_blocks(s, d))),
+    "anchor_blocks": lambda s, d: _blocks(s, d, ANCHOR),
+    "anchor_blocks_whole": _blocks,
+    "merge_diagonal_blocks": lambda s, d: align.merge_diagonal_blocks(_blocks(s, d, ANCHOR)),
+    "merge_diagonal_blocks_whole": lambda s, d: align.merge_diagonal_blocks(_blocks(s, d)),
+    "monotonic_chain": _chain,
     "aligned_pairs": _pairs,
     "track_coverage": lambda s, d: align.track_coverage(_pairs(s, d), _chars(s, d)[0]),
     "word_to_caption_range": _ranges,
     "local_coverage": lambda s, d: align.local_coverage(_chars(s, d)[0], _pairs(s, d)),
     "segment_alignment": lambda s, d: align.segment_alignment(*_chars(s, d), _pairs(s, d)).drop("word_captions"),
     "suspicious_words": _suspicious,
+    "suspicious_words_whole": _suspicious_whole,
     "pad_and_merge_windows": lambda s, d: _windows(s, d).withColumn("span_ids", F.array_join(F.transform("span_ids", lambda x: x.cast("string")), ",")),
     "window_priority": lambda s, d: reconcile.window_priority(_windows(s, d), spans(s, d)).drop("span_ids"),
     "budgeted_top_k": lambda s, d: _budget(s, d).drop("span_ids"),

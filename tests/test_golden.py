@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
+from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
 
 from cuelattice.functions.text import clean_markup, length_bounds, normalize_alignment_text, text_similarity
 from cuelattice.operators import align, captions, docs, reconcile, tracks
-from cuelattice.plans import registry
+from cuelattice.plans import q_align, registry
+from cuelattice.plans.views import words
 from cuelattice.sources import files
 
 CUE = "track_id string, cue_ord long, start_ms long, end_ms long, text string, lines array<string>, inline boolean"
@@ -191,3 +194,35 @@ def test_whole_replies_are_extracted(spark, tmp_path):
     texts = [f"{i} " + "many words of a turn " * 40 + "its end" for i in range(10)]
     got = registry.QUERIES["extract_structured_replies"](spark, conversations(spark, tmp_path, texts)).where("code is null").collect()
     assert got and all(x["body"] == texts[int(x["request_id"].split("-")[1])] for x in got)
+
+
+def test_alignment_queries_take_the_defaults(spark, tmp_path):
+    r = random.Random(5)
+    texts = [" ".join("".join(r.choice("abcd") for _ in range(r.randrange(2, 7))) for _ in range(25)) for _ in range(3)]
+    pool = ["".join(r.choice("abcd") for _ in range(5)) for _ in range(400)]
+    altered = [w for w in pool if int(hashlib.md5(w.encode()).hexdigest()[:4], 16) % 100 < 10 and w[0] != w[-1]]
+    fine = next(w for w in pool if int(hashlib.md5(w.encode()).hexdigest()[:4], 16) % 100 >= 10)
+    texts[1] = f"{altered[0]} {fine} {altered[1]} {texts[1]}"
+    sf_dir = conversations(spark, tmp_path, texts)
+    p, c = ("".join(x["ch"] for x in t.orderBy("idx").collect()) for t in q_align._chars(spark, sf_dir))
+    assert p != c
+    runs = set()
+    for i in range(len(p)):
+        for j in range(len(c)):
+            if p[i] == c[j] and not (i and j and p[i - 1] == c[j - 1]):
+                n = next((k for k in range(min(len(p) - i, len(c) - j)) if p[i + k] != c[j + k]), min(len(p) - i, len(c) - j))
+                runs |= {(i, j, n)} if n >= 4 else set()
+    got = {(x["p0"], x["c0"], x["size"]) for x in registry.QUERIES["anchor_blocks_whole"](spark, sf_dir).collect()}
+    assert got == runs and {(x["p0"], x["c0"], x["size"]) for x in registry.QUERIES["merge_diagonal_blocks_whole"](spark, sf_dir).collect()} == runs
+    chain = [(x["p0"], x["c0"], x["size"]) for x in registry.QUERIES["monotonic_chain"](spark, sf_dir).orderBy("p0").collect()]
+    assert set(chain) <= runs and any(n < 8 for _, _, n in chain)
+
+    heard = {(x["seg_pos"], x["word_idx"]): x["text"] for x in q_align._altered(spark, sf_dir).collect() if x["word_idx"] % 9 != 4}
+    wrong = {}
+    for x in words(spark, sf_dir).collect():
+        at, said = (x["seg_pos"], x["word_idx"]), heard.get((x["seg_pos"], x["word_idx"]))
+        like = None if not said else SequenceMatcher(None, x["text"], said, autojunk=False).ratio()
+        unsure, differs = x["probability"] < 0.72, like is not None and like < 0.72
+        if unsure or differs:
+            wrong[at] = (like, 1 if unsure and differs else 2 if unsure else 3)
+    assert wrong == {(x["seg_pos"], x["word_idx"]): (x["similarity"], x["tier"]) for x in registry.QUERIES["suspicious_words_whole"](spark, sf_dir).collect()}
