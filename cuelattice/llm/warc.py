@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from cuelattice.llm import html_text
 
 VERSION = "WARC/1.0"
+# How the version lines of 1.0 and 1.1 begin, and go on.
+MARK = b"WARC/1."
+STARTS = (b"0\r\n", b"1\r\n")
 RECORD = "record_id string, record_type string, target_uri string, warc_date string, refers_to string, content_type string, content_length long, block_digest string, headers map<string,string>, block binary"
 # Content types whose payload is text.
 TEXT_TYPES = ("text/html", "application/xhtml+xml", "text/plain", "text/xml", "application/xml", "")
@@ -130,22 +133,62 @@ def derivatives(responses: DataFrame) -> DataFrame:
     return src.mapInPandas(run, RECORD)
 
 
+def _join(pieces: list[bytes], ended: bool) -> tuple[list[dict], list[bytes]]:
+    """Records told from pieces of one file, parted at ``MARK``, and the pieces that wait for more of their record."""
+    out: list[dict] = []
+    at = 0
+    while at < len(pieces):
+        if pieces[at][:3] not in STARTS:
+            at += 1
+            continue
+        to, raw, record = at + 1, pieces[at][3:], None
+        while (record := parse_record(raw)) is None or not record["whole"]:
+            if to == len(pieces) or (record is None and b"\r\n\r\n" in raw):
+                break
+            raw += MARK + pieces[to]
+            to += 1
+        if to == len(pieces) and not ended and (record is None or not record["whole"]):
+            return out, pieces[at:]
+        rest = raw.partition(b"\r\n\r\n")[2][len(record["block"]) :].strip(b"\r\n") if record else b""
+        if to > at + 1 and (record is None or not record["whole"] or rest):
+            # The length does not end at a record's end: the record was cut off, and others follow.
+            to, record, rest = at + 1, parse_record(pieces[at][3:]), b""
+        if rest:
+            raise ValueError(f"{len(rest)} bytes between records after {record['headers'].get('warc-record-id')}")
+        out += [record] if record else []
+        at = to
+    return out, []
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of WARC files (plain, or gzip by record) as ``record_type, record_id, target_uri, warc_date, block, whole``.
+    """Records of WARC/1.0 and 1.1 files (plain, or gzip by record) as ``record_type, record_id, target_uri, warc_date, block, whole``.
 
-    Spark splits plain files between records by the version line, so one record at a time is in memory. A record
-    shorter than its Content-Length (cut off, or with a version line in its own block) has ``whole`` false.
+    Spark splits plain files at the beginning of version lines; the pieces of a file meet in order in one task, where
+    those of a record that holds such a line are joined by its Content-Length. A record that was cut off has ``whole``
+    false; bytes that belong to no record are an error.
     """
-    raw = spark.read.option("lineSep", VERSION + "\r\n").text(path).select(F.col("value").cast("binary").alias("raw")).where("length(raw) > 0")
+    raw = spark.read.option("lineSep", MARK.decode()).text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), F.col("value").cast("binary").alias("raw")
+    )
+    raw = raw.repartition("file").sortWithinPartitions("file", "start", "at")
+
+    def rows(got: list[dict]) -> pd.DataFrame:
+        h = [r["headers"] for r in got]
+        return pd.DataFrame({
+            "record_type": [x.get("warc-type") for x in h], "record_id": [x.get("warc-record-id") for x in h], "target_uri": [x.get("warc-target-uri") for x in h],
+            "warc_date": [x.get("warc-date") for x in h], "refers_to": [x.get("warc-refers-to") for x in h], "block": [r["block"] for r in got], "whole": [r["whole"] for r in got],
+        }, dtype=object)
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        file, kept = None, []
         for pdf in batches:
-            got = [r for r in (parse_record(bytes(x)) for x in pdf["raw"]) if r]
-            h = [r["headers"] for r in got]
-            yield pd.DataFrame({
-                "record_type": [x.get("warc-type") for x in h], "record_id": [x.get("warc-record-id") for x in h], "target_uri": [x.get("warc-target-uri") for x in h],
-                "warc_date": [x.get("warc-date") for x in h], "refers_to": [x.get("warc-refers-to") for x in h], "block": [r["block"] for r in got], "whole": [r["whole"] for r in got],
-            })
+            for name, part in pdf.groupby("file", sort=False):
+                if name != file:
+                    yield rows(_join(kept, True)[0])
+                    file, kept = name, []
+                got, kept = _join(kept + [bytes(x) for x in part["raw"]], False)
+                yield rows(got)
+        yield rows(_join(kept, True)[0])
 
     return raw.mapInPandas(parse, "record_type string, record_id string, target_uri string, warc_date string, refers_to string, block binary, whole boolean")
 

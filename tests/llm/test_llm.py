@@ -343,6 +343,19 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.derivatives(responses.limit(0)).count() == 0
 
 
+def test_warc_versions_and_version_lines_in_blocks(spark, tmp_path):
+    blocks = [b"a page on\r\n\r\nWARC/1.0\r\nWARC-Type: response\r\n\r\nand WARC/1.WARC/1.1\r\n its end", b"", b"plain", b"WARC/1.1\r\n"]
+    raw = [warc.serialise([("WARC-Type", "response"), ("WARC-Record-ID", f"<{i}>")], b) for i, b in enumerate(blocks)]
+    newer = [x.replace(b"WARC/1.0", b"WARC/1.1", 1) for x in raw]
+    cut = raw[2].replace(b"Content-Length: 5", b"Content-Length: 50")
+    for name, data, wanted in (("old", raw, blocks), ("new", newer, blocks), ("mixed", [raw[0], newer[2]], [blocks[0], blocks[2]])):
+        (tmp_path / name).write_bytes(b"".join(data))
+        got = warc.read_warc(spark, str(tmp_path / name)).collect()
+        assert [bytes(r["block"]) for r in got] == wanted and all(r["whole"] for r in got)
+    (tmp_path / "cut").write_bytes(cut + raw[3] + cut)
+    assert [r["whole"] for r in warc.read_warc(spark, str(tmp_path / "cut")).collect()] == [False, True, False]
+
+
 def test_url_lists(spark):
     import duckdb
 
