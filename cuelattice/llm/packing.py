@@ -8,6 +8,7 @@ their place by rank within their length.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -24,17 +25,28 @@ from cuelattice.llm.common import saved
 
 SEQUENCE = 2048
 END_OF_DOCUMENT = 0
-# White space on both sides of a space, or before a final one: here words can't be tokenised on their own.
-_RUNS = re.compile(r"\s (?:\s|\Z)")
-_KEPT_WORDS = 600_000
+# Fixed value: how a byte-level vocabulary of this kind parts a text before merging.
+PARTS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
+# Characters beyond these are looked at one by one before the fast way is taken.
+_BEYOND_LATIN = re.compile("[^\\x00-\u024f]")
+_PLAIN_SETUP = {"normalizer": None, "post_processor": None, "truncation": None, "padding": None}
+_PLAIN_MODEL = {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "fuse_unk": False, "ignore_merges": False}
 
 
-class WordTokenizer:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes.
+def _byte_of() -> dict[str, int]:
+    """Which byte each character of a byte-level vocabulary stands for: printable ones themselves, others from U+0100 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    others = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
-    The byte-level vocabulary never joins a space to what stands before it, so texts are tokenised word by word (each
-    with its leading space) and the ids of words are kept. Texts with longer runs of white space, or with the string
-    of a special token, go through the tokenizer whole.
+
+class TextTokenizer:
+    """Ids of whole texts as the ``tokenizers`` library gives them, as little-endian unsigned 32-bit numbers.
+
+    Where the file is a plain byte-level vocabulary, ``tiktoken`` merges the same bytes by the same ranks at a fraction
+    of the cost. The libraries may part texts differently only where they class a character differently, so each
+    character is tried in both once; texts that hold one on which they differ, or the string of a special token, go
+    through ``tokenizers``.
     """
 
     def __init__(self, path: str):
@@ -43,58 +55,51 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-        vocabulary = self.tokenizer.get_vocab()
-        self.lengths = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=np.int64)
-        for token, i in vocabulary.items():
-            self.lengths[i] = len(token)  # a byte-level vocabulary writes each byte as one character
-
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, fresh: set[str]) -> None:
-        """Keep the ids of new words. A comma or full stop after a letter is always a token of its own."""
-        known = self.known
-        ended = [w for w in fresh if len(w) > 2 and w[-1] in ",." and w[-2].isalpha()]
-        new = (fresh - set(ended)) | {x for w in ended if (x := w[:-1]) not in known} | {x for x in (",", ".") if x not in known}
-        joinable = [w for w in new if len(w) > 1 and w[0] == " " and not w[1].isspace()]
-        rest = list(new.difference(joinable))
-        for lo in range(0, len(joinable), 3000):
-            part = joinable[lo : lo + 3000]
-            ids = self._encode(["".join(part)])[0]
-            # Tokens never reach over the space that begins a word, so byte lengths tell where each word ends.
-            ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(w.encode()) for w in part])) + 1
-            raw = ids.tobytes()
-            starts = [0, *ends[:-1].tolist()]
-            known.update((w, raw[4 * i : 4 * j]) for w, i, j in zip(part, starts, ends.tolist(), strict=True))
-        known.update(zip(rest, (x.tobytes() for x in self._encode(rest)), strict=True))
-        known.update((w, known[w[:-1]] + known[w[-1]]) for w in ended)
-
-    def many(self, texts: list[str]) -> list[bytes]:
-        known = self.known
-        if len(known) > _KEPT_WORDS:
-            known.clear()
-        parts = []
-        for t in texts:
-            if _RUNS.search(t) or any(s in t for s in self.special):
-                parts.append(None)
-            else:
-                first, *more = t.split(" ")
-                parts.append([first, *[" " + x for x in more]])
-        fresh = {x for p in parts if p is not None for x in p if x not in known}
-        if fresh:
-            self._learn(fresh)
-        get = known.__getitem__
-        return [self._encode([t])[0].tobytes() if p is None else b"".join(map(get, p)) for t, p in zip(texts, parts, strict=True)]
-
-
-_tokenizers: dict[str, WordTokenizer] = {}
-
-
-def tokenizer_at(path: str) -> WordTokenizer:
-    """One tokenizer for each worker process, so that known words outlive a task."""
+        self.fast = self._fast()
+        self.alike: dict[str, bool] = {}
+        self.latin = self.fast is not None and all(self._same(chr(i)) for i in range(0x250))
+
+    def _fast(self):
+        import tiktoken
+
+        setup = json.loads(self.tokenizer.to_str())
+        model, parts = setup["model"], setup["pre_tokenizer"] or {}
+        if any(setup.get(k) != v for k, v in _PLAIN_SETUP.items()) or any(model.get(k, v) != v for k, v in _PLAIN_MODEL.items()):
+            return None
+        if parts.get("type") != "ByteLevel" or parts.get("add_prefix_space") or not parts.get("use_regex", True):
+            return None
+        byte_of, special = _byte_of(), set(self.special)
+        ranks = {bytes(byte_of[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
+        merged = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+        if merged != sorted(merged):
+            return None
+        return tiktoken.Encoding("plain", pat_str=PARTS, mergeable_ranks=ranks, special_tokens={})
+
+    def _exact(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def _same(self, c: str) -> bool:
+        got = self.alike.get(c)
+        if got is None:
+            probe = f"a{c}a {c}{c} 1{c}1 {c}.{c}\n{c} {c}a {c}1"
+            got = self.alike[c] = np.array_equal(self._exact(probe), self.fast.encode_to_numpy(probe, disallowed_special=()))
+        return got
+
+    def ids(self, text: str) -> np.ndarray:
+        if not self.latin or any(s in text for s in self.special):
+            return self._exact(text)
+        if not text.isascii() and not all(map(self._same, set(_BEYOND_LATIN.findall(text)))):
+            return self._exact(text)
+        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
+
+
+_tokenizers: dict[str, TextTokenizer] = {}
+
+
+def tokenizer_at(path: str) -> TextTokenizer:
+    """One tokenizer for each worker process, so that it is read once."""
     if path not in _tokenizers:
-        _tokenizers[path] = WordTokenizer(path)
+        _tokenizers[path] = TextTokenizer(path)
     return _tokenizers[path]
 
 
@@ -112,15 +117,14 @@ def pieces(docs: DataFrame, tokenizer_path: str, size: int = SEQUENCE) -> DataFr
     end = np.array([END_OF_DOCUMENT], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = tokenizer_at(tokenizer_path)
+        tokenizer = tokenizer_at(tokenizer_path)
         for pdf in batches:
-            for lo in range(0, len(pdf), 1000):
-                part, out = pdf.iloc[lo : lo + 1000], []
-                for doc_id, ids in zip(part["doc_id"], encode.many(list(part["text"])), strict=True):
-                    ids += end
-                    for k, (s, n) in enumerate(cut(len(ids) // 4, size)):
-                        out.append((doc_id, k, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)])))
-                yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
+            out = []
+            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+                ids = tokenizer.ids(text).tobytes() + end
+                for k, (s, n) in enumerate(cut(len(ids) // 4, size)):
+                    out.append((doc_id, k, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)])))
+            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return texts.mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
@@ -165,7 +169,11 @@ def best_two_fit(counts: dict[int, int], size: int = SEQUENCE) -> list[tuple[tup
             taken[small] -= 1
             a = np.flatnonzero(left[: room // 2 + 1] > 0)
             best = (small, 0, 0)
-            for x in a[np.argsort(-(a + below[room - a]), kind="stable")][:64].tolist():
+            hoped = a + below[room - a]
+            for i in np.argsort(-hoped, kind="stable").tolist():
+                if hoped[i] <= best[0]:
+                    break  # no pair still to be tried can fill the gap more tightly
+                x = int(a[i])
                 if left[x] - taken[x] <= 0:
                     continue
                 taken[x] += 1

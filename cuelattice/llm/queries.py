@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,7 +58,7 @@ def op2_separators(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def encode_factory():
         tokenizer = packing.tokenizer_at(path)
-        return lambda texts: [np.frombuffer(x, dtype="<u4").astype("<u2").tobytes() for x in tokenizer.many(texts)]
+        return lambda texts: [tokenizer.ids(t).astype("<u2").tobytes() for t in texts]
 
     blocks = token_files.flat_blocks(table(spark, sf_dir, "documents"), encode_factory, END_OF_TEXT)
     return token_files.documents_of(blocks, END_OF_TEXT)
