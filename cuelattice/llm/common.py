@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, the one place every executor sees.
 
-    Only where the session has no such setting (tests, local mode) a local default is put in.
+    Where the session has no such setting, the folder lies in the warehouse, which executors share too.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = spark.sparkContext.getCheckpointDir() or "/tmp/cuelattice-checkpoints"
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/cuelattice-checkpoints"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -102,7 +102,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rank: i
             picked = order[lo : lo + batch]
             sizes = np.array([len(rows[i][0]) for i in picked])
             starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            ids, x = np.concatenate([rows[i][0] for i in picked]), np.concatenate([rows[i][1] for i in picked])
+            ids, x = np.concatenate([rows[i][0] for i in picked]).astype(np.int64), np.concatenate([rows[i][1] for i in picked]).astype(float)
             weighted = fm.factors[ids] * x[:, None]
             total = np.add.reduceat(weighted, starts, axis=0)
             z = fm.bias + np.add.reduceat(fm.linear[ids] * x, starts) + 0.5 * (total**2 - np.add.reduceat(weighted**2, starts, axis=0)).sum(axis=1)
@@ -134,8 +134,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, label
             got = [vector(t, n) for t, n in zip(pdf["text"], pdf["n_chars"], strict=True)]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": [x.astype(np.int32).tobytes() for x, _ in got], "x": [v.astype(np.float32).tobytes() for _, v in got], "label": pdf["label"]})
 
-    got = sample.mapInPandas(vectors, "doc_id long, ids binary, x binary, label int").toPandas().sort_values(["doc_id", "label", "ids"])
-    rows = [(np.frombuffer(i, dtype=np.int32).astype(np.int64), np.frombuffer(x, dtype=np.float32).astype(float)) for i, x in zip(got["ids"], got["x"], strict=True)]
+    got = sample.mapInPandas(vectors, "doc_id long, ids binary, x binary, label int").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending"), ("ids", "ascending")])
+    # The vectors stay where Arrow holds them: about 8 bytes an entry.
+    rows = [(np.frombuffer(i.as_buffer(), dtype=np.int32), np.frombuffer(x.as_buffer(), dtype=np.float32)) for i, x in zip(got["ids"], got["x"], strict=True)]
     return train(rows, (got["label"].to_numpy() > 0).astype(float))
 
 

@@ -9,18 +9,17 @@ from __future__ import annotations
 
 import math
 import re
-import sys
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuelattice.llm.common import held_out, labelled_sample
+from cuelattice.llm.common import labelled_sample, saved
 
 # The letters that the character model tells apart; code 0 is "no letter", the last code any other letter.
 LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
@@ -35,6 +34,10 @@ SEPARATORS = set(" .-_*~'`,/\\:;^=#​­")
 EDGES = ".,;:?\"'()[]{}<>%&*#|!$/\\-_=~`^…«»„“”–—"
 SPACED = re.compile(r"(?<!\S)\S(?:[ ]\S){2,}(?!\S)")
 DRAWN = re.compile(r"(.)\1\1")
+# How much a clean row that holds a feature counts against it, in toxic rows, at equal numbers of both.
+CLEAN_COST = 1.5
+# Words whose readings, and whose scores, a worker keeps.
+KEPT_READINGS, KEPT_SCORES = 50_000, 150_000
 SUBSTITUTED, DROPPED, SHORTENED, PARTED = -0.5, -0.2, -0.4, -3.0
 
 _CODE = {c: i + 1 for i, c in enumerate(LETTERS)}
@@ -167,17 +170,16 @@ class ToxicityModel:
         return {"characters": self.characters, "weights": self.weights, "bias": self.bias, "memo": {}, "scored": {}}
 
     def readings(self, word: str) -> tuple[str, ...]:
-        """Restored forms of one lower-case word, itself included; kept, since words repeat."""
+        """Restored forms of one lower-case word, itself included; those of disguised words are kept, since they repeat."""
+        core, plain = suspicious(word), word.strip(EDGES)
+        if not core:
+            return (plain,) if plain else ()
         got = self.memo.get(word)
         if got is None:
-            if len(self.memo) > 200_000:
+            if len(self.memo) > KEPT_READINGS:
                 self.memo.clear()
-            core = suspicious(word)
-            plain = word.strip(EDGES)
-            got = (plain,) if plain else ()
-            if core:
-                got = tuple(dict.fromkeys([*got, *(p for t, _ in decode(core, self.characters) for p in t.split())]))
-            self.memo[word] = got
+            restored = (p for t, _ in decode(core, self.characters) for p in t.split())
+            got = self.memo[word] = tuple(dict.fromkeys([*([plain] if plain else []), *restored]))
         return got
 
     def words(self, text: str) -> set[str]:
@@ -199,7 +201,7 @@ class ToxicityModel:
     def score(self, text: str) -> float:
         low = text.lower()
         total, memo = self.bias, self.scored
-        if len(memo) > 400_000:
+        if len(memo) > KEPT_SCORES:
             memo.clear()
         for w in set(low.split()):
             s = memo.get(w)
@@ -221,91 +223,124 @@ def akin(a: str, b: str) -> bool:
 _TRUST = {"=": 1.0, "6": 0.8, "5": 0.75, "4": 0.7}
 
 
-def learn(samples: list[tuple[set[str], int]], characters: CharacterModel, min_gain: int = 4, covers: int = 4, max_features: int = 2000) -> ToxicityModel:
-    """A lexicon by greedy cover, then logistic weights.
+def _marks(words: set[str]) -> list[int]:
+    """Three independent minimum hashes of a set of words; near copies have all three in common."""
+    crc = np.fromiter((zlib.crc32(w.encode("utf-8", "replace")) for w in words), dtype=np.uint64, count=len(words))
+    return [int((crc * np.uint64(m) & np.uint64(0xFFFFFFFF)).min()) if len(crc) else 0 for m in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)]
 
-    Features are words and word beginnings. Again and again the feature that explains most toxic rows not yet
-    explained ``covers`` times is taken; clean rows that hold it count against it, and rows whose words have the
-    same minimum hash (most near copies) count once. It ends when no feature explains ``min_gain`` more rows.
+
+def _features_of(words: str) -> set[str]:
+    return {f for w in words.split(" ") if w for f in features(w)}
+
+
+def cover(held: dict[str, np.ndarray], clean: dict[str, int], rows: int, cost: float, min_gain: int = 4, covers: int = 4, most: int = 2000) -> list[str]:
+    """Features by greedy cover: again and again the one that explains most toxic rows not yet explained ``covers`` times.
+
+    ``held`` has the toxic rows of each feature, ``clean`` how many clean rows hold it; those count against it at ``cost``
+    each. It ends when no feature explains ``min_gain`` more rows.
     """
-    model = ToxicityModel(characters)
-    n1 = sum(y for _, y in samples)
-    n0 = len(samples) - n1
-    model.bias = math.log((n1 + 0.5) / (n0 + 0.5)) if samples else -3.0
-    seen: set[tuple[int, int]] = set()
-    unlike = []
-    for words, y in samples:
-        mark = (min((zlib.crc32(w.encode()) for w in words), default=0), y)
-        if mark not in seen:
-            seen.add(mark)
-            unlike.append((words, y))
-    toxic, held = Counter(), defaultdict(list)
-    for i, (words, y) in enumerate(unlike):
-        for f in {f for w in words for f in features(w)} if y else ():
-            toxic[f] += 1
-            held[f].append(i)
-    wanted = {f for f, n in toxic.items() if n >= min_gain}
-    clean: Counter = Counter()
-    for words, y in unlike:
-        if not y:
-            clean.update({f for w in words for f in features(w)} & wanted)
-    cost = 4 / max(n1 / max(n0, 1), 0.02)
-    gain = {f: g for f in wanted if (g := _TRUST[f[0]] * (toxic[f] - cost * clean[f])) >= min_gain}
-    left = {i: covers for i, (_, y) in enumerate(unlike) if y}
+    left = np.full(rows, covers)
+    gain = {f: _TRUST[f[0]] * (len(i) - cost * clean[f]) for f, i in held.items()}
     chosen: list[str] = []
-    while gain and len(chosen) < max_features:
+    while gain and len(chosen) < most:
         best, best_gain = None, 0.0
         for f in sorted(gain, key=lambda f: (-gain[f], f)):
             if gain[f] <= best_gain:
                 break
-            gain[f] = _TRUST[f[0]] * (sum(left[i] > 0 for i in held[f]) - cost * clean[f])
+            gain[f] = _TRUST[f[0]] * (float((left[held[f]] > 0).sum()) - cost * clean[f])
             if gain[f] > best_gain:
                 best, best_gain = f, gain[f]
         if best is None or best_gain < min_gain:
             break
         chosen.append(best)
-        for i in held[best]:
-            left[i] -= 1
-        rows = set(held[best])
-        gain = {f: g for f, g in gain.items() if g >= min_gain and not (akin(f, best) and sum(i in rows for i in held[f]) > 0.9 * len(held[f]))}
-    if not chosen:
-        return model
-    at = {f: j for j, f in enumerate(chosen)}
-    x = np.zeros((len(samples), len(chosen)), dtype=np.float32)
-    for i, (words, _) in enumerate(samples):
-        for w in words:
-            for f in features(w):
-                if f in at:
-                    x[i, at[f]] = 1.0
-    y = np.array([v for _, v in samples], dtype=np.float32)
-    w, b = np.zeros(len(chosen)), model.bias
+        left[held[best]] -= 1
+        gain = {f: g for f, g in gain.items() if g >= min_gain and not (akin(f, best) and np.isin(held[f], held[best]).mean() > 0.9)}
+    return chosen
+
+
+def weigh(chosen: list[str], held: dict[str, np.ndarray], toxic_rows: int, clean_held: dict[str, np.ndarray], clean_rows: int) -> tuple[np.ndarray, float]:
+    """Logistic weights of the chosen features, none below 0, and the bias, from which rows hold which."""
+    col = np.concatenate([np.full(len(x[f]), j) for x in (held, clean_held) for j, f in enumerate(chosen)]).astype(np.int64)
+    row = np.concatenate([*(held[f] for f in chosen), *(clean_held[f] + toxic_rows for f in chosen)]).astype(np.int64)
+    n = toxic_rows + clean_rows
+    y = (np.arange(n) < toxic_rows).astype(float)
+    w, b = np.zeros(len(chosen)), math.log((toxic_rows + 0.5) / (clean_rows + 0.5))
     for _ in range(300):
-        p = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
-        d = p - y
-        w -= 20.0 * ((x.T @ d) / len(y) + 2e-5 * w)
-        w = np.clip(w, 0, 12)
+        d = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[col], n) + b, -30, 30))) - y
+        w = np.clip(w - 20.0 * (np.bincount(col, d[row], len(chosen)) / n + 2e-5 * w), 0, 12)
         b -= 2.0 * float(d.mean())
+    return w, b
+
+
+def learn(rows: DataFrame, characters: CharacterModel, min_gain: int = 3) -> ToxicityModel:
+    """A lexicon from rows ``words`` (restored words, parted by spaces) and ``label``: greedy cover, then logistic weights.
+
+    Features are counted where the rows lie. The driver gets those alone that explain enough toxic rows, with the
+    numbers of the rows that hold them.
+    """
+    model = ToxicityModel(characters)
+    numbered = rows.select("words", "label", F.row_number().over(Window.partitionBy("label").orderBy("words")).alias("row"))
+    sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
+    if not n1:
+        return model
+    model.bias = math.log((n1 + 0.5) / (n0 + 0.5))
+    cost = CLEAN_COST / max(n1 / max(n0, 1), 0.02)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: tuple[Counter, Counter] = (Counter(), Counter())
+        for pdf in batches:
+            for words, y in zip(pdf["words"], pdf["label"], strict=True):
+                seen[y].update(_features_of(words))
+        both = list(seen[0].keys() | seen[1].keys())
+        yield pd.DataFrame({"feature": both, "toxic": [seen[1][f] for f in both], "clean": [seen[0][f] for f in both]})
+
+    counted = rows.mapInPandas(count, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    trust = F.element_at(F.create_map(*[F.lit(x) for kv in _TRUST.items() for x in kv]), F.substring("feature", 1, 1))
+    useful = counted.where((F.col("toxic") >= min_gain) & (trust * (F.col("toxic") - cost * F.col("clean")) >= min_gain))
+    totals = {r["feature"]: (r["toxic"], r["clean"]) for r in useful.collect()}
+    wanted = rows.sparkSession.sparkContext.broadcast(frozenset(totals))
+
+    def hold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            got = [(f, y, i) for words, y, i in zip(pdf["words"], pdf["label"], pdf["row"], strict=True) for f in _features_of(words) & wanted.value]
+            yield pd.DataFrame(got, columns=["feature", "label", "row"])
+
+    postings = numbered.mapInPandas(hold, "feature string, label int, row int").groupBy("feature", "label").agg(F.sort_array(F.collect_list("row")).alias("rows"))
+    held: dict[int, dict[str, np.ndarray]] = {0: {f: np.zeros(0, dtype=np.int64) for f in totals}, 1: {}}
+    for r in postings.collect():
+        held[r["label"]][r["feature"]] = np.array(r["rows"], dtype=np.int64) - 1
+    chosen = cover(held[1], {f: c for f, (_, c) in totals.items()}, n1, cost, min_gain)
+    if not chosen:
+        return model
+    w, model.bias = weigh(chosen, held[1], n1, held[0], n0)
     # A feature chosen for its precision keeps a weight that lets one clear word decide on its own.
-    prior = np.array([math.log((toxic[f] + 0.5) / (clean[f] + 0.5)) + math.log((n0 + 1) / (n1 + 1)) for f in chosen])
-    model.bias = float(b)
-    model.weights = {f: float(max(w[j], prior[j])) for f, j in at.items()}
+    prior = [math.log((totals[f][0] + 0.5) / (totals[f][1] + 0.5)) + math.log((n0 + 1) / (n1 + 1)) for f in chosen]
+    model.weights = {f: float(max(x, p)) for f, x, p in zip(chosen, w, prior, strict=True)}
     return model
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, label: str = "toxic") -> ToxicityModel:
-    """Count characters over all of ``docs``, learn the lexicon from about ``max_rows`` labelled rows not held out."""
+    """Count characters over all of ``docs``, learn the lexicon from about ``max_rows`` labelled rows not held out.
+
+    Of near copies with one label (rows whose restored words agree in three minimum hashes) one is learned from.
+    """
     spark = docs.sparkSession
-    grams = character_counts(docs).toPandas()
-    characters = CharacterModel(grams["gram"], grams["n"])
+    grams = character_counts(docs).toArrow()
+    characters = CharacterModel(grams["gram"].to_numpy(), grams["n"].to_numpy())
+    del grams
     blank = spark.sparkContext.broadcast(ToxicityModel(characters))
 
-    def bags(batches):
+    def bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"words": [" ".join(sorted(blank.value.words(t))) for t in pdf["text"]], "label": pdf["label"]})
+            found = [blank.value.words(t) for t in pdf["text"]]
+            yield pd.DataFrame({"words": [" ".join(sorted(x)) for x in found], "marks": [_marks(x) for x in found], "label": (pdf["label"] > 0).astype("int32")})
 
-    got = labelled_sample(docs, labels, label, max_rows).mapInPandas(bags, "words string, label int").distinct().toPandas()
-    got = got.sort_values(["words", "label"])
-    return learn([(set(map(sys.intern, w.split())), int(y > 0)) for w, y in zip(got["words"], got["label"], strict=True)], characters)
+    sample = labelled_sample(docs, labels, label, max_rows).mapInPandas(bags, "words string, marks array<long>, label int")
+    rows = saved(sample.groupBy("marks", "label").agg(F.min("words").alias("words")).select("words", "label"), "toxicity-rows")
+    model = learn(rows, characters)
+    blank.unpersist()
+    return model
 
 
 def score_of(docs: DataFrame, model: ToxicityModel):
