@@ -165,9 +165,12 @@ def test_near_duplicates_that_agree_in_bytes_before(spark):
     first = [(x == y)[: near_dup.BANDED].reshape(-1, near_dup.ROWS).all(axis=1).argmax() for x, y in (sketches, [words.mix(s).astype(np.uint8) for s in sketches])]
     assert first[0] > first[1]
     reps = near_dup.describe(spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b))], "doc_id long, text string")).withColumnRenamed("doc_id", "rep")
-    mixed = near_dup.mixed_buckets(near_dup.buckets_of(reps), spark.createDataFrame([], "node long, root long"))
+    members = near_dup.shared_bands(reps)
+    mixed = near_dup.mixed_buckets(members, spark.createDataFrame([], "node long, root long"))
     for best_only in (True, False):
-        assert [tuple(x) for x in near_dup.cross_candidates(mixed, best_only).collect()] == [(1, 2)]
+        for most in (near_dup.PARTED, 1):
+            got = near_dup.cross_candidates(near_dup.parted(mixed, members, most), reps.select("rep", "n", "low"), best_only).collect()
+            assert [tuple(x) for x in got] == [(1, 2)]
 
 
 def test_sketch_estimates_similarity():
