@@ -7,7 +7,6 @@ Each stage gets what its predecessor kept, written as Parquet and read again. Al
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from cuelattice.llm import decontaminate, near_dup, packing, quality, toxicity
 from cuelattice.llm.common import saved
@@ -28,10 +27,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that with the smallest id. Rows without an id stay."""
-    kept = near_dup.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    columns = docs.columns
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return one.select(columns).unionByName(docs.where(F.col("doc_id").isNull()).select(columns))
+    return near_dup.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
