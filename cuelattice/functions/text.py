@@ -26,8 +26,35 @@ def unescape_html(s: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(T.StringType())
-def nfc(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: t if t.isascii() else unicodedata.normalize("NFC", t), na_action="ignore")
+def _nfc(s: pd.Series) -> pd.Series:
+    return s.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+
+
+@F.pandas_udf(T.StringType())
+def _casefold(s: pd.Series) -> pd.Series:
+    return s.map(lambda t: t.casefold(), na_action="ignore")
+
+
+def _beyond(text, plain: str):
+    """The text where it holds a character that isn't in the class ``plain``, else null: only such texts go to Python."""
+    return F.when(text.rlike(f"[^{plain}]"), text)
+
+
+def nfc(text):
+    """Composed characters. No character below U+0300 changes, so only texts with others are sent to Python."""
+    text = F.col(text) if isinstance(text, str) else text
+    return F.coalesce(_nfc(_beyond(text, r"\x00-\x{2FF}")), text)
+
+
+def strip(text):
+    """Without white space at either end, all of Unicode's kinds of it."""
+    return F.regexp_replace(text, rf"{SPACE}+\z|\A{SPACE}+", "")
+
+
+def comparable(text):
+    """Text as copies are told: case folded, all white space out."""
+    folded = F.coalesce(_casefold(_beyond(text, r"\x00-\x7f")), F.lower(text))
+    return F.regexp_replace(folded, SPACE, "")
 
 
 @F.pandas_udf(T.StringType())
@@ -61,10 +88,43 @@ def text_similarity(a, b):
 
 
 def suffix_prefix_overlap(a, b, least: int):
-    """The largest n of at least ``least`` for which the last n characters of ``a`` begin ``b``, else 0."""
-    longest = F.least(F.length(a), F.length(b))
-    fits = F.filter(F.sequence(F.lit(least), longest), lambda n: F.right(a, n) == F.left(b, n))
-    return F.when(longest >= least, F.coalesce(F.array_max(fits), F.lit(0))).otherwise(0)
+    """The largest n of at least ``least`` for which the last n characters of ``a`` begin ``b``, else 0.
+
+    Asked in Python, in time linear in the lengths, only where the first ``least`` characters of ``b`` occur in ``a``.
+    """
+    meets = (F.length(b) >= least) & a.contains(F.left(b, F.lit(least)))
+    return F.coalesce(_overlap(F.when(meets, a), F.when(meets, b), F.lit(least)), F.lit(0))
+
+
+def borders(a: str, b: str) -> list[int]:
+    """All lengths at which an end of ``a`` equals a beginning of ``b``, longest first (the failure function of ``b``)."""
+    if not a or not b:
+        return []
+    back = [0] * len(b)
+    k = 0
+    for i in range(1, len(b)):
+        while k and b[i] != b[k]:
+            k = back[k - 1]
+        k += b[i] == b[k]
+        back[i] = k
+    k = 0
+    for c in a[-len(b) :]:
+        if k == len(b):
+            k = back[k - 1]
+        while k and c != b[k]:
+            k = back[k - 1]
+        k += c == b[k]
+    out = []
+    while k:
+        out.append(k)
+        k = back[k - 1]
+    return out
+
+
+@F.pandas_udf(T.IntegerType())
+def _overlap(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
+    out = [None if x is None or y is None else next((k for k in borders(x, y) if k >= n), 0) for x, y, n in zip(a, b, least, strict=True)]
+    return pd.Series(out, dtype="Int32")
 
 
 def overlap_ms(start_a, end_a, start_b, end_b):

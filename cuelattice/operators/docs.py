@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import json
 import re
 from collections.abc import Iterator
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cuelattice.functions.text import length_bounds, length_ratio, nfc, normalized_length
+from cuelattice.functions.text import borders, comparable, length_bounds, length_ratio, nfc, normalized_length, strip
 
 CHUNK_CHARS = 25_000
 TITLE_CHARS = 100
@@ -20,6 +21,8 @@ PASS_SCORE = 80.0
 TAIL_CHARS, SEAM_CHARS = 800, 2_000
 SEAM_RATIO = (0.85, 1.15)
 
+# Stands between paragraphs while a body is compared: no body holds it, since control signs are taken out.
+_PART = "\x01"
 _STAMP = r"(?:\d{1,2}:)?\d{1,2}:\d{2}[.,]\d{3}"
 TIMING_LINE = rf"^\s*{_STAMP}\s+-->\s+{_STAMP}(?:\s.*)?$"
 # Rules for rewritten text, by code, as Java patterns.
@@ -37,27 +40,30 @@ RULES = {
 def normalise_bodies(docs: DataFrame, column: str = "body") -> DataFrame:
     """``docs`` with a clean ``column``: composed characters, no control signs, time stamps, timing lines or cue numbers.
 
-    A line of digits goes only if a timing line follows. Runs of spaces and tabs become one space, lines are trimmed,
-    runs of blank lines become one and none stay at either end.
+    A line of digits goes only if a timing line follows. Runs of spaces and tabs become one space, lines lose white
+    space of every kind at their ends, runs of blank lines become one and none stay at either end.
     """
-    text = F.regexp_replace(F.regexp_replace(nfc(F.coalesce(column, F.lit(""))), r"\r\n?", "\n"), r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
-    lines = F.split(F.regexp_replace(text, rf"<{_STAMP}>", ""), "\n")
+    text = F.regexp_replace(nfc(F.coalesce(column, F.lit(""))), r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
+    lines = F.split(F.regexp_replace(F.regexp_replace(text, rf"<{_STAMP}>", ""), r"\r\n?", "\n"), "\n")
     timing = lambda x: x.rlike(TIMING_LINE)
     staged = docs.withColumn("_lines", lines)
     follows = lambda i: F.coalesce(timing(F.get("_lines", i + 1)), F.lit(False))
     kept = F.filter("_lines", lambda x, i: ~timing(x) & ~(x.rlike(r"^\s*\d+\s*$") & follows(i)))
-    squeezed = F.transform(kept, lambda x: F.trim(F.regexp_replace(x, r"[ \t]+", " ")))
+    squeezed = F.transform(kept, lambda x: strip(F.regexp_replace(x, r"[ \t]+", " ")))
     joined = F.regexp_replace(F.array_join(squeezed, "\n"), r"\n{3,}", "\n\n")
     return staged.withColumn(column, F.regexp_replace(joined, r"^\n+|\n+$", "")).drop("_lines")
 
 
+# Where a chunk may end, best first: a paragraph, a line, a sentence with its closing signs and space, a word.
+_BREAKS = tuple(re.compile(f"(?s).*{p}") for p in (r"\n\n", r"\n", r"[.!?。！？][\"'”’）)]*\s*", r"\s"))
+
+
 def _cut(text: str, limit: int) -> int:
-    """Where to end the first chunk: in the second half, at a blank line, line, sentence or word, else at the limit."""
-    half = limit // 2
-    for pattern in (r"\n\s*\n", r"\n", r"[.!?。！？](?=\s|$)|[。！？]", r"\s"):
-        ends = [m.end() for m in re.finditer(pattern, text[:limit]) if m.end() > half]
-        if ends:
-            return ends[-1]
+    """Where to end the first chunk: at the last break of the best kind in its second half, else at the limit."""
+    window = text[max(1, limit // 2) : limit]
+    for kind in _BREAKS:
+        if m := kind.match(window):
+            return max(1, limit // 2) + m.end()
     return limit
 
 
@@ -82,16 +88,20 @@ def chunk_documents(docs: DataFrame, limit: int = CHUNK_CHARS, column: str = "bo
     return docs.select("doc_id", F.col(column).alias("text")).mapInPandas(run, f"doc_id {kind}, chunk_idx int, text string")
 
 
-def _greedy_bins(lengths: Column, limit: int, joint: int) -> Column:
-    """Bin of each length in order: a new one where the sum with ``joint`` per seam would pass ``limit``."""
-    start = F.struct(F.lit(-1).alias("bin"), F.lit(limit + 1).cast("long").alias("used"), F.array().cast("array<int>").alias("bins"))
+def _greedy_bins(pieces: Column, limit: int, joint: int) -> Column:
+    """First places of the bins of pieces in order: a new bin where the sum with ``joint`` per seam would pass ``limit``.
 
-    def step(acc, n):
-        fits = (acc.bin >= 0) & (acc.used + joint + n <= limit)
-        b = F.when(fits, acc.bin).otherwise(acc.bin + 1)
-        return F.struct(b.alias("bin"), F.when(fits, acc.used + joint + n).otherwise(n).cast("long").alias("used"), F.concat(acc.bins, F.array(b)).alias("bins"))
+    The fold carries two numbers and the list of places where bins begin, which grows by bins and not by pieces.
+    """
+    start = F.struct(F.lit(0).alias("at"), F.lit(limit + 1).cast("long").alias("used"), F.array().cast("array<int>").alias("starts"))
 
-    return F.aggregate(lengths, start, step, lambda acc: acc.bins)
+    def step(acc, piece):
+        n = F.length(piece.text).cast("long")
+        fits = (acc.at > 0) & (acc.used + joint + n <= limit)
+        starts = F.when(fits, acc.starts).otherwise(F.array_append(acc.starts, acc.at))
+        return F.struct((acc.at + 1).alias("at"), F.when(fits, acc.used + joint + n).otherwise(n).cast("long").alias("used"), starts.alias("starts"))
+
+    return F.aggregate(pieces, start, step, lambda acc: F.array_append(acc.starts, acc.at))
 
 
 def pack_segments(segments: DataFrame, limit: int = CHUNK_CHARS, joint: int = 1) -> DataFrame:
@@ -100,11 +110,11 @@ def pack_segments(segments: DataFrame, limit: int = CHUNK_CHARS, joint: int = 1)
     A piece over the limit is a group alone (chunk it afterwards); ``joint`` is what a seam costs.
     """
     ordered = segments.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", "text"))).alias("s"))
-    binned = ordered.withColumn("bins", _greedy_bins(F.transform("s", lambda x: F.length(x.text).cast("long")), limit, joint))
-    rows = binned.select("doc_id", F.explode(F.arrays_zip("s", "bins")).alias("x")).select("doc_id", F.col("x.bins").alias("group_idx"), F.col("x.s.idx").alias("idx"), F.col("x.s.text").alias("text"))
-    groups = rows.groupBy("doc_id", "group_idx").agg(F.array_sort(F.collect_list(F.struct("idx", "text"))).alias("s"))
-    text = F.array_join(F.transform("s", lambda x: x.text), " " * joint if joint else "\n\n")
-    return groups.select("doc_id", "group_idx", F.transform("s", lambda x: x.idx).alias("indexes"), text.alias("text"), F.length(text).alias("n_chars"))
+    edges = ordered.withColumn("edges", _greedy_bins(F.col("s"), limit, joint))
+    bins = F.transform(F.sequence(F.lit(0), F.size("edges") - 2), lambda i: F.slice("s", F.get("edges", i) + 1, F.get("edges", i + 1) - F.get("edges", i)))
+    groups = edges.select("doc_id", F.posexplode(bins).alias("group_idx", "g"))
+    text = F.array_join(F.transform("g", lambda x: x.text), " " * joint if joint else "\n\n")
+    return groups.select("doc_id", "group_idx", F.transform("g", lambda x: x.idx).alias("indexes"), text.alias("text"), F.length(text).alias("n_chars"))
 
 
 def group_sections(sections: DataFrame, limit: int = CHUNK_CHARS) -> DataFrame:
@@ -123,77 +133,116 @@ def _compact(text: str) -> str:
     return "".join(text.casefold().split())
 
 
+def _folded(text: str) -> tuple[str, list[int]]:
+    """A text as it is compared, and for each raw length how long the comparable form of that beginning is."""
+    out, ends = [], [0]
+    for c in text:
+        out.append("" if c.isspace() else c.casefold())
+        ends.append(ends[-1] + len(out[-1]))
+    return "".join(out), ends
+
+
 def repeated_chars(before: str, text: str, least: int) -> int:
-    """The longest equal raw length whose end in ``before`` and beginning in ``text`` compare alike, from ``least`` on."""
-    for n in range(min(len(before), len(text)), least - 1, -1):
-        # Most lengths fail on the first sign that isn't white space.
-        if before[-n].casefold() == text[0].casefold() or before[-n].isspace() or text[0].isspace():
-            if _compact(before[-n:]) == _compact(text[:n]):
-                return n
-    return 0
+    """The longest equal raw length whose end in ``before`` and beginning in ``text`` compare alike, from ``least`` on.
+
+    Only lengths at which the comparable forms overlap are looked at; raw lengths differ from those by white space.
+    """
+    a, a_ends = _folded(before)
+    b, b_ends = _folded(text)
+    best = 0
+    for k in borders(a, b):
+        ends = {len(before) - i for i in range(bisect.bisect_left(a_ends, len(a) - k), bisect.bisect_right(a_ends, len(a) - k))}
+        heads = range(bisect.bisect_left(b_ends, k), bisect.bisect_right(b_ends, k))
+        best = max([best, *(n for n in heads if n in ends)])
+    return best if best >= least else 0
+
 
+#: What parts paragraphs: a blank line, or one that holds white space alone.
+BLANK = r"\n\s*\n"
 
-def drop_repeated_paragraphs(docs: DataFrame, separator: str = "\n\n", column: str = "body", least: int = REPEATED_CHARS) -> DataFrame:
+
+def drop_repeated_paragraphs(docs: DataFrame, separator: str = BLANK, column: str = "body", least: int = REPEATED_CHARS) -> DataFrame:
     """Bodies without paragraphs, and beginnings of paragraphs, that repeat what the last kept paragraph said.
 
-    Compared without case and white space; a repeated beginning has at least ``least`` characters. Each paragraph
+    ``separator`` is a pattern; kept paragraphs are joined by a blank line, or by a line break where that alone parts
+    them. Compared without case and white space; a repeated beginning has at least ``least`` characters. Each paragraph
     depends on the last one kept, so a document is read in order.
     """
+    joint = "\n" if separator == "\n" else "\n\n"
 
     @F.pandas_udf(T.StringType())
     def fold(bodies: pd.Series) -> pd.Series:
         def one(body: str | None) -> str | None:
             kept: list[str] = []
-            for p in (x.strip() for x in (body or "").split(separator)):
+            for p in (x.strip() for x in re.split(separator, body or "")):
                 if not p or (kept and _compact(p) == _compact(kept[-1])):
                     continue
                 rest = p[repeated_chars(kept[-1], p, least) :].lstrip() if kept else p
                 if rest:
                     kept.append(rest)
-            return separator.join(kept)
+            return joint.join(kept)
 
         return bodies.map(one)
 
     return docs.withColumn(column, fold(column))
 
 
+def single_line(text: Column) -> Column:
+    return strip(F.regexp_replace(text, r"[ \t]+", " "))
+
+
 def validate_documents(docs: DataFrame) -> DataFrame:
-    """Rules for rewrites (``doc_id, title, body, source_body``): ``errors`` in rule order, lengths and ratio.
+    """Rules for rewrites (``doc_id, title, body, source_body``): ``errors`` in rule order, ``warnings``, lengths and ratio.
 
-    Bodies should be normalised before; lengths are without white space.
+    Bodies and sources are normalised first and bodies lose repeated paragraphs, so rules and lengths are those of what
+    would be published; lengths are without white space. A paragraph that the source holds whole is a warning.
     """
-    source, output = normalized_length(F.coalesce("source_body", F.lit(""))), normalized_length(F.coalesce("body", F.lit("")))
-    bounds = length_bounds(source)
-    title = F.trim(F.regexp_replace(F.regexp_replace("title", r"^Title:", ""), r"\s+", " "))
+    clean = drop_repeated_paragraphs(normalise_bodies(docs.select("doc_id", "title", "body", F.col("source_body").alias("raw_source")), "body"))
+    clean = normalise_bodies(clean.withColumn("source", F.col("raw_source")), "source")
+    title = single_line(F.regexp_replace(F.coalesce("title", F.lit("")), r"^Title:", ""))
+    staged = clean.select(
+        "doc_id", "body", F.col("title").alias("raw_title"), title.alias("title"), normalized_length(F.col("source")).alias("source_length"), normalized_length(F.col("body")).alias("output_length"),
+        comparable(F.coalesce("raw_source", F.lit(""))).alias("whole"),
+    )
+    bounds = length_bounds(F.col("source_length"))
+    source, output = F.col("source_length"), F.col("output_length")
     checks = [
-        F.when(title == "", "TITLE_EMPTY"),
-        F.when(F.trim("title").contains("\n"), "TITLE_MULTILINE"),
-        F.when(F.length(title) > TITLE_CHARS, "TITLE_TOO_LONG"),
-        F.when(F.coalesce("body", F.lit("")) == "", "BODY_EMPTY"),
+        F.when(F.col("title") == "", "TITLE_EMPTY"),
+        F.when(strip(F.col("raw_title")).contains("\n"), "TITLE_MULTILINE"),
+        F.when(F.length("title") > TITLE_CHARS, "TITLE_TOO_LONG"),
+        F.when(F.col("body") == "", "BODY_EMPTY"),
         F.when(source == 0, "SOURCE_EMPTY").when(output < bounds.getField("least"), "OUTPUT_TOO_SHORT").when(output > bounds.getField("most"), "OUTPUT_TOO_LONG"),
         *[F.when(F.col("body").rlike(p), code) for code, p in RULES.items()],
     ]
+    # The fold of case needs Python for some texts, so it is asked once, over the whole body, and parted after.
+    parts = F.split(comparable(F.regexp_replace("body", BLANK, _PART)), _PART)
+    copied = F.exists(parts, lambda x: (F.length(x) >= COPIED_CHARS) & F.col("whole").contains(x))
     errors = F.array_distinct(F.array_compact(F.array(*checks)))
-    return docs.select("doc_id", title.alias("title"), source.alias("source_length"), output.alias("output_length"), length_ratio(output, source, 0.0).alias("length_ratio"), errors.alias("errors"))
+    warnings = F.when(copied, F.array(F.lit("SOURCE_BLOCK_COPIED"))).otherwise(F.array().cast("array<string>"))
+    return staged.select("doc_id", "title", "source_length", "output_length", length_ratio(output, source, 0.0).alias("length_ratio"), errors.alias("errors"), warnings.alias("warnings"))
 
 
 def rule_rollup(validated: DataFrame) -> DataFrame:
     return validated.select(F.explode("errors").alias("code")).groupBy("code").agg(F.count("*").alias("n"))
 
 
-def copied_blocks(outputs: DataFrame, sources: DataFrame, least: int = COPIED_CHARS, gram: int = 6) -> DataFrame:
-    """``doc_id, source_id, n_blocks``: paragraphs of outputs that a source holds whole, over the corpus.
+def copied_blocks(outputs: DataFrame, sources: DataFrame, least: int = COPIED_CHARS, separator: str = BLANK, key_chars: int = 32) -> DataFrame:
+    """``doc_id, source_id, n_blocks``: paragraphs of outputs that a source holds, over the corpus.
 
-    Paragraphs of at least ``least`` characters without white space meet sources by their first words, an equi-join,
-    and containment decides.
+    Compared without case and white space, so copies with other line ends or in languages without spaces are told
+    too. A paragraph of at least ``least`` comparable characters meets a source by the hash of its first
+    ``key_chars``, an equi-join with the hashes of all runs of that length in the sources; containment decides. Texts
+    join only the pairs so found.
     """
-    p = outputs.select("doc_id", F.explode(F.split("body", "\n")).alias("p")).select("doc_id", F.trim("p").alias("p")).distinct()
-    p = p.where(F.length(F.regexp_replace("p", r"\s+", "")) >= least)
-    first = lambda c: F.array_join(F.slice(F.split(c, r"\s+"), 1, gram), " ")
-    words = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
-    grams = sources.withColumn("w", words).select("source_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - gram + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, gram), " ")))).alias("g"))
-    hit = p.withColumn("g", first("p")).join(grams, "g").where(F.col("text").contains(F.col("p")))
-    return hit.groupBy("doc_id", "source_id").agg(F.count_distinct("p").alias("n_blocks"))
+    k = min(key_chars, least)
+    p = outputs.select("doc_id", F.explode(F.split(comparable(F.regexp_replace(F.coalesce("body", F.lit("")), separator, _PART)), _PART)).alias("p")).where(F.length("p") >= least).distinct()
+    p = p.withColumn("key", F.xxhash64(F.left("p", F.lit(k))))
+    whole = sources.select("source_id", comparable(F.coalesce("text", F.lit(""))).alias("whole")).where(F.length("whole") >= least)
+    signs = whole.select("source_id", F.split("whole", "").alias("c"))
+    runs = F.transform(F.sequence(F.lit(1), F.size("c") - k + 1), lambda i: F.xxhash64(F.array_join(F.slice("c", i, k), "")))
+    keys = signs.select("source_id", F.explode(F.array_distinct(runs)).alias("key"))
+    met = p.join(keys, "key").select("doc_id", "p", "source_id").join(whole, "source_id").where(F.col("whole").contains(F.col("p")))
+    return met.groupBy("doc_id", "source_id").agg(F.count_distinct("p").alias("n_blocks"))
 
 
 def tail_window(text: Column, n: int = SEAM_CHARS) -> Column:
@@ -253,39 +302,48 @@ def representative_rows(rows: DataFrame) -> DataFrame:
 
 
 def extract_structured_replies(replies: DataFrame) -> DataFrame:
-    """``request_id, fields`` (map) and ``code`` (null, ``NO_STRUCTURE`` or ``FIELD_MISSING``) of text replies.
+    """``request_id, fields`` (map) and ``code`` (null, ``NO_STRUCTURE``, ``NOT_OBJECT`` or ``FIELD_MISSING``) of text replies.
 
-    The first JSON value from a bracket on counts; where the first bracket opens none, later ones are tried in Python;
-    then ``<<<NAME>>>`` markers. ``required`` (array) fields must be there and not blank.
+    The first bracket from which a JSON value can be read decides: an object gives the fields, a list is ``NOT_OBJECT``.
+    Only without any such value do ``<<<NAME>>>`` markers count, and of a repeated one the last. ``required`` (array)
+    fields must be there and not empty. Only texts that hold a bracket are sent to Python.
     """
 
-    @F.pandas_udf("map<string,string>")
-    def retry(s: pd.Series) -> pd.Series:
+    @F.pandas_udf("struct<fields:map<string,string>,found:boolean>")
+    def decoded(s: pd.Series) -> pd.DataFrame:
         def first(text):
-            if text is None:
-                return None
             decoder = json.JSONDecoder()
-            for m in re.finditer(r"[{\[]", text):
+            for m in re.finditer(r"[{\[]", text or ""):
                 try:
                     value, _ = decoder.raw_decode(text, m.start())
-                except ValueError:
+                except (ValueError, RecursionError):
                     continue
                 if isinstance(value, dict):
-                    return {k: v if isinstance(v, str) else json.dumps(v, ensure_ascii=False) for k, v in value.items() if v is not None}
-            return None
-
-        return s.map(first)
-
-    text = F.trim(F.regexp_replace("response", r"(?s)^\s*```[a-zA-Z]*\s*\n(.*?)\n?```\s*$", "$1"))
-    marked = F.regexp_extract_all(text, F.lit(r"(?s)<<<([A-Z][A-Z0-9_]*)>>>(.*?)(?=<<<[A-Z][A-Z0-9_]*>>>|\z)"), F.lit(1))
-    values = F.regexp_extract_all(text, F.lit(r"(?s)<<<([A-Z][A-Z0-9_]*)>>>(.*?)(?=<<<[A-Z][A-Z0-9_]*>>>|\z)"), F.lit(2))
-    markers = F.when(F.size(marked) > 0, F.map_from_arrays(F.transform(marked, lambda x: F.lower(x)), F.transform(values, lambda x: F.trim(x))))
-    r = replies.withColumn("_t", text).withColumn("_m", markers).withColumn("_j", retry(F.when(F.col("_t").rlike(r"[{\[]"), F.col("_t"))))
-    r = r.withColumn("fields", F.coalesce("_j", "_m"))
-    lacks = F.exists("required", lambda k: F.coalesce(F.trim(F.element_at("fields", k)), F.lit("")) == "")
-    return r.select("request_id", "fields", F.when(F.col("fields").isNull(), "NO_STRUCTURE").when(lacks, "FIELD_MISSING").alias("code"))
-
-
+                    return {k: v if isinstance(v, str) else json.dumps(v, ensure_ascii=False) for k, v in value.items() if v is not None}, True
+                return None, True
+            return None, False
+
+        got = [first(t) for t in s]
+        return pd.DataFrame({"fields": pd.Series([g[0] for g in got], dtype=object), "found": [g[1] for g in got]})
+
+    fenced = F.regexp_replace(F.regexp_replace(strip(F.col("response")), r"(?s)\A```[^\n]*\n", ""), r"(?s)```\s*\z", "")
+    text = F.when(strip(F.col("response")).rlike(r"\A```[^\n]*\n"), strip(fenced)).otherwise(strip(F.col("response")))
+    pieces = lambda group: F.regexp_extract_all("response", F.lit(r"(?s)<<<([A-Z][A-Z0-9_]*)>>>(.*?)(?=<<<[A-Z][A-Z0-9_]*>>>|\z)"), F.lit(group))
+    names, values = F.transform(pieces(1), lambda x: F.lower(x)), F.transform(pieces(2), strip)
+    r = replies.withColumn("_j", decoded(F.when(text.rlike(r"[{\[]"), text))).withColumn("_names", names).withColumn("_values", values)
+    # A later marker of a name replaces an earlier one.
+    last = F.filter(F.arrays_zip("_names", "_values"), lambda x, i: ~F.array_contains(F.slice("_names", i + 2, F.greatest(F.size("_names") - i - 1, F.lit(0))), x["_names"]))
+    markers = F.when(F.size("_names") > 0, F.map_from_entries(F.transform(last, lambda x: F.struct(x["_names"], x["_values"]))))
+    r = r.withColumn("fields", F.when(F.col("_j.found"), F.col("_j.fields")).otherwise(markers))
+    lacks = F.exists("required", lambda k: F.coalesce(F.element_at("fields", k), F.lit("")) == "")
+    code = F.when(F.col("_j.found") & F.col("_j.fields").isNull(), "NOT_OBJECT").when(F.col("fields").isNull(), "NO_STRUCTURE").when(lacks, "FIELD_MISSING")
+    return r.select("request_id", "fields", code.alias("code"))
+
+
+# What is asked for where a verdict fails.
+RESTORE_LANGUAGE = "Restore the source language throughout the draft."
+REMOVE_CLAIMS, RESTORE_POINTS = "Remove unsupported claims: ", "Restore missing points: "
+RESOLVE_ALL = "Resolve every failed validator rubric item."
 # How replies say yes and no.
 YES = ("true", "yes", "y", "1", "pass", "passed", "ok", "ready", "match", "matched", "はい", "合格", "一致", "準備完了")
 NO = ("false", "no", "n", "0", "fail", "failed", "ng", "not ready", "not_ready", "mismatch", "unmatched", "いいえ", "不合格", "不一致", "未準備")
@@ -319,12 +377,12 @@ def judge(verdicts: DataFrame, least: float = PASS_SCORE) -> DataFrame:
     asked = F.concat(
         F.col("targeted_repairs"), F.col("local_errors"),
         F.array_compact(F.array(
-            F.when(~F.col("language_match"), "Restore the source language throughout the draft."),
-            F.when(some("unsupported_claims"), F.concat(F.lit("Remove unsupported claims: "), F.array_join("unsupported_claims", "; "))),
-            F.when(some("missing_points"), F.concat(F.lit("Restore missing points: "), F.array_join("missing_points", "; "))),
+            F.when(~F.col("language_match"), RESTORE_LANGUAGE),
+            F.when(some("unsupported_claims"), F.concat(F.lit(REMOVE_CLAIMS), F.array_join("unsupported_claims", "; "))),
+            F.when(some("missing_points"), F.concat(F.lit(RESTORE_POINTS), F.array_join("missing_points", "; "))),
         )),
     )
-    repairs = F.when(~ok & (F.size(asked) == 0), F.array(F.lit("Resolve every failed validator rubric item."))).otherwise(asked)
+    repairs = F.when(~ok & (F.size(asked) == 0), F.array(F.lit(RESOLVE_ALL))).otherwise(asked)
     return verdicts.select("doc_id", "section", ok.alias("passed"), repairs.alias("repairs"))
 
 

@@ -44,7 +44,7 @@ def _pairs(spark, sf_dir):
     k = F.col("doc_id") % 8
     body = (
         F.when(k == 0, F.left("body", F.floor(F.length("body") / 2).cast("int"))).when(k == 1, F.concat("body", F.lit(" "), "body")).when(k == 2, F.concat("body", F.lit("\nsee https://x.example/a")))
-        .when(k == 3, F.concat(F.lit("# Head\n"), "body")).when(k == 4, F.concat("body", F.lit("\nTitle: x [Music]"))).when(k == 5, F.concat("body", F.lit(" 😀"))).otherwise(F.col("body"))
+        .when(k == 3, F.concat(F.lit("# Head\n"), "body")).when(k == 4, F.concat("body", F.lit("\nTitle: x [Music]"))).when(k == 5, F.concat("body", F.lit(" 😀"))).when(k == 6, F.concat("body", F.lit("\n \n"), "body")).otherwise(F.col("body"))
     )
     title = F.when(F.col("doc_id") % 5 == 0, F.lit("a\nb")).when(F.col("doc_id") % 5 == 1, F.lit("Title: ")).when(F.col("doc_id") % 5 == 2, F.repeat(F.lit("long "), 30)).otherwise(F.col("title"))
     return p.select("doc_id", title.alias("title"), body.alias("body"), F.when(F.col("doc_id") % 17 != 0, F.col("body")).alias("source_body"))
@@ -55,8 +55,8 @@ with {PARAGRAPHS},
 p as (select doc_id, case doc_id % 5 when 0 then 'a' || chr(10) || 'b' when 1 then 'Title: ' when 2 then repeat('long ', 30) else title end as title,
   case doc_id % 8 when 0 then left(body, length(body) // 2) when 1 then body || ' ' || body when 2 then body || chr(10) || 'see https://x.example/a' when 3 then '# Head' || chr(10) || body
     when 4 then body || chr(10) || 'Title: x [Music]' when 5 then body || ' 😀' else body end as body, case when doc_id % 17 <> 0 then body end as source_body from paragraphs),
-n as (select *, trim(regexp_replace(regexp_replace(title, '^Title:', ''), '\\s+', ' ', 'g')) as t,
-  length(regexp_replace(coalesce(source_body, ''), '\\s', '', 'g')) as sl, length(regexp_replace(body, '\\s', '', 'g')) as ol from p),
+n as (select *, trim(regexp_replace(regexp_replace(title, '^Title:', ''), '[ \\t]+', ' ', 'g')) as t,
+  regexp_replace(nfc_normalize(coalesce(source_body, '')), '\\s', '', 'g') as sc, regexp_replace(nfc_normalize(body), '\\s', '', 'g') as bc, length(sc) as sl, length(bc) as ol from p),
 v as (select doc_id, t as title, sl as source_length, ol as output_length, case when sl = 0 then 0.0 else ol::double / sl end as length_ratio,
   list_filter([case when t = '' then 'TITLE_EMPTY' end, case when contains(trim(title), chr(10)) then 'TITLE_MULTILINE' end, case when length(t) > 100 then 'TITLE_TOO_LONG' end,
     case when body = '' then 'BODY_EMPTY' end, case when sl = 0 then 'SOURCE_EMPTY' when ol < floor(sl * 1.0::double + 0.999999) then 'OUTPUT_TOO_SHORT' when ol > floor(sl * 1.3::double) then 'OUTPUT_TOO_LONG' end,
@@ -64,7 +64,7 @@ v as (select doc_id, t as title, sl as source_length, ol as output_length, case
     case when regexp_matches(body, '(?i)(?:https?://|www\\.)\\S+') then 'BODY_HAS_URL' end,
     case when regexp_matches(body, '(?i)\\[(?:music|applause|laughter|pause|sfx)\\]') then 'BODY_HAS_STAGE_DIRECTION' end,
     case when regexp_matches(body, '[\\x{{1F1E6}}-\\x{{1F1FF}}\\x{{1F300}}-\\x{{1FAFF}}]') then 'BODY_HAS_EMOJI' end,
-    case when regexp_matches(body, '(?im)^\\s*(?:title|script|body|section)\\s*:') then 'BODY_HAS_OUTPUT_MARKER' end], lambda x: x is not null) as errors from n)
+    case when regexp_matches(body, '(?im)^\\s*(?:title|script|body|section)\\s*:') then 'BODY_HAS_OUTPUT_MARKER' end], lambda x: x is not null) as errors, case when ol >= 160 and contains(lower(sc), lower(bc)) then 'SOURCE_BLOCK_COPIED' else '' end as warnings from n)
 """
 
 
@@ -101,9 +101,10 @@ def _sections(spark, sf_dir):
 
 
 def _copied(spark, sf_dir):
-    """Documents whose lines of 60 characters or more some benchmark passage holds."""
-    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("source_id"), "text")
-    return op.copied_blocks(paragraphs(spark, sf_dir), b, 60)
+    """Documents whose lines of 60 comparable characters or more some benchmark passage, set otherwise, holds."""
+    other = F.translate(F.translate("text", " ", "\n"), "aeiou", "AEIOU")
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("source_id"), other.alias("text"))
+    return op.copied_blocks(paragraphs(spark, sf_dir), b, 60, "\n")
 
 
 def _seams(spark, sf_dir):
@@ -115,11 +116,18 @@ def _seams(spark, sf_dir):
     return op.seam_check(s.withColumn("tail_hash", sha("tail")).withColumn("head_hash", F.when(F.col("doc_id") % 4 == 0, F.lit("x")).otherwise(sha("head")))).select("doc_id", "group_idx", F.length("previous").alias("previous_chars"), F.length("next").alias("next_chars"), F.array_join("errors", ",").alias("errors"))
 
 
+CHUNK = 1000
+
+
 def _chunks(spark, sf_dir):
-    """What must hold of chunks: they rebuild the text, and none is over the limit."""
-    c = op.chunk_documents(paragraphs(spark, sf_dir), 1000)
-    whole = c.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_idx", "text"))), lambda x: x.text), "").alias("t"), (F.max(F.length("text")) <= 1000).alias("within_limit"))
-    return whole.select("doc_id", F.md5(F.col("t").cast("binary")).alias("digest"), "within_limit")
+    c = op.chunk_documents(paragraphs(spark, sf_dir), CHUNK)
+    return c.select("doc_id", "chunk_idx", F.length("text").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+def _candidates(spark, sf_dir):
+    p = _pairs(spark, sf_dir)
+    other = p.withColumn("body", F.when(F.col("doc_id") % 3 == 0, F.lit("short")).otherwise(F.col("source_body")))
+    return op.choose_candidate(op.validate_documents(p), op.validate_documents(other))
 
 
 def _label(spark, sf_dir):
@@ -134,11 +142,12 @@ def _lengths(spark, sf_dir):
 
 def _replies(spark, sf_dir):
     t = table(spark, sf_dir, "conversations")
-    k = (F.col("conv_id") + F.col("turn")) % 5
+    k = (F.col("conv_id") + F.col("turn")) % 7
     said = F.regexp_replace("text", r'["\\\n{}\[\]<>]', " ")
     response = (
         F.when(k == 0, F.concat(F.lit('Sure: {"body": "'), said, F.lit('"} done'))).when(k == 1, F.concat(F.lit("```json\n{\"body\": \""), said, F.lit('"}\n```')))
-        .when(k == 2, F.concat(F.lit("<<<TITLE>>>t<<<BODY>>>"), said)).when(k == 3, F.concat(F.lit('[note] then {"body": "'), said, F.lit('"}'))).otherwise(said)
+        .when(k == 2, F.concat(F.lit("<<<TITLE>>>t<<<BODY>>>"), said)).when(k == 3, F.concat(F.lit('[note] then {"body": "'), said, F.lit('"}')))
+        .when(k == 5, F.concat(F.lit('[1] {"body": "'), said, F.lit('"}'))).when(k == 6, F.concat(F.lit("<<<BODY>>>first<<<TITLE>>>t<<<BODY>>>"), said)).otherwise(said)
     )
     r = t.select(F.concat_ws("-", "conv_id", "turn").alias("request_id"), response.alias("response"), F.array(F.lit("body")).alias("required"))
     return op.extract_structured_replies(r).select("request_id", F.trim(F.element_at("fields", "body")).alias("body"), "code")
@@ -151,7 +160,7 @@ QUERIES = {
     "group_sections": lambda s, d: _groups(s, d, 0),
     "choose_chunk_source": lambda s, d: op.choose_chunk_source(paragraphs(s, d), _lines(s, d).where("doc_id % 4 <> 0 or idx > 0")),
     "drop_repeated_paragraphs": lambda s, d: op.drop_repeated_paragraphs(paragraphs(s, d), "\n").select("doc_id", F.length("body").alias("n_chars"), F.size(F.split("body", "\n")).alias("n_paragraphs")),
-    "validate_documents": lambda s, d: op.validate_documents(_pairs(s, d)).withColumn("errors", F.array_join("errors", ",")),
+    "validate_documents": lambda s, d: op.validate_documents(_pairs(s, d)).withColumn("errors", F.array_join("errors", ",")).withColumn("warnings", F.array_join("warnings", ",")),
     "rule_rollup": lambda s, d: op.rule_rollup(op.validate_documents(_pairs(s, d))),
     "copied_blocks": _copied,
     "seam_pairs": lambda s, d: op.seam_pairs(op.pack_segments(_lines(s, d), 2000), 200),
@@ -162,7 +171,7 @@ QUERIES = {
     "coerce_verdicts": lambda s, d: op.coerce_verdicts(_verdicts(s, d)).select("doc_id", "section", "passed", "language_match", "style_score", "coverage_score", F.array_join("unsupported_claims", ",").alias("claims"), "bad_field"),
     "judge": lambda s, d: op.judge(_good(s, d)).withColumn("repairs", F.array_join("repairs", " | ")),
     "aggregate_verdicts": lambda s, d: op.aggregate_verdicts(_good(s, d), _lengths(s, d)).withColumn("unsupported_claims", F.array_join("unsupported_claims", ",")).withColumn("missing_points", F.array_join("missing_points", ",")),
-    "choose_candidate": lambda s, d: op.choose_candidate(op.validate_documents(_pairs(s, d)), op.validate_documents(_pairs(s, d).withColumn("body", F.when(F.col("doc_id") % 3 == 0, F.lit("short")).otherwise(F.col("source_body"))))),
+    "choose_candidate": _candidates,
     "validation_label": _label,
     "length_bounds": lambda s, d: paragraphs(s, d).select("doc_id", length_bounds(normalized_length(F.col("body"))).alias("b")).select("doc_id", "b.*"),
     "stale_sources": lambda s, d: op.stale_sources(
@@ -178,7 +187,16 @@ _AGGREGATED = f"""{_GOOD}, agg as (select d.doc_id, coalesce(bool_and(g.passed),
 _DISTINCT = "coalesce(array_to_string(list_filter({0}, lambda x, i: list_position({0}, x) = i), ','), '')"
 
 ORACLE_SQL = {
-    "chunk_documents": "select doc_id, md5(text) as digest, true as within_limit from documents where text <> ''",
+    "chunk_documents": f"""with recursive walk as (select doc_id, text as rest, -1 as chunk_idx, '' as chunk from documents where text <> ''
+      union all select doc_id, substr(rest, n + 1), chunk_idx + 1, substr(rest, 1, n) from (select *, case when length(rest) <= {CHUNK} then length(rest) else {CHUNK // 2} + case
+        when e1 > 0 then e1 when e2 > 0 then e2 when e3 > 0 then e3 when e4 > 0 then e4 else {CHUNK // 2} end end as n
+        from (select *, length(regexp_extract(w, '(?s)^.*\\n\\n')) as e1, length(regexp_extract(w, '(?s)^.*\\n')) as e2, length(regexp_extract(w, '(?s)^.*[.!?。！？]["''”’）)]*\\s*')) as e3, length(regexp_extract(w, '(?s)^.*\\s')) as e4
+          from (select *, substr(rest, {CHUNK // 2 + 1}, {CHUNK // 2}) as w from walk where rest <> '')))
+      ) select doc_id, chunk_idx, length(chunk) as n_chars, md5(chunk) as digest from walk where chunk_idx >= 0""",
+    "choose_candidate": f"""{_VALID}, c as (select doc_id, errors, source_length as sl, case when doc_id % 3 = 0 then 5 else source_length end as ol from v)
+      select doc_id, case when sl > 0 and (ol < floor(sl * 1.0::double + 0.999999) or ol > floor(sl * 1.3::double)) and not list_has_any(errors, ['OUTPUT_TOO_SHORT', 'OUTPUT_TOO_LONG']) then 'current' else 'candidate' end as chosen from c""",
+    "extract_structured_replies": """with r as (select conv_id || '-' || turn as request_id, (conv_id + turn) % 7 as k, regexp_replace(text, '["\\\\\\n{}\\[\\]<>]', ' ', 'g') as said from conversations)
+      select request_id, case when k in (0, 1, 2, 3, 6) then trim(said) end as body, case when k = 5 then 'NOT_OBJECT' when k = 4 then 'NO_STRUCTURE' when (case when k in (2, 6) then trim(said) else said end) = '' then 'FIELD_MISSING' end as code from r""",
     "normalise_bodies": f"""with {PARAGRAPHS}, r as (select doc_id, case when doc_id % 3 = 0 then '7' || chr(10) || chr(10) || '1' || chr(10) || '00:00:01,000 --> 00:00:02,000' || chr(10) || ' ' || chr(9) || repeat(chr(10), 3) || body || repeat(chr(10), 2) else body end as body from paragraphs),
       l as (select doc_id, string_split(regexp_replace(regexp_replace(nfc_normalize(body), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g'), '<{_STAMP}>', '', 'g'), chr(10)) as ls from r),
       k as (select doc_id, list_filter(ls, lambda x, i: not regexp_matches(x, '^\\s*{_STAMP}\\s+-->\\s+{_STAMP}') and not (regexp_matches(x, '^\\s*[0-9]+\\s*$') and i < len(ls) and regexp_matches(ls[i + 1], '^\\s*{_STAMP}\\s+-->\\s+{_STAMP}'))) as ls from l)
@@ -189,8 +207,8 @@ ORACLE_SQL = {
       select p.doc_id, case when coalesce(t.n = length(regexp_replace(body, '\\s', '', 'g')), false) then 'segments' else 'body' end as source from paragraphs p left join t using (doc_id)""",
     "validate_documents": f"{_VALID} select * replace (array_to_string(errors, ',') as errors) from v",
     "rule_rollup": f"{_VALID} select code, count(*) as n from (select unnest(errors) as code from v) group by code",
-    "copied_blocks": f"""with {_LINES}, p as (select distinct doc_id, trim(text) as p from lines where length(regexp_replace(trim(text), '\\s+', '', 'g')) >= 60)
-      select doc_id, item_id as source_id, count(distinct p) as n_blocks from p join benchmark b on contains(b.text, p.p) group by all""",
+    "copied_blocks": f"""with {_LINES}, p as (select distinct doc_id, lower(regexp_replace(text, '\\s', '', 'g')) as p from lines where length(regexp_replace(text, '\\s', '', 'g')) >= 60)
+      select doc_id, item_id as source_id, count(*) as n_blocks from p join (select item_id, lower(regexp_replace(text, '\\s', '', 'g')) as t from benchmark) b on contains(b.t, p.p) group by all""",
     "section_context": f"""with {_LINES} select doc_id, idx, (row_number() over w)::int as number, count(*) over (partition by doc_id) as total, coalesce(right(lag(text) over w, 800), '') as previous_tail, coalesce(left(lead(text) over w, 20), '') as next_summary from lines window w as (partition by doc_id order by idx)""",
     "representative_rows": f"with {_LINES}, n as (select *, count(*) over (partition by doc_id) as n, row_number() over (partition by doc_id order by idx) - 1 as pos from lines) select doc_id, idx, text from n where pos in (0, n // 2, n - 1)",
     "coerce_verdicts": f"with {_VERDICTS} select doc_id, section, passed, language_match, style_score, coverage_score, array_to_string(unsupported_claims, ',') as claims, bad_field from coerced",
