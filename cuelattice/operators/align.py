@@ -69,12 +69,14 @@ def anchor_blocks(primary: DataFrame, caption: DataFrame, least: int = LEAST_ANC
     start = origins(primary, caption)
 
     def grams(chars: DataFrame, name: str) -> DataFrame:
-        w = Window.partitionBy("track_id", "win").orderBy("idx").rowsBetween(0, least - 1)
+        w = Window.partitionBy("track_id", "win").orderBy("idx")
         g = hopping_windows(chars.select("track_id", "idx", "ch", "start_ms", "end_ms"), start, window_ms, hop_ms)
-        g = g.withColumn("gram", F.array_join(F.collect_list("ch").over(w), "")).withColumn("to_ms", F.max("end_ms").over(w)).where(F.length("gram") == least)
-        return g.select("track_id", "win", "gram", F.col("idx").alias(name), F.col("start_ms").alias(f"{name}_start"), F.col("to_ms").alias(f"{name}_end"))
+        later = lambda c: [F.col(c), *(F.lead(c, i).over(w) for i in range(1, least))]
+        # A null from behind the window's end makes the run null, so runs are whole.
+        g = g.withColumn("gram", F.concat(*later("ch"))).withColumn("to_ms", F.greatest(*later("end_ms")) if least > 1 else F.col("end_ms")).where("gram is not null")
+        return g.select("track_id", "win", F.xxhash64("gram").alias("key"), "gram", F.col("idx").alias(name), F.col("start_ms").alias(f"{name}_start"), F.col("to_ms").alias(f"{name}_end"))
 
-    met = grams(primary, "p").join(grams(caption, "c"), ["track_id", "win", "gram"]).withColumn("diagonal", F.col("c") - F.col("p"))
+    met = grams(primary, "p").join(grams(caption, "c"), ["track_id", "win", "key", "gram"]).withColumn("diagonal", F.col("c") - F.col("p"))
     run = F.col("p") - F.row_number().over(Window.partitionBy("track_id", "win", "diagonal").orderBy("p"))
     blocks = met.withColumn("run", run).groupBy("track_id", "win", "diagonal", "run").agg(
         F.min("p").alias("p0"), F.min("c").alias("c0"), (F.count("*") + least - 1).alias("size"),

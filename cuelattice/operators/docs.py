@@ -150,7 +150,7 @@ def repeated_chars(before: str, text: str, least: int) -> int:
     a, a_ends = _folded(before)
     b, b_ends = _folded(text)
     best = 0
-    for k in borders(a, b):
+    for k in (*borders(a, b), 0):
         ends = {len(before) - i for i in range(bisect.bisect_left(a_ends, len(a) - k), bisect.bisect_right(a_ends, len(a) - k))}
         heads = range(bisect.bisect_left(b_ends, k), bisect.bisect_right(b_ends, k))
         best = max([best, *(n for n in heads if n in ends)])

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuelattice.functions.text import normalize_alignment_text, text_similarity
+from cuelattice.functions.text import SPACE, normalize_alignment_text, primary_coverage, strip, temporal_overlap, text_similarity
+from cuelattice.operators import align
+from cuelattice.sources.files import staged
 
 LOW = 0.72
 COVERAGE, OVERLAP, MEAN, LEAST = 0.80, 0.70, 0.85, 0.50
@@ -42,19 +44,25 @@ def pad_and_merge_windows(spans: DataFrame, padding: int = PADDING_MS, gap: int
     s = spans.where((length > 0) & (length <= longest)).withColumn("spare", longest - length)
     s = s.withColumn("left", F.least(F.lit(padding), F.col("start_ms"), F.floor(F.col("spare") / 2))).withColumn("right", F.least(F.lit(padding), F.col("spare") - F.col("left")))
     s = s.select("track_id", F.struct("start_ms", "end_ms", "span_id", (F.col("start_ms") - F.col("left")).alias("a"), (F.col("end_ms") + F.col("right")).alias("b")).alias("s"))
-    kind = "array<struct<a:bigint,b:bigint,span_ids:array<bigint>>>"
+    kind = "array<struct<at:int,a:bigint,b:bigint>>"
+    none = F.expr(f"cast(array() as {kind})")
+    # Open window (a, b), the place where it began, and the windows closed before; only a closed window is appended.
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"), F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("b"), none.alias("closed"))
 
     def step(acc, x):
-        fresh = F.struct(x.a.cast("long").alias("a"), x.b.cast("long").alias("b"), F.array(x.span_id.cast("long")).alias("span_ids"))
-        last = F.element_at(acc, -1)
-        joint = F.greatest(last.b, x.b)
-        fits = (F.size(acc) > 0) & (x.a <= last.b + gap) & (joint - last.a <= longest)
-        grown = F.struct(last.a.alias("a"), joint.cast("long").alias("b"), F.concat(last.span_ids, F.array(x.span_id.cast("long"))).alias("span_ids"))
-        return F.when(fits, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(grown))).otherwise(F.concat(acc, F.array(fresh))).cast(kind)
+        joint = F.greatest(acc.b, x.b)
+        fits = F.coalesce((x.a <= acc.b + gap) & (joint - acc.a <= longest), F.lit(False))
+        closes = ~fits & acc.a.isNotNull()
+        closed = F.when(closes, F.array_append(acc.closed, F.struct(acc.at.alias("at"), acc.a.alias("a"), acc.b.alias("b")))).otherwise(acc.closed)
+        return F.struct(F.when(fits, acc.at).otherwise(acc.n).alias("at"), (acc.n + 1).alias("n"), F.when(fits, acc.a).otherwise(x.a).cast("long").alias("a"), F.when(fits, joint).otherwise(x.b).cast("long").alias("b"), closed.cast(kind).alias("closed"))
 
-    folded = s.groupBy("track_id").agg(F.array_sort(F.collect_list("s")).alias("s")).withColumn("w", F.expr(f"filter(cast(array() as {kind}), x -> true)"))
-    out = folded.select("track_id", F.posexplode(F.aggregate("s", F.col("w"), step)).alias("win", "w"))
-    return out.select("track_id", "win", F.col("w.a").alias("start_ms"), F.col("w.b").alias("end_ms"), F.col("w.span_ids").alias("span_ids"))
+    def finish(acc):
+        return F.array_append(acc.closed, F.struct(acc.at.alias("at"), acc.a.alias("a"), acc.b.alias("b"))).cast(kind)
+
+    folded = s.groupBy("track_id").agg(F.array_sort(F.collect_list("s")).alias("s")).withColumn("w", F.aggregate("s", start, step, finish))
+    until = F.coalesce(F.get(F.col("w.at"), F.col("win") + 1), F.size("s"))
+    out = folded.select("track_id", "s", "w", F.posexplode("w").alias("win", "x")).select("track_id", "win", F.col("x.a").alias("start_ms"), F.col("x.b").alias("end_ms"), F.slice(F.col("s.span_id"), F.col("x.at") + 1, until - F.col("x.at")).alias("span_ids"))
+    return out.withColumn("span_ids", F.col("span_ids").cast("array<bigint>"))
 
 
 def window_priority(windows: DataFrame, spans: DataFrame) -> DataFrame:
@@ -74,10 +82,12 @@ def budgeted_top_k(windows: DataFrame, most: Column | int = 60, total_ms: int =
     def step(acc, x):
         d = x.end_ms - x.start_ms
         take = (acc.n < x.limit) & (acc.ms + d <= total_ms)
-        return F.struct((acc.n + take.cast("int")).alias("n"), F.when(take, acc.ms + d).otherwise(acc.ms).alias("ms"), F.when(take, F.concat(acc.kept, F.array(x.win.cast("int")))).otherwise(acc.kept).alias("kept"))
+        # Only what is taken is appended, and never more than the limit.
+        return F.struct((acc.n + take.cast("int")).alias("n"), F.when(take, acc.ms + d).otherwise(acc.ms).alias("ms"), F.when(take, F.array_append(acc.kept, x.win.cast("int"))).otherwise(acc.kept).alias("kept"))
 
-    kept = w.groupBy("track_id").agg(F.array_sort(F.collect_list(order)).alias("s")).select("track_id", F.aggregate("s", start, step, lambda acc: acc.kept).alias("kept"))
-    return windows.join(kept, "track_id").withColumn("selected", F.array_contains("kept", F.col("win").cast("int"))).drop("kept")
+    kept = w.groupBy("track_id").agg(F.array_sort(F.collect_list(order)).alias("s")).select("track_id", F.explode(F.aggregate("s", start, step, lambda acc: acc.kept)).alias("win"))
+    taken = kept.withColumn("selected", F.lit(True))
+    return windows.join(taken, ["track_id", "win"], "left").withColumn("selected", F.coalesce("selected", F.lit(False))).select(*windows.columns, "selected")
 
 
 def decide(items: DataFrame, normalised: bool = False, language: str = "ja") -> DataFrame:
@@ -140,38 +150,65 @@ def apply_replacements(words: DataFrame, replacements: DataFrame) -> DataFrame:
 def surface_spans(words: DataFrame, segments: DataFrame) -> DataFrame:
     """Where each word stands in its segment's text when they differ in white space only: ``seg_pos, word_idx, s_from, s_to``.
 
-    Words claim characters by running sums of their lengths without white space. Other segments have no rows.
+    Words claim characters by running sums of their lengths without white space; the white space before a word belongs
+    to it, and that at the end of the text to the last. A segment has no rows if its words say anything else than its
+    text, or if one of them has no character.
     """
-    bare = lambda c: F.regexp_replace(c, r"(?U)\s+", "")
+    bare = lambda c: F.regexp_replace(c, rf"{SPACE}+", "")
     before = Window.partitionBy("track_id", "seg_pos").orderBy("word_idx").rowsBetween(Window.unboundedPreceding, -1)
     n = F.length(bare("text"))
     w = words.withColumn("bare", bare("text")).withColumn("w0", F.coalesce(F.sum(n).over(before), F.lit(0))).withColumn("w1", F.col("w0") + n)
-    whole = w.groupBy("track_id", "seg_pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_idx", "bare"))), lambda x: x.bare), "").alias("t"))
-    good = segments.join(whole, ["track_id", "seg_pos"]).where(F.col("t") == bare("text")).select("track_id", "seg_pos", F.posexplode(F.split("text", "")).alias("pos", "ch")).where(~F.col("ch").rlike(r"(?U)^\s$") & (F.col("ch") != ""))
-    good = good.withColumn("k", F.row_number().over(Window.partitionBy("track_id", "seg_pos").orderBy("pos")) - 1)
-    owned = good.join(w.where("bare <> ''").select("track_id", "seg_pos", "word_idx", F.explode(F.sequence(F.col("w0"), F.col("w1") - 1)).alias("k")), ["track_id", "seg_pos", "k"])
-    return owned.groupBy("track_id", "seg_pos", "word_idx").agg(F.min("pos").alias("s_from"), (F.max("pos") + 1).alias("s_to"))
+    whole = w.groupBy("track_id", "seg_pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_idx", "bare"))), lambda x: x.bare), "").alias("t"), F.min(n).alias("shortest"), F.max("word_idx").alias("last"))
+    good = segments.join(whole, ["track_id", "seg_pos"]).where((F.col("t") == bare("text")) & (F.col("shortest") > 0))
+    # Places of the characters that aren't white space, in order.
+    signs = F.split("text", "")
+    filled = F.filter(F.transform(signs, lambda c, i: F.when(~c.rlike(rf"^{SPACE}$") & (c != ""), i)), lambda i: i.isNotNull())
+    places = good.select("track_id", "seg_pos", "last", F.length("text").alias("length"), filled.alias("at"))
+    placed = w.select("track_id", "seg_pos", "word_idx", "w0", "w1").join(places, ["track_id", "seg_pos"])
+    s_from = F.when(F.col("w0") == 0, 0).otherwise(F.get("at", F.col("w0").cast("int") - 1) + 1)
+    s_to = F.when(F.col("word_idx") == F.col("last"), F.col("length")).otherwise(F.get("at", F.col("w1").cast("int") - 1) + 1)
+    return placed.select("track_id", "seg_pos", "word_idx", s_from.alias("s_from"), s_to.alias("s_to"))
 
 
 def splice_surface(segments: DataFrame, spans: DataFrame, replacements: DataFrame) -> DataFrame:
-    """Segment texts with words replaced in place, white space around them kept: ``track_id, seg_pos, text``."""
-    r = replacements.join(spans, ["track_id", "seg_pos", "word_idx"]).groupBy("track_id", "seg_pos").agg(F.array_sort(F.collect_list(F.struct("s_from", "s_to", F.trim("new_text").alias("t")))).alias("r"))
+    """Segment texts with ranges of words replaced in place, white space around them kept: ``track_id, seg_pos, text``.
+
+    ``replacements``: ``track_id, seg_pos, word_start, word_end, new_text`` (in place of words start to end - 1).
+    Segments without spans keep their text.
+    """
+    ends = replacements.join(spans.select("track_id", "seg_pos", F.col("word_idx").alias("word_start"), "s_from"), ["track_id", "seg_pos", "word_start"])
+    ends = ends.join(spans.select("track_id", "seg_pos", (F.col("word_idx") + 1).alias("word_end"), "s_to"), ["track_id", "seg_pos", "word_end"])
+    r = ends.groupBy("track_id", "seg_pos").agg(F.array_sort(F.collect_list(F.struct("s_from", "s_to", strip(F.col("new_text")).alias("t")))).alias("r"))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     cut = lambda a, b: F.substring("text", a + 1, b - a)
+    old = lambda x: cut(x.s_from, x.s_to)
+    lead = lambda x: F.regexp_extract(old(x), rf"^{SPACE}*", 0)
+    trail = lambda x: F.when(old(x).rlike(rf"^{SPACE}*\z"), "").otherwise(F.regexp_extract(old(x), rf"{SPACE}*\z", 0))
     s = segments.join(r, ["track_id", "seg_pos"], "left")
-    done = F.aggregate("r", start, lambda acc, x: F.struct(x.s_to.alias("at"), F.concat(acc.out, cut(acc.at, x.s_from), x.t).alias("out")), lambda acc: F.concat(acc.out, cut(acc.at, F.length("text"))))
+    done = F.aggregate("r", start, lambda acc, x: F.struct(x.s_to.alias("at"), F.concat(acc.out, cut(acc.at, x.s_from), lead(x), x.t, trail(x)).alias("out")), lambda acc: F.concat(acc.out, cut(acc.at, F.length("text"))))
     return s.select("track_id", "seg_pos", F.coalesce(done, F.col("text")).alias("text"))
 
 
-def reconciliation_summary(items: DataFrame, windows: DataFrame, prefix: str = "JAPANESE") -> DataFrame:
-    """Counts of each track's items (``track_id, seg_pos, decision, selected, processed, corrected_words``) and windows."""
+def reconciliation_summary(items: DataFrame, windows: DataFrame, coverage: DataFrame | None = None, prefix: str = "JAPANESE") -> DataFrame:
+    """Counts of each track's items (``track_id, seg_pos, decision, selected, processed, corrected_words``) and windows.
+
+    Windows (``selected``, and ``processed`` where known) count if selected, those left out as ``skipped_windows``;
+    those the second model has read are ``secondary_windows``. Tracks that have windows or ``coverage`` but no item
+    are there too.
+    """
     i = items.groupBy("track_id").agg(
         F.count("*").alias("suspicious"), F.count_if("selected").alias("selected"), F.count_if("processed").alias("processed"), F.sum("corrected_words").alias("corrected_words"),
         F.count_distinct(F.when(F.col("decision") == "corrected", F.col("seg_pos"))).alias("corrected_segments"), F.count_if(F.col("decision") == "unresolved").alias("unresolved"), F.count_if(F.col("decision") == "skipped").alias("skipped"),
     )
-    w = windows.where("selected").groupBy("track_id").agg(F.count("*").alias("windows"), F.sum(F.col("end_ms") - F.col("start_ms")).alias("duration_ms"))
+    length, read = F.col("end_ms") - F.col("start_ms"), (F.col("processed") if "processed" in windows.columns else F.col("selected"))
+    w = windows.groupBy("track_id").agg(
+        F.count_if("selected").alias("windows"), F.sum(F.when(F.col("selected"), length)).alias("duration_ms"), F.count_if(~F.col("selected")).alias("skipped_windows"),
+        F.count_if(read & F.col("selected")).alias("secondary_windows"), F.sum(F.when(read & F.col("selected"), length)).alias("secondary_duration_ms"),
+    )
+    out = i.join(w, "track_id", "full")
+    out = out.join(coverage.select("track_id", "coverage"), "track_id", "full") if coverage is not None else out
+    out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in out.columns if c not in ("track_id", "coverage")})
     warn = lambda c, name: F.when(F.col(c) > 0, f"{prefix}_{name}")
-    out = i.join(w, "track_id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("windows", "duration_ms")})
     return out.withColumn("warnings", F.array_compact(F.array(warn("corrected_segments", "RECONCILED"), warn("unresolved", "RECONCILIATION_UNRESOLVED"), warn("skipped", "RECONCILIATION_LIMIT_REACHED"))))
 
 
@@ -190,24 +227,72 @@ def transcript_quality(segments: DataFrame) -> DataFrame:
     return segments.groupBy("doc_id").agg(F.count("*").alias("segments"), F.sum(n).alias("words"), F.count_if(n > 0).alias("segments_with_words"))
 
 
-def secondary_evidence(spans: DataFrame, secondary: DataFrame, words: DataFrame, ranges: DataFrame) -> DataFrame:
-    """What the second model says of each span: ``track_id, span_id, secondary_text, issue, mean_probability, ...``.
+def _keyed(rows: DataFrame) -> DataFrame:
+    """``track_id`` replaced by a key of track and window, so that aligning works window by window."""
+    return rows.withColumn("track_id", F.to_json(F.struct("track_id", "win")))
 
-    ``ranges`` place each primary word among the secondary characters; a second model's word that is covered only in
-    part makes ``secondary_range_partial_word``. ``words`` are the second model's.
+
+def secondary_evidence(spans: DataFrame, windows: DataFrame, primary: DataFrame, heard: DataFrame, language: str | None = "ja", least: int = align.LEAST_ANCHOR) -> DataFrame:
+    """What the second model says of each span, and whether it was asked.
+
+    ``heard``: the second model's words by window (``track_id, win, seg_pos, word_idx, start_ms, end_ms, text,
+    probability``); ``windows`` have ``selected`` and ``span_ids``; ``primary`` is the first model's timeline. Each
+    window's part of it is aligned with the words heard there. A second model's word that is covered only in part
+    makes ``secondary_range_partial_word``. Every span has a row: without evidence ``secondary_text`` is null;
+    ``processed`` says if its window is selected and was heard.
     """
-    own = secondary.groupBy("track_id", "seg_pos", "word_idx").agg(F.min("idx").alias("i0"), (F.max("idx") + 1).alias("i1"))
-    s = spans.join(ranges.select("track_id", "seg_pos", "word_idx", "c_from", "c_to"), ["track_id", "seg_pos", "word_idx"])
-    hit = secondary.select("track_id", F.col("idx"), F.col("seg_pos").alias("s_seg"), F.col("word_idx").alias("s_word"))
-    chars = s.select("track_id", "span_id", "start_ms", "end_ms", "c_from", "c_to", F.explode(F.sequence("c_from", F.col("c_to") - 1)).alias("idx")).join(hit, ["track_id", "idx"])
-    touched = chars.groupBy("track_id", "span_id", "start_ms", "end_ms", "c_from", "c_to", "s_seg", "s_word").agg(F.count("*").alias("n"))
-    o, w = own.toDF("track_id", "s_seg", "s_word", "i0", "i1"), words.select("track_id", F.col("seg_pos").alias("s_seg"), F.col("word_idx").alias("s_word"), F.col("start_ms").alias("w0"), F.col("end_ms").alias("w1"), F.col("text").alias("t"), "probability")
-    whole = touched.join(o, ["track_id", "s_seg", "s_word"]).join(w, ["track_id", "s_seg", "s_word"])
-    g = whole.groupBy("track_id", "span_id", "start_ms", "end_ms").agg(
-        F.bool_or(F.col("n") < F.col("i1") - F.col("i0")).alias("partial"), F.avg("probability").alias("mean_probability"), F.min("probability").alias("min_probability"), F.min("w0").alias("w0"), F.max("w1").alias("w1"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s_seg", "s_word", "t"))), lambda x: x.t), "").alias("t"),
+    kept = windows.where("selected").select("track_id", "win", F.col("start_ms").alias("from_ms"), F.col("end_ms").alias("to_ms"), "span_ids")
+    asked = kept.select("track_id", "win", F.explode("span_ids").alias("span_id"))
+    here = heard.select("track_id", "win").distinct().withColumn("processed", F.lit(True))
+    s = _keyed(spans.join(asked, ["track_id", "span_id"]).withColumn("span_track", F.col("track_id")))
+    part = primary.join(kept.drop("span_ids"), "track_id").where("end_ms > from_ms and start_ms < to_ms")
+    part = _keyed(part.withColumn("idx", (F.row_number().over(Window.partitionBy("track_id", "win").orderBy("idx")) - 1).cast("long"))).drop("win", "from_ms", "to_ms")
+    words = _keyed(heard.join(kept.select("track_id", "win"), ["track_id", "win"]))
+    part, chars = staged(part, "primary"), staged(align.character_timeline(words, language), "secondary")
+    pairs = staged(align.aligned_pairs(align.monotonic_chain(align.merge_diagonal_blocks(align.anchor_blocks(part, chars, least)))), "pairs")
+    place = ["track_id", "seg_pos", "word_idx"]
+    ranges = align.word_to_caption_range(part, chars, pairs).select(*place, "c_from", "c_to")
+    near = align.local_coverage(part, pairs).select(*place, F.col("coverage").alias("secondary_coverage"))
+    own = chars.groupBy(*place).agg(F.min("idx").alias("i0"), (F.max("idx") + 1).alias("i1"))
+    w = words.join(own, place).select("track_id", F.col("seg_pos").alias("s_seg"), F.col("word_idx").alias("s_word"), F.col("start_ms").alias("w0"), F.col("end_ms").alias("w1"), F.col("text").alias("t"), "probability", "i0", "i1")
+    found = s.join(ranges, place).select("track_id", "span_id", "start_ms", "end_ms", "c_from", "c_to").join(w, "track_id").where("i0 < c_to and i1 > c_from")
+    g = found.groupBy("track_id", "span_id", "start_ms", "end_ms").agg(
+        F.bool_or((F.col("i0") < F.col("c_from")) | (F.col("i1") > F.col("c_to"))).alias("partial"), F.avg("probability").alias("mean_probability"), F.min("probability").alias("min_probability"), F.min("w0").alias("w0"), F.max("w1").alias("w1"),
+        F.transform(F.array_sort(F.collect_list(F.struct("s_seg", "s_word", "t"))), lambda x: x.t).alias("texts"),
     )
-    longer = F.greatest(F.col("end_ms") - F.col("start_ms"), F.col("w1") - F.col("w0"))
-    overlap = F.greatest(F.lit(0), F.least("end_ms", "w1") - F.greatest("start_ms", "w0")) / longer
     ok = lambda c: F.when(~F.col("partial"), c)
-    return g.select("track_id", "span_id", F.when(F.col("partial"), "").otherwise(F.col("t")).alias("secondary_text"), F.when(F.col("partial"), "secondary_range_partial_word").alias("issue"), F.coalesce(ok(overlap), F.lit(0.0)).alias("secondary_overlap"), ok(F.col("mean_probability")).alias("mean_probability"), ok(F.col("min_probability")).alias("min_probability"))
+    text = F.when(F.col("partial"), "").otherwise(F.array_join("texts", ""))
+    g = g.select("track_id", "span_id", text.alias("secondary_text"), ok(F.col("texts")).alias("secondary_words"), F.when(F.col("partial"), "secondary_range_partial_word").alias("issue"), F.coalesce(ok(temporal_overlap(F.col("start_ms"), F.col("end_ms"), F.col("w0"), F.col("w1"))), F.lit(0.0)).alias("secondary_overlap"), ok(F.col("mean_probability")).alias("mean_probability"), ok(F.col("min_probability")).alias("min_probability"))
+    told = s.join(near, place, "left").join(g, ["track_id", "span_id"], "left").select(F.col("span_track").alias("track_id"), "span_id", "secondary_text", "secondary_words", "issue", F.coalesce("secondary_coverage", F.lit(0.0)).alias("secondary_coverage"), F.coalesce("secondary_overlap", F.lit(0.0)).alias("secondary_overlap"), "mean_probability", "min_probability")
+    every = spans.select("track_id", "span_id").join(asked, ["track_id", "span_id"], "left").join(here, ["track_id", "win"], "left").join(told, ["track_id", "span_id"], "left")
+    return every.withColumn("selected", F.col("win").isNotNull()).withColumn("processed", F.coalesce("processed", F.lit(False)))
+
+
+def reconcile(words: DataFrame, captions: DataFrame, heard, segments: DataFrame, language: str = "ja", most: int | None = None) -> dict[str, DataFrame]:
+    """The whole chain over a corpus: ``items`` with their decisions, corrected ``segments``, and the ``summary``.
+
+    ``words`` and ``captions`` are timed words of both sources; ``heard`` gives the second model's words for the
+    windows it is handed (a function from windows to words with ``win``); ``segments`` hold the surface texts.
+    """
+    p, c = staged(align.character_timeline(words, language), "primary"), staged(align.character_timeline(captions, language), "caption")
+    pairs = staged(align.aligned_pairs(align.monotonic_chain(align.merge_diagonal_blocks(align.anchor_blocks(p, c)))), "pairs")
+    ranges = staged(align.word_to_caption_range(p, c, pairs), "ranges")
+    spans = staged(suspicious_words(words, ranges, language=language), "spans")
+    windows = staged(budgeted_top_k(window_priority(pad_and_merge_windows(spans), spans), most or WINDOWS.get(language, 60)), "windows")
+    second = staged(heard(windows.where("selected")), "heard")
+    evidence = secondary_evidence(spans, windows, p, second, language)
+    place = ["track_id", "seg_pos", "word_idx"]
+    seen = F.when(F.col("c_start_ms").isNotNull(), primary_coverage(F.col("start_ms"), F.col("end_ms"), F.col("c_start_ms"), F.col("c_end_ms")))
+    items = spans.join(align.local_coverage(p, pairs), place, "left").join(ranges.select(*place, "c_start_ms", "c_end_ms"), place, "left").withColumn("overlap", F.coalesce(seen, F.lit(0.0))).drop("c_start_ms", "c_end_ms")
+    items = items.join(evidence.drop("win"), ["track_id", "span_id"]).withColumnRenamed("text", "primary_text").withColumn("coverage", F.coalesce("coverage", F.lit(0.0))).withColumn("language", F.lit(language))
+    map_of = surface_spans(words, segments)
+    mapped = map_of.select("track_id", "seg_pos").distinct().withColumn("surface_mapped", F.lit(True))
+    items = items.join(rebuildable(words, segments), ["track_id", "seg_pos"], "left").join(mapped, ["track_id", "seg_pos"], "left")
+    items = items.withColumns({"skipped": ~F.col("selected"), "rebuildable": F.coalesce("rebuildable", F.lit(False)), "surface_mapped": F.coalesce("surface_mapped", F.lit(False))})
+    final = staged(finalise_decisions(decide(items, language=language)), "items")
+    right = final.where("decision = 'corrected'").select("track_id", "seg_pos", F.col("word_idx").alias("word_start"), (F.col("word_idx") + 1).alias("word_end"), F.col("secondary_words").alias("texts"), F.col("secondary_text").alias("new_text"), "rebuildable")
+    spliced = splice_surface(segments, map_of, right.where("not rebuildable").drop("texts", "rebuildable"))
+    rebuilt = apply_replacements(words, right.where("rebuildable").drop("new_text", "rebuildable")).join(right.where("rebuildable").select("track_id", "seg_pos").distinct(), ["track_id", "seg_pos"], "left_semi")
+    texts = spliced.join(rebuilt.select("track_id", "seg_pos", F.col("text").alias("rebuilt")), ["track_id", "seg_pos"], "left").select("track_id", "seg_pos", F.coalesce("rebuilt", "text").alias("text"))
+    asked = windows.join(second.select("track_id", "win").distinct().withColumn("processed", F.lit(True)), ["track_id", "win"], "left").withColumn("processed", F.coalesce("processed", F.lit(False)))
+    return {"items": final, "segments": texts, "summary": reconciliation_summary(final, asked, align.track_coverage(pairs, p), {"ko": "KOREAN"}.get(language, "JAPANESE"))}

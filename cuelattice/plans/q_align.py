@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cuelattice.functions.text import text_similarity
+from cuelattice.functions.text import normalize_alignment_text
 from cuelattice.operators import align, reconcile
 from cuelattice.plans.views import SPANS, TURNS, WORDS, spans, table, turns, words
 
-# Of the queries with SQL; the others have the operator's own least.
-ANCHOR = 8
+ANCHOR = align.LEAST_ANCHOR
 
 
 def _altered(spark, sf_dir):
@@ -22,8 +21,8 @@ def _chars(spark, sf_dir):
     return align.character_timeline(words(spark, sf_dir), None), align.character_timeline(_altered(spark, sf_dir), None)
 
 
-def _blocks(spark, sf_dir, least=align.LEAST_ANCHOR):
-    return align.anchor_blocks(*_chars(spark, sf_dir), least)
+def _blocks(spark, sf_dir):
+    return align.anchor_blocks(*_chars(spark, sf_dir))
 
 
 def _chain(spark, sf_dir):
@@ -34,6 +33,13 @@ def _pairs(spark, sf_dir):
     return align.aligned_pairs(_chain(spark, sf_dir))
 
 
+def _given(spark, sf_dir):
+    """A chain that is known: the words that weren't altered stand at the same places in both timelines."""
+    w = _chars(spark, sf_dir)[0].groupBy("track_id", "seg_pos", "word_idx").agg(F.min("idx").alias("p0"), F.count("*").alias("size"))
+    same = words(spark, sf_dir).where("probability >= 0.1").select("track_id", "seg_pos", "word_idx")
+    return w.join(same, ["track_id", "seg_pos", "word_idx"]).select("track_id", "p0", F.col("p0").alias("c0"), "size", F.lit(20.0).alias("dist"))
+
+
 def _ranges(spark, sf_dir):
     p, c = _chars(spark, sf_dir)
     return align.word_to_caption_range(p, c, _pairs(spark, sf_dir))
@@ -125,16 +131,26 @@ def _final(spark, sf_dir):
 
 
 def _heard(spark, sf_dir):
-    return _altered(spark, sf_dir).select("track_id", "seg_pos", "word_idx", F.col("text").alias("caption_text")).where("word_idx % 9 <> 4")
+    """Caption texts of most words, as they are compared; of every tenth the first half alone."""
+    w = words(spark, sf_dir).withColumn("n", normalize_alignment_text(F.col("text")))
+    half = F.left("n", F.floor((F.length("n") + 1) / 2).cast("int"))
+    return w.where("word_idx % 9 <> 4").select("track_id", "seg_pos", "word_idx", F.when(F.col("probability") < 0.1, half).when(F.col("probability") > 0.9, half).otherwise(F.col("n")).alias("caption_text"))
 
 
 def _suspicious(spark, sf_dir):
-    like = F.when(F.col("text") == F.col("caption_text"), 1.0).otherwise(1 / F.length("text"))
-    return reconcile.suspicious_words(words(spark, sf_dir), _heard(spark, sf_dir), like, low=0.3)
+    return reconcile.suspicious_words(words(spark, sf_dir), _heard(spark, sf_dir))
+
 
+def _reconciled(spark, sf_dir):
+    """Turns against the altered words as captions; a second model that mostly hears what the captions say."""
+    said, other = words(spark, sf_dir), _altered(spark, sf_dir)
 
-def _suspicious_whole(spark, sf_dir):
-    return reconcile.suspicious_words(words(spark, sf_dir), _heard(spark, sf_dir), text_similarity(F.col("text"), F.col("caption_text")))
+    def heard(windows):
+        w = other.select("track_id", "seg_pos", "word_idx", F.col("text").alias("other")).join(said, ["track_id", "seg_pos", "word_idx"]).withColumn("text", F.when(F.col("probability") < 0.07, F.col("other")).otherwise(F.col("text")))
+        kept = windows.select("track_id", "win", F.col("start_ms").alias("from_ms"), F.col("end_ms").alias("to_ms"))
+        return w.join(kept, "track_id").where("start_ms < to_ms and end_ms > from_ms").select("track_id", "win", "seg_pos", "word_idx", "start_ms", "end_ms", "text", F.lit(0.95).alias("probability"))
+
+    return reconcile.reconcile(said, other, heard, turns(spark, sf_dir).select("track_id", "seg_pos", "text"), "ko")
 
 
 def _replaced(spark, sf_dir):
@@ -145,13 +161,17 @@ def _replaced(spark, sf_dir):
 
 def _surface(spark, sf_dir):
     w, t = words(spark, sf_dir), turns(spark, sf_dir).select("track_id", "seg_pos", "text")
-    new = w.where("probability < 0.1").select("track_id", "seg_pos", "word_idx", F.upper("text").alias("new_text"))
+    new = w.where("probability < 0.1").select("track_id", "seg_pos", F.col("word_idx").alias("word_start"), (F.col("word_idx") + 1).alias("word_end"), F.concat(F.lit(" <"), "text", F.lit("> ")).alias("new_text"))
     return reconcile.splice_surface(t, reconcile.surface_spans(w, t), new)
 
 
+def _by_user(spark, sf_dir):
+    """Items of line items under the keys of events' users, so that windows and items meet."""
+    return _final(spark, sf_dir).withColumn("track_id", F.col("track_id") % 150)
+
+
 def _secondary(spark, sf_dir):
-    c = _chars(spark, sf_dir)[1]
-    return reconcile.secondary_evidence(_suspicious_whole(spark, sf_dir), c, _altered(spark, sf_dir), _ranges(spark, sf_dir))
+    return _reconciled(spark, sf_dir)["items"].select("track_id", "span_id", "seg_pos", "word_idx", "secondary_text", "issue", "secondary_coverage", "secondary_overlap", "decision", "reason", "final_text")
 
 
 def _quality(spark, sf_dir):
@@ -163,27 +183,26 @@ QUERIES = {
     "character_timeline": lambda s, d: _chars(s, d)[0],
     "interval_candidates": lambda s, d: align.interval_candidates(turns(s, d), turns(s, d).withColumn("start_ms", F.col("start_ms") + 700)),
     "hopping_windows": lambda s, d: align.hopping_windows(_chars(s, d)[0], align.origins(*_chars(s, d))).groupBy("track_id", "win").agg(F.count("*").alias("n"), F.min("idx").alias("first_idx")),
-    "anchor_blocks": lambda s, d: _blocks(s, d, ANCHOR),
-    "anchor_blocks_whole": _blocks,
-    "merge_diagonal_blocks": lambda s, d: align.merge_diagonal_blocks(_blocks(s, d, ANCHOR)),
-    "merge_diagonal_blocks_whole": lambda s, d: align.merge_diagonal_blocks(_blocks(s, d)),
+    "anchor_blocks": _blocks,
+    "merge_diagonal_blocks": lambda s, d: align.merge_diagonal_blocks(_blocks(s, d)),
     "monotonic_chain": _chain,
-    "aligned_pairs": _pairs,
-    "track_coverage": lambda s, d: align.track_coverage(_pairs(s, d), _chars(s, d)[0]),
+    "aligned_pairs": lambda s, d: align.aligned_pairs(_given(s, d)),
+    "track_coverage": lambda s, d: align.track_coverage(align.aligned_pairs(_given(s, d)), _chars(s, d)[0]),
     "word_to_caption_range": _ranges,
-    "local_coverage": lambda s, d: align.local_coverage(_chars(s, d)[0], _pairs(s, d)),
+    "local_coverage": lambda s, d: align.local_coverage(_chars(s, d)[0], align.aligned_pairs(_given(s, d))),
     "segment_alignment": lambda s, d: align.segment_alignment(*_chars(s, d), _pairs(s, d)).drop("word_captions"),
     "suspicious_words": _suspicious,
-    "suspicious_words_whole": _suspicious_whole,
     "pad_and_merge_windows": lambda s, d: _windows(s, d).withColumn("span_ids", F.array_join(F.transform("span_ids", lambda x: x.cast("string")), ",")),
     "window_priority": lambda s, d: reconcile.window_priority(_windows(s, d), spans(s, d)).drop("span_ids"),
     "budgeted_top_k": lambda s, d: _budget(s, d).drop("span_ids"),
     "secondary_evidence": _secondary,
+    "reconcile_texts": lambda s, d: _reconciled(s, d)["segments"],
+    "reconcile_totals": lambda s, d: _reconciled(s, d)["summary"].withColumn("warnings", F.array_join("warnings", ",")),
     "decide": lambda s, d: reconcile.decide(_items(s, d), normalised=True).select("track_id", "seg_pos", "decision", "reason"),
     "finalise_decisions": lambda s, d: _final(s, d).select("track_id", "seg_pos", "decision", "reason", "final_text", "corrected_words"),
     "apply_replacements": _replaced,
     "splice_surface": _surface,
-    "reconciliation_summary": lambda s, d: reconcile.reconciliation_summary(_final(s, d), _budget(s, d)).withColumn("warnings", F.array_join("warnings", ",")),
+    "reconciliation_summary": lambda s, d: reconcile.reconciliation_summary(_by_user(s, d), _budget(s, d)).withColumn("warnings", F.array_join("warnings", ",")),
     "unresolved_reasons": lambda s, d: reconcile.unresolved_reasons(_final(s, d)),
     "published_corrections": lambda s, d: reconcile.published_corrections(_final(s, d)).select("track_id", "seg_pos", "final_text"),
     "transcript_quality": _quality,
@@ -201,9 +220,20 @@ ORACLE_SQL = {
     "hopping_windows": f"{_BOTH}, w as (select p.*, {_WIN} as win from p join origin using (track_id)) select track_id, win, count(*) as n, min(idx) as first_idx from w group by all",
     "anchor_blocks": f"{_BLOCKS} select * from blocks",
     "merge_diagonal_blocks": f"{_MERGED} select * from merged",
-    "suspicious_words": f"""with {WORDS}, a as (select *, case when word_idx % 9 <> 4 then case when probability < 0.1 then reverse(text) else text end end as caption_text from words),
-      m as (select *, case when caption_text <> '' then case when text = caption_text then 1.0::double else 1.0::double / length(text) end end as similarity from a),
-      s as (select *, probability < 0.3 as unsure, coalesce(similarity < 0.3, false) as differs from m)
+    "aligned_pairs": f"{_BOTH} select track_id, base + o as p, base + o as c from p_e where probability >= 0.1",
+    "track_coverage": f"{_BOTH} select track_id, coalesce(sum(n) filter (probability >= 0.1), 0)::double / sum(n) as coverage from p_w group by track_id",
+    "local_coverage": f"""{_BOTH}, h as (select p_e.*, base + o as idx, (probability >= 0.1)::int as hit from p_e),
+      k as (select *, coalesce(sum(hit) over l, 0) as lh, count(*) over l as ln, coalesce(sum(hit) over r, 0) as rh, count(*) over r as rn from h
+        window l as (partition by track_id order by idx rows between {ANCHOR} preceding and 1 preceding), r as (partition by track_id order by idx rows between 1 following and {ANCHOR} following)),
+      g as (select track_id, seg_pos, word_idx, sum(hit) as own, count(*) as n, arg_min(lh, idx) + arg_max(rh, idx) as near, arg_min(ln, idx) + arg_max(rn, idx) as near_n from k group by all)
+      select track_id, seg_pos, word_idx, greatest(case when own >= {ANCHOR} then own::double / n else 0.0 end, case when near >= {ANCHOR} then near::double / near_n else 0.0 end) as coverage from g""",
+    "splice_surface": """with t as (select conv_id as track_id, turn as seg_pos, text, regexp_extract_all(text, '\\s*\\S+') as ps, case when regexp_matches(text, '^\\s') then 1 else 0 end as skip from conversations),
+      e as (select track_id, seg_pos, i, regexp_extract(x, '^\\s*') as gap, regexp_replace(x, '^\\s+', '') as w from (select *, unnest(ps) as x, generate_subscripts(ps, 1) as i from t)),
+      j as (select track_id, seg_pos, string_agg(gap || case when ('0x' || substr(md5(w), 1, 4))::bigint % 100 / 100.0::double < 0.1 then '<' || w || '>' else w end, '' order by i) as s from e group by all)
+      select track_id, seg_pos, case when text = '' then text else coalesce(s, '') || regexp_extract(text, '\\s*$') end as text from t left join j using (track_id, seg_pos)""",
+    "suspicious_words": f"""with {WORDS}, a as (select *, replace(lower(regexp_replace(text, '[\\p{{P}}\\p{{S}}\\p{{Z}}\\p{{C}}]', '', 'g')), 'ß', 'ss') as n, case when probability < 0.1 or probability > 0.9 then (length(n) + 1) // 2 else length(n) end as k from words),
+      m as (select *, case when word_idx % 9 <> 4 then left(n, k) end as caption_text, case when word_idx % 9 <> 4 and n <> '' then 2.0::double * k / (length(n) + k) end as similarity from a),
+      s as (select *, probability < 0.72 as unsure, coalesce(similarity < 0.72, false) as differs from m)
       select track_id, row_number() over (partition by track_id order by seg_pos, word_idx) - 1 as span_id, seg_pos, word_idx, start_ms, end_ms, text, caption_text, similarity,
         case when unsure and differs then 1 when unsure then 2 else 3 end as tier, case when unsure then probability else coalesce(similarity, 1.0) end as score from s where unsure or differs""",
     "pad_and_merge_windows": f"{_WINDOWS} select track_id, win, start_ms, end_ms, array_to_string(span_ids, ',') as span_ids from windows",
@@ -213,11 +243,13 @@ ORACLE_SQL = {
     "finalise_decisions": f"with {_ITEMS} select track_id, seg_pos, decision, reason, final_text, corrected_words from done",
     "apply_replacements": f"""with {WORDS} select track_id, seg_pos, string_agg(case when probability < 0.1 then '*' || text || ' ! ' else text || ' ' end, '' order by word_idx) as text,
       (count(*) + sum(case when probability < 0.1 then 1 else 0 end))::int as n_words from words group by all""",
-    "reconciliation_summary": f"""{_KEPT}, {_ITEMS}, i as (select track_id, count(*) as suspicious, count(*) filter (k % 17 <> 0) as selected, count(*) filter (k % 7 <> 0) as processed, sum(corrected_words)::bigint as corrected_words,
-      count(distinct seg_pos) filter (decision = 'corrected') as corrected_segments, count(*) filter (decision = 'unresolved') as unresolved, count(*) filter (decision = 'skipped') as skipped from done group by track_id),
-      w as (select track_id, count(*) as windows, sum(end_ms - start_ms)::bigint as duration_ms from budget where selected group by track_id)
-      select i.*, coalesce(w.windows, 0) as windows, coalesce(w.duration_ms, 0) as duration_ms, array_to_string(list_filter([case when corrected_segments > 0 then 'JAPANESE_RECONCILED' end,
-        case when unresolved > 0 then 'JAPANESE_RECONCILIATION_UNRESOLVED' end, case when skipped > 0 then 'JAPANESE_RECONCILIATION_LIMIT_REACHED' end], lambda x: x is not null), ',') as warnings from i left join w using (track_id)""",
+    "reconciliation_summary": f"""{_KEPT}, {_ITEMS}, i as (select track_id % 150 as track_id, count(*) as suspicious, count(*) filter (k % 17 <> 0) as selected, count(*) filter (k % 7 <> 0) as processed, sum(corrected_words)::bigint as corrected_words,
+      count(distinct seg_pos) filter (decision = 'corrected') as corrected_segments, count(*) filter (decision = 'unresolved') as unresolved, count(*) filter (decision = 'skipped') as skipped from done group by all),
+      w as (select track_id, count(*) filter (selected) as windows, sum(end_ms - start_ms) filter (selected) as duration_ms, count(*) filter (not selected) as skipped_windows from budget group by track_id)
+      select track_id, coalesce(suspicious, 0) as suspicious, coalesce(i.selected, 0) as selected, coalesce(processed, 0) as processed, coalesce(corrected_words, 0) as corrected_words, coalesce(corrected_segments, 0) as corrected_segments, coalesce(unresolved, 0) as unresolved, coalesce(skipped, 0) as skipped,
+        coalesce(w.windows, 0) as windows, coalesce(w.duration_ms, 0)::bigint as duration_ms, coalesce(w.skipped_windows, 0) as skipped_windows, coalesce(w.windows, 0) as secondary_windows, coalesce(w.duration_ms, 0)::bigint as secondary_duration_ms,
+        array_to_string(list_filter([case when corrected_segments > 0 then 'JAPANESE_RECONCILED' end, case when unresolved > 0 then 'JAPANESE_RECONCILIATION_UNRESOLVED' end, case when skipped > 0 then 'JAPANESE_RECONCILIATION_LIMIT_REACHED' end], lambda x: x is not null), ',') as warnings
+      from i full join w using (track_id)""",
     "unresolved_reasons": f"with {_ITEMS} select reason, count(*) as n from done where decision = 'unresolved' group by reason",
     "published_corrections": f"with {_ITEMS} select track_id, seg_pos, final_text from done where decision = 'corrected'",
     "transcript_quality": """with l as (select doc_id, len(list_filter(regexp_split_to_array(t, '\\s+'), lambda x: x <> '')) as n from (select doc_id, unnest(string_split(text, chr(10))) as t from documents))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cuelattice.operators import captions
-from cuelattice.plans.views import CUE_GAP_MS, CUES, TURNS, cues, turns
+from cuelattice.plans.views import CUE_GAP_MS, CUES, ROLLED, cues, rolled
 
 _MERGED = f"""
 m as (select *, max(end_ms) over (partition by track_id order by cue_ord rows between unbounded preceding and 1 preceding) as m from cues),
@@ -26,16 +26,14 @@ QUERIES = {
     "detect_rolling_tracks": lambda s, d: captions.rolling_tracks(cues(s, d), CUE_GAP_MS),
     "collapse_rolling_cues": lambda s, d: captions.collapse_rolling_cues(cues(s, d), CUE_GAP_MS),
     "route_and_number": lambda s, d: captions.route_and_number(cues(s, d).withColumn("inline", F.lit(False)), 0)[0],
-    "trim_rolling_prefix": lambda s, d: captions.trim_rolling_prefix(turns(s, d).withColumn("text", F.left("text", F.lit(400))), 10**9, 1).select("track_id", "seg_pos", "text", "trimmed"),
-    "trim_rolling_prefix_whole": lambda s, d: captions.trim_rolling_prefix(turns(s, d), 10**9, 1).select("track_id", "seg_pos", "text", "trimmed"),
+    "trim_rolling_prefix": lambda s, d: captions.trim_rolling_prefix(rolled(s, d)).select("track_id", "seg_pos", "text", "trimmed"),
 }
 
 ORACLE_SQL = {
     "merge_repeated_cues": f"with {CUES}, {_MERGED} select * from merged",
     "detect_rolling_tracks": f"with {CUES}, {_ROLLING} select * from rolling",
-    "trim_rolling_prefix": f"""with {TURNS}, t as (select track_id, seg_pos, left(text, 400) as text, start_ms, end_ms from turns where text <> ''),
-p as (select *, lag(text) over w as before, lag(end_ms) over w as ended from t window w as (partition by track_id order by seg_pos)),
-n as (select *, case when start_ms - ended <= 1000000000 then
-   coalesce(list_max(list_filter(range(1, least(length(before), length(text)) + 1), lambda k: right(before, k) = left(text, k))), 0) else 0 end as k from p)
+    "trim_rolling_prefix": f"""with {ROLLED}, p as (select *, lag(text) over w as before, lag(end_ms) over w as ended from rolled where text <> '' window w as (partition by track_id order by seg_pos)),
+n as (select *, case when start_ms - ended <= 1500 then
+   coalesce(list_max(list_filter(range(4, least(length(before), length(text)) + 1), lambda k: right(before, k) = left(text, k))), 0) else 0 end as k from p)
 select track_id, seg_pos, substr(text, k::bigint + 1) as text, k::int as trimmed from n""",
 }

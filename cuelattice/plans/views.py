@@ -51,7 +51,7 @@ PARAGRAPHS = "paragraphs as (select doc_id, 'doc ' || doc_id as title, coalesce(
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversation turns as ASR segments of a track, one after the other, ten milliseconds a character."""
+    """Conversation turns as ASR segments of a track, one after the other, at the speed of speech: 80 milliseconds a character."""
     c = table(spark, sf_dir, "conversations")
     before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     length = F.length("text")
@@ -60,29 +60,45 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("turn").alias("seg_pos"),
         "role",
         "text",
-        (F.coalesce(F.sum(length).over(before), F.lit(0)) * 10).alias("start_ms"),
-        ((F.coalesce(F.sum(length).over(before), F.lit(0)) + length) * 10).alias("end_ms"),
+        (F.coalesce(F.sum(length).over(before), F.lit(0)) * 80).alias("start_ms"),
+        ((F.coalesce(F.sum(length).over(before), F.lit(0)) + length) * 80).alias("end_ms"),
     )
 
 
 TURNS = """
 turns as (select conv_id as track_id, turn as seg_pos, role, text,
-  coalesce(sum(length(text)) over b, 0) * 10 as start_ms, (coalesce(sum(length(text)) over b, 0) + length(text)) * 10 as end_ms
+  coalesce(sum(length(text)) over b, 0) * 80 as start_ms, (coalesce(sum(length(text)) over b, 0) + length(text)) * 80 as end_ms
   from conversations window b as (partition by conv_id order by turn rows between unbounded preceding and 1 preceding))
 """
 
 
+def rolled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of which every third begins with the end of the one before, as rolling captions do."""
+    t = turns(spark, sf_dir)
+    before = F.lag("text").over(Window.partitionBy("track_id").orderBy("seg_pos"))
+    again = F.when(F.col("seg_pos") % 3 == 1, F.right(before, (F.col("seg_pos") * 37 + 5).cast("int")))
+    return t.withColumn("text", F.concat(F.coalesce(again, F.lit("")), "text"))
+
+
+ROLLED = (
+    TURNS
+    + """,
+rolled as (select * replace (coalesce(case when seg_pos % 3 = 1 then right(lag(text) over (partition by track_id order by seg_pos), seg_pos * 37 + 5) end, '') || text as text) from turns)
+"""
+)
+
+
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of the turns with times by position and a probability that follows from the word."""
     w = turns(spark, sf_dir).select("track_id", "seg_pos", F.posexplode(F.split("text", r"\s+")).alias("word_idx", "text"), "start_ms").where("text <> ''")
     digit = F.conv(F.substring(F.md5(F.col("text").cast("binary")), 1, 4), 16, 10).cast("long") % 100
-    return w.select("track_id", "seg_pos", F.col("word_idx").cast("long").alias("word_idx"), (F.col("start_ms") + F.col("word_idx") * 60).alias("start_ms"), (F.col("start_ms") + F.col("word_idx") * 60 + 50).alias("end_ms"), "text", (digit / 100.0).alias("probability"))
+    return w.select("track_id", "seg_pos", F.col("word_idx").cast("long").alias("word_idx"), (F.col("start_ms") + F.col("word_idx") * 480).alias("start_ms"), (F.col("start_ms") + F.col("word_idx") * 480 + 400).alias("end_ms"), "text", (digit / 100.0).alias("probability"))
 
 
 WORDS = (
     TURNS
     + """,
-words as (select track_id, seg_pos, (i - 1)::bigint as word_idx, start_ms + (i - 1) * 60 as start_ms, start_ms + (i - 1) * 60 + 50 as end_ms, w as text,
+words as (select track_id, seg_pos, (i - 1)::bigint as word_idx, start_ms + (i - 1) * 480 as start_ms, start_ms + (i - 1) * 480 + 400 as end_ms, w as text,
   (('0x' || substr(md5(w), 1, 4))::bigint % 100) / 100.0::double as probability
   from (select track_id, seg_pos, start_ms, unnest(regexp_split_to_array(text, '\\s+')) as w, generate_subscripts(regexp_split_to_array(text, '\\s+'), 1) as i from turns) where w <> '')
 """

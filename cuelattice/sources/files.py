@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -21,13 +22,20 @@ SOURCES = ("manual_caption", "automatic_caption", "audio")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder that all executors share: below ``spark.checkpoint.dir``, or a local default where that is unset."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp/cuelattice-checkpoints"
+    """A fresh folder that all executors share: below ``spark.checkpoint.dir``, or in the warehouse where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/cuelattice-checkpoints"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a fresh shared folder and read again, where several parts of one job use it."""
+    path = scratch(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _ms(line: Column, first: int) -> Column:
     part = lambda i: F.coalesce(F.nullif(F.regexp_extract(line, TIMING, first + i), F.lit("")).cast("long"), F.lit(0))
     return ((part(0) * 60 + part(1)) * 60 + part(2)) * 1000 + part(3)

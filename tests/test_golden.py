@@ -8,10 +8,9 @@ from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
 
-from cuelattice.functions.text import clean_markup, length_bounds, normalize_alignment_text, text_similarity
+from cuelattice.functions.text import borders, clean_markup, length_bounds, normalize_alignment_text, text_similarity
 from cuelattice.operators import align, captions, docs, reconcile, tracks
 from cuelattice.plans import q_align, registry
-from cuelattice.plans.views import words
 from cuelattice.sources import files
 
 CUE = "track_id string, cue_ord long, start_ms long, end_ms long, text string, lines array<string>, inline boolean"
@@ -26,9 +25,9 @@ def segments(df):
 
 
 def test_repeats_merge_and_gaps_part(spark):
-    df = spark.createDataFrame([cue(1, 0, 1000, "Hello & welcome"), cue(2, 900, 1500, "Hello & welcome"), cue(3, 1500, 2000, "Next line")], CUE)
-    assert segments(captions.merge_repeated_cues(df)) == [(0, 1500, "Hello & welcome"), (1500, 2000, "Next line")]
-    far = spark.createDataFrame([cue(1, 0, 1000, "Again"), cue(2, 3000, 4000, "Again")], CUE)
+    df = spark.createDataFrame([cue(1, 250, 1300, "tide tables"), cue(2, 1700, 2600, "tide tables"), cue(3, 2400, 3900, "low water")], CUE)
+    assert segments(captions.merge_repeated_cues(df)) == [(250, 2600, "tide tables"), (2600, 3900, "low water")]
+    far = spark.createDataFrame([cue(1, 100, 700, "echo"), cue(2, 1701, 2500, "echo")], CUE)
     assert len(segments(captions.merge_repeated_cues(far))) == 2
 
 
@@ -56,10 +55,10 @@ def test_merge_equals_reading_in_order(spark):
 
 def test_rolling_lines_come_once(spark):
     df = spark.createDataFrame(
-        [cue(1, 160, 2620, "Alpha phrase", inline=True), cue(2, 2620, 2630, "Alpha phrase"), cue(3, 2620, 5440, "Alpha phrase", "Beta phrase"), cue(4, 5440, 5450, "Beta phrase"), cue(5, 5440, 8669, "Beta phrase", "Gamma phrase")], CUE
+        [cue(1, 40, 1900, "the ferry leaves", inline=True), cue(2, 1900, 1912, "the ferry leaves"), cue(3, 1912, 4050, "the ferry leaves", "at seven sharp"), cue(4, 4050, 4061, "at seven sharp"), cue(5, 4061, 7007, "at seven sharp", "from pier nine")], CUE
     )
     got, empty = captions.route_and_number(df)
-    assert [x[2] for x in segments(got)] == ["Alpha phrase", "Beta phrase", "Gamma phrase"]
+    assert [x[2] for x in segments(got)] == ["the ferry leaves", "at seven sharp", "from pier nine"]
     assert empty.count() == 0
 
 
@@ -117,10 +116,26 @@ def test_decision_consensus(spark):
 
 
 def test_surface_keeps_spaces(spark):
-    words = spark.createDataFrame([("t", 0, i, w) for i, w in enumerate(["안녕", "하세", "요"])], "track_id string, seg_pos int, word_idx int, text string")
-    seg = spark.createDataFrame([("t", 0, " 안녕  하세 요 ")], "track_id string, seg_pos int, text string")
-    new = spark.createDataFrame([("t", 0, 1, "합니")], "track_id string, seg_pos int, word_idx int, new_text string")
-    assert reconcile.splice_surface(seg, reconcile.surface_spans(words, seg), new).first()["text"] == " 안녕  합니 요 "
+    said = [("t", 0, ["물길", "은", "깊다"]), ("t", 1, ["a", "", "b"]), ("t", 2, ["x", "y"]), ("u", 0, ["only"])]
+    words = spark.createDataFrame([(t, s, i, w) for t, s, ws in said for i, w in enumerate(ws)], "track_id string, seg_pos int, word_idx int, text string")
+    seg = spark.createDataFrame([("t", 0, "  물길 은\u3000깊다 "), ("t", 1, "a b"), ("t", 2, "x z"), ("u", 0, "only"), ("v", 0, "no words")], "track_id string, seg_pos int, text string")
+    new = spark.createDataFrame([("t", 0, 1, 3, " 이 얕다 "), ("t", 1, 0, 1, "A"), ("u", 0, 0, 1, "ONE")], "track_id string, seg_pos int, word_start int, word_end int, new_text string")
+    got = {(r["track_id"], r["seg_pos"]): r["text"] for r in reconcile.splice_surface(seg, reconcile.surface_spans(words, seg), new).collect()}
+    assert got == {("t", 0): "  물길 이 얕다 ", ("t", 1): "a b", ("t", 2): "x z", ("u", 0): "ONE", ("v", 0): "no words"}
+
+
+def test_spans_without_evidence_stay(spark):
+    timed = "track_id string, seg_pos int, word_idx long, start_ms long, end_ms long, text string"
+    said = ["wide", "river", "mouth", "opens", "slowly"]
+    p = align.character_timeline(spark.createDataFrame([("t", 0, i, i * 500, i * 500 + 400, w) for i, w in enumerate(said)], timed), None)
+    heard = spark.createDataFrame([("t", 0, 0, i, i * 500, i * 500 + 400, w, 0.9) for i, w in enumerate(["wide", "rivet", "mouth", "opens", "slowly"])], "track_id string, win int, seg_pos int, word_idx long, start_ms long, end_ms long, text string, probability double")
+    spans = spark.createDataFrame([("t", 0, 0, 1, 500, 900), ("t", 1, 0, 4, 2000, 2400), ("t", 2, 0, 3, 1500, 1900)], "track_id string, span_id long, seg_pos int, word_idx long, start_ms long, end_ms long")
+    windows = spark.createDataFrame([("t", 0, 0, 2000, [0], True), ("t", 1, 2000, 2400, [1], True), ("t", 2, 1500, 1900, [2], False)], "track_id string, win int, start_ms long, end_ms long, span_ids array<bigint>, selected boolean")
+    got = {r["span_id"]: r for r in reconcile.secondary_evidence(spans, windows, p, heard, None).collect()}
+    assert (got[0]["secondary_text"], got[0]["processed"], got[0]["issue"], got[0]["secondary_words"]) == ("rivet", True, None, ["rivet"])
+    assert got[0]["secondary_coverage"] == 1.0 and got[0]["secondary_overlap"] == 1.0 and got[0]["mean_probability"] == 0.9
+    assert (got[1]["secondary_text"], got[1]["selected"], got[1]["processed"]) == (None, True, False)
+    assert (got[2]["secondary_text"], got[2]["selected"], got[2]["processed"]) == (None, False, False)
 
 
 def test_alignment_of_altered_text(spark):
@@ -136,22 +151,67 @@ def test_alignment_of_altered_text(spark):
 
 
 def test_documents(spark):
-    d = spark.createDataFrame([(1, "1\n00:00:01,000 --> 00:00:02,000\nHello <00:00:01.500>world\n\n\nSecond \t line"), (2, "2026\nA year of change")], "doc_id long, body string")
+    d = spark.createDataFrame([(1, "12\n00:07:03.250 --> 00:07:05,000 align:start\nsalt <07:04.100>marsh\u3000\n\u3000\n\n\nheron \t nest\u00a0"), (2, "40\npairs of boots\r41\r\n9:00,500 --> 9:01,500\nend")], "doc_id long, body string")
     got = {r["doc_id"]: r["body"] for r in docs.normalise_bodies(d).collect()}
-    assert got == {1: "Hello world\n\nSecond line", 2: "2026\nA year of change"}
-    assert docs.split_text("あ" * 75, 25) == ["あ" * 25] * 3
-    rep = spark.createDataFrame([(1, "One two three four five six seven.\n\nOne two three four five six seven.\n\nfour five six seven. And more.")], "doc_id long, body string")
-    assert docs.drop_repeated_paragraphs(rep, least=10).first()["body"] == "One two three four five six seven.\n\nAnd more."
-    v = spark.createDataFrame([(1, "Bad\ntitle", "Title: x\nhttps://a.b [Music] 😀", "a source that is much longer than the body is " * 3)], "doc_id long, title string, body string, source_body string")
-    assert set(docs.validate_documents(v).first()["errors"]) == {"TITLE_MULTILINE", "OUTPUT_TOO_SHORT", "BODY_HAS_URL", "BODY_HAS_STAGE_DIRECTION", "BODY_HAS_EMOJI", "BODY_HAS_OUTPUT_MARKER"}
+    assert got == {1: "salt marsh\n\nheron nest", 2: "40\npairs of boots\nend"}
+    assert docs.split_text("い" * 46, 20) == ["い" * 20, "い" * 20, "い" * 6]
+    assert docs.split_text('one. two." three four', 14) == ['one. two." ', "three four"]
+    assert docs.split_text("aaaaaa\n\n\nbb cc", 10) == ["aaaaaa\n\n\n", "bb cc"]
+    rep = spark.createDataFrame([(1, "Wind from the north all day.\n \t\nWIND  from the North all day.\n\nthe north ALL day. Rain later.\n\n\nRain later")], "doc_id long, body string")
+    assert docs.drop_repeated_paragraphs(rep, least=10).first()["body"] == "Wind from the north all day.\n\nRain later.\n\nRain later"
+
+
+def test_rules_hold_for_what_would_be_published(spark):
+    said = "The lighthouse keeper counted forty ships before the fog came in from the west and hid the harbour. " * 2
+    same = "灯台守は霧が西から来て港を隠すまでに四十隻の船を数えた。" * 8
+    rows = [
+        (1, "Two\nlines", said + "\n\n" + said + "\n\n[Laughter] see WWW.example.org 🎉\nBody : x", said),
+        (2, "Title: 港 ", "はじめに\n\n" + same.replace("。", "。\n"), same),
+        (3, "t" * 101, "short", said),
+        (4, "", " \u3000\n", None),
+        (5, "ok", "# Head\n" + said, said),
+    ]
+    got = {r["doc_id"]: (r["title"], set(r["errors"]), r["warnings"]) for r in docs.validate_documents(spark.createDataFrame(rows, "doc_id long, title string, body string, source_body string")).collect()}
+    assert got[1] == ("Two\nlines", {"TITLE_MULTILINE", "BODY_HAS_URL", "BODY_HAS_STAGE_DIRECTION", "BODY_HAS_EMOJI", "BODY_HAS_OUTPUT_MARKER"}, ["SOURCE_BLOCK_COPIED"])
+    assert got[2] == ("港", set(), ["SOURCE_BLOCK_COPIED"])
+    assert got[3][1:] == ({"TITLE_TOO_LONG", "OUTPUT_TOO_SHORT"}, []) and got[4][1:] == ({"TITLE_EMPTY", "BODY_EMPTY", "SOURCE_EMPTY"}, [])
+    assert got[5][1:] == ({"BODY_HAS_MARKDOWN"}, [])
+
+
+def test_copies_are_told_without_case_and_space(spark):
+    line = "港の灯りは夜ごとに数を減らし、漁師たちは静かに網を繕っていた。"
+    outputs = spark.createDataFrame([(1, line * 3 + "\n\nother"), (2, "Quiet Harbour Lights AND nets that nobody mends"), (3, "nothing of the kind is in any of these sources"), (4, None)], "doc_id long, body string")
+    sources = spark.createDataFrame([(7, "前書き " + (line * 4).replace("、", "、\n")), (8, "so: quiet harbour\nlights and  nets that nobody MENDS, ever"), (9, None), (10, "x")], "source_id long, text string")
+    assert {(r["doc_id"], r["source_id"], r["n_blocks"]) for r in docs.copied_blocks(outputs, sources, 36).collect()} == {(1, 7, 1), (2, 8, 1)}
+
+
+def test_repeated_beginnings_equal_trying_all_lengths():
+    r = random.Random(11)
+    for _ in range(3000):
+        a, b = ("".join(r.choice("aAb \n") for _ in range(r.randrange(0, 14))) for _ in range(2))
+        least = r.randrange(1, 5)
+        want = next((n for n in range(min(len(a), len(b)), least - 1, -1) if docs._compact(a[len(a) - n :]) == docs._compact(b[:n])), 0)
+        assert docs.repeated_chars(a, b, least) == want, (a, b, least)
+        assert borders(a, b) == [n for n in range(min(len(a), len(b)), 0, -1) if a[len(a) - n :] == b[:n]]
 
 
 def test_replies(spark):
-    r = spark.createDataFrame([("a", 'Here:\n```json\n{"body": "Xin chào"}\n```', ["body"]), ("b", "<<<TITLE>>>T<<<BODY>>>B", ["title", "body"]), ("c", "nothing", ["body"]), ("d", '{"body": " "}', ["body"])], "request_id string, response string, required array<string>")
+    rows = [
+        ("a", 'As asked: {"body": "Grüße", "n": 3, "none": null} bye', ["body"]),
+        ("b", "<<<TITLE>>>old<<<BODY>>> text \n<<<TITLE>>>new", ["title", "body"]),
+        ("c", "no structure", ["body"]),
+        ("d", '{"body": ""}', ["body"]),
+        ("e", '[1] {"body": "x"}', ["body"]),
+        ("f", '```json\n{"body": "fenced"}\n```  ', ["body"]),
+        ("g", "[see note] {broken <<<BODY>>>kept", ["body"]),
+        ("h", None, ["body"]),
+    ]
+    r = spark.createDataFrame(rows, "request_id string, response string, required array<string>")
     got = {x["request_id"]: (x["fields"], x["code"]) for x in docs.extract_structured_replies(r).collect()}
-    assert got["a"] == ({"body": "Xin chào"}, None)
-    assert got["b"] == ({"title": "T", "body": "B"}, None)
-    assert got["c"] == (None, "NO_STRUCTURE") and got["d"][1] == "FIELD_MISSING"
+    assert got == {
+        "a": ({"body": "Grüße", "n": "3"}, None), "b": ({"title": "new", "body": "text"}, None), "c": (None, "NO_STRUCTURE"), "d": ({"body": ""}, "FIELD_MISSING"),
+        "e": (None, "NOT_OBJECT"), "f": ({"body": "fenced"}, None), "g": ({"body": "kept"}, None), "h": (None, "NO_STRUCTURE"),
+    }
 
 
 def test_urls_and_tracks(spark):
@@ -167,10 +227,10 @@ def test_urls_and_tracks(spark):
 
 
 def test_export_stamps(spark):
-    s = spark.createDataFrame([("t", 0, 3_600_001, 3_601_002, "Xin chào", "Demo: Video?")], "track_id string, seg_pos int, start_ms long, end_ms long, text string, title string")
+    s = spark.createDataFrame([("t", 0, 7_384_005, 7_385_999, "Guten Tag", "Hafen / Ebbe?")], "track_id string, seg_pos int, start_ms long, end_ms long, text string, title string")
     row = files.export_transcripts(s).first()
-    assert row["srt"] == "Title: Demo: Video?\n\n1\n01:00:00,001 --> 01:00:01,002\nXin chào\n"
-    assert s.select(files.safe_name(F.col("title")).alias("n")).first()["n"] == "Demo_ Video_"
+    assert row["srt"] == "Title: Hafen / Ebbe?\n\n1\n02:03:04,005 --> 02:03:05,999\nGuten Tag\n"
+    assert s.select(files.safe_name(F.col("title")).alias("n")).first()["n"] == "Hafen _ Ebbe_"
 
 
 def conversations(spark, path, texts):
@@ -180,13 +240,14 @@ def conversations(spark, path, texts):
     return str(path)
 
 
-def test_whole_turns_are_trimmed(spark, tmp_path):
+def test_whole_turns_are_trimmed(spark):
     r = random.Random(3)
     texts = ["".join(r.choice("ab") for _ in range(900))]
     for n in (0, 7, 300, 450, 900):
         texts.append(texts[-1][len(texts[-1]) - n :] + "".join(r.choice("ab") for _ in range(950 - n)))
-    got = {x["seg_pos"]: (x["trimmed"], x["text"]) for x in registry.QUERIES["trim_rolling_prefix_whole"](spark, conversations(spark, tmp_path, texts)).collect()}
-    best = [0] + [max((k for k in range(1, min(len(a), len(b)) + 1) if a.endswith(b[:k])), default=0) for a, b in zip(texts, texts[1:], strict=False)]
+    rows = spark.createDataFrame([("t", i, 1000 * i, 1000 * i + 1000, t) for i, t in enumerate(texts)], "track_id string, seg_pos int, start_ms long, end_ms long, text string")
+    got = {x["seg_pos"]: (x["trimmed"], x["text"]) for x in captions.trim_rolling_prefix(rows).collect()}
+    best = [0] + [max((k for k in range(4, min(len(a), len(b)) + 1) if a.endswith(b[:k])), default=0) for a, b in zip(texts, texts[1:], strict=False)]
     assert max(best) == 900 and got == {i: (k, texts[i][k:]) for i, k in enumerate(best)}
 
 
@@ -212,17 +273,13 @@ def test_alignment_queries_take_the_defaults(spark, tmp_path):
             if p[i] == c[j] and not (i and j and p[i - 1] == c[j - 1]):
                 n = next((k for k in range(min(len(p) - i, len(c) - j)) if p[i + k] != c[j + k]), min(len(p) - i, len(c) - j))
                 runs |= {(i, j, n)} if n >= 4 else set()
-    got = {(x["p0"], x["c0"], x["size"]) for x in registry.QUERIES["anchor_blocks_whole"](spark, sf_dir).collect()}
-    assert got == runs and {(x["p0"], x["c0"], x["size"]) for x in registry.QUERIES["merge_diagonal_blocks_whole"](spark, sf_dir).collect()} == runs
+    got = {(x["p0"], x["c0"], x["size"]) for x in registry.QUERIES["anchor_blocks"](spark, sf_dir).collect()}
+    assert got == runs and {(x["p0"], x["c0"], x["size"]) for x in registry.QUERIES["merge_diagonal_blocks"](spark, sf_dir).collect()} == runs
     chain = [(x["p0"], x["c0"], x["size"]) for x in registry.QUERIES["monotonic_chain"](spark, sf_dir).orderBy("p0").collect()]
     assert set(chain) <= runs and any(n < 8 for _, _, n in chain)
 
-    heard = {(x["seg_pos"], x["word_idx"]): x["text"] for x in q_align._altered(spark, sf_dir).collect() if x["word_idx"] % 9 != 4}
-    wrong = {}
-    for x in words(spark, sf_dir).collect():
-        at, said = (x["seg_pos"], x["word_idx"]), heard.get((x["seg_pos"], x["word_idx"]))
-        like = None if not said else SequenceMatcher(None, x["text"], said, autojunk=False).ratio()
-        unsure, differs = x["probability"] < 0.72, like is not None and like < 0.72
-        if unsure or differs:
-            wrong[at] = (like, 1 if unsure and differs else 2 if unsure else 3)
-    assert wrong == {(x["seg_pos"], x["word_idx"]): (x["similarity"], x["tier"]) for x in registry.QUERIES["suspicious_words_whole"](spark, sf_dir).collect()}
+    heard = spark.createDataFrame([("t", 0, i, w) for i, w in enumerate(["stone", "stoke", "stores", "", "rests"])], "track_id string, seg_pos int, word_idx long, caption_text string")
+    said = spark.createDataFrame([("t", 0, i, i, i + 1, w, p) for i, (w, p) in enumerate([("stone", 0.5), ("stone", 0.9), ("Stone!", 0.8), ("x", 0.9), ("stone", None)])], "track_id string, seg_pos int, word_idx long, start_ms long, end_ms long, text string, probability double")
+    got = {x["word_idx"]: (x["similarity"], x["tier"]) for x in reconcile.suspicious_words(said, heard, language="de").collect()}
+    like = lambda a, b: SequenceMatcher(None, a, b, autojunk=False).ratio()
+    assert got == {0: (1.0, 2), 4: (like("stone", "rests"), 3)} and like("stone", "stores") > 0.72
