@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cuelattice.functions.text import borders, comparable, length_bounds, length_ratio, nfc, normalized_length, strip
+from cuelattice.functions.text import borders, comparable, content_hash, distinct_in_order, length_bounds, length_ratio, nfc, normalized_length, strip
 
 CHUNK_CHARS = 25_000
 TITLE_CHARS = 100
@@ -388,7 +388,7 @@ def judge(verdicts: DataFrame, least: float = PASS_SCORE) -> DataFrame:
 
 def aggregate_verdicts(verdicts: DataFrame, lengths: DataFrame) -> DataFrame:
     """Per document: all passed, lowest scores (100 without sections), issues in first-seen order, length ratio."""
-    inorder = lambda c: F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("section", F.col(c).alias("x")))), lambda s: s.x)))
+    inorder = lambda c: distinct_in_order(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("section", F.col(c).alias("x")))), lambda s: s.x)))
     per = verdicts.groupBy("doc_id").agg(
         F.bool_and("passed").alias("passed"), F.min("style_score").alias("style_score"), F.min("coverage_score").alias("coverage_score"),
         F.bool_and("language_match").alias("language_match"), F.bool_and("tts_ready").alias("tts_ready"),
@@ -414,6 +414,6 @@ def validation_label(validation_passed: Column, status: Column) -> Column:
 
 def stale_sources(rewrites: DataFrame, sources: DataFrame) -> DataFrame:
     """``doc_id, changed``: whether the text now has another hash than when the rewrite was made."""
-    now = sources.select("doc_id", F.sha2(F.trim("text").cast("binary"), 256).alias("now"))
+    now = sources.select("doc_id", content_hash("text").alias("now"))
     return rewrites.join(now, "doc_id", "left").select("doc_id", (~F.col("source_hash").eqNullSafe(F.col("now"))).alias("changed"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuelattice.functions.text import recoverable_error
+from cuelattice.functions.text import needs_attention, recoverable_error, with_low_confidence
 
 ACTIVE = ("queued", "running")
 
@@ -97,9 +97,9 @@ def list_workspaces(workspaces: DataFrame, query: str | None = None, derived: tu
     """One page of workspaces by search and derived status, with ``total`` before paging."""
     rows = workspaces.where(matches(query, None))
     rows = rows.where(F.col("workspace_status").isin(*derived)) if derived else rows
-    total = rows.agg(F.count("*").alias("total"))
-    page = rows.orderBy(F.desc("created_ms"), F.desc("id")).offset(offset).limit(limit)
-    return page.join(F.broadcast(total))
+    # One row of totals on the left keeps ``total`` on a page that is past the end; nulls stand for its missing rows.
+    page = rows.orderBy(F.desc("created_ms"), F.desc("id")).offset(offset).limit(limit).withColumn("_one", F.lit(1))
+    return rows.agg(F.count("*").alias("total")).withColumn("_one", F.lit(1)).join(page, "_one", "left").select(*rows.columns, "total")
 
 
 def guarded_delete(jobs: DataFrame, rewrites: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -194,3 +194,9 @@ def source_guard(jobs: DataFrame) -> DataFrame:
 def job_health(jobs: DataFrame) -> DataFrame:
     """Counts by status, stage and error code."""
     return jobs.groupBy("status", "stage", "error_code").agg(F.count("*").alias("n"), F.avg("progress").alias("mean_progress"))
+
+
+def attention_flags(jobs: DataFrame) -> DataFrame:
+    """``id, warnings, attention``: a job's warnings with that of low language confidence, and whether a person should look."""
+    w = jobs.select("id", with_low_confidence(F.col("warnings"), F.col("language_confidence")).alias("warnings"))
+    return w.select("id", "warnings", needs_attention(F.col("warnings")).alias("attention"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 LONGEST_SECONDS = 21_600
 # Hosts that carry videos, and what marks a passing failure.
-VIDEO_HOSTS = ("youtube.com", "www.youtube.com", "m.youtube.com", "music.youtube.com", "youtu.be")
+VIDEO_HOSTS = ("youtube.com", "www.youtube.com", "m.youtube.com", "music.youtube.com", "youtube-nocookie.com", "www.youtube-nocookie.com", "youtu.be")
 SHORT_HOSTS = ("youtu.be",)
 TRANSIENT = ("429", "too many requests", "timed out", "timeout", "temporarily unavailable", "connection reset", "network is unreachable", "http error 5")
 
@@ -55,20 +55,21 @@ def select_track(tracks: DataFrame, videos: DataFrame) -> DataFrame:
     before automatic; an automatic Korean original first; exact before base); without a request also any original
     track, then the only language there is. All is one ranked minimum per video.
     """
-    t = tracks.join(videos, "video_id", "right")
-    wanted = F.coalesce(F.nullif(F.col("requested_language"), F.lit("")), F.nullif(F.col("original_language"), F.lit("")))
-    asked = F.nullif(F.col("requested_language"), F.lit("")).isNotNull()
-    own, lang = F.lower("provider_language"), normalise_language(wanted)
-    orig = own.endswith("-orig")
-    automatic = (F.col("source") == "automatic").cast("int")
-    korean = orig & (automatic == 1) & (base_language(wanted) == "ko") & (base_language(F.col("provider_language")) == "ko")
-    exact, base = own == F.lower(lang), F.substring_index(own, "-", 1) == F.substring_index(F.lower(lang), "-", 1)
-    by_language = F.when(korean, 0).when(exact, 1).when(base, 2)
-    rank = F.when(by_language.isNotNull(), automatic * 10 + by_language).when(~asked & orig, 100 + automatic)
-    code_language = F.coalesce(normalise_language(F.col("provider_language")), F.col("provider_language"))
+    filled = lambda c: F.nullif(F.col(c), F.lit(""))
+    # Languages are read once for each row before the join; behind it there are only comparisons of columns.
+    v = videos.select("video_id", filled("requested_language").isNotNull().alias("asked"), normalise_language(F.coalesce(filled("requested_language"), filled("original_language"))).alias("wanted"))
+    v = v.withColumn("wanted", F.lower("wanted")).withColumn("wanted_base", F.substring_index("wanted", "-", 1))
+    o = tracks.select("video_id", "source", "provider_language", "ord", F.lower("provider_language").alias("own"), normalise_language(F.col("provider_language")).alias("read"))
+    o = o.select("*", F.substring_index("own", "-", 1).alias("own_base"), F.substring_index("read", "-", 1).alias("read_base"), F.coalesce("read", "provider_language").alias("language"), F.col("own").endswith("-orig").alias("orig"), (F.col("source") == "automatic").cast("int").alias("automatic"))
+    t = o.join(v, "video_id", "right")
+    automatic, asked, code_language = F.col("automatic"), F.col("asked"), F.col("language")
+    korean = F.col("orig") & (automatic == 1) & (F.col("wanted_base") == "ko") & (F.col("read_base") == "ko")
+    by_language = F.when(korean, 0).when(F.col("own") == F.col("wanted"), 1).when(F.col("own_base") == F.col("wanted_base"), 2)
+    t = t.withColumn("rank", F.when(by_language.isNotNull(), automatic * 10 + by_language).when(~asked & F.col("orig"), 100 + automatic))
+    rank = F.col("rank")
     at = F.struct(rank.alias("r"), F.col("ord"))
     only = F.struct(automatic.alias("r"), F.col("ord"))
-    it = F.struct("source", code_language.alias("language"), "provider_language")
+    it = F.struct("source", "language", "provider_language")
     g = t.groupBy("video_id").agg(
         F.min_by(F.when(rank.isNotNull(), it), F.when(rank.isNotNull(), at)).alias("best"),
         F.min_by(F.when(F.col("ord").isNotNull(), it), F.when(F.col("ord").isNotNull(), only)).alias("first"),

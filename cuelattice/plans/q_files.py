@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from cuelattice.functions.text import clean_markup
 from cuelattice.plans.q_jobs import ORACLE_SQL as JOB_SQL
-from cuelattice.plans.views import JOBS, PARAGRAPHS, TURNS, jobs, paragraphs, table, turns
+from cuelattice.plans.q_jobs import _artifacts, _content
+from cuelattice.plans.views import JOBS, PARAGRAPHS, TURNS, jobs, paragraphs, rewrites, table, turns
 from cuelattice.sources import files as op
 from cuelattice.streaming import jobs as stream
 
@@ -35,6 +36,54 @@ def _exported(spark, sf_dir):
     return op.export_transcripts(t).select("track_id", F.md5(F.col("srt").cast("binary")).alias("srt"), F.md5(F.col("txt").cast("binary")).alias("txt"))
 
 
+def _round_trip(spark, sf_dir):
+    """Transcripts written as SRT files and read again as captions."""
+    path = op.scratch(spark, "transcripts")
+    t = turns(spark, sf_dir).withColumn("title", F.lit(None).cast("string"))
+    op.write_transcripts(op.export_transcripts(t), path)
+    c = op.ingest_caption_lines(op.read_caption_files(spark, f"{path}/srt"))
+    return c.select(F.regexp_extract("path", r"track_id=(\d+)", 1).cast("long").alias("track_id"), "start_ms", "end_ms", F.array_join("lines", " / ").alias("text"))
+
+
+def _documents_written(spark, sf_dir):
+    """Documents written as text files and read again, with those that were refused."""
+    path = op.scratch(spark, "documents")
+    p = paragraphs(spark, sf_dir).withColumn("title", F.when(F.col("doc_id") % 6 == 0, " ").otherwise(F.col("title"))).where("doc_id % 10 < 3")
+    refused = op.write_documents(op.export_documents(p), path)
+    back = op.read_text_documents(op.read_documents(spark, path))
+    return back.select(F.col("doc_id").cast("long").alias("doc_id"), "title", F.md5(F.col("body").cast("binary")).alias("digest"), "code").unionByName(refused.select("doc_id", F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("digest"), "code"))
+
+
+def _listed(spark, sf_dir):
+    """Rewrites whose file is one that was written for them, outside the root, or nowhere."""
+    path = op.scratch(spark, "rewrites")
+    o = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+    (o.where("id % 3 <> 0").select(F.lit("text").alias("value"), (F.col("id") % 20).alias("k"))).write.partitionBy("k").text(f"{path}/kept")
+    files = op.file_manifest(spark, f"{path}/kept")
+    root = files.first()["path"].split("/kept/")[0] + "/kept"
+    one = files.groupBy(F.regexp_extract("path", r"k=(\d+)/", 1).cast("long").alias("k")).agg(F.min("path").alias("file"))
+    r = o.join(one, F.col("id") % 20 == F.col("k"), "left")
+    at = F.when(F.col("id") % 5 == 0, F.concat(F.lit(f"{root}/../kept/"), F.element_at(F.split("file", "/kept/"), 2))).when(F.col("id") % 7 == 0, "elsewhere").otherwise(F.col("file"))
+    return op.rewrite_artifact_check(r.select("id", at.alias("artifact_path")), files, root)
+
+
+def _catalogue_round(spark, sf_dir):
+    once = op.load_catalogue(jobs(spark, sf_dir).withColumn("warnings_json", F.lit('["A","B"]')))
+    return op.load_catalogue(op.catalogue_rows(once)).select("id", F.col("video.title").alias("title"), F.array_join("warnings", ",").alias("warnings"), "force_refresh", "auto_rewrite_requested")
+
+
+def _planned_stream(spark, sf_dir):
+    """Completed orders as a stream in several batches; each content is created once, the rest share it."""
+    done = jobs(spark, sf_dir).where("status = 'completed' and auto_rewrite_requested = 1")
+    path = op.scratch(spark, "planned")
+    done.repartition(4, "id").write.parquet(f"{path}/in")
+    live = spark.readStream.schema(done.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    stream.plan_requests(live, path, rewrites(spark, sf_dir), _artifacts(spark, sf_dir), _content(spark, sf_dir))
+    r = stream.read_requests(spark, path)
+    shared = F.when(F.col("action").isin("join_new", "reuse_active"), "shared").otherwise(F.col("action"))
+    return r.groupBy("content_key", shared.alias("action")).agg(F.count("*").alias("n"))
+
+
 def _written(spark, sf_dir):
     """Transcripts written as JSON, some spoilt, and read again."""
     path = op.scratch(spark, "artifacts")
@@ -154,6 +203,11 @@ QUERIES = {
     "clean_markup": _markup,
     "job_state_stream": _state_stream,
     "auto_rewrite_stream": _request_stream,
+    "plan_requests": _planned_stream,
+    "write_transcripts": _round_trip,
+    "write_documents": _documents_written,
+    "rewrite_artifact_check": _listed,
+    "catalogue_rows": _catalogue_round,
 }
 
 ORACLE_SQL = {
@@ -175,4 +229,12 @@ ORACLE_SQL = {
     "artifact_manifest_check": "select o_orderkey as id, o_orderkey % 8 <> 0 and o_orderkey % 3 <> 0 and o_orderkey % 5 <> 0 as usable from orders",
     "job_state_stream": JOB_SQL["apply_changes"],
     "auto_rewrite_stream": "select distinct floor(value)::bigint * 10 + user_id % 10 as content_key from events where event_type = 'purchase' and event_id % 11 <> 0",
+    "plan_requests": f"""with p as ({JOB_SQL["auto_rewrite_plan"]})
+      select content_key, case when action in ('join_new', 'reuse_active') then 'shared' else action end as action, count(*) as n from p group by all""",
+    "write_transcripts": f"with {TURNS} select track_id, start_ms, end_ms, array_to_string({_LINES}, ' / ') as text from turns where end_ms > start_ms and len({_LINES}) > 0",
+    "write_documents": f"""with {PARAGRAPHS}, d as (select doc_id, title, regexp_replace(body, '^\\s+|\\s+$', '', 'g') as body from paragraphs where doc_id % 10 < 3),
+      c as (select *, case when doc_id % 6 = 0 then 'TITLE_EMPTY' when body = '' then 'BODY_EMPTY' end as code from d)
+      select doc_id, case when code is null then title end as title, case when code is null then md5(body) end as digest, code from c""",
+    "rewrite_artifact_check": "select c_custkey as id, c_custkey % 5 <> 0 and c_custkey % 7 <> 0 and c_custkey % 20 in (select c_custkey % 20 from customer where c_custkey % 3 <> 0) as usable from customer",
+    "catalogue_rows": "select o_orderkey as id, 'Order ' || o_orderkey as title, 'A,B' as warnings, o_orderkey % 7 = 0 as force_refresh, o_orderkey % 2 = 1 as auto_rewrite_requested from orders",
 }

@@ -22,6 +22,13 @@ def _workspaces(spark, sf_dir):
     return op.workspace_view(jobs(spark, sf_dir), rewrites(spark, sf_dir), _artifacts(spark, sf_dir), _content(spark, sf_dir))
 
 
+def _attention(spark, sf_dir):
+    k = F.col("id") % 6
+    w = F.when(k == 0, F.array(F.lit("JAPANESE_RECONCILIATION_UNAVAILABLE"))).when(k == 1, F.array(F.lit("NOTE"), F.lit("KOREAN_RECONCILIATION_LIMIT_REACHED"))).when(k == 2, F.array(F.lit("GPU_TO_CPU_FALLBACK_USED"))).when(k == 3, F.array(F.lit("NOTE"))).otherwise(F.array().cast("array<string>"))
+    j = jobs(spark, sf_dir).select("id", w.alias("warnings"), F.when(F.col("id") % 5 != 0, (F.col("id") % 10) / 10).alias("language_confidence"))
+    return op.attention_flags(j).withColumn("warnings", F.array_join("warnings", ","))
+
+
 _WORKSPACE = ["id", "rewrite_id", "workspace_status", "phase", "progress", "action_code", "cache_hit", "updated_ms"]
 
 _DIRECT = """
@@ -135,6 +142,7 @@ QUERIES = {
     "cache_outcome": lambda s, d: op.cache_outcome(_requests(s, d), jobs(s, d), _complete(s, d), join_active=True),
     "source_guard": _guard,
     "job_health": lambda s, d: op.job_health(jobs(s, d)),
+    "attention_flags": _attention,
 }
 
 ORACLE_SQL = {
@@ -174,4 +182,7 @@ ORACLE_SQL = {
       from customer left join done d on d.cache_key = c_custkey left join busy b on b.cache_key = c_custkey""",
     "source_guard": """select doc_id as id, case when doc_id % 5 = 0 then 'TRANSCRIPT_NOT_COMPLETED' when doc_id % 7 = 0 then 'SOURCE_NOT_AVAILABLE' when doc_id % 9 = 0 or trim(regexp_replace(text, '\\s+', ' ', 'g')) = '' then 'SOURCE_EMPTY' end as code from documents""",
     "job_health": f"with {JOBS} select status, stage, error_code, count(*) as n, avg(progress) as mean_progress from jobs group by all",
+    "attention_flags": """with j as (select o_orderkey as id, case o_orderkey % 6 when 0 then ['JAPANESE_RECONCILIATION_UNAVAILABLE'] when 1 then ['NOTE', 'KOREAN_RECONCILIATION_LIMIT_REACHED'] when 2 then ['GPU_TO_CPU_FALLBACK_USED'] when 3 then ['NOTE'] else []::varchar[] end as w,
+      o_orderkey % 5 <> 0 and o_orderkey % 10 < 5 as unsure from orders)
+      select id, array_to_string(list_concat(w, case when unsure then ['LOW_LANGUAGE_CONFIDENCE'] else [] end), ',') as warnings, unsure or id % 6 < 3 as attention from j""",
 }

@@ -41,6 +41,14 @@ def _ms(line: Column, first: int) -> Column:
     return ((part(0) * 60 + part(1)) * 60 + part(2)) * 1000 + part(3)
 
 
+def read_caption_files(spark: SparkSession, path: str) -> DataFrame:
+    """Caption files below ``path`` as ``path, value``, a whole file each: the input of ``ingest_caption_lines``.
+
+    A file is one recording's captions, so it fits a row; files are dealt over tasks by size.
+    """
+    return spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), "value")
+
+
 def ingest_caption_lines(files: DataFrame) -> DataFrame:
     """Caption files (``path, value``: a whole file) as cues ``path, cue_ord, start_ms, end_ms, lines, inline``.
 
@@ -106,6 +114,31 @@ def export_transcripts(segments: DataFrame) -> DataFrame:
     )
 
 
+def write_transcripts(exported: DataFrame, path: str, by: tuple[str, ...] = ("track_id",)) -> None:
+    """Exports (``srt, txt, json`` and the columns ``by``) as files below ``path``/srt, txt and json, a folder for each ``by``.
+
+    With the track's key in ``by`` every file is one transcript; with a coarser key (a language) a file holds many,
+    one after the other. Rows are gathered by ``by`` first, so that a folder has few files.
+    """
+    dealt = staged(exported.repartition(*by), "exports")
+    for kind in ("srt", "txt", "json"):
+        # The writer ends each row with a line break of its own.
+        value = F.regexp_replace(F.col(kind), r"\n\z", "") if kind == "srt" else F.col(kind)
+        dealt.select(*by, value.alias("value")).write.partitionBy(*by).text(f"{path}/{kind}")
+
+
+def write_documents(exported: DataFrame, path: str) -> DataFrame:
+    """Documents that can be written (``doc_id, content, code``) as text files below ``path``, and the others as rows."""
+    good = exported.where("code is null").select("doc_id", F.regexp_replace("content", r"\n\z", "").alias("value"))
+    good.repartition("doc_id").write.partitionBy("doc_id").text(path)
+    return exported.where("code is not null").select("doc_id", "code")
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """Text files below ``path``/doc_id=... as ``doc_id, content``, whole."""
+    return spark.read.text(path, wholetext=True).select("doc_id", F.col("value").alias("content"))
+
+
 def export_documents(docs: DataFrame, longest_title: int = 100) -> DataFrame:
     """``doc_id, content, code``: title line and body as text, or why a document can't be written."""
     code = F.when(F.trim("title") == "", "TITLE_EMPTY").when(F.trim("title").contains("\n"), "TITLE_MULTILINE").when(F.length(F.trim("title")) > longest_title, "TITLE_TOO_LONG").when(F.trim(F.regexp_replace("body", r"\s+", " ")) == "", "BODY_EMPTY")
@@ -151,6 +184,15 @@ def load_catalogue(rows: DataFrame, json_columns: dict[str, str] | None = None,
     return rows.withColumns({c: F.col(c) == 1 for c in flags if c in rows.columns})
 
 
+def catalogue_rows(jobs: DataFrame, json_columns: dict[str, str] | None = None, flags: tuple[str, ...] = ("force_refresh", "auto_rewrite_requested")) -> DataFrame:
+    """What ``load_catalogue`` reads: structures as JSON text, booleans as 0 and 1."""
+    for c in json_columns or JOB_JSON:
+        name = c.removesuffix("_json")
+        if name in jobs.columns:
+            jobs = jobs.withColumn(c, F.to_json(name)).drop(name)
+    return jobs.withColumns({c: F.col(c).cast("int") for c in flags if c in jobs.columns})
+
+
 def evolve_schema(parts: list[DataFrame], defaults: dict[str, object]) -> DataFrame:
     """Old and new rows as one table: columns that old ones lack get their default."""
     both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
@@ -183,3 +225,16 @@ def artifact_manifest_check(jobs: DataFrame, manifest: DataFrame) -> DataFrame:
     paths = jobs.select("id", F.explode_outer("artifacts").alias("kind", "path"))
     found = manifest.select("path").distinct().withColumn("there", F.lit(True))
     return paths.join(found, "path", "left").groupBy("id").agg(F.bool_and(F.coalesce("there", F.lit(False))).alias("usable"))
+
+
+def file_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """Files below ``path`` as ``path, length``; their contents aren't read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
+
+
+def rewrite_artifact_check(rewrites: DataFrame, manifest: DataFrame, root: str) -> DataFrame:
+    """``id, usable``: whether a rewrite's one file (``artifact_path``) lies inside ``root`` and is in ``manifest``."""
+    base = root.rstrip("/") + "/"
+    inside = F.col("artifact_path").startswith(base) & ~F.array_contains(F.split("artifact_path", "/"), "..")
+    found = manifest.select(F.col("path").alias("artifact_path")).distinct().withColumn("there", F.lit(True))
+    return rewrites.join(found, "artifact_path", "left").select("id", F.coalesce(inside & F.col("there"), F.lit(False)).alias("usable"))

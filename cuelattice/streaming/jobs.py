@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelattice.operators.jobs import CHANGE_COLUMNS, latest_columns
+from cuelattice.operators.jobs import CHANGE_COLUMNS, auto_rewrite_plan, latest_columns
 
 
 def job_state_stream(changes: DataFrame, columns: tuple[str, ...] = CHANGE_COLUMNS) -> DataFrame:
@@ -29,10 +29,40 @@ def auto_rewrite_stream(completed: DataFrame, watermark: str | None = None) -> D
     return wanted.dropDuplicates(["content_key"])
 
 
+PLANNED = "job_id long, action string, rewrite_id long, content_key long, updated_ms long"
+
+
+def plan_requests(completed: DataFrame, path: str, rewrites: DataFrame, artifacts: DataFrame, content: DataFrame) -> None:
+    """Decide for each newly completed transcript of a stream as ``auto_rewrite_plan`` does; decisions go below ``path``.
+
+    Rewrites that earlier batches created count as queued ones, so one content is created once over the whole stream.
+    A batch is written under its number and replaces what a failed try has left there, so none is counted twice.
+    ``read_requests`` gives the decisions.
+    """
+    spark = completed.sparkSession
+    spark.createDataFrame([], PLANNED).write.mode("overwrite").parquet(f"{path}/requests/batch=-1")
+
+    def decide(batch: DataFrame, number: int) -> None:
+        made = read_requests(spark, path).where((F.col("batch") < number) & (F.col("action") == "create"))
+        queued = made.select((-F.col("job_id")).alias("id"), F.col("job_id").alias("transcript_job_id"), F.col("content_key").alias("cache_key"), F.lit("queued").alias("status"), F.col("updated_ms").alias("created_ms"), "updated_ms")
+        known = rewrites.unionByName(queued, allowMissingColumns=True)
+        plan = auto_rewrite_plan(batch, known, artifacts, content).join(batch.select(F.col("id").alias("job_id"), "updated_ms"), "job_id")
+        plan.select("job_id", "action", "rewrite_id", "content_key", "updated_ms").write.mode("overwrite").parquet(f"{path}/requests/batch={number}")
+
+    completed.writeStream.foreachBatch(decide).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+
+
+def read_requests(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(f"{PLANNED}, batch int").parquet(f"{path}/requests")
+
+
 def run_to_end(stream: DataFrame, path: str, mode: str) -> None:
-    """Drive a stream over all that is there now; ``complete`` keeps the last state below ``path``, ``append`` all rows."""
+    """Drive a stream over all that is there now; ``complete`` keeps the last state below ``path``, ``append`` all rows.
+
+    Each batch of ``append`` lies under its number, so a batch that is repeated replaces itself.
+    """
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{path}/out")
+        batch.write.mode("overwrite").parquet(f"{path}/out" if mode == "complete" else f"{path}/out/batch={number}")
 
     stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
