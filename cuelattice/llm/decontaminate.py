@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cuelattice.llm.common import small_batches
+
 RATE, LEAST_CHARS = 0.10, 20
 SHARD_CHARS = 4_000_000
 GRAM = 4
@@ -141,6 +143,7 @@ def shards(benchmark: DataFrame, most_chars: int = SHARD_CHARS) -> list[list[tup
 
 
 def _leaks_of(spark, items: list[tuple[int, str]], rate: float):
+    small_batches(spark)
     held = spark.sparkContext.broadcast(items)
 
     @F.pandas_udf(LEAKS)

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cuelattice.llm.common import small_batches
+
 # Common function words of six languages.
 STOP_WORDS = frozenset(
     """
@@ -255,6 +257,8 @@ def extract(pages: DataFrame) -> DataFrame:
     Null, empty and unreadable pages have an empty text; columns of these names that ``pages`` already has are replaced.
     """
 
+    small_batches(pages.sparkSession)
+
     @F.pandas_udf("string")
     def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:

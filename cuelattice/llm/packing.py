@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuelattice.llm.common import saved
+from cuelattice.llm.common import saved, small_batches
 
 SEQUENCE = 2048
 END_OF_DOCUMENT = 0
@@ -126,6 +126,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, size: int = SEQUENCE) -> DataFr
                     out.append((doc_id, k, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)])))
             yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
 
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return texts.mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuelattice.llm import words
-from cuelattice.llm.common import labelled_sample
+from cuelattice.llm.common import labelled_sample, small_batches
 
 WORDS = 1 << 14
 BINS = 12
@@ -127,6 +127,7 @@ def _metadata(docs: DataFrame):
 
 def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, label: str = "quality") -> FactorisationMachine:
     """Train on about ``max_rows`` labelled rows that aren't held out; texts become vectors on the executors."""
+    small_batches(docs.sparkSession)
     sample = labelled_sample(docs, labels, label, max_rows, _metadata(docs))
 
     def vectors(batches):
@@ -142,6 +143,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, label
 
 def score_of(docs: DataFrame, model: FactorisationMachine):
     """The score of each whole text as a column of ``docs``."""
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuelattice.llm.common import labelled_sample, saved
+from cuelattice.llm.common import labelled_sample, saved, small_batches
 
 # The letters that the character model tells apart; code 0 is "no letter", the last code any other letter.
 LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
@@ -71,6 +71,7 @@ def _count_trigrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def character_counts(docs: DataFrame) -> DataFrame:
     """Trigram counts over every whole text: ``gram`` (three codes as one number), ``n``. At most 64**3 rows."""
+    small_batches(docs.sparkSession)
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
     return texts.mapInPandas(_count_trigrams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
@@ -345,6 +346,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, labe
 
 def score_of(docs: DataFrame, model: ToxicityModel):
     """The score of each whole text as a column of ``docs``."""
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

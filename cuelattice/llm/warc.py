@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuelattice.llm import html_text
+from cuelattice.llm.common import small_batches
 
 VERSION = "WARC/1.0"
 # How the version lines of 1.0 and 1.1 begin, and go on.
@@ -130,6 +131,7 @@ def derivatives(responses: DataFrame) -> DataFrame:
                 yield pd.DataFrame(rows, columns=names)
 
     src = responses.where("record_id is not null").select("record_id", F.coalesce("target_uri", F.lit("")).alias("target_uri"), F.coalesce("warc_date", F.lit("")).alias("warc_date"), F.coalesce("block", F.lit(b"")).alias("block"))
+    small_batches(responses.sparkSession)
     return src.mapInPandas(run, RECORD)
 
 
