@@ -1,9 +1,9 @@
 """Approximate nearest neighbours by a permutation index.
 
 Every vector is represented by its nearest pivots in order. The index is split by document: each block of vectors
-holds inverted files, for each pivot the rows that name it and at which position. A query adds up, over the files of
-its own pivots, how far positions agree (the induced footrule distance); the nearest share of a block is reranked by
-the true inner product, and the blocks' best are merged. Largest inner product becomes nearest direction by giving
+holds inverted files, for each pivot the rows that name it and at which position; blocks are built and written once.
+A query reads the files of its own nearest pivots alone and adds up how far positions agree (the induced footrule
+distance); the nearest share of a block is reranked by the true inner product, and the blocks' best are merged. Largest inner product becomes nearest direction by giving
 vectors one more component that brings all to the largest norm.
 """
 
@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from cuelattice.llm.common import saved
 
-PIVOTS, PREFIX = 256, 64
+# Pivots, how many of them a vector names, and of how many a query reads the inverted files.
+PIVOTS, PREFIX, LISTS = 256, 64, 40
 # The share of each block that is reranked, and the fewest rows.
 SHARE, LEAST = 0.15, 256
 BLOCK_ROWS, QUERY_ROWS = 8192, 1024
@@ -63,27 +64,29 @@ def permutations(x: np.ndarray, pivots: np.ndarray, largest: float, query: bool)
     return np.argsort(-closeness, axis=1, kind="stable")[:, :PREFIX].astype(np.int16)
 
 
-def inverted_files(perm: np.ndarray, pivots: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each pivot: the rows of the block that name it, and its position there."""
+def inverted_files(perm: np.ndarray, pivots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Postings of a block: rows and positions, by pivot, and where each pivot's begin (one more for the end)."""
     flat = perm.ravel()
     by = np.argsort(flat, kind="stable")
     cuts = np.searchsorted(flat[by], np.arange(pivots + 1))
     width = max(perm.shape[1], 1)
-    return [(by[a:b] // width, (by[a:b] % width).astype(np.int16)) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return (by // width).astype(np.int32), (by % width).astype(np.int16), cuts.astype(np.int64)
 
 
-def search_block(ids: np.ndarray, x: np.ndarray, perm: np.ndarray, query_ids: np.ndarray, q: np.ndarray, query_perm: np.ndarray, pivots: int, k: int):
+def search_block(ids: np.ndarray, x: np.ndarray, postings: tuple[np.ndarray, np.ndarray, np.ndarray], query_ids: np.ndarray, q: np.ndarray, query_perm: np.ndarray, k: int):
     """The best ``k`` rows of one block for each query: rank by footrule distance, then rerank the nearest share."""
-    files = inverted_files(perm, pivots)
-    width = perm.shape[1]
-    agree = [width - np.abs(np.arange(width, dtype=np.int16) - np.int16(i)) for i in range(width)]
+    rows, positions, cuts = postings
+    width = query_perm.shape[1]
+    agree = [(width - np.abs(np.arange(width) - i)).astype(np.int16) for i in range(width)]
     keep = min(len(ids), max(LEAST, k + 1, int(SHARE * len(ids))))
     for query_id, vector, order in zip(query_ids, q, query_perm, strict=True):
-        near = np.zeros(len(ids), dtype=np.int16)
-        for i, p in enumerate(order):
-            rows, positions = files[p]
-            near[rows] += agree[i][positions].astype(np.int16)
-        at = np.argpartition(-near, keep - 1)[:keep] if keep < len(ids) else np.arange(len(ids))
+        at = np.arange(len(ids))
+        if keep < len(ids):
+            near = np.zeros(len(ids), dtype=np.int16)
+            for i, p in enumerate(order[:LISTS].tolist()):
+                a, b = cuts[p], cuts[p + 1]
+                near[rows[a:b]] += agree[i][positions[a:b]]
+            at = np.argpartition(near, len(ids) - keep)[len(ids) - keep :]
         at = at[ids[at] != query_id]
         score = (x[at] * vector).sum(axis=1)
         best = np.lexsort((ids[at], -score))[:k]
@@ -114,19 +117,30 @@ def nearest(vectors: DataFrame, k: int = 20, queries_every: int = 20) -> DataFra
     blocks, groups = max(1, -(-n // BLOCK_ROWS)), max(1, -(-nq // QUERY_ROWS))
     part = lambda of, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(of)).cast("int")
     every = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
-    data = indexed.select("vec_id", "x", "perm", part(blocks, 1).alias("block"), every(groups).alias("grp"))
+
+    def arrays(pdf: pd.DataFrame):
+        raw = lambda c, t: np.frombuffer(b"".join(pdf[c]), dtype=t).reshape(len(pdf), -1)
+        return pdf["vec_id"].to_numpy(), raw("x", float), raw("perm", np.int16)
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, x, perm = arrays(pdf)
+        rows, positions, cuts = inverted_files(perm, count)
+        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "ids": [ids.astype(np.int64).tobytes()], "x": [x.tobytes()], "rows": [rows.tobytes()], "positions": [positions.tobytes()], "cuts": [cuts.tobytes()]})
+
+    dealt = indexed.select("vec_id", "x", "perm", part(blocks, 1).alias("block"))
+    index_blocks = saved(dealt.groupBy("block").applyInPandas(build, "block int, ids binary, x binary, rows binary, positions binary, cuts binary"), "inverted-files")
+    data = index_blocks.withColumn("grp", every(groups))
     asked = indexed.where(F.col("vec_id") % queries_every == 0).select("vec_id", "x", F.col("query_perm").alias("perm"), part(groups, 2).alias("grp"), every(blocks).alias("block"))
 
     def meet(data: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        def arrays(pdf):
-            raw = lambda c, t: np.frombuffer(b"".join(pdf[c]), dtype=t).reshape(len(pdf), -1)
-            return pdf["vec_id"].to_numpy(), raw("x", float), raw("perm", np.int16)
-
         empty = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
         if not len(data) or not len(asked):
             return empty
-        out = [pd.DataFrame({"query_id": i, "vec_id": ids, "score": s}) for i, ids, s in search_block(*arrays(data), *arrays(asked), count, k)]
-        return pd.concat([empty, *out], ignore_index=True)
+        b = data.iloc[0]
+        ids = np.frombuffer(b["ids"], dtype=np.int64)
+        postings = tuple(np.frombuffer(b[c], dtype=t) for c, t in (("rows", np.int32), ("positions", np.int16), ("cuts", np.int64)))
+        found = search_block(ids, np.frombuffer(b["x"], dtype=float).reshape(len(ids), -1), postings, *arrays(asked), k)
+        return pd.concat([empty, *(pd.DataFrame({"query_id": i, "vec_id": v, "score": s}) for i, v, s in found)], ignore_index=True)
 
     found = data.groupBy("block", "grp").cogroup(asked.groupBy("block", "grp")).applyInPandas(meet, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

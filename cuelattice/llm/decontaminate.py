@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from cuelattice.llm.common import small_batches
 
+# Items of fewer characters than ``LEAST_CHARS`` are searched exactly, as whole words; longer ones with edits.
 RATE, LEAST_CHARS = 0.10, 20
 SHARD_CHARS = 4_000_000
 GRAM = 4
@@ -78,12 +79,12 @@ class Matcher:
         at: dict[str, list[tuple[int, int]]] = {}
         for item_id, text in items:
             norm = normalise(text or "")
-            if item_id is None or len(norm) < least:
+            if not norm:
                 continue
-            k = int(rate * len(norm))
+            k = int(rate * len(norm)) if len(norm) >= least else 0
             key = len(self.items)
             grams = {norm[i : i + GRAM] for i in range(len(norm) - GRAM + 1)}
-            self.items[key] = (item_id, len(norm), k, alphabet_masks(norm), grams)
+            self.items[key] = (item_id, len(norm), k, alphabet_masks(norm), grams, len(norm) < least)
             for offset, piece in pieces_of(norm, k):
                 at.setdefault(piece, []).append((key, offset))
         for piece, where in at.items():
@@ -104,7 +105,12 @@ class Matcher:
                 hits.setdefault(key, set()).add(start - offset)
         out = []
         for key, diagonals in hits.items():
-            item_id, n, k, masks, grams = self.items[key]
+            item_id, n, k, masks, grams, short = self.items[key]
+            if short:
+                at = min((d for d in diagonals if not low[d - 1 : d].isalnum() and not low[d + n : d + n + 1].isalnum()), default=None)
+                if at is not None:
+                    out.append((item_id, 0, at + n))
+                continue
             best: tuple[int, int] | None = None
             for lo, hi in merged(diagonals, n, k, len(low)):
                 window = low[lo:hi]
@@ -117,7 +123,7 @@ class Matcher:
                     best = (got[0], lo + got[1])
             if best:
                 out.append((item_id, *best))
-        return sorted(out)
+        return sorted(out, key=lambda x: (x[0] is None, x))
 
 
 def merged(diagonals: set[int], n: int, k: int, total: int) -> list[tuple[int, int]]:
@@ -159,8 +165,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> Dat
     """``doc_id, item_id, distance, end`` for every item found in every document; one pass for each shard of items.
 
     ``distance`` is the fewest edits between the item and any stretch of the text (both normalised), ``end`` where the
-    first such stretch ends. Null and empty texts and items hold nothing; items under 20 characters can't be told from
-    chance and are left out; repeated rows are reported each.
+    first such stretch ends. Null and empty texts and items hold nothing. Items under 20 characters are found exactly,
+    between characters that are neither letters nor digits; items without an id are found too, with a null id.
+    Repeated documents are reported each, repeated items once.
     """
     out = None
     for items in shards(benchmark):

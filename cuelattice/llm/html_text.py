@@ -70,6 +70,7 @@ _TOKEN = re.compile(
     re.S,
 )
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_SENTENCE = re.compile(r"[.!?](?=\s|$)|[。！？।۔]")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 
@@ -195,8 +196,18 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
-def first_pass(b: Block) -> str:
-    """``good``, ``bad``, or an ambiguous ``near`` or ``short``."""
+def stop_share(b: Block) -> float:
+    spoken = [w.strip(".,;:!?\"'()«»„“”").lower() for w in b.text.split()]
+    return sum(w in STOP_WORDS for w in spoken) / max(len(spoken), 1)
+
+
+def prose(b: Block) -> bool:
+    """Whether a block of an unknown language reads like text: a sentence end for each 300 characters or less."""
+    return len(_SENTENCE.findall(b.text)) * 300 >= len(b.text)
+
+
+def first_pass(b: Block, known: bool = True) -> str:
+    """``good``, ``bad``, or an ambiguous ``near`` or ``short``; by sentence ends where no stop word is ``known``."""
     if b.outside:
         return "outside"
     n = len(b.text)
@@ -204,8 +215,9 @@ def first_pass(b: Block) -> str:
         return "bad"
     if n < SHORT:
         return "bad" if b.link_density > LINKED_IN_SHORT else "short"
-    spoken = [w.strip(".,;:!?\"'()«»„“”").lower() for w in b.text.split()]
-    stops = sum(w in STOP_WORDS for w in spoken) / max(len(spoken), 1)
+    if not known:
+        return ("good" if b.region or n > LONG else "near") if prose(b) else "near" if b.region else "bad"
+    stops = stop_share(b)
     if b.region:
         return "good" if stops >= FEW_IN_ARTICLE else "near"
     if stops >= MANY_STOP_WORDS:
@@ -215,8 +227,10 @@ def first_pass(b: Block) -> str:
 
 def classify(blocks: list[Block]) -> list[Block]:
     """Labels every block ``good`` or ``bad`` (``outside``: decided by what surrounds it)."""
+    # A page none of whose blocks has the stop words of a language at hand is judged without them.
+    known = any(len(b.text) >= SHORT and not b.outside and stop_share(b) >= FEW_STOP_WORDS for b in blocks)
     for b in blocks:
-        b.label = first_pass(b)
+        b.label = first_pass(b, known)
     inside = [b for b in blocks if b.label != "outside"]
     framed = any(b.region and b.label in ("good", "near", "short") for b in inside)
     for b in inside:

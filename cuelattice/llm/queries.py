@@ -70,7 +70,7 @@ def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.derivatives(warc.responses_of_pages(table(spark, sf_dir, "pages")))
-    payload = F.element_at("headers", "WARC-Payload-Digest").alias("payload_digest")
+    payload = F.element_at("headers", "WARC-Source-Payload-Digest").alias("source_payload_digest")
     return records.select("record_id", "record_type", "target_uri", "warc_date", "refers_to", "content_type", "content_length", "block_digest", payload, F.sha2("block", 256).alias("block_sha256"))
 
 

@@ -8,6 +8,7 @@ that documents that span blocks come out whole.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,33 +16,45 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cuelattice.llm.common import saved
+from cuelattice.llm.common import saved, small_batches
 
 BLOCK_BYTES = 1 << 20
+# What one task reads of a file in one go, block by block.
+RANGE_BYTES = 1 << 27
 # Blocks per group of the two-level scan.
 GROUP = 1024
 _TYPES = {2: "<u2", 4: "<u4"}
 
 
-def read_blocks(spark: SparkSession, path: str, width: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def read_blocks(spark: SparkSession, path: str, width: int = 2, block_bytes: int = BLOCK_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Files below ``path`` as rows ``file, block, payload`` of at most ``block_bytes`` each, in file order.
 
-    Spark's own splits of a file are cut at record boundaries; the record is the largest divisor of the file's size
-    that fits a block, so no index is needed and no file is held whole. Empty files have no row.
+    Spark lists the files; each of their ranges is opened, read from its own offset and cut into blocks by some task,
+    so no file is held whole and no name goes to the driver. Empty files have no row; a file that doesn't hold whole
+    tokens is an error.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", "length").where("length > 0")
-    out = None
-    for size in sorted(r["length"] for r in files.select("length").distinct().collect()):
-        if size % width:
-            raise ValueError(f"a file of {size} bytes doesn't hold tokens of {width} bytes")
-        tokens = size // width
-        most = max(1, min(tokens, block_bytes // width))
-        record = width * next(d for d in range(most, 0, -1) if tokens % d == 0)
-        for name in sorted(r["path"] for r in files.where(F.col("length") == size).select("path").collect()):
-            rows = spark.sparkContext.binaryRecords(name, record).zipWithIndex().map(lambda x, name=name: (name, x[1], bytearray(x[0])))
-            df = spark.createDataFrame(rows, "file string, block long, payload binary")
-            out = df if out is None else out.unionByName(df)
-    return out if out is not None else spark.createDataFrame([], "file string, block long, payload binary")
+    block_bytes -= block_bytes % width
+    range_bytes = max(block_bytes, range_bytes - range_bytes % block_bytes)
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "length").where("length > 0")
+    ranges = files.select("file", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / range_bytes))).alias("range"))
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for pdf in batches:
+            for name, length, number in zip(pdf["file"], pdf["length"], pdf["range"], strict=True):
+                if length % width:
+                    raise ValueError(f"{name} has {length} bytes, no whole tokens of {width} bytes")
+                at, end = number * range_bytes, min(length, (number + 1) * range_bytes)
+                store, where = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", name))
+                with store.open_input_file(where) as f:
+                    f.seek(at)
+                    while at < end:
+                        payload = f.read(min(block_bytes, end - at))
+                        yield pd.DataFrame({"file": [name], "block": [at // block_bytes], "payload": [payload]})
+                        at += len(payload)
+
+    return ranges.repartition("file", "range").mapInPandas(read, "file string, block long, payload binary")
 
 
 def scan_blocks(blocks: DataFrame, separator: int, width: int = 2) -> DataFrame:
@@ -108,5 +121,6 @@ def flat_blocks(docs: DataFrame, encode_factory, separator: int, width: int = 2,
         if buffer:
             yield pd.DataFrame({"file": [name], "block": [block], "payload": [bytes(buffer)]})
 
+    small_batches(docs.sparkSession)
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.spark_partition_id().alias("part"))
     return texts.mapInPandas(write, "file string, block long, payload binary")

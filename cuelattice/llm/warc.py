@@ -5,7 +5,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -21,7 +23,7 @@ MARK = b"WARC/1."
 STARTS = (b"0\r\n", b"1\r\n")
 RECORD = "record_id string, record_type string, target_uri string, warc_date string, refers_to string, content_type string, content_length long, block_digest string, headers map<string,string>, block binary"
 # Content types whose payload is text.
-TEXT_TYPES = ("text/html", "application/xhtml+xml", "text/plain", "text/xml", "application/xml", "")
+TEXT_TYPES = ("text/html", "application/xhtml+xml", "text/plain", "text/xml", "application/xml")
 
 
 def digest(data: bytes) -> str:
@@ -72,6 +74,48 @@ def split_http(block: bytes) -> tuple[int | None, dict[str, str], bytes]:
     return (int(words[1]) if len(words) > 1 and words[1].isdigit() else None), fields, body
 
 
+def decoded(fields: dict[str, str], body: bytes) -> bytes | None:
+    """The payload without transfer and content encodings; None where an encoding isn't known or the bytes are no such.
+
+    What a cut-off compressed body still holds is given.
+    """
+    if "chunked" in fields.get("transfer-encoding", "").lower():
+        parts, at = [], 0
+        while True:
+            end = body.find(b"\r\n", at)
+            size = body[at:end].split(b";")[0].strip() if end >= 0 else b""
+            if not re.fullmatch(rb"[0-9A-Fa-f]+", size):
+                if not parts:
+                    return None
+                break
+            if not int(size, 16):
+                break
+            parts.append(body[end + 2 : end + 2 + int(size, 16)])
+            at = end + 4 + int(size, 16)
+        body = b"".join(parts)
+    for name in reversed([x.strip().lower() for x in fields.get("content-encoding", "").split(",") if x.strip()]):
+        if name in ("identity", "none"):
+            continue
+        if name not in ("gzip", "x-gzip", "deflate"):
+            return None
+        for bits in (31,) if "gzip" in name else (15, -15):
+            try:
+                unpacked = zlib.decompressobj(bits).decompress(body)
+                break
+            except zlib.error:
+                continue
+        else:
+            return None
+        body = unpacked
+    return body
+
+
+def is_text(kind: str, payload: bytes) -> bool:
+    """By content type; without one, what holds no zero byte near its beginning."""
+    kind = kind.split(";")[0].strip().lower()
+    return kind in TEXT_TYPES if kind else b"\0" not in payload[:1024]
+
+
 def page_text(payload: bytes, content_type: str) -> str:
     """All visible text of a page, a block a line; other text as it is."""
     kind, _, more = content_type.partition(";")
@@ -90,23 +134,26 @@ def derive(record_id: str, uri: str, date: str, block: bytes) -> list[tuple]:
 
     Both refer to the response, carry its target and date, and have ids that follow from its id, so that a second run
     gives the same records. The metadata record holds the source's HTTP status and header fields, digests and lengths.
+    Digests of the source are of the bytes as they were sent; text is made from the payload without its encodings.
     """
-    status, fields, payload = split_http(block)
+    status, fields, sent = split_http(block)
+    payload = decoded(fields, sent)
     kind = fields.get("content-type", "")
     named = lambda what: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{record_id}#{what}')}>"
-    converted = kind.split(";")[0].strip().lower() in TEXT_TYPES and bool(payload)
+    converted = bool(payload) and is_text(kind, payload)
     lines = {
         "http-status": "" if status is None else str(status),
         "source-block-digest": digest(block),
-        "source-payload-digest": digest(payload),
-        "source-payload-length": str(len(payload)),
+        "source-payload-digest": digest(sent),
+        "source-payload-length": str(len(sent)),
         "conversion-record": named("conversion") if converted else "",
         "source-headers": json.dumps(fields, sort_keys=True, ensure_ascii=False),
     }
     about = "".join(f"{k}: {v}\r\n" for k, v in lines.items() if v).encode()
 
     def row(what: str, content_type: str, data: bytes, more: dict[str, str]) -> tuple:
-        headers = {"WARC-Payload-Digest": digest(payload), **more}
+        # A record's own payload is its block here; the source's digest goes under a name of its own.
+        headers = {"WARC-Payload-Digest": digest(data), "WARC-Source-Payload-Digest": digest(sent), **more}
         return named(what), what, uri, date, record_id, content_type, len(data), digest(data), headers, data
 
     out = [row("metadata", "application/warc-fields", about, {})]

@@ -383,22 +383,6 @@ def test_word_hashes_tell_words_apart():
     assert (words.ascii_words("É") != words.ascii_words("é")).all()
 
 
-def test_pipeline(spark):
-    import corpus_pipeline
-
-    got = corpus_pipeline.run(spark, SF).toPandas()
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    lab = spark.read.parquet(f"{SF}/labels.parquet")
-    left = docs.toPandas().set_index("doc_id")["text"]
-    tox = toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, lab)).where("predicted = 0").select(docs.columns)
-    good = quality.score_quality(tox, quality.fit_quality(tox, lab)).where("predicted = 1").select("doc_id").toPandas()["doc_id"]
-    comps = plain_components([(i, left[i]) for i in good])
-    items = [decontaminate.normalise(r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    clean = {i for i, (_, c) in comps.items() if i == c and not any(x in decontaminate.normalise(left[i]) for x in items)}
-    assert set(got["doc_id"]) <= clean and len(clean - set(got["doc_id"])) <= 2
-    assert len(corpus_pipeline.STAGES) == 5
-
-
 @pytest.mark.parametrize("name", ["op1_toxicity", "op4_quality", "op5_decontamination", "op9_html_text", "op8_warc", "op3_nearest"])
 def test_queries_give_rows(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
