@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuelattice.functions.text import suffix_prefix_overlap
+from cuelattice.sources.files import staged
 
 GAP_MS = 1000
 LEAST_OVERLAP = 4
@@ -46,22 +49,26 @@ def _related(a: str, b: str, least: int) -> int:
     return next((n for n in range(min(len(a), len(b)), least - 1, -1) if a.endswith(b[:n])), 0)
 
 
-def collapse_rolling_cues(cues: DataFrame, gap_ms: int = GAP_MS, least: int = LEAST_OVERLAP) -> DataFrame:
-    """Rolling tracks as segments ``track_id, seg_pos, start_ms, end_ms, text``: each line once.
+_FOLDED = "island long, n long, start_ms long, end_ms long, text string, reaches_back boolean"
 
-    Lines that continue a line of the previous cue in time rewrite or lengthen the segment of that line; a cue of
-    carried lines alone prolongs the latest segment they belong to. Every later cue may rewrite an earlier segment, so
-    each track is folded in order; a track is bounded by the longest recording.
-    """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        done: list[list] = []  # start, end, text
-        previous: tuple[str, ...] = ()
-        ended = None
-        for cue in pdf.sort_values("cue_ord").itertuples(index=False):
-            near = previous if ended is not None and cue.start_ms <= ended + gap_ms else ()
+def _fold(batches: Iterator[pd.DataFrame], gap_ms: int, least: int) -> Iterator[pd.DataFrame]:
+    """Segments of each (track, island), whose cues come in order; an island may go on in the next batch."""
+    at, done, previous, ended = None, [], (), None  # done: start, end, text, whether it may belong to an earlier island
+    columns = ["track_id", "island", "n", "start_ms", "end_ms", "text", "reaches_back"]
+
+    def rows():
+        return [(*at, n, *x) for n, x in enumerate(done)]
+
+    for pdf in batches:
+        out = []
+        for track, island, begin, end, lines in zip(pdf["track_id"], pdf["island"], pdf["start_ms"], pdf["end_ms"], pdf["lines"], strict=True):
+            if (track, island) != at:
+                out += rows() if at is not None else []
+                at, done, previous, ended = (track, island), [], (), None
+            near = previous if ended is not None and begin <= ended + gap_ms else ()
             fresh = []
-            for line in cue.lines:
+            for line in lines:
                 old = next((p for p in near if _related(p, line, least)), None)
                 if old is None:
                     fresh.append(line)
@@ -73,21 +80,47 @@ def collapse_rolling_cues(cues: DataFrame, gap_ms: int = GAP_MS, least: int = LE
                         segment[2] = line
                     elif kin > 0:
                         segment[2] = old + line[kin:]
-            carried = None if fresh else next((s for s in reversed(done) if any(_related(s[2], x, least) for x in cue.lines)), None)
+            carried = None if fresh else next((s for s in reversed(done) if s[2] is not None and any(_related(s[2], x, least) for x in lines)), None)
             if carried is not None:
-                carried[1] = max(carried[1], cue.end_ms)
+                carried[1] = max(carried[1], end)
             else:
-                start = max(cue.start_ms, done[-1][1]) if done else cue.start_ms
-                if cue.end_ms > start:
-                    done.append([start, cue.end_ms, " ".join(fresh or cue.lines)])
-            previous, ended = tuple(cue.lines), cue.end_ms
-        out = pd.DataFrame(done, columns=["start_ms", "end_ms", "text"])
-        out.insert(0, "track_id", pdf["track_id"].iloc[0])
-        out.insert(1, "seg_pos", range(1, len(out) + 1))
-        return out
-
-    kind = dict(cues.dtypes)["track_id"]
-    return cues.select("track_id", "cue_ord", "start_ms", "end_ms", "lines").groupBy("track_id").applyInPandas(fold, f"track_id {kind}, seg_pos long, start_ms long, end_ms long, text string")
+                kept = next((s for s in reversed(done) if s[2] is not None), None)
+                start = max(begin, kept[1]) if kept else begin
+                if end > start:
+                    done.append([start, end, " ".join(fresh or lines), not fresh])
+                elif not fresh:
+                    done.append([None, None, None, True])
+            previous, ended = tuple(lines), end
+        yield pd.DataFrame(out, columns=columns).astype({"start_ms": "Int64", "end_ms": "Int64"})
+    if at is not None:
+        yield pd.DataFrame(rows(), columns=columns).astype({"start_ms": "Int64", "end_ms": "Int64"})
+
+
+def collapse_rolling_cues(cues: DataFrame, gap_ms: int = GAP_MS, least: int = LEAST_OVERLAP) -> DataFrame:
+    """Rolling tracks as segments ``track_id, seg_pos, start_ms, end_ms, text``: each line once.
+
+    Lines that continue a line of the previous cue in time rewrite or lengthen the segment of that line; a cue of
+    carried lines alone prolongs the latest segment they belong to. A cue that begins more than ``gap_ms`` after all
+    earlier ends carries nothing, so windows cut tracks into islands there, and islands, not tracks, are folded in
+    order. Only where a carried line has no segment in its island might it belong to an earlier one; such tracks, which
+    are few, are folded whole.
+    """
+    track = Window.partitionBy("track_id").orderBy("cue_ord")
+    apart = F.coalesce((F.col("start_ms") > F.max("end_ms").over(track.rowsBetween(Window.unboundedPreceding, -1)) + gap_ms).cast("long"), F.lit(0).cast("long"))
+    dealt = cues.select("track_id", "cue_ord", "start_ms", "end_ms", "lines").withColumn("apart", apart)
+    dealt = dealt.withColumn("island", F.sum("apart").over(track.rowsBetween(Window.unboundedPreceding, 0))).drop("apart")
+    schema = f"track_id {dict(cues.dtypes)['track_id']}, {_FOLDED}"
+
+    def folded(df: DataFrame) -> DataFrame:
+        ordered = df.repartition("track_id", "island").sortWithinPartitions("track_id", "island", "cue_ord")
+        return ordered.select("track_id", "island", "start_ms", "end_ms", "lines").mapInPandas(lambda batches: _fold(batches, gap_ms, least), schema)
+
+    first = staged(folded(dealt), "islands")
+    again = first.where("reaches_back and island > 0").select("track_id").distinct()
+    whole = folded(dealt.join(again, "track_id", "left_semi").withColumn("island", F.lit(0).cast("long")))
+    both = first.join(again, "track_id", "left_anti").unionByName(whole).where("text is not null")
+    number = F.row_number().over(Window.partitionBy("track_id").orderBy("island", "n")).cast("long")
+    return both.select("track_id", number.alias("seg_pos"), "start_ms", "end_ms", "text")
 
 
 def route_and_number(cues: DataFrame, gap_ms: int = GAP_MS) -> tuple[DataFrame, DataFrame]:

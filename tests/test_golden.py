@@ -62,6 +62,49 @@ def test_rolling_lines_come_once(spark):
     assert empty.count() == 0
 
 
+def test_islands_equal_reading_whole_tracks(spark):
+    """Rolling cues with pauses, cues of no length and repeats of long ago, against one fold over each whole track."""
+    random.seed(8)
+    phrases = ["red sail", "red sails at dusk", "grey gull", "gull over water", "low tide", "tide"]
+    rows, tracks = [], {}
+    for t in range(80):
+        at, shown = 0, []
+        for n in range(30):
+            at += random.choice([0, 200, 500, 900, 5000])
+            shown = (shown + [random.choice(phrases)])[-random.randint(1, 3) :] if random.random() < 0.7 else shown[-1:] or ["tide"]
+            rows.append(cue(n, at, at + random.choice([0, 0, 300, 1200]), *shown, track=f"t{t}"))
+            tracks.setdefault(f"t{t}", []).append((at, rows[-1][3], shown))
+
+    def whole(cues):
+        done, previous, ended = [], (), None
+        rel = lambda a, b: captions._related(a, b, 4)
+        for start, end, lines in cues:
+            near = previous if ended is not None and start <= ended + 1000 else ()
+            fresh = [x for x in lines if not any(rel(p, x) for p in near)]
+            for x in lines:
+                old = next((p for p in near if rel(p, x)), None)
+                if old is not None and old != x:
+                    seg = next((s for s in reversed(done) if s[2] == old), None)
+                    if seg and x.startswith(old):
+                        seg[2] = x
+                    elif seg and rel(old, x) > 0:
+                        seg[2] = old + x[rel(old, x) :]
+            carried = None if fresh else next((s for s in reversed(done) if any(rel(s[2], x) for x in lines)), None)
+            if carried:
+                carried[1] = max(carried[1], end)
+            else:
+                begin = max(start, done[-1][1]) if done else start
+                if end > begin:
+                    done.append([begin, end, " ".join(fresh or lines)])
+            previous, ended = lines, end
+        return [tuple(x) for x in done]
+
+    got = {}
+    for r in captions.collapse_rolling_cues(spark.createDataFrame(rows, CUE)).orderBy("track_id", "seg_pos").collect():
+        got.setdefault(r["track_id"], []).append((r["start_ms"], r["end_ms"], r["text"]))
+    assert got == {k: v for k, c in tracks.items() if (v := whole(c))}
+
+
 def test_caption_lines_equal_reading_in_order(spark):
     import re
 
