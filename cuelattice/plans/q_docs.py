@@ -112,7 +112,7 @@ def _seams(spark, sf_dir):
     s = op.seam_pairs(g, 200).join(g.select("doc_id", "group_idx", F.col("text").alias("previous_text")), ["doc_id", "group_idx"])
     s = s.join(g.select("doc_id", (F.col("group_idx") - 1).alias("group_idx"), F.col("text").alias("next_text")), ["doc_id", "group_idx"])
     sha = lambda c: F.sha2(F.col(c).cast("binary"), 256)
-    s = s.withColumn("new_tail", F.when(F.col("group_idx") % 3 == 0, F.left("tail", F.lit(20))).otherwise(F.upper("tail"))).withColumn("new_head", F.when(F.col("group_idx") % 2 == 0, F.concat("head", F.lit(" https://x.example"))).otherwise(F.col("head")))
+    s = s.withColumn("new_tail", F.when(F.col("group_idx") % 3 == 0, F.left("tail", F.lit(20))).otherwise(F.translate("tail", "aeiou", "AEIOU"))).withColumn("new_head", F.when(F.col("group_idx") % 2 == 0, F.concat("head", F.lit(" https://x.example"))).otherwise(F.col("head")))
     return op.seam_check(s.withColumn("tail_hash", sha("tail")).withColumn("head_hash", F.when(F.col("doc_id") % 4 == 0, F.lit("x")).otherwise(sha("head")))).select("doc_id", "group_idx", F.length("previous").alias("previous_chars"), F.length("next").alias("next_chars"), F.array_join("errors", ",").alias("errors"))
 
 
@@ -180,6 +180,24 @@ QUERIES = {
 }
 
 _STAMP = r"(?:[0-9]{1,2}:)?[0-9]{1,2}:[0-9]{2}[.,][0-9]{3}"
+_RULES = (
+    ("BODY_HAS_MARKDOWN", r"(?m)^\s*(?:#{1,6}\s|```|[-*+]\s+)"), ("BODY_HAS_URL", r"(?i)(?:https?://|www\.)\S+"), ("BODY_HAS_STAGE_DIRECTION", r"(?i)\[(?:music|applause|laughter|pause|sfx)\]"),
+    ("BODY_HAS_EMOJI", r"[\x{1F1E6}-\x{1F1FF}\x{1F300}-\x{1FAFF}]"), ("BODY_HAS_OUTPUT_MARKER", r"(?im)^\s*(?:title|script|body|section)\s*:"),
+)
+
+
+def _broken(text, prefix):
+    return ", ".join(f"case when regexp_matches({text}, '{p}') then '{prefix}{code}' end" for code, p in _RULES)
+
+
+_SEAMS = f"""{_packed(1).split("select doc_id, grp::int")[0]},
+g as (select doc_id, grp, string_agg(text, ' ' order by idx) as text from walk join lines using (doc_id, idx) group by doc_id, grp),
+n as (select *, lead(text) over (partition by doc_id order by grp) as nxt from g),
+w as (select *, right(text, 200) as tw, left(right(text, 200), 100) as ow, left(nxt, 200) as hw from n where nxt is not null),
+e as (select *, length(regexp_extract(ow, '(?s)^(.*?[.!?。！？])\\s', 1)) as s1, case when regexp_matches(ow, '\\s') then length(regexp_extract(ow, '(?s)^\\S*')) + 1 else 0 end as s2,
+  regexp_extract(substr(hw, 101), '(?s)^(.*[.!?。！？])\\s', 1) as h1, regexp_extract(substr(hw, 101), '(?s)^(.*)\\s', 1) as h2 from w),
+seams as (select doc_id, grp::int as group_idx, text, nxt, case when length(text) <= 200 then text else substr(tw, case when s1 > 0 then s1 + 2 when s2 > 0 then s2 + 1 else 1 end) end as tail,
+  case when length(nxt) <= 200 then nxt when h1 <> '' then left(hw, 100) || h1 when h2 <> '' then left(hw, 100) || h2 else hw end as head from e)"""
 _GOOD = f"{_VERDICTS}, good as (select * from coerced where bad_field is null)"
 _AGGREGATED = f"""{_GOOD}, agg as (select d.doc_id, coalesce(bool_and(g.passed), true) as passed, coalesce(bool_and(g.language_match), true) as language_match, coalesce(bool_and(g.tts_ready), true) as tts_ready,
   coalesce(min(style_score), 100.0) as style_score, coalesce(min(coverage_score), 100.0) as coverage_score,
@@ -221,4 +239,9 @@ ORACLE_SQL = {
     "validation_label": f"with {_AGGREGATED} select doc_id, case when doc_id % 3 <> 0 and passed then 'pass' when doc_id % 3 <> 0 then 'review' when doc_id % 2 = 0 then 'running' else 'not_rated' end as label from agg",
     "length_bounds": f"with {PARAGRAPHS}, n as (select doc_id, length(regexp_replace(body, '\\s', '', 'g')) as n from paragraphs) select doc_id, floor(n * 1.0::double + 0.999999)::bigint as least, floor(n * 1.1::double + 0.5)::bigint as target, floor(n * 1.3::double)::bigint as most from n",
     "stale_sources": f"with {PARAGRAPHS} select doc_id, doc_id % 6 = 0 or doc_id % 5 = 0 as changed from paragraphs",
+    "seam_pairs": f"{_SEAMS} select doc_id, group_idx, tail, head from seams",
+    "seam_check": f"""{_SEAMS}, r as (select *, case when group_idx % 3 = 0 then left(tail, 20) else translate(tail, 'aeiou', 'AEIOU') end as new_tail, case when group_idx % 2 = 0 then head || ' https://x.example' else head end as new_head from seams),
+      b as (select *, left(text, length(text) - length(tail)) || new_tail as before, new_head || substr(nxt, length(head) + 1) as after, (length(new_tail) + length(new_head)) / (length(tail) + length(head)) as ratio from r)
+      select doc_id, group_idx, length(before) as previous_chars, length(after) as next_chars, array_to_string(list_filter([case when doc_id % 4 = 0 then 'SEAM_STALE' end, case when ratio < 0.85::double or ratio > 1.15::double then 'SEAM_RATIO' end,
+        {_broken("before", "PREVIOUS_")}, {_broken("after", "NEXT_")}], lambda x: x is not null), ',') as errors from b""",
 }
