@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuelattice.llm.common import labelled_sample, saved, small_batches
@@ -280,7 +280,7 @@ def learn(rows: DataFrame, characters: CharacterModel, min_gain: int = 3) -> Tox
     numbers of the rows that hold them.
     """
     model = ToxicityModel(characters)
-    numbered = rows.select("words", "label", F.row_number().over(Window.partitionBy("label").orderBy("words")).alias("row"))
+    numbered = rows.select("words", "label", F.monotonically_increasing_id().alias("row"))
     sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1:
@@ -307,10 +307,12 @@ def learn(rows: DataFrame, characters: CharacterModel, min_gain: int = 3) -> Tox
             got = [(f, y, i) for words, y, i in zip(pdf["words"], pdf["label"], pdf["row"], strict=True) for f in _features_of(words) & wanted.value]
             yield pd.DataFrame(got, columns=["feature", "label", "row"])
 
-    postings = numbered.mapInPandas(hold, "feature string, label int, row int").groupBy("feature", "label").agg(F.sort_array(F.collect_list("row")).alias("rows"))
+    postings = numbered.mapInPandas(hold, "feature string, label int, row long").groupBy("feature", "label").agg(F.sort_array(F.collect_list("row")).alias("rows"))
     held: dict[int, dict[str, np.ndarray]] = {0: {f: np.zeros(0, dtype=np.int64) for f in totals}, 1: {}}
-    for r in postings.collect():
-        held[r["label"]][r["feature"]] = np.array(r["rows"], dtype=np.int64) - 1
+    found = postings.collect()
+    place = {y: np.unique(np.array([i for r in found if r["label"] == y for i in r["rows"]], dtype=np.int64)) for y in (0, 1)}
+    for r in found:
+        held[r["label"]][r["feature"]] = np.searchsorted(place[r["label"]], np.array(r["rows"], dtype=np.int64))
     chosen = cover(held[1], {f: c for f, (_, c) in totals.items()}, n1, cost, min_gain)
     if not chosen:
         return model
