@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cuelattice.functions.text import borders, comparable, content_hash, distinct_in_order, length_bounds, length_ratio, nfc, normalized_length, strip
+from cuelattice.functions.text import SPACE, borders, comparable, content_hash, distinct_in_order, length_bounds, length_ratio, nfc, normalized_length, strip
 
 CHUNK_CHARS = 25_000
 TITLE_CHARS = 100
@@ -25,6 +25,9 @@ SEAM_RATIO = (0.85, 1.15)
 _PART = "\x01"
 _STAMP = r"(?:\d{1,2}:)?\d{1,2}:\d{2}[.,]\d{3}"
 TIMING_LINE = rf"^\s*{_STAMP}\s+-->\s+{_STAMP}(?:\s.*)?$"
+# White space within a line, and a timing line, for patterns over whole texts.
+_IN_LINE = r"[\s\x1c-\x1f&&[^\n]]"
+_TIMED = rf"{_IN_LINE}*{_STAMP}{_IN_LINE}+-->{_IN_LINE}+{_STAMP}(?:{_IN_LINE}.*)?$"
 # Rules for rewritten text, by code, as Java patterns.
 RULES = {
     "BODY_HAS_MARKDOWN": r"(?m)^\s*(?:#{1,6}\s|```|[-*+]\s+)",
@@ -44,14 +47,13 @@ def normalise_bodies(docs: DataFrame, column: str = "body") -> DataFrame:
     space of every kind at their ends, runs of blank lines become one and none stay at either end.
     """
     text = F.regexp_replace(nfc(F.coalesce(column, F.lit(""))), r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
-    lines = F.split(F.regexp_replace(F.regexp_replace(text, rf"<{_STAMP}>", ""), r"\r\n?", "\n"), "\n")
-    timing = lambda x: x.rlike(TIMING_LINE)
-    staged = docs.withColumn("_lines", lines)
-    follows = lambda i: F.coalesce(timing(F.get("_lines", i + 1)), F.lit(False))
-    kept = F.filter("_lines", lambda x, i: ~timing(x) & ~(x.rlike(r"^\s*\d+\s*$") & follows(i)))
-    squeezed = F.transform(kept, lambda x: strip(F.regexp_replace(x, r"[ \t]+", " ")))
-    joined = F.regexp_replace(F.array_join(squeezed, "\n"), r"\n{3,}", "\n\n")
-    return staged.withColumn(column, F.regexp_replace(joined, r"^\n+|\n+$", "")).drop("_lines")
+    text = F.regexp_replace(F.regexp_replace(text, rf"<{_STAMP}>", ""), r"\r\n?", "\n")
+    # Whole-text patterns whose lines end at \\n alone; what stands within a line is never crossed.
+    for pattern, by in (
+        (rf"(?dmU)^{_IN_LINE}*\d+{_IN_LINE}*\n(?={_TIMED})", ""), (rf"(?dmU)^{_TIMED}\n?", ""), (r"[ \t]+", " "), (rf"(?dmU)^{_IN_LINE}+|{_IN_LINE}+$", ""), (r"\n{3,}", "\n\n"), (r"\A\n+|\n+\z", ""),
+    ):
+        text = F.regexp_replace(text, pattern, by)
+    return docs.withColumn(column, text)
 
 
 # Where a chunk may end, best first: a paragraph, a line, a sentence with its closing signs and space, a word.
@@ -147,6 +149,8 @@ def repeated_chars(before: str, text: str, least: int) -> int:
 
     Only lengths at which the comparable forms overlap are looked at; raw lengths differ from those by white space.
     """
+    if _compact(text[:least]) not in _compact(before):
+        return 0  # no beginning of ``least`` characters or more can stand at its end
     a, a_ends = _folded(before)
     b, b_ends = _folded(text)
     best = 0
@@ -172,9 +176,9 @@ def drop_repeated_paragraphs(docs: DataFrame, separator: str = BLANK, column: st
 
     @F.pandas_udf(T.StringType())
     def fold(bodies: pd.Series) -> pd.Series:
-        def one(body: str | None) -> str | None:
+        def one(body: str) -> str:
             kept: list[str] = []
-            for p in (x.strip() for x in re.split(separator, body or "")):
+            for p in (x.strip() for x in re.split(separator, body)):
                 if not p or (kept and _compact(p) == _compact(kept[-1])):
                     continue
                 rest = p[repeated_chars(kept[-1], p, least) :].lstrip() if kept else p
@@ -182,15 +186,20 @@ def drop_repeated_paragraphs(docs: DataFrame, separator: str = BLANK, column: st
                     kept.append(rest)
             return joint.join(kept)
 
-        return bodies.map(one)
+        return bodies.map(one, na_action="ignore")
 
-    return docs.withColumn(column, fold(column))
+    return docs.withColumn(column, fold(F.coalesce(column, F.lit(""))))
 
 
 def single_line(text: Column) -> Column:
     return strip(F.regexp_replace(text, r"[ \t]+", " "))
 
 
+def _bare_length(column: str) -> Column:
+    """``normalized_length`` of text that is normalised already."""
+    return F.length(F.regexp_replace(column, SPACE, ""))
+
+
 def validate_documents(docs: DataFrame) -> DataFrame:
     """Rules for rewrites (``doc_id, title, body, source_body``): ``errors`` in rule order, ``warnings``, lengths and ratio.
 
@@ -200,10 +209,9 @@ def validate_documents(docs: DataFrame) -> DataFrame:
     clean = drop_repeated_paragraphs(normalise_bodies(docs.select("doc_id", "title", "body", F.col("source_body").alias("raw_source")), "body"))
     clean = normalise_bodies(clean.withColumn("source", F.col("raw_source")), "source")
     title = single_line(F.regexp_replace(F.coalesce("title", F.lit("")), r"^Title:", ""))
-    staged = clean.select(
-        "doc_id", "body", F.col("title").alias("raw_title"), title.alias("title"), normalized_length(F.col("source")).alias("source_length"), normalized_length(F.col("body")).alias("output_length"),
-        comparable(F.coalesce("raw_source", F.lit(""))).alias("whole"),
-    )
+    # One struct for each row, so that what many rules use is worked out once.
+    once = F.struct("body", F.col("title").alias("raw_title"), title.alias("title"), _bare_length("source").alias("source_length"), _bare_length("body").alias("output_length"), comparable(F.coalesce("raw_source", F.lit(""))).alias("whole"))
+    staged = clean.select("doc_id", F.explode(F.array(once)).alias("s")).select("doc_id", "s.*")
     bounds = length_bounds(F.col("source_length"))
     source, output = F.col("source_length"), F.col("output_length")
     checks = [
