@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cuelattice.llm import ann, decontaminate, html_text, near_dup, packing, quality, token_files, toxicity, warc, words
+from cuelattice.llm import ann, decontaminate, html_text, near_dup, packing, quality, token_files, toxicity, url_lists, warc, words
 from cuelattice.llm.queries import QUERIES, tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -385,6 +385,13 @@ def test_encoded_payloads_are_decoded(spark):
     assert Counter(r["refers_to"] for r in got)["bare"] == 4 and Counter(r["refers_to"] for r in got)["null"] == 1
 
 
+def test_url_lists_of_empty_tables(spark):
+    entries = spark.createDataFrame([("l", "bad.com", "add", "2024-01-01")], "list_name string, pattern string, action string, entry_ts string")
+    captures = spark.createDataFrame([(1, "http://bad.com/", "2024-02-01", "x")], "capture_id long, url string, fetch_ts string, blocked string")
+    assert url_lists.evaluate(captures.drop("blocked"), entries.limit(0)).select("n_active", "blocked").collect() == [(0, False)]
+    assert url_lists.evaluate(captures.drop("blocked").limit(0), entries).count() == 0
+
+
 class Seen(HTMLParser):
     """The visible pieces between block elements, read by the standard library's parser."""
 
