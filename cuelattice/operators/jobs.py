@@ -114,7 +114,7 @@ def guarded_delete(jobs: DataFrame, rewrites: DataFrame, ids: DataFrame) -> tupl
     problems = missing.unionByName(busy).unionByName(of)
     # One row, so that the guard is part of the plan rather than a look at the data beforehand.
     clear = problems.agg((F.count("*") == 0).alias("clear"))
-    gone = ids.join(F.broadcast(clear)).where("clear").select("id")
+    gone = ids.withColumn("clear", F.lit(True)).join(F.broadcast(clear), "clear").select("id")
     return jobs.join(gone, "id", "left_anti"), rewrites.join(gone.withColumnRenamed("id", "transcript_job_id"), "transcript_job_id", "left_anti"), problems
 
 

@@ -278,7 +278,7 @@ def reconcile(words: DataFrame, captions: DataFrame, heard, segments: DataFrame,
     pairs = staged(align.aligned_pairs(align.monotonic_chain(align.merge_diagonal_blocks(align.anchor_blocks(p, c)))), "pairs")
     ranges = staged(align.word_to_caption_range(p, c, pairs), "ranges")
     spans = staged(suspicious_words(words, ranges, language=language), "spans")
-    windows = staged(budgeted_top_k(window_priority(pad_and_merge_windows(spans), spans), most or WINDOWS.get(language, 60)), "windows")
+    windows = staged(budgeted_top_k(window_priority(pad_and_merge_windows(spans), spans), WINDOWS.get(language, 60) if most is None else most), "windows")
     second = staged(heard(windows.where("selected")), "heard")
     evidence = secondary_evidence(spans, windows, p, second, language)
     place = ["track_id", "seg_pos", "word_idx"]

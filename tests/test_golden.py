@@ -181,6 +181,38 @@ def test_spans_without_evidence_stay(spark):
     assert (got[2]["secondary_text"], got[2]["selected"], got[2]["processed"]) == (None, False, False)
 
 
+def test_reconciliation_from_words_to_text(spark):
+    """Two tracks: a word that caption and second model correct, one they confirm, one nobody heard again, one over budget."""
+    timed = "track_id string, seg_pos int, word_idx long, start_ms long, end_ms long, text string, probability double"
+    right = ["".join(chr(0x4E00 + 3 * i + k) for k in range(3)) for i in range(40)]
+    at = lambda t, i, text, p: (t, i // 4, i % 4, i * 1000, i * 1000 + 900, text, p)
+    said = [at("t", i, "誤聞違" if i == 7 else w, 0.3 if i in (7, 12) else 0.9) for i, w in enumerate(right)]
+    said += [at("u", i, w, 0.2 if i == 30 else 0.9) for i, w in enumerate(right)]
+    captions_of = [at(t, i, w, None) for t in "tu" for i, w in enumerate(right)]
+    words, caps = spark.createDataFrame(said, timed), spark.createDataFrame(captions_of, timed)
+    segs = words.groupBy("track_id", "seg_pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_idx", "text"))), lambda x: x.text), "").alias("text"))
+
+    def heard(windows):
+        w = caps.drop("probability").withColumn("probability", F.lit(0.95)).where("track_id = 't'")
+        kept = windows.select("track_id", "win", F.col("start_ms").alias("a"), F.col("end_ms").alias("b"))
+        return w.join(kept, "track_id").where("start_ms < b and end_ms > a").select("track_id", "win", "seg_pos", "word_idx", "start_ms", "end_ms", "text", "probability")
+
+    out = reconcile.reconcile(words, caps, heard, segs)
+    items = {(r["track_id"], r["seg_pos"], r["word_idx"]): (r["decision"], r["reason"], r["final_text"], r["tier"]) for r in out["items"].collect()}
+    assert items == {
+        ("t", 1, 3): ("corrected", "caption_secondary_consensus", right[7], 1),
+        ("t", 3, 0): ("kept_primary", "primary_consensus", right[12], 2),
+        ("u", 7, 2): ("unresolved", "secondary_missing", right[30], 2),
+    }
+    texts = {(r["track_id"], r["seg_pos"]): r["text"] for r in out["segments"].collect()}
+    assert texts == {(t, s): "".join(right[4 * s : 4 * s + 4]) for t in "tu" for s in range(10)}
+    total = {r["track_id"]: r for r in out["summary"].collect()}
+    assert (total["t"]["suspicious"], total["t"]["corrected_words"], total["t"]["corrected_segments"], total["t"]["processed"], total["t"]["warnings"]) == (2, 1, 1, 2, ["JAPANESE_RECONCILED"])
+    assert abs(total["t"]["coverage"] - 117 / 120) < 1e-9 and total["u"]["coverage"] == 1.0 and total["u"]["processed"] == 0 and total["u"]["secondary_windows"] == 0
+    none = reconcile.reconcile(words, caps, heard, segs, most=0)
+    assert {r["decision"] for r in none["items"].collect()} == {"skipped"} and none["summary"].where("skipped_windows > 0 and windows = 0").count() == 2
+
+
 def test_alignment_of_altered_text(spark):
     text = "".join(chr(0x4E00 + i) for i in range(100))
     other = text[:30] + "zz" + text[32:]
