@@ -256,7 +256,7 @@ def test_a_hot_group_of_unlike_copies(spark):
 def test_strangers_of_a_large_component_are_found(spark, monkeypatch, block):
     """A large component, alike strangers to it, and unlike rows of one bucket: every alike pair of different components is told."""
     monkeypatch.setattr(near_dup, "BLOCK", block)
-    monkeypatch.setattr(near_dup, "STAR_ROWS", 4 * block)
+    monkeypatch.setattr(near_dup, "CHUNK_ROWS", 2 * block)
     rng = np.random.default_rng(7)
     base = rng.integers(0, 256, near_dup.SIZE, dtype=np.uint8)
     rows = []
