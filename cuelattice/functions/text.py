@@ -6,6 +6,7 @@ import html
 import unicodedata
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -121,6 +122,69 @@ def borders(a: str, b: str) -> list[int]:
     return out
 
 
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+def gram_hashes(codes: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each run of ``size`` characters along the last axis, rolled up from runs of half the length."""
+    codes = codes.astype(np.uint64) + np.uint64(1)
+    n = codes.shape[-1]
+    if n < size:
+        return np.zeros((*codes.shape[:-1], 0), dtype=np.uint64)
+    out, done, held, width = np.zeros((*codes.shape[:-1], n + 1), dtype=np.uint64), 0, codes, 1
+    shift = lambda w: np.uint64(pow(0x9E3779B97F4A7C15, w, 1 << 64))
+    while True:
+        if size & width:
+            # ``out`` has runs of ``done`` characters; the run of ``width`` behind each is put after it.
+            places = n - done - width + 1
+            out = out[..., :places] * shift(width) + held[..., done : done + places]
+            done += width
+        if 2 * width > size:
+            break
+        held = held[..., :-width] * shift(width) + held[..., width:]
+        width *= 2
+    out = (out ^ (out >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return out ^ (out >> np.uint64(29))
+
+
+def window_minima(values: np.ndarray, width: int) -> np.ndarray:
+    """The smallest of each ``width`` neighbours along the last axis, from minima of half the width; none where they are fewer."""
+    places = values.shape[-1] - width + 1
+    if places <= 0:
+        return values[..., :0]
+    held, have = values, 1
+    while 2 * have <= width:
+        held = np.minimum(held[..., :-have], held[..., have:])
+        have *= 2
+    return np.minimum(held[..., :places], held[..., width - have :])
+
+
+def winnowed(text, least: int, size: int):
+    """Fingerprints of a text such that two texts share one wherever they share ``least`` characters: an array of longs.
+
+    Of each window of neighbouring hashes of ``size`` characters the smallest is kept, and windows span ``least``
+    characters; so of equal windows both keep the same, and about two hashes in a window's width are kept in all.
+    """
+
+    @F.pandas_udf("array<long>")
+    def kept(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: np.unique(window_minima(gram_hashes(code_points(t), size), least - size + 1)).view(np.int64), na_action="ignore")
+
+    return kept(text)
+
+
+def first_fingerprint(text, least: int, size: int):
+    """The fingerprint that ``winnowed`` keeps of the first ``least`` characters of a text that has as many."""
+
+    @F.pandas_udf("long")
+    def key(texts: pd.Series) -> pd.Series:
+        codes = code_points("".join(texts)).reshape(len(texts), least)
+        return pd.Series(window_minima(gram_hashes(codes, size), least - size + 1)[:, 0].view(np.int64))
+
+    return key(F.left(text, F.lit(least)))
+
+
 @F.pandas_udf(T.IntegerType())
 def _overlap(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
     out = [None if x is None or y is None else next((k for k in borders(x, y) if k >= n), 0) for x, y, n in zip(a, b, least, strict=True)]

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuelattice.functions.text import midpoint, normalize_alignment_text, overlap_ms
+from cuelattice.functions.text import code_points, midpoint, normalize_alignment_text, overlap_ms
 
 WINDOW_MS, HOP_MS = 60_000, 55_000
 REACH_MS = 5_000
@@ -60,28 +62,90 @@ def origins(primary: DataFrame, caption: DataFrame) -> DataFrame:
     return both.groupBy("track_id").agg(F.min("start_ms").alias("origin"))
 
 
+def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... for each of the counts, one after the other."""
+    return np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+
+
+def common_runs(a: np.ndarray, b: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start in ``a``, start in ``b`` and length of all longest common runs of at least ``least`` values, by diagonal.
+
+    Seeds are runs of g values that begin at every s-th place of ``a``, with s + g - 1 = least, so that each run of
+    ``least`` values holds one. Seeds of one diagonal that follow each other at the distance s are one run, which then goes on
+    less than s values to either side: with s more a seed would stand there.
+    """
+    s = max(1, least // 2)
+    g = least - s + 1
+    none = np.zeros(0, dtype=np.int64)
+    if len(a) < least or len(b) < least:
+        return none, none, none
+    both = np.concatenate([a, b])
+    names = np.unique(both, return_inverse=True)[1].astype(np.int64)
+    for _ in range(g - 1):
+        # Numbers of runs that are one value longer: that of the run and that of the value behind it.
+        longer = names[:-1] * (len(both) + 1) + np.unique(both[len(both) - len(names) + 1 :], return_inverse=True)[1]
+        names = np.unique(longer, return_inverse=True)[1].astype(np.int64)
+    seeds = np.arange(0, len(a) - g + 1, s)
+    of_b = names[len(a) : len(a) + len(b) - g + 1]
+    by = np.argsort(of_b, kind="stable")
+    first, last = (np.searchsorted(of_b[by], names[seeds], side) for side in ("left", "right"))
+    i = np.repeat(seeds, last - first)
+    j = by[_spread(first, last - first)]
+    order = np.lexsort((i, j - i))
+    i, j = i[order], j[order]
+    if not len(i):
+        return none, none, none
+    apart = np.concatenate([[True], (np.diff(j - i) != 0) | (np.diff(i) != s)])
+    at, end = i[apart], i[np.concatenate([apart[1:], [True]])] + g
+    shift = (j - i)[apart]
+    for _ in range(s - 1):
+        left = (at > 0) & (at + shift > 0)
+        at = at - (left & (a[at - left] == b[at + shift - left]))
+        right = (end < len(a)) & (end + shift < len(b))
+        end = end + (right & (a[np.minimum(end, len(a) - 1)] == b[np.minimum(end + shift, len(b) - 1)]))
+    long = end - at >= least
+    return at[long], (at + shift)[long], (end - at)[long]
+
+
+def _blocks_of(p: pd.DataFrame, c: pd.DataFrame, least: int) -> pd.DataFrame:
+    """Common runs of two timelines of one window, parted where either skips a number."""
+    p, c = p.sort_values("idx"), c.sort_values("idx")
+    i, j, n = common_runs(*(code_points("".join(x["ch"])) for x in (p, c)), least)
+    pi, ci = p["idx"].to_numpy(), c["idx"].to_numpy()
+    # Numbers that don't follow each other end a block among the beginnings of runs of ``least`` values.
+    hits = n - least + 1
+    at_p, at_c, run = _spread(i, hits), _spread(j, hits), np.repeat(np.arange(len(i)), hits)
+    opens = np.ones(len(run), dtype=bool)
+    opens[1:] = (run[1:] != run[:-1]) | (np.diff(pi[at_p]) != 1) | (np.diff(ci[at_c]) != 1)
+    firsts = np.flatnonzero(opens)
+    if not len(firsts):
+        return pd.DataFrame({"p0": [], "c0": [], "size": [], "dist": []}).astype({"p0": "int64", "c0": "int64", "size": "int64", "dist": "float64"})
+    i, j, hits = at_p[firsts], at_c[firsts], np.diff(np.concatenate([firsts, [len(run)]]))
+
+    def middle(x: pd.DataFrame, at: np.ndarray, by_hit: np.ndarray) -> np.ndarray:
+        whole = hits + least - 1
+        ends = np.maximum.reduceat(x["end_ms"].to_numpy()[_spread(at, whole)], np.cumsum(whole) - whole)
+        return (np.minimum.reduceat(x["start_ms"].to_numpy()[by_hit], firsts) + ends) / 2
+
+    return pd.DataFrame({"p0": pi[i], "c0": ci[j], "size": hits + least - 1, "dist": np.abs(middle(p, i, at_p) - middle(c, j, at_c))})
+
+
 def anchor_blocks(primary: DataFrame, caption: DataFrame, least: int = LEAST_ANCHOR, window_ms: int = WINDOW_MS, hop_ms: int = HOP_MS) -> DataFrame:
     """Exact common runs of at least ``least`` characters within a window: ``track_id, p0, c0, size, dist``.
 
-    Runs of ``least`` characters meet in an equi-join on (track, window, run); neighbours on one diagonal join into
-    maximal runs. ``dist`` is the distance of the midpoints; of equal blocks of two windows the nearer counts.
+    The characters of one (track, window) meet as arrays: sampled seeds of the primary timeline, found in the caption,
+    are extended to maximal runs (``common_runs``). ``dist`` is the distance of the midpoints; of equal blocks of two
+    windows the nearer counts.
     """
     start = origins(primary, caption)
+    dealt = lambda chars: hopping_windows(chars.select("track_id", "idx", "ch", "start_ms", "end_ms"), start, window_ms, hop_ms).groupBy("track_id", "win")
 
-    def grams(chars: DataFrame, name: str) -> DataFrame:
-        w = Window.partitionBy("track_id", "win").orderBy("idx")
-        g = hopping_windows(chars.select("track_id", "idx", "ch", "start_ms", "end_ms"), start, window_ms, hop_ms)
-        later = lambda c: [F.col(c), *(F.lead(c, i).over(w) for i in range(1, least))]
-        # A null from behind the window's end makes the run null, so runs are whole.
-        g = g.withColumn("gram", F.concat(*later("ch"))).withColumn("to_ms", F.greatest(*later("end_ms")) if least > 1 else F.col("end_ms")).where("gram is not null")
-        return g.select("track_id", "win", F.xxhash64("gram").alias("key"), "gram", F.col("idx").alias(name), F.col("start_ms").alias(f"{name}_start"), F.col("to_ms").alias(f"{name}_end"))
-
-    met = grams(primary, "p").join(grams(caption, "c"), ["track_id", "win", "key", "gram"]).withColumn("diagonal", F.col("c") - F.col("p"))
-    run = F.col("p") - F.row_number().over(Window.partitionBy("track_id", "win", "diagonal").orderBy("p"))
-    blocks = met.withColumn("run", run).groupBy("track_id", "win", "diagonal", "run").agg(
-        F.min("p").alias("p0"), F.min("c").alias("c0"), (F.count("*") + least - 1).alias("size"),
-        F.abs(midpoint(F.min("p_start"), F.max("p_end")) - midpoint(F.min("c_start"), F.max("c_end"))).alias("dist"),
-    )
+    def meet(key: tuple, p: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        found = _blocks_of(p, c, least) if len(p) and len(c) else _blocks_of(p.iloc[:0], c.iloc[:0], least)
+        found.insert(0, "track_id", pd.Series([key[0]] * len(found), dtype=object))
+        return found
+
+    blocks = dealt(primary).cogroup(dealt(caption)).applyInPandas(meet, f"track_id {dict(primary.dtypes)['track_id']}, p0 long, c0 long, size long, dist double")
     return blocks.groupBy("track_id", "p0", "c0", "size").agg(F.min("dist").alias("dist"))
 
 
@@ -95,27 +159,51 @@ def merge_diagonal_blocks(blocks: DataFrame) -> DataFrame:
     return g.select("track_id", "p0", (F.col("p0") + F.col("diagonal")).alias("c0"), (F.col("to") - F.col("p0")).alias("size"), "dist")
 
 
+def best_chain(p: list[int], c: list[int], n: list[int], own: list[float]) -> list[int]:
+    """Places, in order, of the chain with the largest sum of ``own`` among blocks sorted by ``p``; ties to the earliest place.
+
+    A sweep over the primary timeline: before a block is reached, those that end there or earlier are entered at their
+    caption ends in a Fenwick tree of prefix maxima, which gives the best chain that ends before it in both timelines.
+    """
+    ends = sorted({x + k for x, k in zip(c, n, strict=True)})
+    rank = {e: r + 1 for r, e in enumerate(ends)}
+    best: list[tuple[float, int]] = [(0.0, 1)] * (len(ends) + 1)  # (score, -place); nothing has a positive second part
+    score, before = list(own), [-1] * len(p)
+    by_end, entered = sorted(range(len(p)), key=lambda i: p[i] + n[i]), 0
+    for i in range(len(p)):
+        while entered < len(by_end) and p[by_end[entered]] + n[by_end[entered]] <= p[i]:
+            j = by_end[entered]
+            entered += 1
+            r, held = rank[c[j] + n[j]], (score[j], -j)
+            while r < len(best):
+                if best[r][1] > 0 or held > best[r]:
+                    best[r] = held
+                r += r & -r
+        r, found = bisect.bisect_right(ends, c[i]), (0.0, 1)
+        while r:
+            if best[r][1] <= 0 and (found[1] > 0 or best[r] > found):
+                found = best[r]
+            r -= r & -r
+        if found[1] <= 0 and found[0] + own[i] > score[i]:
+            score[i], before[i] = found[0] + own[i], -found[1]
+    at, kept = max(range(len(p)), key=score.__getitem__, default=-1), []
+    while at >= 0:
+        kept.append(at)
+        at = before[at]
+    return kept[::-1]
+
+
 def monotonic_chain(blocks: DataFrame) -> DataFrame:
     """The best chain of blocks of each track that cross in neither timeline, by size less a little for distance.
 
-    Each block extends the best chain that ends before it; blocks are few against characters, so a track is one group.
+    Each block extends the best chain that ends before it; blocks are few against characters, so a track is one group,
+    swept in log time a block.
     """
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         b = pdf.sort_values(["p0", "c0", "size"]).reset_index(drop=True)
-        p, c, n = (b[x].to_numpy() for x in ("p0", "c0", "size"))
-        own = n - np.minimum(b["dist"].to_numpy(), 60_000) / 600_000
-        score, before = own.astype(float), np.full(len(b), -1)
-        for i in range(1, len(b)):
-            fits = np.where((p[:i] + n[:i] <= p[i]) & (c[:i] + n[:i] <= c[i]), score[:i], -np.inf)
-            j = int(fits.argmax())
-            if fits[j] + own[i] > score[i]:
-                score[i], before[i] = fits[j] + own[i], j
-        at, kept = int(score.argmax()), []
-        while at >= 0:
-            kept.append(at)
-            at = int(before[at])
-        return b.iloc[kept[::-1]]
+        own = b["size"] - np.minimum(b["dist"], 60_000) / 600_000
+        return b.iloc[best_chain(*(b[x].tolist() for x in ("p0", "c0", "size")), own.tolist())]
 
     return blocks.select("track_id", "p0", "c0", "size", "dist").groupBy("track_id").applyInPandas(chain, blocks.select("track_id", "p0", "c0", "size", "dist").schema)
 

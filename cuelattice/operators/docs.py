@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cuelattice.functions.text import SPACE, borders, comparable, content_hash, distinct_in_order, length_bounds, length_ratio, nfc, normalized_length, strip
+from cuelattice.functions.text import SPACE, borders, comparable, content_hash, distinct_in_order, first_fingerprint, length_bounds, length_ratio, nfc, normalized_length, strip, winnowed
 
 CHUNK_CHARS = 25_000
 TITLE_CHARS = 100
@@ -238,19 +238,18 @@ def copied_blocks(outputs: DataFrame, sources: DataFrame, least: int = COPIED_CH
     """``doc_id, source_id, n_blocks``: paragraphs of outputs that a source holds, over the corpus.
 
     Compared without case and white space, so copies with other line ends or in languages without spaces are told
-    too. A paragraph of at least ``least`` comparable characters meets a source by the hash of its first
-    ``key_chars``, an equi-join with the hashes of all runs of that length in the sources; containment decides. Texts
+    too. Sources are winnowed: of hashes of ``key_chars`` characters the smallest of every window that spans ``least``
+    characters is kept, about two of a window's width. A paragraph of at least ``least`` comparable characters brings
+    the one of its first window, which any source that holds it has kept too; containment decides. Texts
     join only the pairs so found.
     """
-    k = min(key_chars, least)
-    p = outputs.select("doc_id", F.explode(F.split(comparable(F.regexp_replace(F.coalesce("body", F.lit("")), separator, _PART)), _PART)).alias("p")).where(F.length("p") >= least).distinct()
-    p = p.withColumn("key", F.xxhash64(F.left("p", F.lit(k))))
+    k = min(key_chars, max(1, least // 2))
+    parts = outputs.select("doc_id", F.explode(F.split(comparable(F.regexp_replace(F.coalesce("body", F.lit("")), separator, _PART)), _PART)).alias("p")).where(F.length("p") >= least)
+    parts = parts.select("doc_id", "p", first_fingerprint(F.col("p"), least, k).alias("key"))
     whole = sources.select("source_id", comparable(F.coalesce("text", F.lit(""))).alias("whole")).where(F.length("whole") >= least)
-    signs = whole.select("source_id", F.split("whole", "").alias("c"))
-    runs = F.transform(F.sequence(F.lit(1), F.size("c") - k + 1), lambda i: F.xxhash64(F.array_join(F.slice("c", i, k), "")))
-    keys = signs.select("source_id", F.explode(F.array_distinct(runs)).alias("key"))
-    met = p.join(keys, "key").select("doc_id", "p", "source_id").join(whole, "source_id").where(F.col("whole").contains(F.col("p")))
-    return met.groupBy("doc_id", "source_id").agg(F.count_distinct("p").alias("n_blocks"))
+    keys = whole.select("source_id", F.explode(winnowed("whole", least, k)).alias("key")).distinct()
+    met = parts.join(keys, "key").select("doc_id", "source_id", "p").distinct().join(whole, "source_id").where(F.col("whole").contains(F.col("p")))
+    return met.groupBy("doc_id", "source_id").agg(F.count("*").alias("n_blocks"))
 
 
 def tail_window(text: Column, n: int = SEAM_CHARS) -> Column:

@@ -6,9 +6,10 @@ import hashlib
 import random
 from difflib import SequenceMatcher
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from cuelattice.functions.text import borders, clean_markup, length_bounds, normalize_alignment_text, text_similarity
+from cuelattice.functions.text import borders, clean_markup, code_points, gram_hashes, length_bounds, normalize_alignment_text, text_similarity, window_minima
 from cuelattice.operators import align, captions, docs, reconcile, tracks
 from cuelattice.plans import q_align, registry
 from cuelattice.sources import files
@@ -358,3 +359,94 @@ def test_alignment_queries_take_the_defaults(spark, tmp_path):
     got = {x["word_idx"]: (x["similarity"], x["tier"]) for x in reconcile.suspicious_words(said, heard, language="de").collect()}
     like = lambda a, b: SequenceMatcher(None, a, b, autojunk=False).ratio()
     assert got == {0: (1.0, 2), 4: (like("stone", "rests"), 3)} and like("stone", "stores") > 0.72
+
+
+def test_copied_blocks_equal_containment_on_random_texts(spark):
+    rng = np.random.default_rng(11)
+    say = lambda n: "".join(rng.choice(list("ab cdé"), n))
+    sources = [(i, say(int(rng.integers(0, 900)))) for i in range(60)] + [(60, "a" * 500), (61, "ab" * 300), (62, None)]
+    bodies = []
+    for i in range(80):
+        s, n = sources[int(rng.integers(0, 62))][1], int(rng.integers(10, 260))
+        a = int(rng.integers(0, max(1, len(s) - n)))
+        bodies.append((i, s[a : a + n].upper() + "\n\n" + say(int(rng.integers(0, 200)))))
+    bodies += [(100, "A a " * 80), (100, "A a " * 80), (101, None), (102, "")]
+    flat = lambda t: "".join((t or "").casefold().split())
+    for least in (40, 160):
+        want = {}
+        for i, body in bodies:
+            for p in {flat(x) for x in (body or "").split("\n\n")}:
+                for j, s in sources:
+                    if len(p) >= least and p in flat(s):
+                        want.setdefault((i, j), set()).add(p)
+        got = docs.copied_blocks(spark.createDataFrame(bodies, "doc_id int, body string"), spark.createDataFrame(sources, "source_id int, text string"), least).collect()
+        assert {(r["doc_id"], r["source_id"]): r["n_blocks"] for r in got} == {k: len(v) for k, v in want.items()} and want
+
+
+def test_winnowing_keeps_few_hashes_and_one_of_every_window():
+    rng = np.random.default_rng(12)
+    text = "".join(rng.choice(list("abcdefgh"), 20_000))
+    kept = set(window_minima(gram_hashes(code_points(text), 32), 129).tolist())
+    assert len(kept) < 0.03 * len(text)
+    for a in range(0, 19_000, 97):
+        (key,) = window_minima(gram_hashes(code_points(text[a : a + 160]), 32), 129)
+        assert int(key) in kept
+    for n, size in ((40, 7), (9, 9), (5, 6), (12, 1)):
+        t = "".join(rng.choice(list("aé😀"), n))
+        h = gram_hashes(code_points(t), size)
+        assert len(h) == max(0, n - size + 1) and all((h[i] == h[j]) == (t[i : i + size] == t[j : j + size]) for i in range(len(h)) for j in range(i))
+
+
+def test_common_runs_equal_trying_all_places():
+    rng = np.random.default_rng(13)
+    for _ in range(400):
+        a, b = (rng.integers(0, rng.integers(1, 5), rng.integers(0, 40)).astype(np.uint32) for _ in range(2))
+        for least in (1, 2, 4, 5, 8):
+            want = set()
+            for i in range(len(a)):
+                for j in range(len(b)):
+                    if a[i] == b[j] and (i == 0 or j == 0 or a[i - 1] != b[j - 1]):
+                        n = next((n for n in range(1, 99) if i + n >= len(a) or j + n >= len(b) or a[i + n] != b[j + n]), 0)
+                        if n >= least:
+                            want.add((i, j, n))
+            got = list(zip(*(x.tolist() for x in align.common_runs(a, b, least)), strict=True))
+            assert len(got) == len(want) and set(got) == want
+
+
+def test_anchor_blocks_of_timelines_with_gaps(spark):
+    """Segments that overlap in time leave gaps in the numbers of a window's characters; blocks end there."""
+    rng = np.random.default_rng(14)
+    rows = lambda seed: [(1, i, str(rng.choice(list("abc"))), int(t), int(t) + 300) for i, t in enumerate(np.random.default_rng(seed).permutation(240) * 500)]
+    schema = "track_id int, idx long, ch string, start_ms long, end_ms long"
+    p, c = rows(1), rows(2)
+    got = {(r["p0"], r["c0"], r["size"]): r["dist"] for r in align.anchor_blocks(spark.createDataFrame(p, schema), spark.createDataFrame(c, schema)).collect()}
+    want, origin = {}, min(r[3] for r in p + c)
+    for win in range(4):
+        a, b = ([r for r in x if r[3] < origin + win * 55_000 + 60_000 and r[4] > origin + win * 55_000] for x in (p, c))
+        hits = {(a[i][1], b[j][1]): (i, j) for i in range(len(a) - 3) for j in range(len(b) - 3) if [r[2] for r in a[i : i + 4]] == [r[2] for r in b[j : j + 4]]}
+        for (x, y), (i, j) in hits.items():
+            if (x - 1, y - 1) not in hits:
+                n = next(n for n in range(1, 999) if (x + n, y + n) not in hits)
+                mid = lambda r, k: (min(s[3] for s in r[k : k + n]) + max(s[4] for s in r[k : k + n + 3])) / 2
+                d = abs(mid(a, i) - mid(b, j))
+                want[x, y, n + 3] = min(d, want.get((x, y, n + 3), d))
+    assert got == want and want
+
+
+def test_best_chain_equals_trying_all_blocks_before():
+    rng = np.random.default_rng(15)
+    for _ in range(300):
+        blocks = sorted(tuple(map(int, (rng.integers(30), rng.integers(30), rng.integers(1, 6)))) for _ in range(rng.integers(0, 40)))
+        p, c, n = ([b[k] for b in blocks] for k in range(3))
+        own = [x - float(rng.choice([0, 0, 0.1, 0.05])) for x in n]
+        score, before = list(own), [-1] * len(p)
+        for i in range(len(p)):
+            fits = [j for j in range(i) if p[j] + n[j] <= p[i] and c[j] + n[j] <= c[i]]
+            j = max(fits, key=lambda j: (score[j], -j), default=-1)
+            if j >= 0 and score[j] + own[i] > score[i]:
+                score[i], before[i] = score[j] + own[i], j
+        at, kept = max(range(len(p)), key=score.__getitem__, default=-1), []
+        while at >= 0:
+            kept.append(at)
+            at = before[at]
+        assert align.best_chain(p, c, n, own) == kept[::-1]
