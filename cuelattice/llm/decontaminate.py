@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from cuelattice.llm.common import small_batches
 
-# Items of fewer characters than ``LEAST_CHARS`` are searched exactly, as whole words; longer ones with edits.
-RATE, LEAST_CHARS = 0.10, 20
+# Edits allowed for each character; items so short that none is allowed are searched exactly, as whole words.
+RATE = 0.10
 SHARD_CHARS = 4_000_000
 GRAM = 4
 LEAKS = "array<struct<item_id:long,distance:int,end:int>>"
@@ -71,7 +71,7 @@ def best_end(masks: dict[str, int], m: int, text: str, budget: int) -> tuple[int
 class Matcher:
     """All items of one shard, ready to scan texts."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float = RATE, least: int = LEAST_CHARS):
+    def __init__(self, items: list[tuple[int, str]], rate: float = RATE):
         import ahocorasick
 
         self.items = {}
@@ -81,10 +81,10 @@ class Matcher:
             norm = normalise(text or "")
             if not norm:
                 continue
-            k = int(rate * len(norm)) if len(norm) >= least else 0
+            k = int(rate * len(norm))
             key = len(self.items)
             grams = {norm[i : i + GRAM] for i in range(len(norm) - GRAM + 1)}
-            self.items[key] = (item_id, len(norm), k, alphabet_masks(norm), grams, len(norm) < least)
+            self.items[key] = (item_id, len(norm), k, alphabet_masks(norm), grams, k == 0)
             for offset, piece in pieces_of(norm, k):
                 at.setdefault(piece, []).append((key, offset))
         for piece, where in at.items():
@@ -165,8 +165,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> Dat
     """``doc_id, item_id, distance, end`` for every item found in every document; one pass for each shard of items.
 
     ``distance`` is the fewest edits between the item and any stretch of the text (both normalised), ``end`` where the
-    first such stretch ends. Null and empty texts and items hold nothing. Items under 20 characters are found exactly,
-    between characters that are neither letters nor digits; items without an id are found too, with a null id.
+    first such stretch ends. Null and empty texts and items hold nothing. Items too short for an edit (under 10 characters at
+    the default rate) are found between characters that are neither letters nor digits; items without an id are found too, with a null id.
     Repeated documents are reported each, repeated items once.
     """
     out = None

@@ -3,6 +3,10 @@
 A page becomes a list of text blocks. The first pass decides the clear ones by their surroundings, link density,
 length and share of stop words; the second gives each ambiguous, mostly short block the label of its nearest decided
 neighbours.
+
+Kinds of elements and roles around an article settle what they hold. Names in a class or id are evidence: what they hold
+is left out, unless the name is one that articles bear too (``reader``, ``legal``, ``notice``, ...) and it holds more good
+text than the rest of the page.
 """
 
 from __future__ import annotations
@@ -55,6 +59,14 @@ OUTSIDE_NAMES = frozenset(
     search form tags tagcloud byline
     """.split()
 )
+#: Those of the names that elements around whole articles bear too.
+WEAK_NAMES = frozenset(
+    """
+    reader responses reply replies respond discussion notice notices notification alert search form popular trending related recommended
+    recommendations legal disclaimer copyright widget widgets share sharing social login register skip byline header banner tags foot
+    promotion promoted masthead toolbar pager pagination rail
+    """.split()
+)
 OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 LAYOUT_NAMES = frozenset("has with no without layout page wrapper container body site".split())
 
@@ -81,6 +93,7 @@ class Block:
     outside: bool
     region: int
     heading: bool
+    named: tuple[int, ...] = ()  # numbers of the elements around it whose names speak against it; below zero: beyond doubt
     label: str = ""
 
     @property
@@ -88,25 +101,25 @@ class Block:
         return self.linked / max(len(self.text), 1)
 
 
-def _is_outside(name: str, rest: str, in_article: bool) -> bool:
-    """Whether an element is one of the things around an article, by its kind, role, names and visibility."""
+def _surroundings(name: str, rest: str, in_article: bool) -> tuple[bool, set[str]]:
+    """Whether an element is one of the things around an article by its kind, role or visibility; names that speak for it."""
     if name in OUTSIDE or (name == "header" and not in_article):
-        return True
+        return True, set()
     if not rest.strip(" /"):
-        return False
+        return False, set()
     attributes = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(rest)}
     if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true":
-        return True
+        return True, set()
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", ""), re.I):
-        return True
+        return True, set()
     if attributes.get("role", "").lower() in OUTSIDE_ROLES:
-        return True
+        return True, set()
     if name in ("html", "body", "main", "article") or name in HEADINGS:
-        return False
+        return False, set()
     names = {x.lower() for x in _NAME.findall(f"{attributes.get('class', '')} {attributes.get('id', '')}")}
     if in_article:
         names.discard("header")
-    return bool(names & OUTSIDE_NAMES) and not names & LAYOUT_NAMES
+    return False, set() if names & LAYOUT_NAMES else names & OUTSIDE_NAMES
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -114,8 +127,9 @@ def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
     buffer: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, bool, int]] = []  # element, outside, number of the article or main element around it
-    outside, region, regions, link = False, 0, 0, 0
+    # Element, outside, number of the article or main element around it, numbers of named elements around it.
+    stack: list[tuple[str, bool, int, tuple[int, ...]]] = []
+    outside, region, regions, link, named, numbers = False, 0, 0, 0, (), 0
     heading = ""
 
     def flush() -> None:
@@ -123,7 +137,7 @@ def blocks_of(page: str) -> list[Block]:
         if buffer:
             text = " ".join(html.unescape("".join(buffer)).split())
             if text:
-                out.append(Block(text, len(" ".join(html.unescape("".join(linked)).split())), outside, region, bool(heading)))
+                out.append(Block(text, len(" ".join(html.unescape("".join(linked)).split())), outside, region, bool(heading), named))
             buffer, linked = [], []
 
     def say(text: str) -> None:
@@ -175,23 +189,28 @@ def blocks_of(page: str) -> list[Block]:
                 # An inline element's end closes no block.
                 if not block and any(x[0] in BLOCKS for x in stack[depth + 1 :]):
                     continue
-                if block or stack[depth][1] != (depth > 0 and stack[depth - 1][1]):
+                before = stack[depth - 1] if depth else ("", False, 0, ())
+                if block or (stack[depth][1], stack[depth][3]) != (before[1], before[3]):
                     flush()
                 del stack[depth:]
                 link = 0 if block else link
         elif name not in VOID:
             if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == name:
                 stack.pop()
-            within = stack[-1] if stack else ("", False, 0)
-            around = within[2]
-            out_here = within[1] or _is_outside(name, rest, bool(around))
-            if not block and out_here and not within[1]:
+            within = stack[-1] if stack else ("", False, 0, ())
+            around, names = within[2], within[3]
+            out_here, said = _surroundings(name, rest, bool(around))
+            out_here = within[1] or out_here
+            if said and not out_here:
+                numbers += 1
+                names = (*names, numbers if said <= WEAK_NAMES else -numbers)
+            if not block and (out_here, names) != (within[1], within[3]):
                 flush()
-            if name in INSIDE and not out_here and not around:
+            if name in INSIDE and not out_here and not around and not any(k < 0 for k in names):
                 regions += 1
                 around = regions
-            stack.append((name, out_here, around))
-        _, outside, region = stack[-1] if stack else ("", False, 0)
+            stack.append((name, out_here, around, names))
+        _, outside, region, named = stack[-1] if stack else ("", False, 0, ())
     flush()
     return out
 
@@ -225,10 +244,30 @@ def first_pass(b: Block, known: bool = True) -> str:
     return "near" if stops >= FEW_STOP_WORDS else "bad"
 
 
+def _speaks_known(blocks: list[Block]) -> bool:
+    """Whether any block has the stop words of a language at hand; a page without is judged without them."""
+    return any(len(b.text) >= SHORT and not b.outside and stop_share(b) >= FEW_STOP_WORDS for b in blocks)
+
+
+def admitted(blocks: list[Block]) -> set[int]:
+    """Numbers of named elements that hold more text of articles than the rest of the page, outer ones first: their names say nothing."""
+    known = _speaks_known(blocks)
+    good = [b for b in blocks if first_pass(b, known) in ("good", "near")]
+    kept: set[int] = set()
+    for k in sorted({k for b in good for k in b.named if k > 0}):
+        size = lambda chosen: sum(len(b.text) for b in good if chosen(set(b.named) - kept))
+        if size(lambda left: left == {k}) > size(lambda left: not left):
+            kept.add(k)
+    return kept
+
+
 def classify(blocks: list[Block]) -> list[Block]:
     """Labels every block ``good`` or ``bad`` (``outside``: decided by what surrounds it)."""
-    # A page none of whose blocks has the stop words of a language at hand is judged without them.
-    known = any(len(b.text) >= SHORT and not b.outside and stop_share(b) >= FEW_STOP_WORDS for b in blocks)
+    if any(b.named for b in blocks):
+        kept = admitted(blocks)
+        for b in blocks:
+            b.outside = b.outside or not kept.issuperset(b.named)
+    known = _speaks_known(blocks)
     for b in blocks:
         b.label = first_pass(b, known)
     inside = [b for b in blocks if b.label != "outside"]

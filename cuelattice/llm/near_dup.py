@@ -4,8 +4,9 @@ A document is the set of its distinct five-word shingles. Its sketch has ``SIZE`
 shingle is thrown into a random bin with a value that starts with i, and each bin keeps its smallest value; from round
 ``SIZE`` on round i fills bin i - SIZE for certain. Equal coordinates of two sketches estimate the Jaccard similarity
 with the concentration of independent minimum hashes, at a cost of about SIZE * log(SIZE) throws rather than
-SIZE * set size. Bands are made of one byte each of the first ``BANDED`` coordinates; documents that agree in all rows
-of a band become candidates if their whole sketches are alike, and full sets decide.
+SIZE * set size. Bands are made of two bytes each of the first ``BANDED`` coordinates, so that of many billions of unlike
+documents few share one; of the other coordinates one byte is kept. Documents that agree in all rows of a band become
+candidates if their whole sketches are alike, and full sets decide.
 
 Which documents share a band is worked out on ids and keys alone. Sketches join only the members of buckets that still
 hold different components, and texts only the pairs to be verified.
@@ -25,19 +26,21 @@ from cuelattice.llm.common import saved, small_batches
 
 SIZE, ROWS, BANDS = 512, 4, 32
 BANDED = ROWS * BANDS
-# Sketches of documents at the threshold of 0.75 agree in 384 of 512 places give or take 10: fewer than 346 is 3.9 of these.
-LEAST_AGREEING = 346
-# Coordinates that no band uses, from which the middle of a bucket is told.
-PROBES = tuple(range(BANDED, SIZE, 16))
+# Bytes of a kept sketch: two for each banded coordinate, one for each other.
+WIDTH = 2 * BANDED + SIZE - BANDED
+# Sketches of documents at the threshold of 0.75 agree in 384 of 512 places give or take 10: fewer than 335 is 5 of these.
+LEAST_AGREEING = 335
+# Bytes of coordinates that no band uses, from which the middle of a bucket is told.
+PROBES = tuple(range(2 * BANDED, WIDTH, 16))
 # Bits of the filter of wanted ids that goes to all executors: 1,024 rows of 4 KB at most, however many ids there are.
 FILTER_BITS = 1 << 25
-# Rows of one bucket, or members of one centre, that one group of a task may hold.
-BLOCK = 512
+# Rows of one bucket that one side of a group of a task may hold, and members of one centre whose texts follow each other.
+BLOCK, CENTRE_ROWS = 2048, 512
 STAR_ROWS, CHUNK_ROWS = 4096, 1024
 # Bands of the first round of stars: a few are enough to join most of a group, and fewer sketches travel.
 FIRST_BANDS = 6
-# A bucket of more rows than this is dealt by a second band before its rows meet two by two.
-PARTED = 4096
+# A set that more than this part of all rows share is joined by broadcast: there are never more of them than its inverse.
+HOT_PART = 1000
 
 _SEEDS = words.mix(np.arange(1, 2 * SIZE + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -61,10 +64,26 @@ def sketch(elements: np.ndarray) -> np.ndarray:
     return out
 
 
+def packed(values: np.ndarray) -> np.ndarray:
+    """The bytes kept of a sketch's (mixed) coordinates."""
+    return np.concatenate([values[:BANDED].astype("<u2").view(np.uint8), values[BANDED:].astype(np.uint8)])
+
+
 def band_keys(low: np.ndarray) -> np.ndarray:
-    """Number of the band and the four bytes of its rows: keys are equal just where the copies in ``low`` agree in a band."""
-    rows = np.ascontiguousarray(low[:BANDED]).view("<u4").astype(np.int64)
-    return np.arange(BANDS, dtype=np.int64) << 32 | rows
+    """A key for each band: hashed bytes of its rows above, the number of the band in the lowest bits.
+
+    Sketches that agree in a band have one key for it, and others but once in 2^59.
+    """
+    rows = np.ascontiguousarray(low[: 2 * BANDED]).view("<u8").astype(np.uint64)
+    band = np.arange(BANDS, dtype=np.uint64)
+    return (words.mix(rows ^ words.mix(band)) & ~np.uint64(BANDS - 1) | band).view(np.int64)
+
+
+def agreeing(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For kept sketches side by side, how many coordinates agree, and in which bands all rows do."""
+    same = a == b
+    wide = same[:, : 2 * BANDED].reshape(len(same), BANDED, 2).all(axis=2)
+    return wide.sum(axis=1) + same[:, 2 * BANDED :].sum(axis=1), wide.reshape(len(same), BANDS, ROWS).all(axis=2)
 
 
 def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -76,14 +95,14 @@ def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 out.append((doc_id, 0, None, None, None, None))
                 continue
             sig = sketch(s)
-            low = words.mix(sig).astype(np.uint8)
+            low = packed(words.mix(sig))
             print_a, print_b = words.mix(s ^ _SEEDS[0]).sum(), np.bitwise_xor.reduce(words.mix(s ^ _SEEDS[1]))
             out.append((doc_id, len(s), int(print_a.view(np.int64)), int(print_b.view(np.int64)), band_keys(low), low.tobytes()))
         yield pd.DataFrame(out, columns=["doc_id", "n", "print_a", "print_b", "bands", "low"]).astype({"print_a": "Int64", "print_b": "Int64"})
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """``doc_id``, set size ``n``, fingerprint of the set, keys of its bands and one byte of each coordinate."""
+    """``doc_id``, set size ``n``, fingerprint of the set, keys of its bands and the kept bytes of its sketch."""
     small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(
         _describe, "doc_id long, n long, print_a long, print_b long, bands array<long>, low binary"
@@ -122,7 +141,7 @@ def _stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in _whole_groups(batches, ["key", "block"]):
         key, block = pdf["key"].to_numpy(), pdf["block"].to_numpy()
         rep, comp, n = pdf["rep"].to_numpy(), pdf["comp"].to_numpy(), pdf["n"].to_numpy()
-        low = np.frombuffer(b"".join(pdf["low"]), dtype=np.uint8).reshape(-1, SIZE)
+        low = np.frombuffer(b"".join(pdf["low"]), dtype=np.uint8).reshape(-1, WIDTH)
         first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (block[1:] != block[:-1])]))
         sizes = np.diff(np.concatenate([first, [len(key)]]))
         middle = first.copy()
@@ -131,7 +150,7 @@ def _stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         to, at = np.repeat(middle, sizes), np.arange(len(key))
         ok = (comp != comp[to]) & (np.minimum(n, n[to]) * 100 >= np.maximum(n, n[to]) * 75)
         at, to = at[ok], to[ok]
-        equal = (low[at] == low[to]).sum(axis=1)
+        equal = agreeing(low[at], low[to])[0]
         like = equal >= LEAST_AGREEING
         at, to = at[like], to[like]
         yield pd.DataFrame({"a": rep[at], "b": rep[to], "equal": equal[like]})
@@ -172,8 +191,8 @@ def _within_buckets(batches: Iterator[pd.DataFrame], best_only: bool) -> Iterato
         group = pdf[["key", "part", "other"]].to_numpy()
         rep, comp, n = pdf["rep"].to_numpy(), pdf["comp"].to_numpy(), pdf["n"].to_numpy()
         side, cross = pdf["block"].to_numpy(), group[:, 1] != group[:, 2]
-        low = np.frombuffer(b"".join(pdf["low"]), dtype=np.uint8).reshape(-1, SIZE)
-        band = pdf["band"].to_numpy()
+        low = np.frombuffer(b"".join(pdf["low"]), dtype=np.uint8).reshape(-1, WIDTH)
+        band = pdf["key"].to_numpy() & (BANDS - 1)
         found = [np.zeros((0, 3), dtype=np.int64)]
         at = np.arange(len(pdf))
         d = 1
@@ -186,10 +205,8 @@ def _within_buckets(batches: Iterator[pd.DataFrame], best_only: bool) -> Iterato
             ok = (comp[at] != comp[to]) & (np.minimum(n[at], n[to]) * 100 >= np.maximum(n[at], n[to]) * 75) & (~cross[at] | (side[at] != side[to]))
             i, j = at[ok], to[ok]
             if len(i):
-                same = low[i] == low[j]
-                equal = same.sum(axis=1)
-                first = same[:, :BANDED].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
-                like = (equal >= LEAST_AGREEING) & (first == band[i])
+                equal, shared = agreeing(low[i], low[j])
+                like = (equal >= LEAST_AGREEING) & (shared.argmax(axis=1) == band[i]) & shared[np.arange(len(i)), band[i]]
                 found.append(np.stack([rep[i[like]], rep[j[like]], equal[like]], axis=1))
             d += 1
         out = pd.DataFrame(np.concatenate(found), columns=["a", "b", "equal"])
@@ -202,20 +219,8 @@ def _within_buckets(batches: Iterator[pd.DataFrame], best_only: bool) -> Iterato
         yield alike(pdf)
 
 
-def parted(mixed: DataFrame, members: DataFrame, most: int = PARTED) -> DataFrame:
-    """``mixed`` with the ``band`` of each bucket; those with over ``most`` rows beside their commonest component are dealt by a second band.
-
-    What makes such a bucket large is mostly one passage that unlike documents share; few of them share another band
-    too. Documents at a similarity of 0.75 share two bands or more but for eight in 100,000.
-    """
-    band, apart = F.shiftright("key", 32).alias("band"), F.col("size") - F.col("top_rows")
-    columns = ["key", "band", "rep", "comp", "size", "top", "top_rows"]
-    fine = mixed.where(apart > most).join(members.select("rep", F.col("key").alias("also")), "rep").where("also <> key").select(F.xxhash64("key", "also").alias("fine"), band, "rep", "comp").withColumnRenamed("fine", "key")
-    return mixed.where(apart <= most).select("key", band, *columns[2:]).unionByName(_mixed(fine).select(columns))
-
-
 def cross_candidates(mixed: DataFrame, lows: DataFrame, best_only: bool) -> DataFrame:
-    """Alike pairs of a bucket (rows of ``parted``) that lie in different components, so that no link is missed.
+    """Alike pairs of a bucket (rows of ``mixed_buckets``) that lie in different components, so that no link is missed.
 
     Rows of a bucket's commonest component, if there are over ``BLOCK`` of them, need to meet the others only: they are
     dealt into chunks, the others into blocks, and every block meets every block and every chunk in a group of its
@@ -232,7 +237,7 @@ def cross_candidates(mixed: DataFrame, lows: DataFrame, best_only: bool) -> Data
     blocks = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda w: F.when(inside, group(w, F.col("block"))).otherwise(group(F.least(F.col("block"), w), F.greatest(F.col("block"), w))))
     none = F.filter(blocks, lambda g: F.lit(False))
     chunks = F.when(~inside & (F.col("chunks") > 0), F.transform(F.sequence(F.lit(0), F.greatest(F.col("chunks") - 1, F.lit(0))), lambda c: group(F.col("block"), F.col("blocks") + c))).otherwise(none)
-    met = members.join(lows, "rep").withColumn("group", F.explode(F.concat(blocks, chunks))).select("key", "group.part", "group.other", "block", "band", "rep", "comp", "n", "low")
+    met = members.join(lows, "rep").withColumn("group", F.explode(F.concat(blocks, chunks))).select("key", "group.part", "group.other", "block", "rep", "comp", "n", "low")
     grouped = met.repartition("key", "part", "other").sortWithinPartitions("key", "part", "other", "rep")
     pairs = grouped.mapInPandas(lambda batches: _within_buckets(batches, best_only), "a long, b long, equal long")
     if best_only:
@@ -280,7 +285,7 @@ def wanted_rows(rows: DataFrame, ids: DataFrame) -> DataFrame:
 
 def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of ``pairs`` (a, b) whose full shingle sets have 100 * intersection >= 75 * union."""
-    shares = saved(pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("salts")), "shares")
+    shares = saved(pairs.groupBy("a").agg(F.ceil(F.count("*") / CENTRE_ROWS).cast("int").alias("salts")), "shares")
     dealt = pairs.join(shares, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
     wanted = dealt.select("a", "salt", F.lit(1).alias("kind"), F.col("b").alias("id")).unionByName(
         shares.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("a").alias("id"))
@@ -325,8 +330,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     base = saved(describe(docs), "sketches")
     usable = base.where("n > 0 and doc_id is not null")
-    classes = saved(usable.groupBy("print_a", "print_b").agg(F.min("doc_id").alias("rep")), "classes")
-    firsts = classes.withColumnRenamed("rep", "doc_id")
+    classes = saved(usable.groupBy("print_a", "print_b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")), "classes")
+    firsts = classes.select("print_a", "print_b", F.col("rep").alias("doc_id"))
     reps = usable.select("doc_id", "print_a", "print_b", "bands").join(firsts, ["doc_id", "print_a", "print_b"]).select(F.col("doc_id").alias("rep"), "bands")
     members = saved(shared_bands(reps).distinct(), "buckets")
     busy = saved(members.select(F.col("rep").alias("id")).distinct(), "busy")
@@ -334,10 +339,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     components = spark.createDataFrame([], "node long, root long")
     links = tested = spark.createDataFrame([], "a long, b long")
     # Stars around the middles of buckets join most of each group; then nearest partners; then every pair still apart.
-    few = members.where(F.shiftright("key", 32) < FIRST_BANDS)
+    few = members.where(F.col("key").bitwiseAND(F.lit(BANDS - 1)) < FIRST_BANDS)
     for step, among in (("star", few), ("star", members), ("nearest", members), ("all", members)):
         mixed = mixed_buckets(among, components)
-        pairs = star_candidates(mixed, lows) if step == "star" else cross_candidates(parted(mixed, members), lows, step == "nearest")
+        pairs = star_candidates(mixed, lows) if step == "star" else cross_candidates(mixed, lows, step == "nearest")
         pairs = saved(pairs.join(tested, ["a", "b"], "left_anti"), "candidates")
         if pairs.isEmpty():
             continue
@@ -346,8 +351,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         if not fresh.isEmpty():
             links = links.unionByName(fresh)
             components = connected_components(links)
-    roots = saved(classes.join(components, F.col("rep") == F.col("node"), "left").select("print_a", "print_b", F.coalesce("root", "rep").alias("component_id")), "roots")
-    found = usable.select("doc_id", "n", "print_a", "print_b").join(roots, ["print_a", "print_b"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    roots = saved(classes.join(components, F.col("rep") == F.col("node"), "left").select("print_a", "print_b", "rows", F.coalesce("root", "rep").alias("component_id")), "roots")
+    # Few sets can be that common; all others have a bounded share of the rows and meet by a shuffle.
+    hot = F.col("rows") > (classes.agg(F.sum("rows")).first()[0] or 0) / HOT_PART
+    common = usable.select("doc_id", "n", "print_a", "print_b").join(F.broadcast(roots.where(hot)), ["print_a", "print_b"], "left")
+    rest = common.where("component_id is null").select("doc_id", "n", "print_a", "print_b").join(roots.where(~hot), ["print_a", "print_b"])
+    found = common.where("component_id is not null").unionByName(rest).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = base.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return found.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

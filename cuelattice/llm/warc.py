@@ -111,9 +111,9 @@ def decoded(fields: dict[str, str], body: bytes) -> bytes | None:
 
 
 def is_text(kind: str, payload: bytes) -> bool:
-    """By content type; without one, what holds no zero byte near its beginning."""
+    """By content type; without one, what holds no zero byte."""
     kind = kind.split(";")[0].strip().lower()
-    return kind in TEXT_TYPES if kind else b"\0" not in payload[:1024]
+    return kind in TEXT_TYPES if kind else b"\0" not in payload
 
 
 def page_text(payload: bytes, content_type: str) -> str:
@@ -250,7 +250,8 @@ def write_warc(records: DataFrame, path: str) -> None:
             out = []
             for r in pdf.itertuples(index=False):
                 headers = [("WARC-Type", r.record_type), ("WARC-Record-ID", r.record_id), ("WARC-Date", r.warc_date), ("WARC-Target-URI", r.target_uri), ("WARC-Refers-To", r.refers_to), ("Content-Type", r.content_type), ("WARC-Block-Digest", r.block_digest), *dict(r.headers).items()]
-                out.append(serialise(headers, bytes(r.block)).decode("utf-8"))
+                # The line feed that ends a record is the one that Spark puts after each row.
+                out.append(serialise(headers, bytes(r.block)).decode("utf-8").removesuffix("\n"))
             yield pd.DataFrame({"value": out})
 
     records.mapInPandas(run, "value string").write.option("lineSep", "\n").text(path)

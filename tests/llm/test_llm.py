@@ -155,22 +155,23 @@ def test_near_duplicates_awkward(spark):
     assert near_dup.near_duplicates(awkward(spark).limit(0)).count() == 0
 
 
-def test_near_duplicates_that_agree_in_bytes_before(spark):
-    """The coordinates of these two agree in bytes only, by chance, in a band before the first in which they agree."""
-    r = random.Random(39)
-    a = [f"w{r.randrange(10**6)}" for _ in range(120)]
-    b = list(a)
-    b[r.randrange(20, 60)], b[r.randrange(60, 100)] = "x", "y"
-    sketches = [near_dup.sketch(words.shingles(words.ascii_words(" ".join(t)))) for t in (a, b)]
-    first = [(x == y)[: near_dup.BANDED].reshape(-1, near_dup.ROWS).all(axis=1).argmax() for x, y in (sketches, [words.mix(s).astype(np.uint8) for s in sketches])]
-    assert first[0] > first[1]
-    reps = near_dup.describe(spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b))], "doc_id long, text string")).withColumnRenamed("doc_id", "rep")
-    members = near_dup.shared_bands(reps)
-    mixed = near_dup.mixed_buckets(members, spark.createDataFrame([], "node long, root long"))
+def test_pairs_meet_in_the_first_band_whose_bytes_agree(spark):
+    """Coordinates that agree in their kept bytes only, by chance, in a band before the first in which they agree."""
+    rng = np.random.default_rng(39)
+    a = rng.integers(0, 1 << 63, near_dup.SIZE, dtype=np.uint64)
+    b = a.copy()
+    b[:8] ^= np.uint64(1 << 20)  # bands 0 and 1 agree in the kept bytes alone
+    b[rng.choice(np.arange(0, 60, 4)[2:], 5, replace=False)] ^= np.uint64(1)
+    low = [near_dup.packed(x) for x in (a, b)]
+    equal, shared = near_dup.agreeing(*(x[None, :] for x in low))
+    assert len(low[0]) == near_dup.WIDTH and equal[0] == near_dup.SIZE - 5 and shared[0].argmax() == 0
+    keys = [near_dup.band_keys(x) for x in low]
+    assert ((keys[0] == keys[1]) == shared[0]).all() and (keys[0] & (near_dup.BANDS - 1)).tolist() == list(range(near_dup.BANDS))
+    lows = spark.createDataFrame([(i, 100, x.tobytes()) for i, x in enumerate(low)], "rep long, n long, low binary")
+    reps = spark.createDataFrame([(i, k.tolist()) for i, k in enumerate(keys)], "rep long, bands array<long>")
+    mixed = near_dup.mixed_buckets(near_dup.shared_bands(reps), spark.createDataFrame([], "node long, root long"))
     for best_only in (True, False):
-        for most in (near_dup.PARTED, 1):
-            got = near_dup.cross_candidates(near_dup.parted(mixed, members, most), reps.select("rep", "n", "low"), best_only).collect()
-            assert [tuple(x) for x in got] == [(1, 2)]
+        assert [tuple(x) for x in near_dup.cross_candidates(mixed, lows, best_only).collect()] == [(0, 1)]
 
 
 def test_sketch_estimates_similarity():
@@ -206,12 +207,15 @@ def test_myers_and_leaks(spark):
         got = decontaminate.best_end(decontaminate.alphabet_masks(p), len(p), s, len(p))
         assert (got[0] if got else len(p)) == plain_distance(p, s)
     letters = list("abcdefghij ")
-    items = [(i, "".join(rng.choice(letters, 60))) for i in range(6)] + [(98, "short"), (99, None)]
+    items = [(i, "".join(rng.choice(letters, 60))) for i in range(6)] + [(98, "short"), (99, None)] + [(90 + n, "".join(rng.choice(letters, 10 + n))) for n in range(6)]
     docs = []
     for n in range(60):
         body = list("".join(rng.choice(letters, 150)))
         if n % 2:
             t = list(items[n % 6][1])
+            small = list(items[8 + n % 6][1].strip() or "x")
+            small[len(small) // 2] = "z" if n % 3 else small[len(small) // 2]
+            body[20:20] = small
             for _ in range(n % 9):
                 t[int(rng.integers(len(t)))] = "z"
             body[70:70] = t
@@ -222,11 +226,14 @@ def test_myers_and_leaks(spark):
     for d, t in docs:
         for i, x in items:
             norm = decontaminate.normalise(x or "")
-            if len(norm) >= decontaminate.LEAST_CHARS and t:
+            if int(decontaminate.RATE * len(norm)) and t:
                 k = plain_distance(norm, decontaminate.normalise(t))
                 if k <= int(decontaminate.RATE * len(norm)):
                     want[d, i] = k
-    assert got == want
+    assert got == want and sum(1 for d, i in want if i >= 90 and want[d, i] == 1) > 5
+    said = [(1, "so THE  brawn foxes ran"), (2, "a cat, sat"), (3, "the cats at"), (4, "the brown foxes"), (5, "the  brwn fxes")]
+    few = decontaminate.find_leaks(spark.createDataFrame(said, "doc_id long, text string"), spark.createDataFrame([(1, "the brown foxes"), (2, "cat")], "item_id long, text string"))
+    assert sorted((r["doc_id"], r["item_id"], r["distance"]) for r in few.collect()) == [(1, 1, 1), (2, 2, 0), (4, 1, 0)]
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.drop_leaks(awkward(spark), none).count() == 7 and decontaminate.find_leaks(awkward(spark), none).count() == 0
 

@@ -252,32 +252,50 @@ def test_a_hot_group_of_unlike_copies(spark):
     assert got == {i: 0 if i < 1000 else i for i, _ in texts}
 
 
-@pytest.mark.parametrize("block", [512, 16])
+@pytest.mark.parametrize("block", [2048, 16])
 def test_strangers_of_a_large_component_are_found(spark, monkeypatch, block):
     """A large component, alike strangers to it, and unlike rows of one bucket: every alike pair of different components is told."""
     monkeypatch.setattr(near_dup, "BLOCK", block)
     monkeypatch.setattr(near_dup, "CHUNK_ROWS", 2 * block)
     rng = np.random.default_rng(7)
-    base = rng.integers(0, 256, near_dup.SIZE, dtype=np.uint8)
+    base = rng.integers(0, 256, near_dup.SIZE, dtype=np.uint64)
     rows = []
     for i in range(300):
-        low = base.copy()
+        own = base.copy()
         at = rng.choice(np.arange(4, near_dup.SIZE), 150 if i % 50 == 7 else 60 if i < 200 else 330, replace=False)
-        low[at] = rng.integers(0, 256, len(at), dtype=np.uint8)
-        rows.append((i, 0 if i < 150 else i, low.tobytes()))
-    lows = spark.createDataFrame([(i, 100, low) for i, _, low in rows], "rep long, n long, low binary")
-    members = spark.createDataFrame([(int(k), i) for i, _, low in rows for k in near_dup.band_keys(np.frombuffer(low, dtype=np.uint8))], "key long, rep long")
+        own[at] = rng.integers(0, 256, len(at), dtype=np.uint64)
+        rows.append((i, 0 if i < 150 else i, own))
+    lows = spark.createDataFrame([(i, 100, near_dup.packed(own).tobytes()) for i, _, own in rows], "rep long, n long, low binary")
+    members = spark.createDataFrame([(int(k), i) for i, _, own in rows for k in near_dup.band_keys(near_dup.packed(own))], "key long, rep long")
     components = spark.createDataFrame([(i, c) for i, c, _ in rows if c != i], "node long, root long")
-    sketch = np.array([np.frombuffer(low, dtype=np.uint8) for _, _, low in rows])
+    sketch = np.array([own for _, _, own in rows])
     bands = sketch[:, : near_dup.BANDED].reshape(300, near_dup.BANDS, near_dup.ROWS)
     want = {(i, j) for i in range(300) for j in range(i + 1, 300) if rows[i][1] != rows[j][1] and (sketch[i] == sketch[j]).sum() >= near_dup.LEAST_AGREEING and (bands[i] == bands[j]).all(axis=1).any()}
     mixed = near_dup.mixed_buckets(members, components)
-    got = {tuple(r) for r in near_dup.cross_candidates(near_dup.parted(mixed, members), lows, False).collect()}
+    got = {tuple(r) for r in near_dup.cross_candidates(mixed, lows, False).collect()}
     assert got == want and len(want) > 1000
-    best = {tuple(r) for r in near_dup.cross_candidates(near_dup.parted(mixed, members), lows, True).collect()}
+    best = {tuple(r) for r in near_dup.cross_candidates(mixed, lows, True).collect()}
     assert best <= want and {i for p in best for i in p} == {i for p in want for i in p}
 
 
+def test_alike_pairs_of_a_bucket_of_many_strangers(spark):
+    """Over 4,096 unlike sketches share one band, and sixty alike ones share that band alone: all their pairs are told."""
+    rng = np.random.default_rng(21)
+    base = rng.integers(0, 1 << 63, near_dup.SIZE, dtype=np.uint64)
+    rows = []
+    for i in range(4300):
+        own = rng.integers(0, 1 << 63, near_dup.SIZE, dtype=np.uint64)
+        own[:4] = base[:4]
+        if i >= 4240:
+            own[near_dup.BANDED :] = base[near_dup.BANDED :]
+        rows.append((i, near_dup.packed(own)))
+    lows = spark.createDataFrame([(i, 100, low.tobytes()) for i, low in rows], "rep long, n long, low binary")
+    members = near_dup.shared_bands(spark.createDataFrame([(i, near_dup.band_keys(low).tolist()) for i, low in rows], "rep long, bands array<long>"))
+    mixed = near_dup.mixed_buckets(members, spark.createDataFrame([], "node long, root long"))
+    got = {tuple(r) for r in near_dup.cross_candidates(mixed, lows, False).collect()}
+    assert got == {(i, j) for i in range(4240, 4300) for j in range(i + 1, 4300)}
+
+
 def test_bitmap_of_wanted_ids(spark):
     rows = spark.range(5000).withColumnRenamed("id", "id")
     ids = spark.range(0, 5000, 7)
