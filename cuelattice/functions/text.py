@@ -47,6 +47,16 @@ def nfc(text):
     return F.coalesce(_nfc(_beyond(text, r"\x00-\x{2FF}")), text)
 
 
+@F.pandas_udf(T.StringType())
+def _nfkc(s: pd.Series) -> pd.Series:
+    return s.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+
+
+def nfkc(text):
+    """Compatibility forms; ASCII texts stay in Spark."""
+    return F.coalesce(_nfkc(_beyond(text, r"\x00-\x7f")), text)
+
+
 def strip(text):
     """Without white space at either end, all of Unicode's kinds of it."""
     return F.regexp_replace(text, rf"{SPACE}+\z|\A{SPACE}+", "")
@@ -220,7 +230,8 @@ def length_bounds(n, least=1.0, target=1.10, most=1.30):
 
 
 def content_hash(text):
-    return F.sha2(F.trim(text).cast("binary"), 256)
+    """Of a text without white space at its ends."""
+    return F.sha2(strip(text).cast("binary"), 256)
 
 
 def cache_key(*parts):

@@ -357,7 +357,7 @@ NO = ("false", "no", "n", "0", "fail", "failed", "ng", "not ready", "not_ready",
 
 
 def as_bool(value: Column) -> Column:
-    v = F.lower(F.trim(value))
+    v = F.lower(strip(value))
     return F.when(v.isin(*YES), True).when(v.isin(*NO), False)
 
 
@@ -372,7 +372,7 @@ def coerce_verdicts(raw: DataFrame, booleans: tuple[str, ...] = ("passed", "lang
     for c in (*booleans, *scores):
         out = out.withColumn(c, F.col(f"_{c}")).drop(f"_{c}")
     for c in lists:
-        out = out.withColumn(c, F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != ""))
+        out = out.withColumn(c, F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), strip), lambda x: x != ""))
     return out
 
 

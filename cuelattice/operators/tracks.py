@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cuelattice.functions.text import strip
+
 LONGEST_SECONDS = 21_600
 # Hosts that carry videos, and what marks a passing failure.
 VIDEO_HOSTS = ("youtube.com", "www.youtube.com", "m.youtube.com", "music.youtube.com", "youtube-nocookie.com", "www.youtube-nocookie.com", "youtu.be")
@@ -14,12 +16,13 @@ TRANSIENT = ("429", "too many requests", "timed out", "timeout", "temporarily un
 
 def canonicalise_urls(urls: DataFrame, hosts: tuple[str, ...] = VIDEO_HOSTS, short_hosts: tuple[str, ...] = SHORT_HOSTS) -> DataFrame:
     """``url, video_id, canonical, code``: the item a URL names, or why it names none. Rejects stay as rows."""
-    u = F.trim("url")
+    u = strip(F.col("url"))
     part = lambda what: F.try_parse_url(u, F.lit(what))
     host = F.regexp_replace(F.lower(part("HOST")), r"\.+$", "")
     scheme = F.lower(F.regexp_extract(u, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1))
     path, query = F.coalesce(part("PATH"), F.lit("")), F.coalesce(part("QUERY"), F.lit(""))
-    given = lambda k: F.nullif(F.regexp_extract(query, rf"(?:^|&){k}=([^&]+)", 1), F.lit(""))
+    plain = lambda v: F.coalesce(F.try_url_decode(v), v)
+    given = lambda k: F.nullif(plain(F.regexp_extract(query, rf"(?:^|&){k}=([^&]+)", 1)), F.lit(""))
     in_path = F.nullif(F.regexp_extract(path, r"(?i)^/+(?:shorts|embed|live|v)/+([^/]+)", 1), F.lit(""))
     first = F.nullif(F.regexp_extract(path, r"^/*([^/]+)", 1), F.lit(""))
     found = F.when(host.isin(*short_hosts), first).otherwise(F.coalesce(given("v"), in_path))

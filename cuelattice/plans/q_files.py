@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cuelattice.functions.text import clean_markup
 from cuelattice.plans.q_jobs import ORACLE_SQL as JOB_SQL
 from cuelattice.plans.q_jobs import _artifacts, _content
-from cuelattice.plans.views import JOBS, PARAGRAPHS, TURNS, jobs, paragraphs, rewrites, table, turns
+from cuelattice.plans.views import JOBS, NORMAL_PARAGRAPHS, PARAGRAPHS, TURNS, jobs, paragraphs, rewrites, table, turns
 from cuelattice.sources import files as op
 from cuelattice.streaming import jobs as stream
 
@@ -21,8 +21,8 @@ def _caption_files(spark, sf_dir):
     stamp = F.concat(op.format_stamp(F.col("start_ms"), "."), F.lit(" --> "), op.format_stamp(F.col("end_ms"), "."))
     k = F.col("seg_pos") % 4
     text = F.when(F.col("seg_pos") % 3 == 0, F.concat(F.lit("<c.a>"), "text", F.lit("</c>"))).otherwise(F.col("text"))
-    cue = F.concat(F.when(k == 0, F.lit("12\n")).otherwise(F.lit("")), F.when(k == 3, F.lit("00:00:00.000 --> 00:00:00.100\n")).otherwise(F.lit("")), stamp, F.when(k == 1, F.lit(" align:start\n\n\n")).otherwise(F.lit("\n")), text)
-    g = t.groupBy("track_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg_pos", cue.alias("c")))), lambda x: x.c), "\n\n").alias("b"))
+    cue = F.concat(F.when(k == 0, F.lit("12\n")).otherwise(F.lit("")), F.when(k == 3, F.lit("00:00:00.000 --> 00:00:00.100\n")).otherwise(F.lit("")), stamp, F.when(k == 1, F.lit(" align:start\n\u3000\n\n")).otherwise(F.lit("\n")), text)
+    g = t.groupBy("track_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg_pos", cue.alias("c")))), lambda x: x.c), "\n\u3000\u00a0\n").alias("b"))
     return g.select(F.col("track_id").cast("string").alias("path"), F.concat(F.lit("﻿WEBVTT\n\n"), "b", F.lit("\n")).alias("value"))
 
 
@@ -37,18 +37,19 @@ def _exported(spark, sf_dir):
 
 
 def _round_trip(spark, sf_dir):
-    """Transcripts written as SRT files and read again as captions."""
+    """Transcripts written as named files, and the SRT ones read again as captions."""
     path = op.scratch(spark, "transcripts")
     t = turns(spark, sf_dir).withColumn("title", F.lit(None).cast("string"))
     op.write_transcripts(op.export_transcripts(t), path)
-    c = op.ingest_caption_lines(op.read_caption_files(spark, f"{path}/srt"))
-    return c.select(F.regexp_extract("path", r"track_id=(\d+)", 1).cast("long").alias("track_id"), "start_ms", "end_ms", F.array_join("lines", " / ").alias("text"))
+    files = op.read_transcripts(spark, path)
+    c = op.ingest_caption_lines(files.select(F.col("track_id").alias("path"), "value"))
+    return c.select(F.col("path").cast("long").alias("track_id"), "start_ms", "end_ms", F.array_join("lines", " / ").alias("text"))
 
 
 def _documents_written(spark, sf_dir):
     """Documents written as text files and read again, with those that were refused."""
     path = op.scratch(spark, "documents")
-    p = paragraphs(spark, sf_dir).withColumn("title", F.when(F.col("doc_id") % 6 == 0, " ").otherwise(F.col("title"))).where("doc_id % 10 < 3")
+    p = paragraphs(spark, sf_dir).withColumn("title", F.when(F.col("doc_id") % 6 == 0, " ").otherwise(F.col("title")))
     refused = op.write_documents(op.export_documents(p), path)
     back = op.read_text_documents(op.read_documents(spark, path))
     return back.select(F.col("doc_id").cast("long").alias("doc_id"), "title", F.md5(F.col("body").cast("binary")).alias("digest"), "code").unionByName(refused.select("doc_id", F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("digest"), "code"))
@@ -109,11 +110,11 @@ _READ = "d as (select doc_id, doc_id % 5 as k, title, regexp_replace(body, '^\\s
 def _asr(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     word = F.struct((F.col("value") / 7).alias("start"), (F.col("value") / 7 - 0.2).alias("end"), F.col("event_type").alias("word"), F.when(F.col("event_id") % 3 == 0, "n/a").otherwise(F.col("value").cast("string")).alias("probability"))
-    s = e.select(F.col("user_id").alias("track_id"), F.col("event_id").alias("ord"), (F.col("value") / 3 - 1).alias("start"), (F.col("value") / 4).alias("end"), F.when(F.col("event_id") % 10 == 0, "  ").otherwise(F.concat(F.lit(" "), "event_type")).alias("text"), F.when(F.col("event_id") % 4 != 0, F.array(word)).otherwise(F.filter(F.array(word), lambda x: F.lit(False))).alias("words"))
+    s = e.select(F.col("user_id").alias("track_id"), F.col("event_id").alias("ord"), (F.col("value") / 3 - 1).alias("start"), (F.col("value") / 4).alias("end"), F.when(F.col("event_id") % 10 == 0, "\n\u3000 ").otherwise(F.concat(F.lit("\u3000"), "event_type", F.lit("\n"))).alias("text"), F.when(F.col("event_id") % 4 != 0, F.array(word.withField("word", F.lit("\u3000")), word.withField("word", F.concat(F.lit(" "), "event_type", F.lit("\u00a0"))))).otherwise(F.filter(F.array(word), lambda x: F.lit(False))).alias("words"))
     return op.ingest_asr_segments(s)
 
 
-_WORD = {"word_start": "words.start_ms", "word_end": "words.end_ms", "word_p": "words.probability"}
+_WORD = {"word_start": "words.start_ms", "word_end": "words.end_ms", "word_p": "words.probability", "word": "words.text"}
 
 
 def _flat(df):
@@ -124,7 +125,8 @@ _ASR = """
 s as (select user_id as track_id, event_id as ord, greatest(0, round_even((value / 3 - 1) * 1000, 0)::bigint) as start_ms, round_even(value / 4 * 1000, 0)::bigint as e, event_type as text, value, event_id from events where event_id % 10 <> 0),
 asr as (select track_id, (row_number() over (partition by track_id order by ord))::int as index, start_ms, greatest(start_ms + 1, e) as end_ms, text,
   case when event_id % 4 <> 0 then greatest(0, round_even(value / 7 * 1000, 0)::bigint) end as word_start, case when event_id % 4 <> 0 then greatest(1, round_even((value / 7 - 0.2::double) * 1000, 0)::bigint) end as word_end,
-  case when event_id % 4 <> 0 and event_id % 3 <> 0 then value end as word_p from s)
+  case when event_id % 4 <> 0 and event_id % 3 <> 0 then value end as word_p,
+  case when event_id % 4 <> 0 then text end as word from s)
 """
 
 
@@ -218,22 +220,22 @@ ORACLE_SQL = {
       md5('{{"schema_version":3,' || case when track_id % 2 = 0 then '"title":"Talk ' || track_id || '",' else '' end || '"segments":[' || string_agg('{{"index":' || i || ',"start_ms":' || start_ms || ',"end_ms":' || end_ms || ',"text":' || to_json(text)::varchar || '}}', ',' order by i) || ']}}') as json from n group by track_id""",
     "read_transcript_artifacts": """select 'good' as what, count(distinct conv_id) as n, count(*) as segments from conversations where conv_id % 5 in (0, 4)
       union all select case conv_id % 5 when 1 then 'FIELD_MISSING' when 2 then 'SOURCE_UNKNOWN' else 'MALFORMED' end, count(distinct conv_id), 0 from conversations where conv_id % 5 in (1, 2, 3) group by 1""",
-    "export_documents": f"""with {PARAGRAPHS}, d as (select doc_id, doc_id % 6 as k, title, regexp_replace(body, '^\\s+|\\s+$', '', 'g') as body from paragraphs)
+    "export_documents": f"""with {PARAGRAPHS}, {NORMAL_PARAGRAPHS}, d as (select doc_id, doc_id % 6 as k, title, body from normal)
       select doc_id, case when k > 2 and body <> '' then 'Title: ' || title || chr(10) || chr(10) || body || chr(10) end as content,
       case k when 0 then 'TITLE_EMPTY' when 1 then 'TITLE_MULTILINE' when 2 then 'TITLE_TOO_LONG' else case when body = '' then 'BODY_EMPTY' end end as code from d""",
-    "read_text_documents": f"with {PARAGRAPHS}, {_READ} select doc_id, case when k = 0 and body <> '' then title end as title, case when k = 0 and body <> '' then body end as body, case when k in (1, 3, 4) then 'SOURCE_TITLE_MISSING' when k = 2 or body = '' then 'SOURCE_EMPTY' end as code from d",
+    "read_text_documents": f"with {PARAGRAPHS}, {NORMAL_PARAGRAPHS}, d as (select doc_id, doc_id % 5 as k, title, body from normal) select doc_id, case when k = 0 and body <> '' then title end as title, case when k = 0 and body <> '' then body end as body, case when k in (1, 3, 4) then 'SOURCE_TITLE_MISSING' when k = 2 or body = '' then 'SOURCE_EMPTY' end as code from d",
     "read_text_documents_lenient": f"""with {PARAGRAPHS}, {_READ} select doc_id, case k when 0 then title when 2 then title when 3 then 'late' else '' end as title, case when k <> 2 and body <> '' then body end as body, case when k = 2 or body = '' then 'SOURCE_EMPTY' end as code from d""",
     "load_catalogue": "select o_orderkey as id, 'Order ' || o_orderkey as title, o_orderkey % 7 = 0 as force_refresh, o_orderkey % 2 = 1 as auto_rewrite_requested from orders",
     "evolve_schema": f"with {JOBS} select id, case when id % 2 = 0 then 0 else auto_rewrite_requested end::int as auto_rewrite_requested, case when id % 2 = 1 then error_code end as error_code from jobs",
     "ingest_asr_segments": f"with {_ASR} select * from asr",
-    "shift_window_segments": f"with {_ASR} select track_id, index, start_ms + index % 3 * 10000 as start_ms, end_ms + index % 3 * 10000 as end_ms, text, word_start + index % 3 * 10000 as word_start, word_end + index % 3 * 10000 as word_end, word_p from asr",
+    "shift_window_segments": f"with {_ASR} select track_id, index, start_ms + index % 3 * 10000 as start_ms, end_ms + index % 3 * 10000 as end_ms, text, word_start + index % 3 * 10000 as word_start, word_end + index % 3 * 10000 as word_end, word_p, word from asr",
     "artifact_manifest_check": "select o_orderkey as id, o_orderkey % 8 <> 0 and o_orderkey % 3 <> 0 and o_orderkey % 5 <> 0 as usable from orders",
     "job_state_stream": JOB_SQL["apply_changes"],
     "auto_rewrite_stream": "select distinct floor(value)::bigint * 10 + user_id % 10 as content_key from events where event_type = 'purchase' and event_id % 11 <> 0",
     "plan_requests": f"""with p as ({JOB_SQL["auto_rewrite_plan"]})
       select content_key, case when action in ('join_new', 'reuse_active') then 'shared' else action end as action, count(*) as n from p group by all""",
     "write_transcripts": f"with {TURNS} select track_id, start_ms, end_ms, array_to_string({_LINES}, ' / ') as text from turns where end_ms > start_ms and len({_LINES}) > 0",
-    "write_documents": f"""with {PARAGRAPHS}, d as (select doc_id, title, regexp_replace(body, '^\\s+|\\s+$', '', 'g') as body from paragraphs where doc_id % 10 < 3),
+    "write_documents": f"""with {PARAGRAPHS}, {NORMAL_PARAGRAPHS}, d as (select doc_id, title, body from normal),
       c as (select *, case when doc_id % 6 = 0 then 'TITLE_EMPTY' when body = '' then 'BODY_EMPTY' end as code from d)
       select doc_id, case when code is null then title end as title, case when code is null then md5(body) end as digest, code from c""",
     "rewrite_artifact_check": "select c_custkey as id, c_custkey % 5 <> 0 and c_custkey % 7 <> 0 and c_custkey % 20 in (select c_custkey % 20 from customer where c_custkey % 3 <> 0) as usable from customer",

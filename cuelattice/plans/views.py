@@ -47,6 +47,7 @@ def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("title"), F.coalesce("text", F.lit("")).alias("body"))
 
 
+_STAMP = r"(?:\d{1,2}:)?\d{1,2}:\d{2}[.,]\d{3}"
 PARAGRAPHS = "paragraphs as (select doc_id, 'doc ' || doc_id as title, coalesce(text, '') as body from documents)"
 
 
@@ -180,3 +181,11 @@ spans as (select user_id as track_id, event_id as span_id, (epoch_us(ts) // 1000
   (epoch_us(ts) // 1000 - 1704067200000) // 100 + floor(value * 200)::bigint as end_ms,
   case event_type when 'error' then 1 when 'click' then 2 else 3 end as tier, value as score from events)
 """
+
+# Paragraphs with normalised bodies, as sinks write and strict readers read them.
+NORMAL_PARAGRAPHS = f"""
+paragraph_lines as (select *, string_split(regexp_replace(regexp_replace(nfc_normalize(body), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g'), '<{_STAMP}>', '', 'g'), chr(10)) as ls from paragraphs),
+paragraph_kept as (select * exclude ls, list_filter(ls, lambda x, i: not regexp_matches(x, '^\\s*{_STAMP}\\s+-->\\s+{_STAMP}')
+  and not (regexp_matches(x, '^\\s*[0-9]+\\s*$') and i < len(ls) and regexp_matches(ls[i + 1], '^\\s*{_STAMP}\\s+-->\\s+{_STAMP}'))) as ls from paragraph_lines),
+normal as (select * exclude ls replace (regexp_replace(regexp_replace(array_to_string(list_transform(ls, lambda x: trim(regexp_replace(x, '[ \\t]+', ' ', 'g'))), chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\n+|\\n+$', '', 'g') as body) from paragraph_kept)
+"""

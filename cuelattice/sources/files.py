@@ -8,7 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cuelattice.functions.text import clean_markup
+from cuelattice.functions.text import clean_markup, strip
+from cuelattice.operators.docs import normalise_bodies, single_line
+from cuelattice.sources.named_files import file_name, read_named, write_named
 
 STAMP = r"(?:(\d{1,}):)?(\d{1,2}):(\d{2})[.,](\d{3})"
 TIMING = rf"^\s*{STAMP}\s*-->\s*{STAMP}(?:\s.*)?$"
@@ -59,7 +61,7 @@ def ingest_caption_lines(files: DataFrame) -> DataFrame:
     """
     text = F.regexp_replace("value", "^\\x{FEFF}", "")
     lines = files.select("path", F.posexplode(F.split(text, r"\R")).alias("n", "line"))
-    lines = lines.withColumn("blank", F.trim(F.regexp_replace("line", r"\s+", " ")) == "").withColumn("timing", F.col("line").rlike(TIMING))
+    lines = lines.withColumn("blank", strip(F.col("line")) == "").withColumn("line_", strip(F.col("line"))).withColumn("timing", F.col("line_").rlike(TIMING)).withColumn("line", F.when(F.col("timing"), F.col("line_")).otherwise(F.col("line"))).drop("line_")
     w = Window.partitionBy("path").orderBy("n")
     opens = (~F.col("blank") & F.coalesce(F.lag("blank").over(w), F.lit(True))).cast("int")
     lines = lines.withColumn("opens", opens).withColumn("run", F.sum("opens").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("not blank")
@@ -94,11 +96,6 @@ def format_stamp(ms: Column, comma: str = ",") -> Column:
     return F.format_string(f"%02d:%02d:%02d{comma}%03d", F.floor(m / 3_600_000), F.floor(m / 60_000) % 60, F.floor(m / 1000) % 60, m % 1000)
 
 
-def safe_name(title: Column) -> Column:
-    """A title as a file name: signs that file systems refuse become ``_``."""
-    return F.rtrim(F.regexp_replace(F.regexp_replace(title, r'[<>:"/\\|?*\x00-\x1f]', "_"), r"\.+$", ""))
-
-
 def export_transcripts(segments: DataFrame) -> DataFrame:
     """``track_id, srt, txt, json`` of ordered segments (``seg_pos, start_ms, end_ms, text, title``, title may be null)."""
     w = Window.partitionBy("track_id").orderBy("seg_pos")
@@ -114,50 +111,61 @@ def export_transcripts(segments: DataFrame) -> DataFrame:
     )
 
 
-def write_transcripts(exported: DataFrame, path: str, by: tuple[str, ...] = ("track_id",)) -> None:
-    """Exports (``srt, txt, json`` and the columns ``by``) as files below ``path``/srt, txt and json, a folder for each ``by``.
+def write_transcripts(exported: DataFrame, path: str) -> None:
+    """Exports (``track_id, srt, txt, json``, and ``title`` and ``language`` where there are such columns) as named files below ``path``.
 
-    With the track's key in ``by`` every file is one transcript; with a coarser key (a language) a file holds many,
-    one after the other. Rows are gathered by ``by`` first, so that a folder has few files.
+    Each transcript has three files, ``Title.<track>.<language>`` with their endings; one pass writes them all and lists
+    them in the manifest, from which ``read_transcripts`` reads.
     """
-    dealt = staged(exported.repartition(*by), "exports")
-    for kind in ("srt", "txt", "json"):
-        # The writer ends each row with a line break of its own.
-        value = F.regexp_replace(F.col(kind), r"\n\z", "") if kind == "srt" else F.col(kind)
-        dealt.select(*by, value.alias("value")).write.partitionBy(*by).text(f"{path}/{kind}")
+    own = lambda c: F.col(c) if c in exported.columns else F.lit(None).cast("string")
+    key = F.col("track_id").cast("string")
+    stem = file_name(own("title"), key, own("language"))
+    kinds = F.array(*[F.struct(F.lit(f".{k}").alias("ending"), F.col(k).alias("value")) for k in ("srt", "txt", "json")])
+    files = exported.select(stem.alias("stem"), key.alias("key"), F.explode(kinds).alias("f"))
+    write_named(files.select(F.concat("stem", "f.ending").alias("name"), "key", "f.value"), path)
+
+
+def read_transcripts(spark: SparkSession, path: str, kind: str = "srt") -> DataFrame:
+    """``path, track_id, value`` of the transcripts of one kind below ``path``, a whole file each; ids are as they were written."""
+    return read_named(spark, path, f".{kind}").select(F.col("name").alias("path"), F.col("key").alias("track_id"), "value")
 
 
 def write_documents(exported: DataFrame, path: str) -> DataFrame:
-    """Documents that can be written (``doc_id, content, code``) as text files below ``path``, and the others as rows."""
-    good = exported.where("code is null").select("doc_id", F.regexp_replace("content", r"\n\z", "").alias("value"))
-    good.repartition("doc_id").write.partitionBy("doc_id").text(path)
+    """Documents that can be written (``doc_id, content, code``) as named text files below ``path``, and the others as rows."""
+    good = exported.where("code is null").select(F.col("doc_id").cast("string").alias("key"), F.col("content").alias("value"))
+    write_named(good.select(F.concat(file_name(F.regexp_extract("value", r"\ATitle: ([^\n]*)", 1), F.col("key")), F.lit(".txt")).alias("name"), "key", "value"), path)
     return exported.where("code is not null").select("doc_id", "code")
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Text files below ``path``/doc_id=... as ``doc_id, content``, whole."""
-    return spark.read.text(path, wholetext=True).select("doc_id", F.col("value").alias("content"))
+    """Documents below ``path`` as ``doc_id, content``, whole; ids are as they were written."""
+    return read_named(spark, path, ".txt").select(F.col("key").alias("doc_id"), F.col("value").alias("content"))
 
 
 def export_documents(docs: DataFrame, longest_title: int = 100) -> DataFrame:
-    """``doc_id, content, code``: title line and body as text, or why a document can't be written."""
-    code = F.when(F.trim("title") == "", "TITLE_EMPTY").when(F.trim("title").contains("\n"), "TITLE_MULTILINE").when(F.length(F.trim("title")) > longest_title, "TITLE_TOO_LONG").when(F.trim(F.regexp_replace("body", r"\s+", " ")) == "", "BODY_EMPTY")
-    content = F.concat(F.lit("Title: "), F.trim("title"), F.lit("\n\n"), F.regexp_replace("body", r"^\s+|\s+$", ""), F.lit("\n"))
-    return docs.select("doc_id", F.when(code.isNull(), content).alias("content"), code.alias("code"))
+    """``doc_id, content, code``: title line and normalised body as text, or why a document can't be written; null counts as empty."""
+    given = docs.select("doc_id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("body", F.lit("")).alias("body"))
+    clean = normalise_bodies(given).withColumn("line", single_line(F.regexp_replace("title", r"\ATitle:", "")))
+    code = F.when(F.col("line") == "", "TITLE_EMPTY").when(strip(F.col("title")).contains("\n"), "TITLE_MULTILINE").when(F.length("line") > longest_title, "TITLE_TOO_LONG").when(F.col("body") == "", "BODY_EMPTY")
+    content = F.concat(F.lit("Title: "), "line", F.lit("\n\n"), "body", F.lit("\n"))
+    return clean.select("doc_id", F.when(code.isNull(), content).alias("content"), code.alias("code"))
 
 
 def read_text_documents(files: DataFrame, strict: bool = True) -> DataFrame:
     """``doc_id, title, body, code`` of text files (``doc_id, content``).
 
-    Strict files begin with a ``Title:`` line. Otherwise the first such line anywhere counts, in any case, and a file
-    without one has an empty title.
+    Strict files begin with a ``Title:`` line, and their bodies are normalised. Otherwise the first such line anywhere
+    counts, in any case, a file without one has an empty title, and bodies are trimmed alone. Line ends of all kinds
+    count; a null file is an empty one.
     """
-    line = r"^\x{FEFF}?Title:[ \t]*([^\n]*)(?:\n|$)" if strict else r"(?im)^\s*title:[ \t]*([^\n]*)$\n?"
-    title = F.trim(F.regexp_extract("content", line, 1))
-    body = F.regexp_replace(_without_first(F.col("content"), line), r"^\s+|\s+$", "")
-    lacking = ~F.col("content").rlike(line) | (title == "")
-    code = F.when(F.lit(strict) & lacking, "SOURCE_TITLE_MISSING").when(body == "", "SOURCE_EMPTY")
-    return files.select("doc_id", F.when(code.isNull() | F.lit(not strict), title).alias("title"), F.when(code.isNull(), body).alias("body"), code.alias("code"))
+    text = F.regexp_replace(F.regexp_replace(F.coalesce("content", F.lit("")), r"\A\x{FEFF}+", ""), r"\r\n?", "\n")
+    line = r"\ATitle:([^\n]*)(?:\n|\z)" if strict else r"(?im)^\s*title:[ \t]*([^\n]*)$\n?"
+    f = files.select("doc_id", text.alias("content"))
+    title = single_line(F.regexp_extract("content", line, 1))
+    f = f.select("doc_id", title.alias("title"), (~F.col("content").rlike(line) | (title == "")).alias("lacking"), strip(_without_first(F.col("content"), line)).alias("body"))
+    f = normalise_bodies(f) if strict else f
+    code = F.when(F.lit(strict) & F.col("lacking"), "SOURCE_TITLE_MISSING").when(F.col("body") == "", "SOURCE_EMPTY")
+    return f.select("doc_id", F.when(code.isNull() | F.lit(not strict), F.col("title")).alias("title"), F.when(code.isNull(), F.col("body")).alias("body"), code.alias("code"))
 
 
 def _without_first(text: Column, pattern: str) -> Column:
@@ -202,14 +210,16 @@ def evolve_schema(parts: list[DataFrame], defaults: dict[str, object]) -> DataFr
 def ingest_asr_segments(segments: DataFrame) -> DataFrame:
     """Recogniser output (``track_id, ord, start, end`` in seconds, ``text, words``) as segments in milliseconds.
 
-    Texts are trimmed and empty ones dropped; half milliseconds go to the even one; an end is after its start (of a
+    Texts, and words, are trimmed of white space of all kinds and empty ones dropped; half milliseconds go to the even one; an end is after its start (of a
     word: at least 1); empty word lists become null, as do probabilities that aren't numbers.
     """
     ms = lambda x: F.bround(x * 1000).cast("long")
-    s = segments.withColumn("text", F.trim("text")).where("text <> ''").withColumn("start_ms", F.greatest(F.lit(0), ms(F.col("start"))))
-    words = F.transform("words", lambda w: F.struct(F.greatest(F.lit(0), ms(w.start)).alias("start_ms"), F.greatest(F.lit(1), ms(w.end)).alias("end_ms"), w.word.alias("text"), w.probability.try_cast("double").alias("probability")))
+    s = segments.withColumn("text", strip(F.col("text"))).where("text <> ''").withColumn("start_ms", F.greatest(F.lit(0), ms(F.col("start"))))
+    spoken = F.filter(F.transform("words", lambda w: w.withField("word", strip(w.word))), lambda w: w.word != "")
+    words = F.transform("spoken", lambda w: F.struct(F.greatest(F.lit(0), ms(w.start)).alias("start_ms"), F.greatest(F.lit(1), ms(w.end)).alias("end_ms"), w.word.alias("text"), w.probability.try_cast("double").alias("probability")))
     index = F.row_number().over(Window.partitionBy("track_id").orderBy("ord"))
-    return s.select("track_id", index.alias("index"), "start_ms", F.greatest(F.col("start_ms") + 1, ms(F.col("end"))).alias("end_ms"), "text", F.when(F.size("words") > 0, words).alias("words"))
+    s = s.withColumn("spoken", spoken)
+    return s.select("track_id", index.alias("index"), "start_ms", F.greatest(F.col("start_ms") + 1, ms(F.col("end"))).alias("end_ms"), "text", F.when(F.size("spoken") > 0, words).alias("words"))
 
 
 def shift_window_segments(segments: DataFrame, windows: DataFrame) -> DataFrame:

@@ -7,12 +7,14 @@ import random
 from difflib import SequenceMatcher
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from cuelattice.functions.text import borders, clean_markup, code_points, gram_hashes, length_bounds, normalize_alignment_text, text_similarity, window_minima
 from cuelattice.operators import align, captions, docs, reconcile, tracks
 from cuelattice.plans import q_align, registry
 from cuelattice.sources import files
+from cuelattice.sources.named_files import committed, file_name, read_named, write_named
 
 CUE = "track_id string, cue_ord long, start_ms long, end_ms long, text string, lines array<string>, inline boolean"
 
@@ -306,7 +308,7 @@ def test_export_stamps(spark):
     s = spark.createDataFrame([("t", 0, 7_384_005, 7_385_999, "Guten Tag", "Hafen / Ebbe?")], "track_id string, seg_pos int, start_ms long, end_ms long, text string, title string")
     row = files.export_transcripts(s).first()
     assert row["srt"] == "Title: Hafen / Ebbe?\n\n1\n02:03:04,005 --> 02:03:05,999\nGuten Tag\n"
-    assert s.select(files.safe_name(F.col("title")).alias("n")).first()["n"] == "Hafen _ Ebbe_"
+    assert s.select(file_name(F.col("title"), F.lit("v")).alias("n")).first()["n"] == "Hafen _ Ebbe_.v"
 
 
 def conversations(spark, path, texts):
@@ -450,3 +452,54 @@ def test_best_chain_equals_trying_all_blocks_before():
             kept.append(at)
             at = before[at]
         assert align.best_chain(p, c, n, own) == kept[::-1]
+
+
+def test_white_space_of_all_kinds(spark):
+    """U+3000 and U+00A0 are white space to sources, hashes, replies and addresses; null texts are empty ones."""
+    cap = spark.createDataFrame([("f", "WEBVTT\r\n　\r\n00:01.000 --> 00:02.000　\r\n \r\nbye\r\n　\r\nnote\r\n")], "path string, value string")
+    assert [(r["start_ms"], r["lines"]) for r in files.ingest_caption_lines(cap).collect()] == [(1000, ["bye"])]
+    word = "struct<start:double,end:double,word:string,probability:string>"
+    asr = spark.createDataFrame([("t", 1, 0.0, 1.0, "　hi\n", [(0.0, 0.5, " hi ", "0.5"), (0.5, 0.6, "　", None)]), ("t", 2, 1.0, 2.0, "\n　", []), ("t", 3, 2.0, 3.0, "x", [(2.0, 2.1, " ", "1")])], f"track_id string, ord int, start double, end double, text string, words array<{word}>")
+    got = [(r["index"], r["text"], r["words"] and [(w["text"], w["probability"]) for w in r["words"]]) for r in files.ingest_asr_segments(asr).orderBy("index").collect()]
+    assert got == [(1, "hi", [("hi", 0.5)]), (2, "x", None)]
+    out = spark.createDataFrame([("a", None, "b"), ("b", "T", None), ("c", "　", "b"), ("d", "x\n", "　b "), ("e", "a\nb", "c"), ("f", "Title: x" * 30, "c"), ("g", "T", "1\n00:00:01,000 --> 00:00:02,000\nhé  said")], "doc_id string, title string, body string")
+    assert {r["doc_id"]: (r["content"], r["code"]) for r in files.export_documents(out).collect()} == {
+        "a": (None, "TITLE_EMPTY"), "b": (None, "BODY_EMPTY"), "c": (None, "TITLE_EMPTY"), "d": ("Title: x\n\nb\n", None), "e": (None, "TITLE_MULTILINE"), "f": (None, "TITLE_TOO_LONG"), "g": ("Title: T\n\nhé said\n", None),
+    }
+    said = spark.createDataFrame([(1, "﻿Title:　A  b\r\n1\r\n00:01.000 --> 00:02.000\r\nx\r\r\ry　"), (2, "Title: 　\nx"), (3, "Title: x"), (4, None), (5, " Title: x\ny")], "doc_id int, content string")
+    assert {r["doc_id"]: (r["title"], r["body"], r["code"]) for r in files.read_text_documents(said).collect()} == {1: ("A b", "x\n\ny", None), 2: (None, None, "SOURCE_TITLE_MISSING"), 3: (None, None, "SOURCE_EMPTY"), 4: (None, None, "SOURCE_TITLE_MISSING"), 5: (None, None, "SOURCE_TITLE_MISSING")}
+    t = spark.createDataFrame([("x\n　", "x", " Yes　", "　https://youtu.be/dQw4w9WgXcQ\n"), ("x", "x", "no", "https://youtube.com/watch?v=dQw4w9WgXc%51"), ("x", "x", "no", "https://youtube.com/watch?v=dQw4w9Wg%ZZ")], "a string, b string, v string, url string")
+    assert t.where(docs.content_hash(F.col("a")) != docs.content_hash(F.col("b"))).count() == 0
+    assert [r[0] for r in t.select(docs.as_bool(F.col("v"))).collect()] == [True, False, False]
+    assert [r["video_id"] for r in tracks.canonicalise_urls(t.select("url")).collect()] == ["dQw4w9WgXcQ", "dQw4w9WgXcQ", None]
+
+
+def test_named_files(spark, tmp_path):
+    path = f"{tmp_path}/out folder"
+    titles = {"Demo: Video?": "Demo_ Video_", " . ": "untitled", "con": "_con", "a　 b ": "a b", "ＡＢ": "AB", "x" * 99 + " . y": "x" * 99, None: "untitled", "a/\\|b": "a_b"}
+    rows = spark.createDataFrame([(t, i) for i, t in enumerate(titles)], "title string, id int")
+    assert [r[0] for r in rows.orderBy("id").select(file_name(F.col("title"), F.lit("7"), F.lit("vi"))).collect()] == [f"{t}.7.vi" for t in titles.values()]
+    docs_ = spark.createDataFrame([("007", "T", "one"), ("7", "T", "two\n\nzwei"), ("a/b", "T", "x"), ("a:b", "T", "y"), ("あ", "u/v", "z"), ("n", None, "z")], "doc_id string, title string, body string")
+    refused = files.write_documents(files.export_documents(docs_), path)
+    assert [tuple(r) for r in refused.collect()] == [("n", "TITLE_EMPTY")]
+    back = files.read_text_documents(files.read_documents(spark, path))
+    assert {r["doc_id"]: (r["title"], r["body"]) for r in back.collect()} == {"007": ("T", "one"), "7": ("T", "two\n\nzwei"), "a/b": ("T", "x"), "a:b": ("T", "y"), "あ": ("u/v", "z")}
+    assert (tmp_path / "out folder" / "T.007.txt").read_text() == "Title: T\n\none\n" and not [p for p in (tmp_path / "out folder").rglob("_part-*")]
+    # A second write adds; files that no commit names, and attempts that Spark dropped, aren't read.
+    (tmp_path / "out folder" / "stray.txt").write_text("x")
+    parts = committed(path)
+    write_named(spark.createDataFrame([("sub/new.txt", "k", None)], "name string, key string, value string"), path)
+    assert set(parts) < set(committed(path)) and [(r["name"], r["key"], r["value"]) for r in read_named(spark, path).where("key = 'k'").collect()] == [("sub/new.txt", "k", "")]
+    assert read_named(spark, path).count() == 6 and read_named(spark, path, ".srt").count() == 0 and read_named(spark, f"{tmp_path}/none").count() == 0
+    for bad in ("../x.txt", "/../x", ""):
+        with pytest.raises(Exception, match="named"):
+            write_named(spark.createDataFrame([(bad, "k", "v")], "name string, key string, value string"), path)
+    assert read_named(spark, path).count() == 6
+
+
+def test_named_transcripts(spark, tmp_path):
+    s = spark.createDataFrame([("007", 0, 0, 1234, "Xin chào", "Demo: Video?"), ("7", 0, 0, 900, "a", None)], "track_id string, seg_pos int, start_ms long, end_ms long, text string, title string")
+    e = files.export_transcripts(s).join(s.select("track_id", "title"), "track_id").withColumn("language", F.lit("vi"))
+    files.write_transcripts(e, str(tmp_path / "t"))
+    assert {p.name for p in (tmp_path / "t").glob("*.*")} == {f"{stem}.{k}" for stem in ("Demo_ Video_.007.vi", "untitled.7.vi") for k in ("srt", "txt", "json")}
+    assert {(r["track_id"], r["value"]) for r in files.read_transcripts(spark, str(tmp_path / "t")).collect()} == {("007", "Title: Demo: Video?\n\n1\n00:00:00,000 --> 00:00:01,234\nXin chào\n"), ("7", "1\n00:00:00,000 --> 00:00:00,900\na\n")}
