@@ -72,6 +72,31 @@ _MERGED = f"""{_BLOCKS}, ends as (select *, max(p0 + size) over (partition by tr
 opened as (select *, sum(case when before is null or p0 > before then 1 else 0 end) over (partition by track_id, c0 - p0 order by p0, size rows between unbounded preceding and current row) as run from ends),
 merged as (select track_id, min(p0) as p0, min(c0) as c0, max(p0 + size) - min(p0) as size, min(dist) as dist from opened group by track_id, c0 - p0, run)"""
 
+# The best chain before each block in turn, with the scores so far as a list; then back from the best of all.
+_CHAIN = f"""{_MERGED.replace('with ', 'with recursive ', 1)},
+blocked as (select track_id, list(p0 order by p0, c0, size) as ps, list(c0 order by p0, c0, size) as cs, list(size order by p0, c0, size) as ns, list(dist order by p0, c0, size) as ds,
+  list(size - least(dist, 60000) / 600000 order by p0, c0, size) as own, count(*) as m from merged group by track_id),
+dp using key (track_id) as (select track_id, 1::bigint as i, [own[1]] as score, [0::bigint] as back from blocked
+  union select track_id, i, list_append(score, own + case when best > 0 and best + own > own then best else 0 end), list_append(back, case when best > 0 and best + own > own then list_position(fits, best) else 0 end)
+  from (select *, list_max(fits) as best from (select d.track_id, d.i + 1 as i, d.score, d.back, b.own[d.i + 1] as own,
+    list_transform(range(1, d.i + 1), lambda j: case when b.ps[j] + b.ns[j] <= b.ps[d.i + 1] and b.cs[j] + b.ns[j] <= b.cs[d.i + 1] then d.score[j] else -1.0::double end) as fits
+    from dp d join blocked b using (track_id) where d.i < b.m))),
+walked as (select track_id, list_position(score, list_max(score))::bigint as spot, back from dp union all select track_id, back[spot] as spot, back from walked where back[spot] > 0),
+chain as (select w.track_id, b.ps[spot] as p0, b.cs[spot] as c0, b.ns[spot] as size, b.ds[spot] as dist from walked w join blocked b using (track_id))"""
+_RANGES = f"""{_CHAIN},
+pairs as (select track_id, p0 + o as pi, c0 + o as ci from (select *, unnest(range(size)) as o from chain)),
+keyed as (select p.*, ci, last_value(ci ignore nulls) over (w rows between unbounded preceding and 1 preceding) as prev_c, first_value(ci ignore nulls) over (w rows between 1 following and unbounded following) as next_c
+  from p left join pairs on p.track_id = pairs.track_id and p.idx = pairs.pi window w as (partition by p.track_id order by p.idx)),
+cap as (select track_id, string_agg(ch, '' order by idx) as whole, list(start_ms order by idx) as starts, list(end_ms order by idx) as ends, count(*) as length from c group by track_id),
+asked as (select track_id, seg_pos, word_idx, list(prev_c order by idx)[1] as prev_c, list(next_c order by idx desc)[1] as next_c, min(start_ms) as w0, max(end_ms) as w1, string_agg(ch, '' order by idx) as said, count(*) as n from keyed group by all),
+bound as (select asked.*, cap.*, coalesce(prev_c + 1, 0) as low, coalesce(next_c, length) as high from asked join cap using (track_id)),
+parted as (select *, string_split(substr(whole, low + 1, high - low), said) as parts from bound where high > low),
+found as (select *, list_min(list_transform(range(1, len(parts)), lambda k: row(abs((starts[low + list_sum(list_transform(parts[1:k], lambda x: length(x)))::bigint + (k - 1) * n + 1] + ends[low + list_sum(list_transform(parts[1:k], lambda x: length(x)))::bigint + k * n]) / 2 - (w0 + w1) / 2),
+    low + list_sum(list_transform(parts[1:k], lambda x: length(x)))::bigint + (k - 1) * n)))[2]::bigint as spot from parted),
+placed as (select *, case when spot is not null then spot when prev_c is not null then low when next_c is not null then greatest(low, high - n) else list_min(list_filter(range(length), lambda i: ends[i + 1] > w0 and starts[i + 1] < w1)) end as c_from,
+    case when spot is not null then spot + n when next_c is not null then high when prev_c is not null then least(high, low + n) else list_max(list_filter(range(length), lambda i: ends[i + 1] > w0 and starts[i + 1] < w1)) + 1 end as c_to from found),
+ranges as (select track_id, seg_pos, word_idx, c_from, c_to, substr(whole, c_from + 1, c_to - c_from) as caption_text, starts[c_from + 1] as c_start_ms, ends[c_to] as c_end_ms from placed where c_to > c_from and c_to - c_from <= greatest(4, 3 * n))"""
+
 
 def _windows(spark, sf_dir):
     return reconcile.pad_and_merge_windows(spans(spark, sf_dir))
@@ -220,6 +245,8 @@ ORACLE_SQL = {
     "hopping_windows": f"{_BOTH}, w as (select p.*, {_WIN} as win from p join origin using (track_id)) select track_id, win, count(*) as n, min(idx) as first_idx from w group by all",
     "anchor_blocks": f"{_BLOCKS} select * from blocks",
     "merge_diagonal_blocks": f"{_MERGED} select * from merged",
+    "monotonic_chain": f"{_CHAIN} select * from chain",
+    "word_to_caption_range": f"{_RANGES} select * from ranges",
     "aligned_pairs": f"{_BOTH} select track_id, base + o as p, base + o as c from p_e where probability >= 0.1",
     "track_coverage": f"{_BOTH} select track_id, coalesce(sum(n) filter (probability >= 0.1), 0)::double / sum(n) as coverage from p_w group by track_id",
     "local_coverage": f"""{_BOTH}, h as (select p_e.*, base + o as idx, (probability >= 0.1)::int as hit from p_e),

@@ -81,8 +81,7 @@ def _planned_stream(spark, sf_dir):
     live = spark.readStream.schema(done.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
     stream.plan_requests(live, path, rewrites(spark, sf_dir), _artifacts(spark, sf_dir), _content(spark, sf_dir))
     r = stream.read_requests(spark, path)
-    shared = F.when(F.col("action").isin("join_new", "reuse_active"), "shared").otherwise(F.col("action"))
-    return r.groupBy("content_key", shared.alias("action")).agg(F.count("*").alias("n"))
+    return r.groupBy("content_key", "action").agg(F.count("*").alias("n"))
 
 
 def _written(spark, sf_dir):
@@ -178,8 +177,9 @@ def _state_stream(spark, sf_dir):
     )
     changes = e.select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), m.alias("set"))
     path = op.scratch(spark, "job-state")
-    stream.run_to_end(stream.job_state_stream(changes), path, "complete")
-    return spark.read.parquet(f"{path}/out")
+    states = stream.job_state_stream(changes)
+    stream.run_to_end(states, path, "update")
+    return stream.read_state(states, path, "job_id")
 
 
 def _request_stream(spark, sf_dir):
@@ -233,7 +233,7 @@ ORACLE_SQL = {
     "job_state_stream": JOB_SQL["apply_changes"],
     "auto_rewrite_stream": "select distinct floor(value)::bigint * 10 + user_id % 10 as content_key from events where event_type = 'purchase' and event_id % 11 <> 0",
     "plan_requests": f"""with p as ({JOB_SQL["auto_rewrite_plan"]})
-      select content_key, case when action in ('join_new', 'reuse_active') then 'shared' else action end as action, count(*) as n from p group by all""",
+      select content_key, action, count(*) as n from p group by all""",
     "write_transcripts": f"with {TURNS} select track_id, start_ms, end_ms, array_to_string({_LINES}, ' / ') as text from turns where end_ms > start_ms and len({_LINES}) > 0",
     "write_documents": f"""with {PARAGRAPHS}, {NORMAL_PARAGRAPHS}, d as (select doc_id, title, body from normal),
       c as (select *, case when doc_id % 6 = 0 then 'TITLE_EMPTY' when body = '' then 'BODY_EMPTY' end as code from d)
