@@ -147,56 +147,33 @@ def latest_columns(columns: tuple[str, ...] = CHANGE_COLUMNS) -> list[Column]:
     return out
 
 
-def auto_rewrite_plan(jobs: DataFrame, rewrites: DataFrame, artifacts: DataFrame, content: DataFrame) -> DataFrame:
-    """What to do for each automatic candidate: ``job_id, action, rewrite_id, content_key``.
-
-    A usable direct rewrite is reused; without source text the failure is recorded; unless forced, a completed rewrite
-    of the same content with an artifact, or an active one, is shared. Of those left, the first job of each content
-    creates the rewrite, others join it; forced jobs each create their own.
-    """
+def rewrite_lookups(rewrites: DataFrame, artifacts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What plans ask of the rewrites there are: the latest of each transcript, and by content the completed and active ones."""
     have = artifacts.select(F.col("rewrite_id").alias("have"))
     direct = latest_for_source(rewrites).join(have, F.col("id") == F.col("have"), "left").select(F.col("transcript_job_id").alias("d_key"), F.col("id").alias("d_id"), ((F.col("status") != "completed") | F.col("have").isNotNull()).alias("d_usable"))
     cached = latest_by_key(rewrites, ("completed",)).join(have, F.col("id") == F.col("have"), "left_semi").select(F.col("cache_key").alias("c_key"), F.col("id").alias("c_id"))
-    active = latest_by_key(rewrites, ACTIVE).select(F.col("cache_key").alias("a_key"), F.col("id").alias("a_id"))
+    return direct, cached, latest_by_key(rewrites, ACTIVE).select(F.col("cache_key").alias("a_key"), F.col("id").alias("a_id"))
+
+
+def planned_alone(jobs: DataFrame, lookups: tuple[DataFrame, DataFrame, DataFrame], content: DataFrame) -> DataFrame:
+    """``job_id, action, rewrite_id, content_key, forced, updated_ms`` of automatic candidates, each as if it were the only one."""
+    direct, cached, active = lookups
     j = jobs.where((F.col("status") == "completed") & (F.col("auto_rewrite_requested") == 1)).join(content, F.col("id") == F.col("job_id"), "left")
     j = j.withColumn("forced", F.col("force_refresh") == 1).withColumn("wanted", F.when(~F.col("forced"), F.col("content_key")))
     j = j.join(direct, F.col("id") == F.col("d_key"), "left").join(cached, F.col("wanted") == F.col("c_key"), "left").join(active, F.col("wanted") == F.col("a_key"), "left")
-    j = j.withColumn(
-        "action",
-        F.when(F.col("d_usable"), "reuse_direct").when(F.col("content_key").isNull(), "source_failure").when(F.col("c_id").isNotNull(), "reuse_cached").when(F.col("a_id").isNotNull(), "reuse_active").otherwise("create"),
-    )
-    first = j.where("action = 'create' and not forced").groupBy("content_key").agg(F.min(F.struct("updated_ms", "id")).getField("id").alias("first_id"))
-    j = j.join(first, "content_key", "left").withColumn("action", F.when((F.col("action") == "create") & ~F.col("forced") & (F.col("id") != F.col("first_id")), "join_new").otherwise(F.col("action")))
+    action = F.when(F.col("d_usable"), "reuse_direct").when(F.col("content_key").isNull(), "source_failure").when(F.col("c_id").isNotNull(), "reuse_cached").when(F.col("a_id").isNotNull(), "reuse_active").otherwise("create")
     rewrite = F.when(F.col("action") == "reuse_direct", F.col("d_id")).when(F.col("action") == "reuse_cached", F.col("c_id")).when(F.col("action") == "reuse_active", F.col("a_id"))
-    return j.select(F.col("id").alias("job_id"), "action", rewrite.alias("rewrite_id"), "content_key")
+    return j.withColumn("action", action).select(F.col("id").alias("job_id"), "action", rewrite.alias("rewrite_id"), "content_key", "forced", "updated_ms")
 
 
-def cache_outcome(requests: DataFrame, jobs: DataFrame, complete: DataFrame, join_active: bool = False) -> DataFrame:
-    """Submitted requests (``request_id, cache_key, force_refresh``) as ``cached``, ``joined`` or ``new``, with the job.
+def auto_rewrite_plan(jobs: DataFrame, rewrites: DataFrame, artifacts: DataFrame, content: DataFrame) -> DataFrame:
+    """What to do for each automatic candidate: ``job_id, action, rewrite_id, content_key``.
 
-    ``complete`` (job_id) lists jobs whose artifacts are all there; only rewrites join a job that is active.
+    A usable direct rewrite is reused; without source text the failure is recorded; unless forced, a completed rewrite
+    of the same content with an artifact, or an active one, is shared. Of those left, the first job of each content
+    creates the rewrite, others join it; forced jobs each create their own.
     """
-    done = latest_by_key(jobs).join(complete, F.col("id") == F.col("job_id"), "left_semi").select(F.col("cache_key"), F.col("id").alias("done_id"))
-    busy = latest_by_key(jobs, ACTIVE).select("cache_key", F.col("id").alias("busy_id"))
-    r = requests.join(done, "cache_key", "left").join(busy, "cache_key", "left")
-    free = ~F.col("force_refresh")
-    cached, joined = free & F.col("done_id").isNotNull(), free & F.lit(join_active) & F.col("busy_id").isNotNull()
-    return r.select("request_id", "cache_key", F.when(cached, "cached").when(joined, "joined").otherwise("new").alias("outcome"), F.when(cached, F.col("done_id")).when(joined, F.col("busy_id")).alias("job_id"))
-
-
-def source_guard(jobs: DataFrame) -> DataFrame:
-    """``id, code`` of jobs (``status, text_path, text``): whether a rewrite may start from them, null if so."""
-    body = F.regexp_replace("text", r"^\s*Title:[^\n]*(\n|$)", "")
-    code = F.when(F.col("status") != "completed", "TRANSCRIPT_NOT_COMPLETED").when(F.col("text_path").isNull(), "SOURCE_NOT_AVAILABLE").when(F.coalesce(F.trim(F.regexp_replace(body, r"\s+", " ")), F.lit("")) == "", "SOURCE_EMPTY")
-    return jobs.select("id", code.alias("code"))
-
-
-def job_health(jobs: DataFrame) -> DataFrame:
-    """Counts by status, stage and error code."""
-    return jobs.groupBy("status", "stage", "error_code").agg(F.count("*").alias("n"), F.avg("progress").alias("mean_progress"))
-
-
-def attention_flags(jobs: DataFrame) -> DataFrame:
-    """``id, warnings, attention``: a job's warnings with that of low language confidence, and whether a person should look."""
-    w = jobs.select("id", with_low_confidence(F.col("warnings"), F.col("language_confidence")).alias("warnings"))
-    return w.select("id", "warnings", needs_attention(F.col("warnings")).alias("attention"))
+    j = planned_alone(jobs, rewrite_lookups(rewrites, artifacts), content)
+    first = j.where("action = 'create' and not forced").groupBy("content_key").agg(F.min(F.struct("updated_ms", "job_id")).getField("job_id").alias("first_id"))
+    joins = (F.col("action") == "create") & ~F.col("forced") & (F.col("job_id") != F.col("first_id"))
+    return j.join(first, "content_key", "left").select("job_id", F.when(joins, "join_new").otherwise(F.col("action")).alias("action"), "rewrite_id", "content_key")
