@@ -48,6 +48,16 @@ def interval_candidates(segments: DataFrame, captions: DataFrame, reach_ms: int
     return hit.select("track_id", "seg_pos", "cap_pos")
 
 
+def overlapping(rows: DataFrame, windows: DataFrame, bucket_ms: int = 30_000) -> DataFrame:
+    """``rows`` (track_id, start_ms, end_ms, ...) with each of ``windows`` (track_id, from_ms, to_ms, ...) of the track they overlap.
+
+    Both sides are dealt into time buckets as in ``interval_candidates``, so a row meets the windows about it alone.
+    """
+    spread = lambda df, name, a, b: df.withColumn(f"_{name}", F.floor(F.col(a) / bucket_ms)).withColumn("_bucket", F.explode(F.sequence(f"_{name}", F.floor(F.greatest(a, b) / bucket_ms))))
+    hit = spread(rows, "row", "start_ms", "end_ms").join(spread(windows, "window", "from_ms", "to_ms"), ["track_id", "_bucket"])
+    return hit.where("end_ms > from_ms and start_ms < to_ms").where(F.col("_bucket") == F.greatest("_row", "_window")).drop("_bucket", "_row", "_window")
+
+
 def hopping_windows(rows: DataFrame, origins: DataFrame, window_ms: int = WINDOW_MS, hop_ms: int = HOP_MS) -> DataFrame:
     """``rows`` once for each window (``win``) they overlap; windows start every ``hop_ms`` from the track's ``origin``."""
     r = rows.join(origins, "track_id")

@@ -245,7 +245,7 @@ def secondary_evidence(spans: DataFrame, windows: DataFrame, primary: DataFrame,
     asked = kept.select("track_id", "win", F.explode("span_ids").alias("span_id"))
     here = heard.select("track_id", "win").distinct().withColumn("processed", F.lit(True))
     s = _keyed(spans.join(asked, ["track_id", "span_id"]).withColumn("span_track", F.col("track_id")))
-    part = primary.join(kept.drop("span_ids"), "track_id").where("end_ms > from_ms and start_ms < to_ms")
+    part = align.overlapping(primary, kept.drop("span_ids"))
     part = _keyed(part.withColumn("idx", (F.row_number().over(Window.partitionBy("track_id", "win").orderBy("idx")) - 1).cast("long"))).drop("win", "from_ms", "to_ms")
     words = _keyed(heard.join(kept.select("track_id", "win"), ["track_id", "win"]))
     part, chars = staged(part, "primary"), staged(align.character_timeline(words, language), "secondary")

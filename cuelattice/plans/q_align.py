@@ -173,7 +173,7 @@ def _reconciled(spark, sf_dir):
     def heard(windows):
         w = other.select("track_id", "seg_pos", "word_idx", F.col("text").alias("other")).join(said, ["track_id", "seg_pos", "word_idx"]).withColumn("text", F.when(F.col("probability") < 0.07, F.col("other")).otherwise(F.col("text")))
         kept = windows.select("track_id", "win", F.col("start_ms").alias("from_ms"), F.col("end_ms").alias("to_ms"))
-        return w.join(kept, "track_id").where("start_ms < to_ms and end_ms > from_ms").select("track_id", "win", "seg_pos", "word_idx", "start_ms", "end_ms", "text", F.lit(0.95).alias("probability"))
+        return align.overlapping(w, kept).select("track_id", "win", "seg_pos", "word_idx", "start_ms", "end_ms", "text", F.lit(0.95).alias("probability"))
 
     return reconcile.reconcile(said, other, heard, turns(spark, sf_dir).select("track_id", "seg_pos", "text"), "ko")
 

@@ -146,6 +146,15 @@ def _evolved(spark, sf_dir):
     return op.evolve_schema([old, j.where("id % 2 = 1")], {"auto_rewrite_requested": 0, "error_code": None}).select("id", "auto_rewrite_requested", "error_code")
 
 
+def _evolved_folders(spark, sf_dir):
+    """Jobs written by three versions of the catalogue, each with other columns, and read as one."""
+    path, j = op.scratch(spark, "versions"), jobs(spark, sf_dir)
+    j.where("id % 4 = 0").drop("auto_rewrite_requested", "error_code").write.parquet(f"{path}/v1")
+    j.where("id % 4 = 2").drop("auto_rewrite_requested").withColumn("old", F.lit(1)).write.parquet(f"{path}/v2")
+    j.where("id % 2 = 1").write.parquet(f"{path}/v3")
+    return op.read_evolved(spark, path, {"id": ("long", None), "auto_rewrite_requested": ("int", 0), "error_code": ("string", None), "validation": ("string", "none")})
+
+
 def _manifest(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     path = lambda kind: F.concat(F.lit(f"/{kind}/"), F.col("o_orderkey").cast("string"))
@@ -199,6 +208,7 @@ QUERIES = {
     "read_text_documents_lenient": lambda s, d: _documents(s, d, False),
     "load_catalogue": _catalogue,
     "evolve_schema": _evolved,
+    "read_evolved": _evolved_folders,
     "ingest_asr_segments": lambda s, d: _flat(_asr(s, d)),
     "shift_window_segments": _shifted,
     "artifact_manifest_check": _manifest,
@@ -227,6 +237,7 @@ ORACLE_SQL = {
     "read_text_documents_lenient": f"""with {PARAGRAPHS}, {_READ} select doc_id, case k when 0 then title when 2 then title when 3 then 'late' else '' end as title, case when k <> 2 and body <> '' then body end as body, case when k = 2 or body = '' then 'SOURCE_EMPTY' end as code from d""",
     "load_catalogue": "select o_orderkey as id, 'Order ' || o_orderkey as title, o_orderkey % 7 = 0 as force_refresh, o_orderkey % 2 = 1 as auto_rewrite_requested from orders",
     "evolve_schema": f"with {JOBS} select id, case when id % 2 = 0 then 0 else auto_rewrite_requested end::int as auto_rewrite_requested, case when id % 2 = 1 then error_code end as error_code from jobs",
+    "read_evolved": f"with {JOBS} select id, case when id % 2 = 0 then 0 else auto_rewrite_requested end::int as auto_rewrite_requested, case when id % 4 <> 0 then error_code end as error_code, 'none' as validation from jobs",
     "ingest_asr_segments": f"with {_ASR} select * from asr",
     "shift_window_segments": f"with {_ASR} select track_id, index, start_ms + index % 3 * 10000 as start_ms, end_ms + index % 3 * 10000 as end_ms, text, word_start + index % 3 * 10000 as word_start, word_end + index % 3 * 10000 as word_end, word_p, word from asr",
     "artifact_manifest_check": "select o_orderkey as id, o_orderkey % 8 <> 0 and o_orderkey % 3 <> 0 and o_orderkey % 5 <> 0 as usable from orders",

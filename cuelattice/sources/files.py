@@ -207,6 +207,17 @@ def evolve_schema(parts: list[DataFrame], defaults: dict[str, object]) -> DataFr
     return both.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in defaults.items() if v is not None})
 
 
+def read_evolved(spark: SparkSession, path: str, declared: dict[str, tuple[str, object]]) -> DataFrame:
+    """Parquet folders of all versions below ``path`` as one table of the ``declared`` columns (name: type and default).
+
+    Schemas of the files are merged; a column that a file lacks, or that is null, has its default, one that no file has
+    too, and columns that aren't declared are left out.
+    """
+    rows = spark.read.option("mergeSchema", True).option("recursiveFileLookup", True).parquet(path)
+    value = lambda c, kind, default: F.coalesce(F.col(c).cast(kind) if c in rows.columns else F.lit(None).cast(kind), F.lit(default).cast(kind))
+    return rows.select(*[value(c, kind, default).alias(c) for c, (kind, default) in declared.items()])
+
+
 def ingest_asr_segments(segments: DataFrame) -> DataFrame:
     """Recogniser output (``track_id, ord, start, end`` in seconds, ``text, words``) as segments in milliseconds.
 
