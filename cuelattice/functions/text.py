@@ -234,8 +234,14 @@ def content_hash(text):
     return F.sha2(strip(text).cast("binary"), 256)
 
 
-def cache_key(*parts):
-    return F.sha2(F.concat_ws(":", *parts).cast("binary"), 256)
+def transcript_cache_key(video_id, language, version: str, model: str, second_model: str):
+    """What names a transcript's result: the video, the language asked for, and all that makes it; an empty language is any."""
+    return F.concat_ws(":", F.lit(f"v{version}"), video_id, F.coalesce(F.nullif(language, F.lit("")), F.lit("__auto__")), F.lit(model), F.lit(second_model))
+
+
+def rewrite_cache_key(source_hash, version: str, prompts: str, profile: str, target: float = 1.10, least: float = 1.0, most: float = 1.30):
+    """What names a rewrite's result: its source's content, and the versions, profile and length rule that make it."""
+    return F.concat_ws(":", F.lit(f"v{version}"), F.lit(f"p{prompts}"), F.lit(profile), F.lit(f"{target:g}:{least:g}:{most:g}"), source_hash)
 
 
 def distinct_in_order(values):

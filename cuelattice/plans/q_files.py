@@ -226,7 +226,7 @@ ORACLE_SQL = {
     "ingest_caption_lines": f"with {TURNS} select track_id, start_ms, end_ms, array_to_string({_LINES}, ' / ') as text, false as inline from turns where end_ms > start_ms and len({_LINES}) > 0",
     "export_transcripts": f"""with {TURNS}, n as (select *, row_number() over (partition by track_id order by seg_pos) as i from turns)
       select track_id, md5(case when track_id % 2 = 0 then 'Title: Talk ' || track_id || chr(10) || chr(10) else '' end || string_agg(i || chr(10) || {_TS.format("start_ms", ",")} || ' --> ' || {_TS.format("end_ms", ",")} || chr(10) || text || chr(10), chr(10) order by i)) as srt,
-      md5(case when track_id % 2 = 0 then 'Title: Talk ' || track_id || chr(10) || chr(10) else '' end || string_agg(text, ' ' order by i)) as txt,
+      md5(case when track_id % 2 = 0 then 'Title: Talk ' || track_id || chr(10) || chr(10) else '' end || regexp_replace(string_agg(text, ' ' order by i), '^\\s+|\\s+$', '', 'g') || chr(10)) as txt,
       md5('{{"schema_version":3,' || case when track_id % 2 = 0 then '"title":"Talk ' || track_id || '",' else '' end || '"segments":[' || string_agg('{{"index":' || i || ',"start_ms":' || start_ms || ',"end_ms":' || end_ms || ',"text":' || to_json(text)::varchar || '}}', ',' order by i) || ']}}') as json from n group by track_id""",
     "read_transcript_artifacts": """select 'good' as what, count(distinct conv_id) as n, count(*) as segments from conversations where conv_id % 5 in (0, 4)
       union all select case conv_id % 5 when 1 then 'FIELD_MISSING' when 2 then 'SOURCE_UNKNOWN' else 'MALFORMED' end, count(distinct conv_id), 0 from conversations where conv_id % 5 in (1, 2, 3) group by 1""",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cuelattice.functions.text import content_hash, rewrite_cache_key, transcript_cache_key
 from cuelattice.operators import jobs as op
 from cuelattice.plans.views import JOBS, REWRITES, jobs, rewrites, table
 
@@ -115,6 +116,20 @@ def _requests(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("request_id"), F.col("c_custkey").alias("cache_key"), (F.col("c_custkey") % 13 == 0).alias("force_refresh"))
 
 
+def _keyed_requests(spark, sf_dir):
+    """Requests and jobs that meet by keys made of a video, a language and versions."""
+    key = lambda video, language: transcript_cache_key(video.cast("string"), language, "3", "turbo", "large")
+    asked = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("request_id"), key(F.col("c_custkey"), F.when(F.col("c_custkey") % 3 == 0, "").when(F.col("c_custkey") % 3 == 1, "en")).alias("cache_key"), (F.col("c_custkey") % 13 == 0).alias("force_refresh"))
+    known = jobs(spark, sf_dir).withColumn("cache_key", key(F.col("cache_key"), F.when(F.col("id") % 2 == 1, "en")))
+    return op.cache_outcome(asked, known, _complete(spark, sf_dir))
+
+
+def _rewrite_keys(spark, sf_dir):
+    """Rewrites of documents by key: how many documents share each."""
+    d = table(spark, sf_dir, "documents").select(rewrite_cache_key(content_hash(F.coalesce("text", F.lit(""))), "2", "5", "default").alias("cache_key"))
+    return d.groupBy("cache_key").agg(F.count("*").alias("n"))
+
+
 def _complete(spark, sf_dir):
     return jobs(spark, sf_dir).where("id % 4 <> 0").select(F.col("id").alias("job_id"))
 
@@ -126,6 +141,8 @@ def _guard(spark, sf_dir):
 
 
 QUERIES = {
+    "keyed_requests": _keyed_requests,
+    "rewrite_keys": _rewrite_keys,
     "latest_by_key": lambda s, d: op.latest_by_key(jobs(s, d)).select("cache_key", "id", "updated_ms"),
     "latest_for_source": lambda s, d: op.latest_for_source(rewrites(s, d)),
     "unfinished_jobs": lambda s, d: op.unfinished_jobs(jobs(s, d)).select("id", "status", "created_ms"),
@@ -146,6 +163,11 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "keyed_requests": f"""with {JOBS}, k as (select * replace ('v3:' || cache_key || ':' || case when id % 2 = 1 then 'en' else '__auto__' end || ':turbo:large' as cache_key) from jobs),
+      done as (select * from (select *, row_number() over (partition by cache_key order by updated_ms desc, id desc) as rn from k where status = 'completed') where rn = 1 and id % 4 <> 0),
+      r as (select c_custkey as request_id, 'v3:' || c_custkey || ':' || case when c_custkey % 3 = 1 then 'en' else '__auto__' end || ':turbo:large' as cache_key, c_custkey % 13 = 0 as forced from customer)
+      select request_id, cache_key, case when not forced and id is not null then 'cached' else 'new' end as outcome, case when not forced then id end as job_id from r left join done using (cache_key)""",
+    "rewrite_keys": "select 'v2:p5:default:1.1:1:1.3:' || sha256(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g')) as cache_key, count(*) as n from documents group by 1",
     "latest_by_key": f"with {JOBS} select cache_key, id, updated_ms from (select *, row_number() over (partition by cache_key order by updated_ms desc, id desc) as rn from jobs where status = 'completed') where rn = 1",
     "latest_for_source": f"with {REWRITES} select * exclude (rn) from (select *, row_number() over (partition by transcript_job_id order by created_ms desc, id desc) as rn from rewrites) where rn = 1",
     "unfinished_jobs": f"with {JOBS} select id, status, created_ms from jobs where status in ('queued', 'running')",

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cuelattice.functions.text import clean_markup, strip
+from cuelattice.functions.text import SPACE, clean_markup, nfkc, strip
 from cuelattice.operators.docs import normalise_bodies, single_line
 from cuelattice.sources.named_files import file_name, read_named, write_named
 
@@ -103,10 +103,11 @@ def export_transcripts(segments: DataFrame) -> DataFrame:
     block = F.concat(F.col("i").cast("string"), F.lit("\n"), format_stamp(F.col("start_ms")), F.lit(" --> "), format_stamp(F.col("end_ms")), F.lit("\n"), "text", F.lit("\n"))
     s = s.withColumn("s", F.struct("i", block.alias("block"), "text", "start_ms", "end_ms"))
     g = s.groupBy("track_id", "title").agg(F.array_sort(F.collect_list("s")).alias("s"))
-    head = F.coalesce(F.concat(F.lit("Title: "), F.trim(F.regexp_replace("title", r"\s+", " ")), F.lit("\n\n")), F.lit(""))
+    title = strip(F.regexp_replace(nfkc(F.coalesce("title", F.lit(""))), rf"{SPACE}+", " "))
+    head = F.when(title == "", "").otherwise(F.concat(F.lit("Title: "), title, F.lit("\n\n")))
     plain = F.transform("s", lambda x: F.struct(x.i.alias("index"), x.start_ms.alias("start_ms"), x.end_ms.alias("end_ms"), x.text.alias("text")))
     return g.select(
-        "track_id", F.concat(head, F.array_join(F.transform("s", lambda x: x.block), "\n")).alias("srt"), F.concat(head, F.array_join(F.transform("s", lambda x: x.text), " ")).alias("txt"),
+        "track_id", F.concat(head, F.array_join(F.transform("s", lambda x: x.block), "\n")).alias("srt"), F.concat(head, strip(F.array_join(F.transform("s", lambda x: x.text), " ")), F.lit("\n")).alias("txt"),
         F.to_json(F.struct(F.lit(3).alias("schema_version"), "title", plain.alias("segments"))).alias("json"),
     )
 

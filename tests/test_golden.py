@@ -307,6 +307,9 @@ def test_urls_and_tracks(spark):
 def test_export_stamps(spark):
     s = spark.createDataFrame([("t", 0, 7_384_005, 7_385_999, "Guten Tag", "Hafen / Ebbe?")], "track_id string, seg_pos int, start_ms long, end_ms long, text string, title string")
     row = files.export_transcripts(s).first()
+    assert row["txt"] == "Title: Hafen / Ebbe?\n\nGuten Tag\n"
+    odd = files.export_transcripts(spark.createDataFrame([("t", 0, 0, 1, " a", "　"), ("t", 1, 1, 2, "b　", "　"), ("u", 0, 0, 1, "x", "Ａ　 b")], s.schema)).select("track_id", "txt").collect()
+    assert {r["track_id"]: r["txt"] for r in odd} == {"t": "a b\n", "u": "Title: A b\n\nx\n"}
     assert row["srt"] == "Title: Hafen / Ebbe?\n\n1\n02:03:04,005 --> 02:03:05,999\nGuten Tag\n"
     assert s.select(file_name(F.col("title"), F.lit("v")).alias("n")).first()["n"] == "Hafen _ Ebbe_.v"
 
