@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuelattice.functions.text import code_points, midpoint, normalize_alignment_text, overlap_ms
+from cuelattice.functions.text import code_points, normalize_alignment_text, overlap_ms
 
 WINDOW_MS, HOP_MS = 60_000, 55_000
 REACH_MS = 5_000
