@@ -308,12 +308,31 @@ def representative_rows(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_n", n).withColumn("_at", at).where((F.col("_at") == 0) | (F.col("_at") == F.floor(F.col("_n") / 2)) | (F.col("_at") == F.col("_n") - 1)).drop("_n", "_at")
 
 
+# JSON values whose text is the same to every reader; objects that hold others are read in Python.
+_PLAIN_JSON = ("STRING", "BOOLEAN", "BIGINT", "VOID")
+
+
+def json_fields(text: Column) -> Column:
+    """Struct ``fields`` (map of strings; null for a list), ``found`` of the JSON value at the first bracket of ``text``.
+
+    Null where no value begins there that ``try_parse_json`` reads, or an object that holds more than strings, whole
+    numbers, booleans and nulls; nulls are left out.
+    """
+    value = F.try_parse_json(F.regexp_extract(text, r"(?s)[{\[].*", 0))
+    held = F.try_variant_get(value, "$", "map<string,variant>")
+    kind = lambda x: F.coalesce(F.schema_of_variant(x), F.lit("VOID"))
+    fields = F.transform_values(F.map_filter(held, lambda _, x: kind(x) != "VOID"), lambda _, x: F.try_variant_get(x, "$", "string"))
+    plain = F.forall(F.map_values(held), lambda x: kind(x).isin(*_PLAIN_JSON))
+    is_list = F.startswith(F.schema_of_variant(value), F.lit("ARRAY"))
+    return F.when(plain | is_list, F.struct(F.when(~is_list, fields).alias("fields"), F.lit(True).alias("found")))
+
+
 def extract_structured_replies(replies: DataFrame) -> DataFrame:
     """``request_id, fields`` (map) and ``code`` (null, ``NO_STRUCTURE``, ``NOT_OBJECT`` or ``FIELD_MISSING``) of text replies.
 
     The first bracket from which a JSON value can be read decides: an object gives the fields, a list is ``NOT_OBJECT``.
     Only without any such value do ``<<<NAME>>>`` markers count, and of a repeated one the last. ``required`` (array)
-    fields must be there and not empty. Only texts that hold a bracket are sent to Python.
+    fields must be there and not empty. Texts with a bracket that ``json_fields`` can't read are sent to Python.
     """
 
     @F.pandas_udf("struct<fields:map<string,string>,found:boolean>")
@@ -337,7 +356,8 @@ def extract_structured_replies(replies: DataFrame) -> DataFrame:
     text = F.when(strip(F.col("response")).rlike(r"\A```[^\n]*\n"), strip(fenced)).otherwise(strip(F.col("response")))
     pieces = lambda group: F.regexp_extract_all("response", F.lit(r"(?s)<<<([A-Z][A-Z0-9_]*)>>>(.*?)(?=<<<[A-Z][A-Z0-9_]*>>>|\z)"), F.lit(group))
     names, values = F.transform(pieces(1), lambda x: F.lower(x)), F.transform(pieces(2), strip)
-    r = replies.withColumn("_j", decoded(F.when(text.rlike(r"[{\[]"), text))).withColumn("_names", names).withColumn("_values", values)
+    r = replies.withColumn("_t", text).withColumn("_v", json_fields(F.col("_t"))).withColumn("_names", names).withColumn("_values", values)
+    r = r.withColumn("_j", F.coalesce("_v", decoded(F.when(F.col("_v").isNull() & F.col("_t").rlike(r"[{\[]"), F.col("_t")))))
     # A later marker of a name replaces an earlier one.
     last = F.filter(F.arrays_zip("_names", "_values"), lambda x, i: ~F.array_contains(F.slice("_names", i + 2, F.greatest(F.size("_names") - i - 1, F.lit(0))), x["_names"]))
     markers = F.when(F.size("_names") > 0, F.map_from_entries(F.transform(last, lambda x: F.struct(x["_names"], x["_values"]))))
