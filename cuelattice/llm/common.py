@@ -7,16 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-# Rows of whole texts that go to Python at once; Spark's own default of 10,000 holds tens of megabytes in three copies.
-TEXTS_AT_ONCE = 1_000
-
-
-def small_batches(spark: SparkSession, most: int = TEXTS_AT_ONCE) -> None:
-    """See that whole texts travel to Python in batches of at most ``most`` rows, so that workers stay small."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= most:
-        spark.conf.set(name, str(most))
+from cuelattice.functions.text import TEXTS_AT_ONCE, small_batches  # noqa: F401
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -23,13 +23,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from cuelattice.functions.text import SPACE, nfkc
+from cuelattice.functions.text import SPACE, nfkc, small_batches
 
 SCHEMA = "name string, key string, value string"
 MANIFEST, COMMITS = "_manifest", "_commits"
 # Names that some file systems keep for devices.
 RESERVED = ("CON", "PRN", "AUX", "NUL", *(f"{p}{i}" for p in ("COM", "LPT") for i in range(1, 10)))
 TITLE_CHARS = 100
+# Whole files that go to or come from Python at once: long recordings have megabytes.
+FILES_AT_ONCE = 200
 
 
 def safe_title(title: Column) -> Column:
@@ -165,11 +167,13 @@ class NamedFiles(DataSource):
 
 def write_named(rows: DataFrame, path: str) -> None:
     """``rows`` (name, key, value) as files below ``path``, added to those that are there."""
+    small_batches(rows.sparkSession, FILES_AT_ONCE)
     rows.sparkSession.dataSource.register(NamedFiles)
     rows.select(F.col("name").cast("string"), F.col("key").cast("string"), F.col("value").cast("string")).write.format("named_files").mode("append").save(path)
 
 
 def read_named(spark: SparkSession, path: str, ending: str = "") -> DataFrame:
     """``name, key, value`` of the files below ``path`` that writes have committed, whole."""
+    small_batches(spark, FILES_AT_ONCE)
     spark.dataSource.register(NamedFiles)
     return spark.read.format("named_files").option("ending", ending).load(path)
