@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cuelattice.functions.text import SPACE, borders, comparable, content_hash, distinct_in_order, first_fingerprint, length_bounds, length_ratio, nfc, normalized_length, strip, winnowed
+from cuelattice.functions.text import SPACE, borders, comparable, content_hash, distinct_in_order, first_fingerprint, length_bounds, length_ratio, nfc, normalized_length, small_batches, strip, winnowed
 
 CHUNK_CHARS = 25_000
 TITLE_CHARS = 100
@@ -86,6 +86,7 @@ def chunk_documents(docs: DataFrame, limit: int = CHUNK_CHARS, column: str = "bo
             rows = [(i, k, c) for i, t in zip(pdf["doc_id"], pdf["text"], strict=True) for k, c in enumerate(split_text(t or "", limit))]
             yield pd.DataFrame(rows, columns=["doc_id", "chunk_idx", "text"])
 
+    small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", F.col(column).alias("text")).mapInPandas(run, f"doc_id {kind}, chunk_idx int, text string")
 
@@ -172,6 +173,7 @@ def drop_repeated_paragraphs(docs: DataFrame, separator: str = BLANK, column: st
     them. Compared without case and white space; a repeated beginning has at least ``least`` characters. Each paragraph
     depends on the last one kept, so a document is read in order.
     """
+    small_batches(docs.sparkSession)
     joint = "\n" if separator == "\n" else "\n\n"
 
     @F.pandas_udf(T.StringType())
@@ -200,31 +202,55 @@ def _bare_length(column: str) -> Column:
     return F.length(F.regexp_replace(column, SPACE, ""))
 
 
+def _long_parts(column: str, separator: str, least: int) -> Column:
+    """Comparable forms of the parts of a text that have at least ``least`` characters without white space, as they are written.
+
+    Folding case may lengthen a text (ß), so what was written is counted. The fold needs Python for some texts, so it is
+    asked once, over the whole text, and parted after.
+    """
+    parted = F.regexp_replace(column, separator, _PART)
+    both = F.zip_with(F.split(F.regexp_replace(parted, SPACE, ""), _PART), F.split(comparable(parted), _PART), lambda x, y: F.when(F.length(x) >= least, y))
+    return F.array_compact(both)
+
+
+def _length_rule(source: Column, output: Column) -> Column:
+    bounds = length_bounds(source)
+    return F.when(source == 0, "SOURCE_EMPTY").when(output < bounds.getField("least"), "OUTPUT_TOO_SHORT").when(output > bounds.getField("most"), "OUTPUT_TOO_LONG")
+
+
+def _published(docs: DataFrame) -> DataFrame:
+    """Documents as they would be published: ``doc_id, title, body, raw_source, source``."""
+    clean = drop_repeated_paragraphs(normalise_bodies(docs.select("doc_id", "title", "body", F.col("source_body").alias("raw_source")), "body"))
+    return normalise_bodies(clean.withColumn("source", F.col("raw_source")), "source")
+
+
+def validate_lengths(docs: DataFrame) -> DataFrame:
+    """``doc_id, errors`` of ``validate_documents`` for the length rule alone, which is all that choosing a candidate asks for."""
+    clean = _published(docs).select("doc_id", _bare_length("source").alias("source"), _bare_length("body").alias("output"))
+    return clean.select("doc_id", F.array_compact(F.array(_length_rule(F.col("source"), F.col("output")))).alias("errors"))
+
+
 def validate_documents(docs: DataFrame) -> DataFrame:
     """Rules for rewrites (``doc_id, title, body, source_body``): ``errors`` in rule order, ``warnings``, lengths and ratio.
 
     Bodies and sources are normalised first and bodies lose repeated paragraphs, so rules and lengths are those of what
     would be published; lengths are without white space. A paragraph that the source holds whole is a warning.
     """
-    clean = drop_repeated_paragraphs(normalise_bodies(docs.select("doc_id", "title", "body", F.col("source_body").alias("raw_source")), "body"))
-    clean = normalise_bodies(clean.withColumn("source", F.col("raw_source")), "source")
+    clean = _published(docs)
     title = single_line(F.regexp_replace(F.coalesce("title", F.lit("")), r"^Title:", ""))
     # One struct for each row, so that what many rules use is worked out once.
     once = F.struct("body", F.col("title").alias("raw_title"), title.alias("title"), _bare_length("source").alias("source_length"), _bare_length("body").alias("output_length"), comparable(F.coalesce("raw_source", F.lit(""))).alias("whole"))
     staged = clean.select("doc_id", F.explode(F.array(once)).alias("s")).select("doc_id", "s.*")
-    bounds = length_bounds(F.col("source_length"))
     source, output = F.col("source_length"), F.col("output_length")
     checks = [
         F.when(F.col("title") == "", "TITLE_EMPTY"),
         F.when(strip(F.col("raw_title")).contains("\n"), "TITLE_MULTILINE"),
         F.when(F.length("title") > TITLE_CHARS, "TITLE_TOO_LONG"),
         F.when(F.col("body") == "", "BODY_EMPTY"),
-        F.when(source == 0, "SOURCE_EMPTY").when(output < bounds.getField("least"), "OUTPUT_TOO_SHORT").when(output > bounds.getField("most"), "OUTPUT_TOO_LONG"),
+        _length_rule(source, output),
         *[F.when(F.col("body").rlike(p), code) for code, p in RULES.items()],
     ]
-    # The fold of case needs Python for some texts, so it is asked once, over the whole body, and parted after.
-    parts = F.split(comparable(F.regexp_replace("body", BLANK, _PART)), _PART)
-    copied = F.exists(parts, lambda x: (F.length(x) >= COPIED_CHARS) & F.col("whole").contains(x))
+    copied = F.exists(_long_parts("body", BLANK, COPIED_CHARS), lambda x: F.col("whole").contains(x))
     errors = F.array_distinct(F.array_compact(F.array(*checks)))
     warnings = F.when(copied, F.array(F.lit("SOURCE_BLOCK_COPIED"))).otherwise(F.array().cast("array<string>"))
     return staged.select("doc_id", "title", "source_length", "output_length", length_ratio(output, source, 0.0).alias("length_ratio"), errors.alias("errors"), warnings.alias("warnings"))
@@ -239,12 +265,13 @@ def copied_blocks(outputs: DataFrame, sources: DataFrame, least: int = COPIED_CH
 
     Compared without case and white space, so copies with other line ends or in languages without spaces are told
     too. Sources are winnowed: of hashes of ``key_chars`` characters the smallest of every window that spans ``least``
-    characters is kept, about two of a window's width. A paragraph of at least ``least`` comparable characters brings
+    characters is kept, about two of a window's width. A paragraph of at least ``least`` characters brings
     the one of its first window, which any source that holds it has kept too; containment decides. Texts
     join only the pairs so found.
     """
     k = min(key_chars, max(1, least // 2))
-    parts = outputs.select("doc_id", F.explode(F.split(comparable(F.regexp_replace(F.coalesce("body", F.lit("")), separator, _PART)), _PART)).alias("p")).where(F.length("p") >= least)
+    given = outputs.select("doc_id", F.coalesce("body", F.lit("")).alias("body"))
+    parts = given.select("doc_id", F.explode(_long_parts("body", separator, least)).alias("p"))
     parts = parts.select("doc_id", "p", first_fingerprint(F.col("p"), least, k).alias("key"))
     whole = sources.select("source_id", comparable(F.coalesce("text", F.lit(""))).alias("whole")).where(F.length("whole") >= least)
     keys = whole.select("source_id", F.explode(winnowed("whole", least, k)).alias("key")).distinct()

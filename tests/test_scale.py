@@ -5,7 +5,9 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from cuelattice.operators import align
+from cuelattice.functions.text import clean_markup
+from cuelattice.operators import align, docs
+from cuelattice.sources.named_files import write_named
 
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
@@ -32,3 +34,35 @@ def test_no_frame_is_open_at_its_end(timeline):
     chars, caption, pairs = timeline
     for df in (align.word_to_caption_range(chars, caption, pairs), align.segment_alignment(chars, caption, pairs)):
         assert "unboundedfollowing" not in plan(df).lower()
+
+
+def test_lengths_count_what_is_written(spark):
+    """Folding makes two letters of ß; a paragraph one letter short stays short."""
+    short, long = "Stra\u00dfe " + "x" * 153, "Stra\u00dfe " + "x" * 154
+    d = spark.createDataFrame([(1, "t", short, short), (2, "t", long, long)], "doc_id long, title string, body string, source_body string")
+    assert {r["doc_id"]: r["warnings"] for r in docs.validate_documents(d).collect()} == {1: [], 2: ["SOURCE_BLOCK_COPIED"]}
+    s = d.select(F.col("doc_id").alias("source_id"), F.col("source_body").alias("text"))
+    assert [(r["doc_id"], r["source_id"]) for r in docs.copied_blocks(d, s).collect()] == [(2, 2)]
+
+
+@pytest.mark.parametrize("ask", [
+    lambda d, _: docs.drop_repeated_paragraphs(d), lambda d, _: docs.chunk_documents(d, 10), lambda d, _: docs.validate_documents(d), lambda d, _: d.select(clean_markup(F.col("body"))),
+    lambda d, path: write_named(d.select(F.col("doc_id").cast("string").alias("name"), F.col("doc_id").cast("string").alias("key"), F.col("body").alias("value")), path),
+])
+def test_whole_texts_go_in_small_batches(spark, tmp_path, ask):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    d = spark.createDataFrame([(1, "t", "a b", "a b")], "doc_id long, title string, body string, source_body string")
+    try:
+        spark.conf.set(name, "10000")
+        ask(d, str(tmp_path / "named"))
+        assert 0 < int(spark.conf.get(name)) <= 1000
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_choosing_asks_for_lengths_alone(spark):
+    d = spark.createDataFrame([(1, "t", "a b https://x.example", "a b"), (2, "t", "ab", "ab"), (3, "t", "ab", None), (4, "", "a", "abcdef")], "doc_id long, title string, body string, source_body string")
+    rule = ("SOURCE_EMPTY", "OUTPUT_TOO_SHORT", "OUTPUT_TOO_LONG")
+    want = {r["doc_id"]: [e for e in r["errors"] if e in rule] for r in docs.validate_documents(d).collect()}
+    assert {r["doc_id"]: r["errors"] for r in docs.validate_lengths(d).collect()} == want
