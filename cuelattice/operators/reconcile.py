@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cuelattice.functions.text import SPACE, normalize_alignment_text, primary_coverage, strip, temporal_overlap, text_similarity
 from cuelattice.operators import align
+from cuelattice.operators.align import dealt
 from cuelattice.sources.files import staged
 
 LOW = 0.72
@@ -23,7 +24,7 @@ def suspicious_words(words: DataFrame, ranges: DataFrame, similarity: Column | N
     Low confidence and disagreement with the caption give tier 1, either alone 2 and 3; the score is the probability if
     low, else the similarity; ``span_id`` counts a track's spans in order.
     """
-    w = words.join(ranges.select("track_id", "seg_pos", "word_idx", "caption_text"), ["track_id", "seg_pos", "word_idx"], "left")
+    w = words.join(dealt(ranges.select("track_id", "seg_pos", "word_idx", "caption_text")), ["track_id", "seg_pos", "word_idx"], "left")
     like = text_similarity(normalize_alignment_text(F.col("text"), language), F.col("caption_text")) if similarity is None else similarity
     w = w.withColumn("similarity", F.when(F.col("caption_text") != "", like))
     unsure, differs = F.coalesce(F.col("probability") < low, F.lit(False)), F.coalesce(F.col("similarity") < low, F.lit(False))
@@ -67,9 +68,9 @@ def pad_and_merge_windows(spans: DataFrame, padding: int = PADDING_MS, gap: int
 
 def window_priority(windows: DataFrame, spans: DataFrame) -> DataFrame:
     """Windows with ``tier`` and ``score`` of their most urgent span."""
-    each = windows.select("track_id", "win", F.explode("span_ids").alias("span_id")).join(spans.select("track_id", "span_id", "tier", "score", "start_ms"), ["track_id", "span_id"])
+    each = windows.select("track_id", "win", F.explode("span_ids").alias("span_id")).join(dealt(spans.select("track_id", "span_id", "tier", "score", "start_ms")), ["track_id", "span_id"])
     best = each.groupBy("track_id", "win").agg(F.min(F.struct("tier", "score", "start_ms")).alias("b"))
-    return windows.join(best, ["track_id", "win"]).select(windows["*"], F.col("b.tier").alias("tier"), F.col("b.score").alias("score"))
+    return windows.join(dealt(best), ["track_id", "win"]).select(windows["*"], F.col("b.tier").alias("tier"), F.col("b.score").alias("score"))
 
 
 def budgeted_top_k(windows: DataFrame, most: Column | int = 60, total_ms: int = TOTAL_MS) -> DataFrame:
@@ -87,7 +88,7 @@ def budgeted_top_k(windows: DataFrame, most: Column | int = 60, total_ms: int =
 
     kept = w.groupBy("track_id").agg(F.array_sort(F.collect_list(order)).alias("s")).select("track_id", F.explode(F.aggregate("s", start, step, lambda acc: acc.kept)).alias("win"))
     taken = kept.withColumn("selected", F.lit(True))
-    return windows.join(taken, ["track_id", "win"], "left").withColumn("selected", F.coalesce("selected", F.lit(False))).select(*windows.columns, "selected")
+    return windows.join(dealt(taken), ["track_id", "win"], "left").withColumn("selected", F.coalesce("selected", F.lit(False))).select(*windows.columns, "selected")
 
 
 def decide(items: DataFrame, normalised: bool = False, language: str = "ja") -> DataFrame:
@@ -131,7 +132,7 @@ def finalise_decisions(decided: DataFrame) -> DataFrame:
 def rebuildable(words: DataFrame, segments: DataFrame) -> DataFrame:
     """``track_id, seg_pos, rebuildable``: whether a segment's words, put together, are its text."""
     joined = words.groupBy("track_id", "seg_pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_idx", "text"))), lambda x: x.text), "").alias("t"))
-    return segments.join(joined, ["track_id", "seg_pos"], "left").select("track_id", "seg_pos", F.coalesce(F.col("t") == F.col("text"), F.lit(False)).alias("rebuildable"))
+    return segments.join(dealt(joined), ["track_id", "seg_pos"], "left").select("track_id", "seg_pos", F.coalesce(F.col("t") == F.col("text"), F.lit(False)).alias("rebuildable"))
 
 
 def apply_replacements(words: DataFrame, replacements: DataFrame) -> DataFrame:
@@ -141,7 +142,7 @@ def apply_replacements(words: DataFrame, replacements: DataFrame) -> DataFrame:
     """
     r = replacements.select("track_id", "seg_pos", "word_start", "word_end", "texts")
     gone = r.select("track_id", "seg_pos", F.explode(F.sequence(F.col("word_start"), F.col("word_end") - 1)).alias("word_idx"))
-    kept = words.join(gone, ["track_id", "seg_pos", "word_idx"], "left_anti").select("track_id", "seg_pos", "word_idx", F.lit(0).alias("sub"), "text")
+    kept = words.join(dealt(gone), ["track_id", "seg_pos", "word_idx"], "left_anti").select("track_id", "seg_pos", "word_idx", F.lit(0).alias("sub"), "text")
     fresh = r.select("track_id", "seg_pos", F.col("word_start").alias("word_idx"), F.posexplode("texts").alias("sub", "text"))
     both = kept.unionByName(fresh).groupBy("track_id", "seg_pos").agg(F.array_sort(F.collect_list(F.struct("word_idx", "sub", "text"))).alias("s"))
     return both.select("track_id", "seg_pos", F.array_join(F.transform("s", lambda x: x.text), "").alias("text"), F.size("s").alias("n_words"))
@@ -159,12 +160,12 @@ def surface_spans(words: DataFrame, segments: DataFrame) -> DataFrame:
     n = F.length(bare("text"))
     w = words.withColumn("bare", bare("text")).withColumn("w0", F.coalesce(F.sum(n).over(before), F.lit(0))).withColumn("w1", F.col("w0") + n)
     whole = w.groupBy("track_id", "seg_pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_idx", "bare"))), lambda x: x.bare), "").alias("t"), F.min(n).alias("shortest"), F.max("word_idx").alias("last"))
-    good = segments.join(whole, ["track_id", "seg_pos"]).where((F.col("t") == bare("text")) & (F.col("shortest") > 0))
+    good = segments.join(dealt(whole), ["track_id", "seg_pos"]).where((F.col("t") == bare("text")) & (F.col("shortest") > 0))
     # Places of the characters that aren't white space, in order.
     signs = F.split("text", "")
     filled = F.filter(F.transform(signs, lambda c, i: F.when(~c.rlike(rf"^{SPACE}$") & (c != ""), i)), lambda i: i.isNotNull())
     places = good.select("track_id", "seg_pos", "last", F.length("text").alias("length"), filled.alias("at"))
-    placed = w.select("track_id", "seg_pos", "word_idx", "w0", "w1").join(places, ["track_id", "seg_pos"])
+    placed = w.select("track_id", "seg_pos", "word_idx", "w0", "w1").join(dealt(places), ["track_id", "seg_pos"])
     s_from = F.when(F.col("w0") == 0, 0).otherwise(F.get("at", F.col("w0").cast("int") - 1) + 1)
     s_to = F.when(F.col("word_idx") == F.col("last"), F.col("length")).otherwise(F.get("at", F.col("w1").cast("int") - 1) + 1)
     return placed.select("track_id", "seg_pos", "word_idx", s_from.alias("s_from"), s_to.alias("s_to"))
@@ -176,15 +177,15 @@ def splice_surface(segments: DataFrame, spans: DataFrame, replacements: DataFram
     ``replacements``: ``track_id, seg_pos, word_start, word_end, new_text`` (in place of words start to end - 1).
     Segments without spans keep their text.
     """
-    ends = replacements.join(spans.select("track_id", "seg_pos", F.col("word_idx").alias("word_start"), "s_from"), ["track_id", "seg_pos", "word_start"])
-    ends = ends.join(spans.select("track_id", "seg_pos", (F.col("word_idx") + 1).alias("word_end"), "s_to"), ["track_id", "seg_pos", "word_end"])
+    ends = replacements.join(dealt(spans.select("track_id", "seg_pos", F.col("word_idx").alias("word_start"), "s_from")), ["track_id", "seg_pos", "word_start"])
+    ends = ends.join(dealt(spans.select("track_id", "seg_pos", (F.col("word_idx") + 1).alias("word_end"), "s_to")), ["track_id", "seg_pos", "word_end"])
     r = ends.groupBy("track_id", "seg_pos").agg(F.array_sort(F.collect_list(F.struct("s_from", "s_to", strip(F.col("new_text")).alias("t")))).alias("r"))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     cut = lambda a, b: F.substring("text", a + 1, b - a)
     old = lambda x: cut(x.s_from, x.s_to)
     lead = lambda x: F.regexp_extract(old(x), rf"^{SPACE}*", 0)
     trail = lambda x: F.when(old(x).rlike(rf"^{SPACE}*\z"), "").otherwise(F.regexp_extract(old(x), rf"{SPACE}*\z", 0))
-    s = segments.join(r, ["track_id", "seg_pos"], "left")
+    s = segments.join(dealt(r), ["track_id", "seg_pos"], "left")
     done = F.aggregate("r", start, lambda acc, x: F.struct(x.s_to.alias("at"), F.concat(acc.out, cut(acc.at, x.s_from), lead(x), x.t, trail(x)).alias("out")), lambda acc: F.concat(acc.out, cut(acc.at, F.length("text"))))
     return s.select("track_id", "seg_pos", F.coalesce(done, F.col("text")).alias("text"))
 
@@ -244,18 +245,18 @@ def secondary_evidence(spans: DataFrame, windows: DataFrame, primary: DataFrame,
     kept = windows.where("selected").select("track_id", "win", F.col("start_ms").alias("from_ms"), F.col("end_ms").alias("to_ms"), "span_ids")
     asked = kept.select("track_id", "win", F.explode("span_ids").alias("span_id"))
     here = heard.select("track_id", "win").distinct().withColumn("processed", F.lit(True))
-    s = _keyed(spans.join(asked, ["track_id", "span_id"]).withColumn("span_track", F.col("track_id")))
+    s = _keyed(spans.join(dealt(asked), ["track_id", "span_id"]).withColumn("span_track", F.col("track_id")))
     part = align.overlapping(primary, kept.drop("span_ids"))
     part = _keyed(part.withColumn("idx", (F.row_number().over(Window.partitionBy("track_id", "win").orderBy("idx")) - 1).cast("long"))).drop("win", "from_ms", "to_ms")
-    words = _keyed(heard.join(kept.select("track_id", "win"), ["track_id", "win"]))
+    words = _keyed(heard.join(dealt(kept.select("track_id", "win")), ["track_id", "win"]))
     part, chars = staged(part, "primary"), staged(align.character_timeline(words, language), "secondary")
     pairs = staged(align.aligned_pairs(align.monotonic_chain(align.merge_diagonal_blocks(align.anchor_blocks(part, chars, least)))), "pairs")
     place = ["track_id", "seg_pos", "word_idx"]
     ranges = align.word_to_caption_range(part, chars, pairs).select(*place, "c_from", "c_to")
     near = align.local_coverage(part, pairs).select(*place, F.col("coverage").alias("secondary_coverage"))
     own = chars.groupBy(*place).agg(F.min("idx").alias("i0"), (F.max("idx") + 1).alias("i1"))
-    w = words.join(own, place).select("track_id", F.col("seg_pos").alias("s_seg"), F.col("word_idx").alias("s_word"), F.col("start_ms").alias("w0"), F.col("end_ms").alias("w1"), F.col("text").alias("t"), "probability", "i0", "i1")
-    found = s.join(ranges, place).select("track_id", "span_id", "start_ms", "end_ms", "c_from", "c_to").join(w, "track_id").where("i0 < c_to and i1 > c_from")
+    w = words.join(dealt(own), place).select("track_id", F.col("seg_pos").alias("s_seg"), F.col("word_idx").alias("s_word"), F.col("start_ms").alias("w0"), F.col("end_ms").alias("w1"), F.col("text").alias("t"), "probability", "i0", "i1")
+    found = s.join(dealt(ranges), place).select("track_id", "span_id", "start_ms", "end_ms", "c_from", "c_to").join(dealt(w), "track_id").where("i0 < c_to and i1 > c_from")
     g = found.groupBy("track_id", "span_id", "start_ms", "end_ms").agg(
         F.bool_or((F.col("i0") < F.col("c_from")) | (F.col("i1") > F.col("c_to"))).alias("partial"), F.avg("probability").alias("mean_probability"), F.min("probability").alias("min_probability"), F.min("w0").alias("w0"), F.max("w1").alias("w1"),
         F.transform(F.array_sort(F.collect_list(F.struct("s_seg", "s_word", "t"))), lambda x: x.t).alias("texts"),
@@ -263,8 +264,8 @@ def secondary_evidence(spans: DataFrame, windows: DataFrame, primary: DataFrame,
     ok = lambda c: F.when(~F.col("partial"), c)
     text = F.when(F.col("partial"), "").otherwise(F.array_join("texts", ""))
     g = g.select("track_id", "span_id", text.alias("secondary_text"), ok(F.col("texts")).alias("secondary_words"), F.when(F.col("partial"), "secondary_range_partial_word").alias("issue"), F.coalesce(ok(temporal_overlap(F.col("start_ms"), F.col("end_ms"), F.col("w0"), F.col("w1"))), F.lit(0.0)).alias("secondary_overlap"), ok(F.col("mean_probability")).alias("mean_probability"), ok(F.col("min_probability")).alias("min_probability"))
-    told = s.join(near, place, "left").join(g, ["track_id", "span_id"], "left").select(F.col("span_track").alias("track_id"), "span_id", "secondary_text", "secondary_words", "issue", F.coalesce("secondary_coverage", F.lit(0.0)).alias("secondary_coverage"), F.coalesce("secondary_overlap", F.lit(0.0)).alias("secondary_overlap"), "mean_probability", "min_probability")
-    every = spans.select("track_id", "span_id").join(asked, ["track_id", "span_id"], "left").join(here, ["track_id", "win"], "left").join(told, ["track_id", "span_id"], "left")
+    told = s.join(dealt(near), place, "left").join(dealt(g), ["track_id", "span_id"], "left").select(F.col("span_track").alias("track_id"), "span_id", "secondary_text", "secondary_words", "issue", F.coalesce("secondary_coverage", F.lit(0.0)).alias("secondary_coverage"), F.coalesce("secondary_overlap", F.lit(0.0)).alias("secondary_overlap"), "mean_probability", "min_probability")
+    every = spans.select("track_id", "span_id").join(dealt(asked), ["track_id", "span_id"], "left").join(dealt(here), ["track_id", "win"], "left").join(dealt(told), ["track_id", "span_id"], "left")
     return every.withColumn("selected", F.col("win").isNotNull()).withColumn("processed", F.coalesce("processed", F.lit(False)))
 
 
@@ -283,16 +284,16 @@ def reconcile(words: DataFrame, captions: DataFrame, heard, segments: DataFrame,
     evidence = secondary_evidence(spans, windows, p, second, language)
     place = ["track_id", "seg_pos", "word_idx"]
     seen = F.when(F.col("c_start_ms").isNotNull(), primary_coverage(F.col("start_ms"), F.col("end_ms"), F.col("c_start_ms"), F.col("c_end_ms")))
-    items = spans.join(align.local_coverage(p, pairs), place, "left").join(ranges.select(*place, "c_start_ms", "c_end_ms"), place, "left").withColumn("overlap", F.coalesce(seen, F.lit(0.0))).drop("c_start_ms", "c_end_ms")
-    items = items.join(evidence.drop("win"), ["track_id", "span_id"]).withColumnRenamed("text", "primary_text").withColumn("coverage", F.coalesce("coverage", F.lit(0.0))).withColumn("language", F.lit(language))
+    items = spans.join(dealt(align.local_coverage(p, pairs)), place, "left").join(dealt(ranges.select(*place, "c_start_ms", "c_end_ms")), place, "left").withColumn("overlap", F.coalesce(seen, F.lit(0.0))).drop("c_start_ms", "c_end_ms")
+    items = items.join(dealt(evidence.drop("win")), ["track_id", "span_id"]).withColumnRenamed("text", "primary_text").withColumn("coverage", F.coalesce("coverage", F.lit(0.0))).withColumn("language", F.lit(language))
     map_of = surface_spans(words, segments)
     mapped = map_of.select("track_id", "seg_pos").distinct().withColumn("surface_mapped", F.lit(True))
-    items = items.join(rebuildable(words, segments), ["track_id", "seg_pos"], "left").join(mapped, ["track_id", "seg_pos"], "left")
+    items = items.join(dealt(rebuildable(words, segments)), ["track_id", "seg_pos"], "left").join(dealt(mapped), ["track_id", "seg_pos"], "left")
     items = items.withColumns({"skipped": ~F.col("selected"), "rebuildable": F.coalesce("rebuildable", F.lit(False)), "surface_mapped": F.coalesce("surface_mapped", F.lit(False))})
     final = staged(finalise_decisions(decide(items, language=language)), "items")
     right = final.where("decision = 'corrected'").select("track_id", "seg_pos", F.col("word_idx").alias("word_start"), (F.col("word_idx") + 1).alias("word_end"), F.col("secondary_words").alias("texts"), F.col("secondary_text").alias("new_text"), "rebuildable")
     spliced = splice_surface(segments, map_of, right.where("not rebuildable").drop("texts", "rebuildable"))
-    rebuilt = apply_replacements(words, right.where("rebuildable").drop("new_text", "rebuildable")).join(right.where("rebuildable").select("track_id", "seg_pos").distinct(), ["track_id", "seg_pos"], "left_semi")
-    texts = spliced.join(rebuilt.select("track_id", "seg_pos", F.col("text").alias("rebuilt")), ["track_id", "seg_pos"], "left").select("track_id", "seg_pos", F.coalesce("rebuilt", "text").alias("text"))
-    asked = windows.join(second.select("track_id", "win").distinct().withColumn("processed", F.lit(True)), ["track_id", "win"], "left").withColumn("processed", F.coalesce("processed", F.lit(False)))
+    rebuilt = apply_replacements(words, right.where("rebuildable").drop("new_text", "rebuildable")).join(dealt(right.where("rebuildable").select("track_id", "seg_pos").distinct()), ["track_id", "seg_pos"], "left_semi")
+    texts = spliced.join(dealt(rebuilt.select("track_id", "seg_pos", F.col("text").alias("rebuilt"))), ["track_id", "seg_pos"], "left").select("track_id", "seg_pos", F.coalesce("rebuilt", "text").alias("text"))
+    asked = windows.join(dealt(second.select("track_id", "win").distinct().withColumn("processed", F.lit(True))), ["track_id", "win"], "left").withColumn("processed", F.coalesce("processed", F.lit(False)))
     return {"items": final, "segments": texts, "summary": reconciliation_summary(final, asked, align.track_coverage(pairs, p), {"ko": "KOREAN"}.get(language, "JAPANESE"))}
