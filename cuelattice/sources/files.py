@@ -174,9 +174,16 @@ def _without_first(text: Column, pattern: str) -> Column:
     return F.when(at > 0, F.concat(F.substring(text, F.lit(1), at - 1), F.substring(text, at + F.length(found), F.length(text)))).otherwise(text)
 
 
-def read_transcript_artifacts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """JSON transcripts below ``path``: those that hold what they must, and the rest with the reason."""
-    d = spark.read.schema(TRANSCRIPT_SCHEMA).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+def read_transcript_artifacts(spark: SparkSession, path: str, manifest: bool = False) -> tuple[DataFrame, DataFrame]:
+    """JSON transcripts below ``path``: those that hold what they must, and the rest with the reason.
+
+    With ``manifest``, the folder is one that ``write_named`` wrote, and nothing is listed.
+    """
+    keep = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    if manifest:
+        d = read_named(spark, path, ".json").select(F.from_json("value", TRANSCRIPT_SCHEMA, keep).alias("d")).select("d.*")
+    else:
+        d = spark.read.schema(TRANSCRIPT_SCHEMA).options(multiLine=True, **keep).json(path)
     reason = F.when(F.col("_corrupt").isNotNull(), "MALFORMED").when(F.col("segments").isNull() | F.col("language").isNull(), "FIELD_MISSING").when(~F.coalesce(F.col("source").isin(*SOURCES), F.lit(False)), "SOURCE_UNKNOWN")
     d = d.withColumn("reason", reason)
     return d.where("reason is null").drop("reason", "_corrupt"), d.where("reason is not null")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from cuelattice.functions.text import clean_markup
 from cuelattice.operators import align, docs
+from cuelattice.sources import files
 from cuelattice.sources.named_files import write_named
 
 def plan(df):
@@ -66,3 +68,42 @@ def test_choosing_asks_for_lengths_alone(spark):
     rule = ("SOURCE_EMPTY", "OUTPUT_TOO_SHORT", "OUTPUT_TOO_LONG")
     want = {r["doc_id"]: [e for e in r["errors"] if e in rule] for r in docs.validate_documents(d).collect()}
     assert {r["doc_id"]: r["errors"] for r in docs.validate_lengths(d).collect()} == want
+
+
+def test_runs_stay_within_their_group():
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        sizes = [(int(x), int(y)) for x, y in rng.integers(0, 25, (6, 2))]
+        a, b = (np.concatenate([rng.integers(0, 3, n[side]) for n in sizes]).astype(np.uint32) for side in (0, 1))
+        of_a, of_b = (np.repeat(np.arange(6), [n[side] for n in sizes]) for side in (0, 1))
+        want = set()
+        for g in range(6):
+            i, j, n = align.common_runs(a[of_a == g], b[of_b == g], 4)
+            want |= {(int(x) + sum(s[0] for s in sizes[:g]), int(y) + sum(s[1] for s in sizes[:g]), int(z)) for x, y, z in zip(i, j, n, strict=True)}
+        assert {tuple(map(int, r)) for r in zip(*align.common_runs(a, b, 4, of_a, of_b), strict=True)} == want
+
+
+def test_windows_that_batches_part_are_whole(spark, monkeypatch):
+    """Windows over many small batches, searched a few at a time; no group of a track and window is a call of its own."""
+    name, rows = "spark.sql.execution.arrow.maxRecordsPerBatch", [(t, i, "abcdefghij"[(i * 7 + t) % 10], i * 500, i * 500 + 500) for t in range(4) for i in range(300)]
+    chars = spark.createDataFrame(rows, "track_id long, idx long, ch string, start_ms long, end_ms long")
+    blocks = align.anchor_blocks(chars, chars)
+    assert "CoGroup" not in plan(blocks)
+    want = sorted(map(tuple, blocks.collect()))
+    before = spark.conf.get(name)
+    monkeypatch.setattr(align, "ROWS_AT_ONCE", 50)
+    try:
+        spark.conf.set(name, "37")
+        assert sorted(map(tuple, align.anchor_blocks(chars, chars).collect())) == want and len(want) > 100
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_artifacts_with_a_manifest_are_read_as_folders_are(spark, tmp_path):
+    texts = ['{"language": "en", "source": "audio", "segments": []}', '{{"language": "en"}', '{"source": "audio", "segments": []}', '{"language": "en",\n "source": "tape", "segments": []}']
+    (tmp_path / "plain").mkdir()
+    for i, t in enumerate(texts):
+        (tmp_path / "plain" / f"{i}.json").write_text(t)
+    write_named(spark.createDataFrame([(f"{i}.json", str(i), t) for i, t in enumerate(texts)], "name string, key string, value string"), str(tmp_path / "named"))
+    got = [[sorted(map(str, x.collect())) for x in files.read_transcript_artifacts(spark, str(tmp_path / d), m)] for d, m in (("plain", False), ("named", True))]
+    assert got[0] == got[1] and [len(x) for x in got[0]] == [1, 3]
