@@ -107,3 +107,18 @@ def test_artifacts_with_a_manifest_are_read_as_folders_are(spark, tmp_path):
     write_named(spark.createDataFrame([(f"{i}.json", str(i), t) for i, t in enumerate(texts)], "name string, key string, value string"), str(tmp_path / "named"))
     got = [[sorted(map(str, x.collect())) for x in files.read_transcript_artifacts(spark, str(tmp_path / d), m)] for d, m in (("plain", False), ("named", True))]
     assert got[0] == got[1] and [len(x) for x in got[0]] == [1, 3]
+
+
+@pytest.mark.parametrize("batch", ["3", "10000"])
+def test_short_tracks_share_batches(spark, batch):
+    """One message a track was most of the time; tracks that go over several batches are swept whole."""
+    rows = [(t, p, p + d, 3, 0.0) for t in range(7) for p in range(0, 5 * t + 5, 5) for d in (0, 1)]
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, batch)
+        df = align.monotonic_chain(spark.createDataFrame(rows, "track_id long, p0 long, c0 long, size long, dist double"))
+        assert "FlatMapGroupsInPandas" not in plan(df)
+        assert {(r["track_id"], r["p0"], r["c0"]) for r in df.collect()} == {(t, p, p) for t, p, c, _, _ in rows if p == c}
+    finally:
+        spark.conf.set(name, before)
