@@ -122,3 +122,28 @@ def test_short_tracks_share_batches(spark, batch):
         assert {(r["track_id"], r["p0"], r["c0"]) for r in df.collect()} == {(t, p, p) for t, p, c, _, _ in rows if p == c}
     finally:
         spark.conf.set(name, before)
+
+
+@pytest.mark.parametrize("batch", ["3", "10000"])
+def test_words_are_placed_many_tracks_at_once(spark, batch):
+    """No group a track; a character outside words bounds gaps too, and of equal texts the nearest in time counts."""
+    word = [0, 0, None, 1, 1, 2, 2, 3, 4]
+    primary = [(t, i, ch, 100 * i, 100 * i + 100, 0, w) for t in range(5) for i, (ch, w) in enumerate(zip("ab\U00020000cdxyef", word, strict=True))]
+    caption = [(t, i, ch, 100 * i, 100 * i + 100) for t in range(5) for i, ch in enumerate("ab\U00020000cdcdcdz")]
+    pairs = [(t, p, c) for t in range(4) for p, c in ((2, 2), (7, 9))]
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, batch)
+        df = align.word_to_caption_range(
+            spark.createDataFrame(primary, "track_id long, idx long, ch string, start_ms long, end_ms long, seg_pos long, word_idx long"),
+            spark.createDataFrame(caption, "track_id long, idx long, ch string, start_ms long, end_ms long"), spark.createDataFrame(pairs, "track_id long, p long, c long"),
+        )
+        assert "InPandas" in plan(df) and "Groups" not in plan(df)
+        got = {(r["track_id"], r["word_idx"]): (r["c_from"], r["c_to"], r["caption_text"]) for r in df.collect()}
+    finally:
+        spark.conf.set(name, before)
+    assert {w: v for (t, w), v in got.items() if t == 0} == {0: (0, 2, "ab"), 1: (3, 5, "cd"), 2: (3, 9, "cdcdcd"), 3: (3, 4, "c")}
+    assert all(got.get((t, w)) == got.get((0, w)) for t in range(4) for w in range(5))
+    # Without a pair the whole caption is searched, else what overlaps in time.
+    assert {w: v for (t, w), v in got.items() if t == 4} == {0: (0, 2, "ab"), 1: (3, 5, "cd"), 2: (5, 7, "cd"), 3: (7, 8, "c"), 4: (8, 9, "d")}
