@@ -132,7 +132,11 @@ def read_transcripts(spark: SparkSession, path: str, kind: str = "srt") -> DataF
 
 
 def write_documents(exported: DataFrame, path: str) -> DataFrame:
-    """Documents that can be written (``doc_id, content, code``) as named text files below ``path``, and the others as rows."""
+    """Documents that can be written (``doc_id, content, code``) as named text files below ``path``, and the others as rows.
+
+    Exports are staged: asked for files and for refusals, and filtered by code, each text would be normalised four times.
+    """
+    exported = staged(exported.select("doc_id", "content", "code"), "exported")
     good = exported.where("code is null").select(F.col("doc_id").cast("string").alias("key"), F.col("content").alias("value"))
     write_named(good.select(F.concat(file_name(F.regexp_extract("value", r"\ATitle: ([^\n]*)", 1), F.col("key")), F.lit(".txt")).alias("name"), "key", "value"), path)
     return exported.where("code is not null").select("doc_id", "code")

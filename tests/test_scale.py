@@ -147,3 +147,19 @@ def test_words_are_placed_many_tracks_at_once(spark, batch):
     assert all(got.get((t, w)) == got.get((0, w)) for t in range(4) for w in range(5))
     # Without a pair the whole caption is searched, else what overlaps in time.
     assert {w: v for (t, w), v in got.items() if t == 4} == {0: (0, 2, "ab"), 1: (3, 5, "cd"), 2: (5, 7, "cd"), 3: (7, 8, "c"), 4: (8, 9, "d")}
+
+
+def test_documents_are_worked_out_once(spark, tmp_path):
+    """Files and refusals come from one export: neither the filter by code nor the refused rows normalise texts again."""
+    runs = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def body(x):
+        runs.add(1)
+        return x
+
+    d = spark.createDataFrame([(1, "a", "x"), (2, "b", ""), (3, "", "y")], "doc_id long, title string, body string")
+    refused = files.write_documents(files.export_documents(d.withColumn("body", body("body"))), str(tmp_path / "docs"))
+    assert {(r["doc_id"], r["code"]) for r in refused.collect()} == {(2, "BODY_EMPTY"), (3, "TITLE_EMPTY")}
+    assert [(r["doc_id"], r["content"]) for r in files.read_documents(spark, str(tmp_path / "docs")).collect()] == [("1", "Title: a\n\nx\n")]
+    assert runs.value == 3
