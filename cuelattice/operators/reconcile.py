@@ -250,7 +250,7 @@ def secondary_evidence(spans: DataFrame, windows: DataFrame, primary: DataFrame,
     part = _keyed(part.withColumn("idx", (F.row_number().over(Window.partitionBy("track_id", "win").orderBy("idx")) - 1).cast("long"))).drop("win", "from_ms", "to_ms")
     words = _keyed(heard.join(dealt(kept.select("track_id", "win")), ["track_id", "win"]))
     part, chars = staged(part, "primary"), staged(align.character_timeline(words, language), "secondary")
-    pairs = staged(align.aligned_pairs(align.monotonic_chain(align.merge_diagonal_blocks(align.anchor_blocks(part, chars, least)))), "pairs")
+    pairs = staged(align.aligned_pairs(align.monotonic_chain(align.anchor_blocks(part, chars, least, merged=True))), "pairs")
     place = ["track_id", "seg_pos", "word_idx"]
     ranges = align.word_to_caption_range(part, chars, pairs).select(*place, "c_from", "c_to")
     near = align.local_coverage(part, pairs).select(*place, F.col("coverage").alias("secondary_coverage"))
@@ -276,7 +276,7 @@ def reconcile(words: DataFrame, captions: DataFrame, heard, segments: DataFrame,
     windows it is handed (a function from windows to words with ``win``); ``segments`` hold the surface texts.
     """
     p, c = staged(align.character_timeline(words, language), "primary"), staged(align.character_timeline(captions, language), "caption")
-    pairs = staged(align.aligned_pairs(align.monotonic_chain(align.merge_diagonal_blocks(align.anchor_blocks(p, c)))), "pairs")
+    pairs = staged(align.aligned_pairs(align.monotonic_chain(align.anchor_blocks(p, c, merged=True))), "pairs")
     ranges = staged(align.word_to_caption_range(p, c, pairs), "ranges")
     spans = staged(suspicious_words(words, ranges, language=language), "spans")
     windows = staged(budgeted_top_k(window_priority(pad_and_merge_windows(spans), spans), WINDOWS.get(language, 60) if most is None else most), "windows")
