@@ -97,18 +97,24 @@ def format_stamp(ms: Column, comma: str = ",") -> Column:
 
 
 def export_transcripts(segments: DataFrame) -> DataFrame:
-    """``track_id, srt, txt, json`` of ordered segments (``seg_pos, start_ms, end_ms, text, title``, title may be null)."""
+    """``track_id, srt, txt, json`` of ordered segments (``seg_pos, start_ms, end_ms, text``, and ``title``, which may be null or lack).
+
+    Only titles go to Python: without the column no task needs a worker for them.
+    """
     w = Window.partitionBy("track_id").orderBy("seg_pos")
     s = segments.withColumn("i", F.row_number().over(w))
     block = F.concat(F.col("i").cast("string"), F.lit("\n"), format_stamp(F.col("start_ms")), F.lit(" --> "), format_stamp(F.col("end_ms")), F.lit("\n"), "text", F.lit("\n"))
     s = s.withColumn("s", F.struct("i", block.alias("block"), "text", "start_ms", "end_ms"))
-    g = s.groupBy("track_id", "title").agg(F.array_sort(F.collect_list("s")).alias("s"))
-    title = strip(F.regexp_replace(nfkc(F.coalesce("title", F.lit(""))), rf"{SPACE}+", " "))
-    head = F.when(title == "", "").otherwise(F.concat(F.lit("Title: "), title, F.lit("\n\n")))
+    titled = ["title"] if "title" in segments.columns else []
+    g = s.groupBy("track_id", *titled).agg(F.array_sort(F.collect_list("s")).alias("s"))
+    head = F.lit("")
+    if titled:
+        title = strip(F.regexp_replace(nfkc(F.coalesce("title", F.lit(""))), rf"{SPACE}+", " "))
+        head = F.when(title == "", "").otherwise(F.concat(F.lit("Title: "), title, F.lit("\n\n")))
     plain = F.transform("s", lambda x: F.struct(x.i.alias("index"), x.start_ms.alias("start_ms"), x.end_ms.alias("end_ms"), x.text.alias("text")))
     return g.select(
         "track_id", F.concat(head, F.array_join(F.transform("s", lambda x: x.block), "\n")).alias("srt"), F.concat(head, strip(F.array_join(F.transform("s", lambda x: x.text), " ")), F.lit("\n")).alias("txt"),
-        F.to_json(F.struct(F.lit(3).alias("schema_version"), "title", plain.alias("segments"))).alias("json"),
+        F.to_json(F.struct(F.lit(3).alias("schema_version"), *titled, plain.alias("segments"))).alias("json"),
     )
 
 
@@ -118,9 +124,9 @@ def write_transcripts(exported: DataFrame, path: str) -> None:
     Each transcript has three files, ``Title.<track>.<language>`` with their endings; one pass writes them all and lists
     them in the manifest, from which ``read_transcripts`` reads.
     """
-    own = lambda c: F.col(c) if c in exported.columns else F.lit(None).cast("string")
+    own = lambda c: F.col(c) if c in exported.columns else None
     key = F.col("track_id").cast("string")
-    stem = file_name(own("title"), key, own("language"))
+    stem = file_name(own("title"), key, *[x for x in (own("language"),) if x is not None])
     kinds = F.array(*[F.struct(F.lit(f".{k}").alias("ending"), F.col(k).alias("value")) for k in ("srt", "txt", "json")])
     files = exported.select(stem.alias("stem"), key.alias("key"), F.explode(kinds).alias("f"))
     write_named(files.select(F.concat("stem", "f.ending").alias("name"), "key", "f.value"), path)

@@ -11,6 +11,7 @@ Files are opened through ``pyarrow.fs``, so a folder may lie wherever that reach
 
 from __future__ import annotations
 
+import io
 import json
 import posixpath
 import uuid
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
@@ -32,6 +34,8 @@ RESERVED = ("CON", "PRN", "AUX", "NUL", *(f"{p}{i}" for p in ("COM", "LPT") for
 TITLE_CHARS = 100
 # Whole files that go to or come from Python at once: long recordings have megabytes.
 FILES_AT_ONCE = 200
+# Bytes of files that come from Python at once: of 200 long recordings all would be hundreds of megabytes.
+READ_AT_ONCE = 4 << 20
 
 
 def safe_title(title: Column) -> Column:
@@ -43,11 +47,11 @@ def safe_title(title: Column) -> Column:
     return F.when(F.upper(named).isin(*RESERVED), F.concat(F.lit("_"), named)).otherwise(named)
 
 
-def file_name(title: Column, key: Column, *more: Column) -> Column:
-    """``Title.<key>.<more>``: the stem of one document's file. Keys that hold a path's signs get a digest, so that none meet."""
+def file_name(title: Column | None, key: Column, *more: Column) -> Column:
+    """``Title.<key>.<more>``: the stem of one document's file; without titles (None) Python isn't asked. Keys that hold a path's signs get a digest, so that none meet."""
     odd = key.rlike(r'[<>:"/\\|?*\x00-\x1f]')
     kept = F.when(odd, F.concat(F.regexp_replace(key, r'[<>:"/\\|?*\x00-\x1f]+', "_"), F.lit("-"), F.left(F.sha2(key.cast("binary"), 256), F.lit(12)))).otherwise(key)
-    return F.concat_ws(".", safe_title(title), kept, *more)
+    return F.concat_ws(".", F.lit("untitled") if title is None else safe_title(title), kept, *more)
 
 
 def _store(path: str):
@@ -88,20 +92,22 @@ class NamedFilesWriter(DataSourceWriter):
     def write(self, rows: Iterator) -> Written:
         files, root = _store(self.path)
         files.create_dir(f"{root}/{MANIFEST}", recursive=True)
-        listed, folders = [], {root}
-        for r in rows:
-            at = posixpath.normpath(f"{root}/{r['name']}")
-            if not at.startswith(f"{root}/") or posixpath.basename(at).startswith("_part-"):
-                raise ValueError(f"a file can't be named {r['name']!r}")
-            if (folder := posixpath.dirname(at)) not in folders:
-                files.create_dir(folder, recursive=True)
-                folders.add(folder)
-            data = (r["value"] or "").encode("utf-8")
-            _put(files, at, data)
-            listed.append(json.dumps({"name": r["name"], "key": r["key"], "bytes": len(data)}, ensure_ascii=False))
-        part = f"{uuid.uuid4().hex}.jsonl"
-        _put(files, f"{root}/{MANIFEST}/{part}", "".join(f"{x}\n" for x in listed).encode("utf-8"))
-        return Written(part, len(listed))
+        count, folders, part = 0, {root}, f"{uuid.uuid4().hex}.jsonl"
+        # The list is written as files are, and moved into place when it is whole.
+        with files.open_output_stream(f"{root}/{MANIFEST}/_part-{part}") as listed:
+            for r in rows:
+                at = posixpath.normpath(f"{root}/{r['name']}")
+                if not at.startswith(f"{root}/") or posixpath.basename(at).startswith("_part-"):
+                    raise ValueError(f"a file can't be named {r['name']!r}")
+                if (folder := posixpath.dirname(at)) not in folders:
+                    files.create_dir(folder, recursive=True)
+                    folders.add(folder)
+                data = (r["value"] or "").encode("utf-8")
+                _put(files, at, data)
+                listed.write(f"{json.dumps({'name': r['name'], 'key': r['key'], 'bytes': len(data)}, ensure_ascii=False)}\n".encode())
+                count += 1
+        files.move(f"{root}/{MANIFEST}/_part-{part}", f"{root}/{MANIFEST}/{part}")
+        return Written(part, count)
 
     def commit(self, messages: list[Written | None]) -> None:
         files, root = _store(self.path)
@@ -136,16 +142,29 @@ class NamedFilesReader(DataSourceReader):
     def partitions(self) -> list[Part]:
         return [Part(p) for p in committed(self.path)] or [Part("")]
 
-    def read(self, partition: Part) -> Iterator[tuple]:
+    def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
+        """Files as batches of at most ``READ_AT_ONCE`` bytes, or of one longer file; the list is read as they are."""
         files, root = _store(self.path)
+        rows, size = [], 0
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], names=["name", "key", "value"])
+
         if not partition.part:
             return
         with files.open_input_stream(f"{root}/{MANIFEST}/{partition.part}") as f:
-            listed = [json.loads(x) for x in f.read().decode("utf-8").splitlines()]
-        for x in listed:
-            if x["name"].endswith(self.ending):
-                with files.open_input_stream(f"{root}/{x['name']}") as f:
-                    yield x["name"], x["key"], f.read().decode("utf-8")
+            for line in io.TextIOWrapper(f, "utf-8", newline="\n"):
+                x = json.loads(line)
+                if not x["name"].endswith(self.ending):
+                    continue
+                if rows and (size + x["bytes"] > READ_AT_ONCE or len(rows) >= FILES_AT_ONCE):
+                    yield batch()
+                    rows, size = [], 0
+                with files.open_input_stream(f"{root}/{x['name']}") as one:
+                    rows.append((x["name"], x["key"], one.read()))
+                size += x["bytes"]
+        if rows:
+            yield batch()
 
 
 class NamedFiles(DataSource):
