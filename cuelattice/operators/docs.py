@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cuelattice.functions.text import SPACE, borders, comparable, content_hash, distinct_in_order, first_fingerprint, length_bounds, length_ratio, nfc, normalized_length, small_batches, strip, winnowed
+from cuelattice.functions.text import SPACE, bare, borders, comparable, content_hash, distinct_in_order, first_fingerprint, length_bounds, length_ratio, lowered, nfc, normalized_length, small_batches, strip, winnowed
 
 CHUNK_CHARS = 25_000
 TITLE_CHARS = 100
@@ -263,17 +263,19 @@ def rule_rollup(validated: DataFrame) -> DataFrame:
 def copied_blocks(outputs: DataFrame, sources: DataFrame, least: int = COPIED_CHARS, separator: str = BLANK, key_chars: int = 32) -> DataFrame:
     """``doc_id, source_id, n_blocks``: paragraphs of outputs that a source holds, over the corpus.
 
-    Compared without case and white space, so copies with other line ends or in languages without spaces are told
-    too. Sources are winnowed: of hashes of ``key_chars`` characters the smallest of every window that spans ``least``
-    characters is kept, about two of a window's width. A paragraph of at least ``least`` characters brings
-    the one of its first window, which any source that holds it has kept too; containment decides. Texts
-    join only the pairs so found.
+    Compared in lower case and without white space, as SQL has both, so copies with other line ends or in languages
+    without spaces are told too. Sources are winnowed: of hashes of ``key_chars`` characters the smallest of every
+    window that spans ``least`` characters is kept, about two of a window's width. A paragraph of at least ``least``
+    characters brings the one of its first window, which any source that holds it has kept too; containment decides.
+    Texts join only the pairs so found.
     """
+    small_batches(outputs.sparkSession)
     k = min(key_chars, max(1, least // 2))
     given = outputs.select("doc_id", F.coalesce("body", F.lit("")).alias("body"))
-    parts = given.select("doc_id", F.explode(_long_parts("body", separator, least)).alias("p"))
+    long = F.filter(F.transform(F.split("body", separator), bare), lambda x: F.length(x) >= least)
+    parts = given.select("doc_id", F.explode(F.transform(long, lowered)).alias("p"))
     parts = parts.select("doc_id", "p", first_fingerprint(F.col("p"), least, k).alias("key"))
-    whole = sources.select("source_id", comparable(F.coalesce("text", F.lit(""))).alias("whole")).where(F.length("whole") >= least)
+    whole = sources.select("source_id", lowered(bare(F.coalesce("text", F.lit("")))).alias("whole")).where(F.length("whole") >= least)
     keys = whole.select("source_id", F.explode(winnowed("whole", least, k)).alias("key")).distinct()
     met = parts.join(keys, "key").select("doc_id", "source_id", "p").distinct().join(whole, "source_id").where(F.col("whole").contains(F.col("p")))
     return met.groupBy("doc_id", "source_id").agg(F.count("*").alias("n_blocks"))
