@@ -18,13 +18,13 @@ WINDOWS = {"ja": 60, "ko": 100}
 TOTAL_MS = 600_000
 
 
-def suspicious_words(words: DataFrame, ranges: DataFrame, similarity: Column | None = None, low: float = LOW, language: str = "ja") -> DataFrame:
+def suspicious_words(words: DataFrame, ranges: DataFrame, similarity: Column | None = None, low: float = LOW, language: str = "ja", also: tuple[str, ...] = ()) -> DataFrame:
     """Words (``track_id, seg_pos, word_idx, start_ms, end_ms, text, probability``) that look wrong, as spans.
 
     Low confidence and disagreement with the caption give tier 1, either alone 2 and 3; the score is the probability if
-    low, else the similarity; ``span_id`` counts a track's spans in order.
+    low, else the similarity; ``span_id`` counts a track's spans in order. Columns of ``ranges`` in ``also`` stay.
     """
-    w = words.join(dealt(ranges.select("track_id", "seg_pos", "word_idx", "caption_text")), ["track_id", "seg_pos", "word_idx"], "left")
+    w = words.join(dealt(ranges.select("track_id", "seg_pos", "word_idx", "caption_text", *also)), ["track_id", "seg_pos", "word_idx"], "left")
     like = text_similarity(normalize_alignment_text(F.col("text"), language), F.col("caption_text")) if similarity is None else similarity
     w = w.withColumn("similarity", F.when(F.col("caption_text") != "", like))
     unsure, differs = F.coalesce(F.col("probability") < low, F.lit(False)), F.coalesce(F.col("similarity") < low, F.lit(False))
@@ -32,7 +32,7 @@ def suspicious_words(words: DataFrame, ranges: DataFrame, similarity: Column | N
     tier = F.when(unsure & differs, 1).when(unsure, 2).otherwise(3)
     score = F.when(unsure, F.col("probability")).otherwise(F.coalesce("similarity", F.lit(1.0)))
     number = F.row_number().over(Window.partitionBy("track_id").orderBy("seg_pos", "word_idx")) - 1
-    return s.select("track_id", number.alias("span_id"), "seg_pos", "word_idx", "start_ms", "end_ms", "text", "caption_text", "similarity", tier.alias("tier"), score.alias("score"))
+    return s.select("track_id", number.alias("span_id"), "seg_pos", "word_idx", "start_ms", "end_ms", "text", "caption_text", "similarity", tier.alias("tier"), score.alias("score"), *also)
 
 
 def pad_and_merge_windows(spans: DataFrame, padding: int = PADDING_MS, gap: int = MERGE_GAP_MS, longest: int = LONGEST_MS) -> DataFrame:
@@ -237,36 +237,38 @@ def secondary_evidence(spans: DataFrame, windows: DataFrame, primary: DataFrame,
     """What the second model says of each span, and whether it was asked.
 
     ``heard``: the second model's words by window (``track_id, win, seg_pos, word_idx, start_ms, end_ms, text,
-    probability``); ``windows`` have ``selected`` and ``span_ids``; ``primary`` is the first model's timeline. Each
-    window's part of it is aligned with the words heard there. A second model's word that is covered only in part
-    makes ``secondary_range_partial_word``. Every span has a row: without evidence ``secondary_text`` is null;
-    ``processed`` says if its window is selected and was heard.
+    probability``); ``windows`` have ``selected`` and ``span_ids``; ``primary`` is the first model's timeline, by character or
+    by the words it consists of. Each window's part of it is aligned with the words heard there. A second model's word that is
+    covered only in part makes ``secondary_range_partial_word``. Every span has a row: without evidence ``secondary_text`` is
+    null; ``processed`` says if its window is selected and was heard.
     """
+    told = _with_evidence(spans, windows, primary, heard, language, least)
+    return told.select("track_id", "span_id", "win", "processed", "secondary_text", "secondary_words", "issue", "secondary_coverage", "secondary_overlap", "mean_probability", "min_probability", "selected")
+
+
+def _with_evidence(spans: DataFrame, windows: DataFrame, primary: DataFrame, heard: DataFrame, language: str | None, least: int = align.LEAST_ANCHOR) -> DataFrame:
+    """``spans`` with the columns of ``secondary_evidence``; words of both models cross the shuffle, their characters don't."""
     kept = windows.where("selected").select("track_id", "win", F.col("start_ms").alias("from_ms"), F.col("end_ms").alias("to_ms"), "span_ids")
     asked = kept.select("track_id", "win", F.explode("span_ids").alias("span_id"))
     here = heard.select("track_id", "win").distinct().withColumn("processed", F.lit(True))
-    s = _keyed(spans.join(dealt(asked), ["track_id", "span_id"]).withColumn("span_track", F.col("track_id")))
-    part = align.overlapping(primary, kept.drop("span_ids"))
-    part = _keyed(part.withColumn("idx", (F.row_number().over(Window.partitionBy("track_id", "win").orderBy("idx")) - 1).cast("long"))).drop("win", "from_ms", "to_ms")
-    words = _keyed(heard.join(dealt(kept.select("track_id", "win")), ["track_id", "win"]))
-    part, chars = staged(part, "primary"), staged(align.character_timeline(words, language), "secondary")
-    pairs = staged(align.aligned_pairs(align.monotonic_chain(align.anchor_blocks(part, chars, least, merged=True))), "pairs")
-    place = ["track_id", "seg_pos", "word_idx"]
-    ranges = align.word_to_caption_range(part, chars, pairs).select(*place, "c_from", "c_to")
-    near = align.local_coverage(part, pairs).select(*place, F.col("coverage").alias("secondary_coverage"))
-    own = chars.groupBy(*place).agg(F.min("idx").alias("i0"), (F.max("idx") + 1).alias("i1"))
-    w = words.join(dealt(own), place).select("track_id", F.col("seg_pos").alias("s_seg"), F.col("word_idx").alias("s_word"), F.col("start_ms").alias("w0"), F.col("end_ms").alias("w1"), F.col("text").alias("t"), "probability", "i0", "i1")
-    found = s.join(dealt(ranges), place).select("track_id", "span_id", "start_ms", "end_ms", "c_from", "c_to").join(dealt(w), "track_id").where("i0 < c_to and i1 > c_from")
-    g = found.groupBy("track_id", "span_id", "start_ms", "end_ms").agg(
-        F.bool_or((F.col("i0") < F.col("c_from")) | (F.col("i1") > F.col("c_to"))).alias("partial"), F.avg("probability").alias("mean_probability"), F.min("probability").alias("min_probability"), F.min("w0").alias("w0"), F.max("w1").alias("w1"),
-        F.transform(F.array_sort(F.collect_list(F.struct("s_seg", "s_word", "t"))), lambda x: x.t).alias("texts"),
+    # A word's last character may end a millisecond after it; which characters lie in a window is told where they are made.
+    end = F.col("end_ms") if "ch" in primary.columns else F.greatest(F.col("start_ms") + 1, "end_ms") + 1
+    part = align.overlapping(primary.withColumns({"own_end": F.col("end_ms"), "end_ms": end}), kept.drop("span_ids"))
+    part = _keyed(part.drop("end_ms").withColumnRenamed("own_end", "end_ms"))
+    norm = F.col("text") if language is None else normalize_alignment_text(F.col("text"), language)
+    words = _keyed(heard.join(dealt(kept.select("track_id", "win")), ["track_id", "win"])).select("track_id", "seg_pos", "word_idx", "start_ms", "end_ms", F.col("text").alias("said"), "probability", norm.alias("text"))
+    found = align.aligned_words(part, words, least).select(
+        F.col("track_id").alias("_key"), "seg_pos", "word_idx", F.col("coverage").alias("secondary_coverage"), "partial", F.col("texts").alias("secondary_words"), "mean_probability", "min_probability", "w0", "w1",
+    )
+    every = spans.join(dealt(asked), ["track_id", "span_id"], "left").join(dealt(here), ["track_id", "win"], "left")
+    every = every.withColumn("_key", F.to_json(F.struct("track_id", "win"))).join(dealt(found), ["_key", "seg_pos", "word_idx"], "left")
+    overlap = F.when(~F.col("partial"), temporal_overlap(F.col("start_ms"), F.col("end_ms"), F.col("w0"), F.col("w1")))
+    known = lambda c: F.when(F.col("win").isNotNull(), F.coalesce(c, F.lit(0.0)))
+    return every.select(
+        *spans.columns, "win", F.coalesce("processed", F.lit(False)).alias("processed"), F.when(F.col("partial"), "").otherwise(F.array_join("secondary_words", "")).alias("secondary_text"), "secondary_words",
+        F.when(F.col("partial"), "secondary_range_partial_word").alias("issue"), known(F.col("secondary_coverage")).alias("secondary_coverage"), known(overlap).alias("secondary_overlap"),
+        "mean_probability", "min_probability", F.col("win").isNotNull().alias("selected"),
     )
-    ok = lambda c: F.when(~F.col("partial"), c)
-    text = F.when(F.col("partial"), "").otherwise(F.array_join("texts", ""))
-    g = g.select("track_id", "span_id", text.alias("secondary_text"), ok(F.col("texts")).alias("secondary_words"), F.when(F.col("partial"), "secondary_range_partial_word").alias("issue"), F.coalesce(ok(temporal_overlap(F.col("start_ms"), F.col("end_ms"), F.col("w0"), F.col("w1"))), F.lit(0.0)).alias("secondary_overlap"), ok(F.col("mean_probability")).alias("mean_probability"), ok(F.col("min_probability")).alias("min_probability"))
-    told = s.join(dealt(near), place, "left").join(dealt(g), ["track_id", "span_id"], "left").select(F.col("span_track").alias("track_id"), "span_id", "secondary_text", "secondary_words", "issue", F.coalesce("secondary_coverage", F.lit(0.0)).alias("secondary_coverage"), F.coalesce("secondary_overlap", F.lit(0.0)).alias("secondary_overlap"), "mean_probability", "min_probability")
-    every = spans.select("track_id", "span_id").join(dealt(asked), ["track_id", "span_id"], "left").join(dealt(here), ["track_id", "win"], "left").join(dealt(told), ["track_id", "span_id"], "left")
-    return every.withColumn("selected", F.col("win").isNotNull()).withColumn("processed", F.coalesce("processed", F.lit(False)))
 
 
 def reconcile(words: DataFrame, captions: DataFrame, heard, segments: DataFrame, language: str = "ja", most: int | None = None) -> dict[str, DataFrame]:
@@ -275,25 +277,26 @@ def reconcile(words: DataFrame, captions: DataFrame, heard, segments: DataFrame,
     ``words`` and ``captions`` are timed words of both sources; ``heard`` gives the second model's words for the
     windows it is handed (a function from windows to words with ``win``); ``segments`` hold the surface texts.
     """
-    p, c = staged(align.character_timeline(words, language), "primary"), staged(align.character_timeline(captions, language), "caption")
-    pairs = staged(align.aligned_pairs(align.monotonic_chain(align.anchor_blocks(p, c, merged=True))), "pairs")
-    ranges = staged(align.word_to_caption_range(p, c, pairs), "ranges")
-    spans = staged(suspicious_words(words, ranges, language=language), "spans")
+    words = staged(words.withColumn("norm", normalize_alignment_text(F.col("text"), language)), "words")
+    p = words.select("track_id", "seg_pos", "word_idx", "start_ms", "end_ms", F.col("norm").alias("text"))
+    aligned = staged(align.aligned_words(p, captions.withColumn("text", normalize_alignment_text(F.col("text"), language))), "aligned")
+    like = text_similarity(F.col("norm"), F.col("caption_text"))
+    spans = staged(suspicious_words(words, aligned, like, also=("coverage", "c_start_ms", "c_end_ms")), "spans")
     windows = staged(budgeted_top_k(window_priority(pad_and_merge_windows(spans), spans), WINDOWS.get(language, 60) if most is None else most), "windows")
     second = staged(heard(windows.where("selected")), "heard")
-    evidence = secondary_evidence(spans, windows, p, second, language)
-    place = ["track_id", "seg_pos", "word_idx"]
     seen = F.when(F.col("c_start_ms").isNotNull(), primary_coverage(F.col("start_ms"), F.col("end_ms"), F.col("c_start_ms"), F.col("c_end_ms")))
-    items = spans.join(dealt(align.local_coverage(p, pairs)), place, "left").join(dealt(ranges.select(*place, "c_start_ms", "c_end_ms")), place, "left").withColumn("overlap", F.coalesce(seen, F.lit(0.0))).drop("c_start_ms", "c_end_ms")
-    items = items.join(dealt(evidence.drop("win")), ["track_id", "span_id"]).withColumnRenamed("text", "primary_text").withColumn("coverage", F.coalesce("coverage", F.lit(0.0))).withColumn("language", F.lit(language))
-    map_of = surface_spans(words, segments)
+    items = _with_evidence(spans, windows, p, second, language).withColumns({"overlap": F.coalesce(seen, F.lit(0.0)), "coverage": F.coalesce("coverage", F.lit(0.0)), "language": F.lit(language)})
+    items = items.drop("win", "c_start_ms", "c_end_ms").withColumnRenamed("text", "primary_text")
+    map_of = staged(surface_spans(words, segments), "surface")
     mapped = map_of.select("track_id", "seg_pos").distinct().withColumn("surface_mapped", F.lit(True))
     items = items.join(dealt(rebuildable(words, segments)), ["track_id", "seg_pos"], "left").join(dealt(mapped), ["track_id", "seg_pos"], "left")
     items = items.withColumns({"skipped": ~F.col("selected"), "rebuildable": F.coalesce("rebuildable", F.lit(False)), "surface_mapped": F.coalesce("surface_mapped", F.lit(False))})
     final = staged(finalise_decisions(decide(items, language=language)), "items")
     right = final.where("decision = 'corrected'").select("track_id", "seg_pos", F.col("word_idx").alias("word_start"), (F.col("word_idx") + 1).alias("word_end"), F.col("secondary_words").alias("texts"), F.col("secondary_text").alias("new_text"), "rebuildable")
     spliced = splice_surface(segments, map_of, right.where("not rebuildable").drop("texts", "rebuildable"))
-    rebuilt = apply_replacements(words, right.where("rebuildable").drop("new_text", "rebuildable")).join(dealt(right.where("rebuildable").select("track_id", "seg_pos").distinct()), ["track_id", "seg_pos"], "left_semi")
+    anew = right.where("rebuildable").drop("new_text", "rebuildable")
+    rebuilt = apply_replacements(words.join(dealt(anew.select("track_id", "seg_pos").distinct()), ["track_id", "seg_pos"], "left_semi"), anew)
     texts = spliced.join(dealt(rebuilt.select("track_id", "seg_pos", F.col("text").alias("rebuilt"))), ["track_id", "seg_pos"], "left").select("track_id", "seg_pos", F.coalesce("rebuilt", "text").alias("text"))
     asked = windows.join(dealt(second.select("track_id", "win").distinct().withColumn("processed", F.lit(True))), ["track_id", "win"], "left").withColumn("processed", F.coalesce("processed", F.lit(False)))
-    return {"items": final, "segments": texts, "summary": reconciliation_summary(final, asked, align.track_coverage(pairs, p), {"ko": "KOREAN"}.get(language, "JAPANESE"))}
+    coverage = aligned.groupBy("track_id").agg((F.sum("matched") / F.sum("n")).alias("coverage"))
+    return {"items": final, "segments": texts, "summary": reconciliation_summary(final, asked, coverage, {"ko": "KOREAN"}.get(language, "JAPANESE"))}
